@@ -1,0 +1,109 @@
+"""Frequency of every distinct value or term.
+
+(field, term, record, row) tuples are range-partitioned and sorted, so that a frequent term spreads over as many
+partitions as it needs; each partition is then scanned once for runs. A run gives the number of its rows and of its
+records; the runs of a term that ends in one partition and goes on in the next are put together afterwards, with
+one less record where both sides of the boundary belong to the same record.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+_RUN = "part int, field string, term string, n_rows bigint, n_records bigint, first_record string, last_record string"
+
+
+def _differs(column: pa.Array) -> np.ndarray:
+    """For each element but the first, whether it differs from the one before."""
+    return pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Run-length scan of sorted tuples; keeps one open run between batches."""
+    open_run: list | None = None  # part, field, term, rows, records, first record, last record
+    last_row = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        part, field, term, record, row = (batch.column(i) for i in range(5))
+        n = batch.num_rows
+        new_term = np.ones(n, bool)
+        new_record = np.ones(n, bool)
+        new_row = np.ones(n, bool)
+        if open_run is not None:
+            new_term[0] = (field[0].as_py(), term[0].as_py()) != (open_run[1], open_run[2])
+            new_record[0] = new_term[0] or record[0].as_py() != open_run[6]
+            new_row[0] = new_record[0] or row[0].as_py() != last_row
+        if n > 1:
+            new_term[1:] = _differs(field) | _differs(term)
+            new_record[1:] = new_term[1:] | _differs(record)
+            new_row[1:] = new_record[1:] | _differs(row)
+        starts = np.flatnonzero(new_term)
+        edges = np.concatenate(([0], starts, [n])) if not len(starts) or starts[0] else np.concatenate((starts, [n]))
+        rows = np.add.reduceat(new_row.astype(np.int64), edges[:-1])
+        records = np.add.reduceat(new_record.astype(np.int64), edges[:-1])
+        firsts, lasts = record.take(pa.array(edges[:-1])), record.take(pa.array(edges[1:] - 1))
+        fields, terms = field.take(pa.array(edges[:-1])), term.take(pa.array(edges[:-1]))
+        done: list[list] = []
+        for i in range(len(edges) - 1):
+            if i == 0 and open_run is not None and not new_term[0]:
+                open_run[3] += int(rows[0])
+                open_run[4] += int(records[0])
+                open_run[6] = lasts[0].as_py()
+                continue
+            if open_run is not None:
+                done.append(open_run)
+            open_run = [part[0].as_py(), fields[i].as_py(), terms[i].as_py(), int(rows[i]), int(records[i]), firsts[i].as_py(), lasts[i].as_py()]
+        last_row = row[n - 1].as_py()
+        if done:
+            yield _batch(done)
+    if open_run is not None:
+        yield _batch([open_run])
+
+
+def _batch(runs: list[list]) -> pa.RecordBatch:
+    types = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    names = ["part", "field", "term", "n_rows", "n_records", "first_record", "last_record"]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*runs), types, strict=True)], names)
+
+
+def term_counts(pairs: DataFrame, partitions: int) -> DataFrame:
+    """field, term, n_rows, n_records of every distinct (field, term).
+
+    `pairs`: field, term, record (strings) and row (bigint); equal rows of a term and record count once, so rows
+    delivered twice count once. Nulls: a NULL field, term or record is read as ''; rows with a NULL row count
+    together once for each term and record. Extra columns are ignored; an empty input gives an empty result.
+    """
+    keys = ["field", "term", "record", "row"]
+    text = [F.coalesce(c, F.lit("")).alias(c) for c in keys[:3]]
+    sorted_pairs = (
+        pairs.select(*text, F.coalesce(F.col("row").cast("bigint"), F.lit(-(2**63))).alias("row"))
+        .repartitionByRange(partitions, *keys)
+        .sortWithinPartitions(*keys)
+        .select(F.spark_partition_id().alias("part"), *keys)
+    )
+    runs = sorted_pairs.mapInArrow(_runs, _RUN)
+    w = Window.partitionBy("field", "term").orderBy("part")
+    shared = (F.lag("last_record").over(w) == F.col("first_record")).cast("int")
+    return (
+        runs.withColumn("shared", F.coalesce(shared, F.lit(0)))
+        .groupBy("field", "term")
+        .agg(F.sum("n_rows").alias("n_rows"), F.sum(F.col("n_records") - F.col("shared")).alias("n_records"))
+    )
+
+
+def mark_terms(counts: DataFrame, totals: DataFrame, rare_below: int = 3, common_above: float = 0.2) -> DataFrame:
+    """`counts` with `mark`: `rare` in fewer than `rare_below` records, `common` in more than the share
+    `common_above` of the field's records (`totals`: field, all_records; one row for each field), else ''."""
+    return counts.join(F.broadcast(totals), "field").withColumn(
+        "mark",
+        F.when(F.col("n_records") < rare_below, "rare")
+        .when(F.col("n_records") > common_above * F.col("all_records"), "common")
+        .otherwise(""),
+    )
