@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from codequarry import tables as T
 from codequarry.llm.docpairs import PAIRED_KINDS, documented_functions
+from codequarry.llm.mixing import mix, share_report
+from codequarry.llm.packing import fill_report, pack
 from codequarry.llm.subjects import subject_areas
+from codequarry.session import workspace
 
 # ---------------------------------------------------------------- 3: functions with their documentation
 
@@ -34,6 +37,42 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("path", "line", "kind", "module", "function", "arity", "doc", "doc_origin", "code")
 
 
+# ---------------------------------------------------------------- 6: containers
+
+
+def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    containers = [(r.container, r.capacity_tokens) for r in T.read(spark, sf_dir, "containers").orderBy("container").collect()]
+    return pack(spark, T.read(spark, sf_dir, "documents"), containers)
+
+
+def p6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(spark, sf_dir)
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each capacity are."""
+    return fill_report(packed(spark, sf_dir), T.read(spark, sf_dir, "containers"))
+
+
+# ---------------------------------------------------------------- 7: mixture
+
+
+def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = [(r.source, r.target_share, r.max_repeats) for r in T.read(spark, sf_dir, "source_targets").orderBy("source").collect()]
+    return mix(spark, T.read(spark, sf_dir, "documents"), targets)
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture(spark, sf_dir)
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares that the mixture reaches, beside their targets."""
+    folder = workspace(spark, "mixture")
+    mixture(spark, sf_dir).drop("pieces").write.parquet(folder)
+    return share_report(spark.read.parquet(folder), T.read(spark, sf_dir, "source_targets"))
+
+
 # ---------------------------------------------------------------- 8: subject areas
 
 
@@ -62,5 +101,14 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p3_found": p3_found, "p3_pairs": p3_pairs, "p8_found": p8_found, "p8_composition": p8_composition}
+QUERIES = {
+    "p3_found": p3_found,
+    "p3_pairs": p3_pairs,
+    "p6_packing": p6_packing,
+    "p6_fill": p6_fill,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_composition": p8_composition,
+}
 SQL: dict[str, str] = {}
