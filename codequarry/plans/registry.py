@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codequarry.plans import data_queries
+from codequarry.plans import core_queries, data_queries
 
-MODULES = [data_queries]
+MODULES = [core_queries, data_queries]
 
 
 def queries() -> dict:
