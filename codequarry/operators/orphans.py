@@ -37,9 +37,9 @@ def orphans(references: DataFrame, parents: DataFrame, keys: list[str]) -> DataF
     `references`: the keys, `period` (int) and any other columns; `parents`: the keys, `valid_from`, `valid_to`
     (periods, the end excluded). Rows come out as often as they went in. Nulls: a NULL key matches nothing, so it
     is `missing`; references without a period have no result; parents with a NULL bound are ignored. Extra columns
-    of `references` named like those of `parents` do no harm. Empty parents make everything missing.
+    of `references` named like those of `parents` do no harm; one named `status`, `_valid` or `_parent_...` is replaced. Empty parents make everything missing.
     """
-    own = [c for c in references.columns if c not in keys]
+    own = [c for c in references.columns if c not in keys and c not in ("status", "_valid") and not c.startswith("_parent_")]
     bounded = parents.where("valid_from IS NOT NULL AND valid_to IS NOT NULL")
     merged = validity(bounded, keys).select(*[F.col(k).alias(f"_parent_{k}") for k in keys], F.col("valid").alias("_valid"))
     on = [references[k] == merged[f"_parent_{k}"] for k in keys]

@@ -1,10 +1,252 @@
-"""placeholder"""
+"""The index on disk: files, definitions and references, replaced file by file.
 
-from pyspark.sql import DataFrame
+Rows are dealt to buckets by the hash of their file. A write makes new folders for the touched buckets only and then one
+small commit file that names the folder of every bucket; readers see the last commit, a failed write leaves nothing that
+they see. Removing or replacing a file rewrites its bucket.
+"""
+
+from __future__ import annotations
+
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry import storage
+from codequarry.sources.facts import parse_facts, parsed_definitions, parsed_references
+from codequarry.sources.files import read_texts, walk_files
+
+#: Raised whenever the stored tables would come out differently; another version's index is built anew.
+INDEX_VERSION = 1
+SCHEMAS = {
+    "files": "path string, mtime bigint",
+    "definitions": (
+        "module string, function string, arity int, kind string, line int, file_path string, delegate_to string, "
+        "delegate_as string, params string"
+    ),
+    "refs": "module string, function string, line int, file_path string, kind string",
+}
+_FILE_OF = {"files": "path", "definitions": "file_path", "refs": "file_path"}
+_SORTED_BY = {"files": ["path"], "definitions": ["file_path", "line"], "refs": ["file_path", "line"]}
+
 
 def changed_files(stored: DataFrame, seen: DataFrame) -> DataFrame:
     """Files seen whose modification time is not exactly the stored one, or that are not stored."""
     s = stored.select("path", F.col("mtime").alias("_stored"))
-    return seen.join(s, "path", "left_outer").where(F.col("_stored").isNull() | (F.col("_stored") != F.col("mtime"))).select("path", "mtime")
+    return (
+        seen.join(s, "path", "left_outer")
+        .where(F.col("_stored").isNull() | (F.col("_stored") != F.col("mtime")))
+        .select(*seen.columns)
+    )
+
+
+class Index:
+    """A stored index under `root`; `n_buckets` is fixed when it is made (about 128 MB of rows each is a good size)."""
+
+    def __init__(self, spark: SparkSession, root: str, n_buckets: int = 16):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.n_buckets = self._state().get("n_buckets", n_buckets)
+
+    # -------------------------------------------------------- reading
+
+    def _commits(self) -> list[str]:
+        return [n for n in storage.names(self.spark, f"{self.root}/commits") if n.endswith(".json") and not n.startswith("_")]
+
+    def _state(self) -> dict:
+        """The last commit; one that cannot be read counts as none, so that the index is built anew."""
+        commits = self._commits()
+        if not commits:
+            return {}
+        try:
+            return json.loads(storage.read_text(self.spark, f"{self.root}/commits/{commits[-1]}"))
+        except ValueError:
+            return {}
+
+    def _read(self, table: str, buckets: set[int] | None = None) -> DataFrame:
+        folders = {int(b): f for b, f in self._state().get("buckets", {}).items()}
+        paths = [f"{self.root}/data/{f}/{table}" for b, f in sorted(folders.items()) if buckets is None or b in buckets]
+        if not paths:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        return self.spark.read.schema(SCHEMAS[table]).parquet(*paths)
+
+    def files(self) -> DataFrame:
+        return self._read("files")
+
+    def definitions(self) -> DataFrame:
+        return self._read("definitions")
+
+    def refs(self) -> DataFrame:
+        return self._read("refs")
+
+    def is_empty(self) -> bool:
+        return self.files().isEmpty()
+
+    def metadata(self, key: str) -> str:
+        """A stored value, '' if there is none."""
+        return self._state().get("metadata", {}).get(key, "")
+
+    def version(self) -> int:
+        """0 if none is stored or it is no number."""
+        value = self.metadata("index_version")
+        return int(value) if value.isdigit() else 0
+
+    # -------------------------------------------------------- writing
+
+    def _bucket(self, table: str):
+        return F.pmod(F.xxhash64(_FILE_OF[table]), F.lit(self.n_buckets)).cast("int")
+
+    def _commit(self, buckets: dict[int, str], metadata: dict[str, str] | None = None) -> None:
+        state = self._state()
+        seq = len(self._commits()) + 1
+        kept = {int(b): f for b, f in state.get("buckets", {}).items()} | buckets
+        new = {
+            "n_buckets": self.n_buckets,
+            "buckets": {str(b): f for b, f in sorted(kept.items())},
+            "metadata": state.get("metadata", {}) | (metadata or {}),
+        }
+        if not storage.write_text(self.spark, f"{self.root}/commits/{seq:08d}.json", json.dumps(new)):
+            raise RuntimeError("another writer committed at the same time; nothing was changed")
+
+    def set_metadata(self, key: str, value: str) -> None:
+        self._commit({}, {key: value})
+
+    def clear(self) -> None:
+        storage.delete(self.spark, self.root)
+
+    def replace(self, files: DataFrame, definitions: DataFrame, refs: DataFrame, remove: DataFrame | None = None) -> None:
+        """Put the rows of `files` (path, mtime) in place of what is stored of these paths, and take out the paths
+        of `remove`. All of it becomes visible at once, or nothing does."""
+        new = {"files": files, "definitions": definitions, "refs": refs}
+        touched_paths = files.select("path")
+        if remove is not None:
+            touched_paths = touched_paths.union(remove.select("path"))
+        # The numbers of the touched buckets: at most n_buckets small rows.
+        touched = {r[0] for r in touched_paths.select(self._bucket("files")).distinct().collect()}
+        if not touched:
+            return
+        write = uuid.uuid4().hex
+        for table, rows in new.items():
+            key = _FILE_OF[table]
+            columns = [c.split()[0] for c in SCHEMAS[table].split(", ")]
+            gone = touched_paths.withColumnRenamed("path", key)
+            kept = self._read(table, touched).join(gone, key, "left_anti").select(*columns)
+            whole = kept.unionByName(rows.select(*columns)).withColumn("bucket", self._bucket(table))
+            (
+                whole.repartition(len(touched), "bucket")
+                .sortWithinPartitions("bucket", *_SORTED_BY[table])
+                .write.partitionBy("bucket")
+                .parquet(f"{self.root}/data/{write}/{table}")
+            )
+        # A bucket's folder is written/<table>/bucket=<b>: make one folder per bucket so that a commit can name it.
+        named = {}
+        for b in touched:
+            folder = f"{write}-{b}"
+            for table in new:
+                self._move(f"{self.root}/data/{write}/{table}/bucket={b}", f"{self.root}/data/{folder}/{table}")
+            named[b] = folder
+        storage.delete(self.spark, f"{self.root}/data/{write}")
+        self._commit(named)
+
+    def _move(self, source: str, target: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        fs, path = storage._fs(self.spark, source)
+        to = jvm.org.apache.hadoop.fs.Path(target)
+        fs.mkdirs(to.getParent())
+        if fs.exists(path):
+            fs.rename(path, to)
+        else:
+            fs.mkdirs(to)
+
+    def remove(self, paths: DataFrame) -> None:
+        """Take the files (path) out of all tables."""
+        self.replace(
+            self.spark.createDataFrame([], SCHEMAS["files"]),
+            self.spark.createDataFrame([], SCHEMAS["definitions"]),
+            self.spark.createDataFrame([], SCHEMAS["refs"]),
+            paths,
+        )
+
+    # -------------------------------------------------------- whole runs
+
+    def _take_in(self, files: DataFrame, texts: DataFrame, with_refs: bool = True, remove: DataFrame | None = None) -> None:
+        """Parse the texts once, into a folder, and store files, definitions and references from there."""
+        folder = f"{self.root}/data/parse-{uuid.uuid4().hex}"
+        parse_facts(texts).write.parquet(folder)
+        parsed = self.spark.read.parquet(folder)
+        refs = parsed_references(parsed) if with_refs else self.spark.createDataFrame([], SCHEMAS["refs"])
+        readable = texts.where("source_text IS NOT NULL").select("path")
+        self.replace(files.join(readable, "path", "left_semi").select("path", "mtime"), parsed_definitions(parsed), refs, remove)
+        storage.delete(self.spark, folder)
+
+    def build(self, project_root: str, stdlib_root: str = "", force: bool = False) -> None:
+        """Index a tree from nothing. An index that is there is an error without `force`.
+
+        Of the shared library under `stdlib_root` only the definitions are stored.
+        """
+        if self._commits():
+            if not force and self.version() == INDEX_VERSION:
+                raise FileExistsError(f"there is an index under {self.root}; force=True builds it anew")
+            self.clear()
+        self.refresh(project_root, stdlib_root, prune=False)
+        self._commit({}, {"index_version": str(INDEX_VERSION), "stdlib_root": stdlib_root})
+
+    def refresh(self, project_root: str, stdlib_root: str = "", prune: bool = True) -> dict[str, int]:
+        """Take in what changed since the last run, and with `prune` take out what is gone; the numbers of both.
+
+        A file is changed if its modification time is not the stored one, later or not.
+        """
+        done = {"changed": 0, "removed": 0}
+        if self._commits() and self.version() not in (0, INDEX_VERSION):
+            self.clear()
+        seen_all = None
+        for root, with_refs in ((stdlib_root, False), (project_root, True)):
+            if not root:
+                continue
+            seen = walk_files(self.spark, root).persist()
+            seen_all = seen if seen_all is None else seen_all.unionByName(seen)
+            changed = changed_files(self.files(), seen).persist()
+            n = changed.count()
+            if n:
+                self._take_in(changed, read_texts(self.spark, changed), with_refs)
+            done["changed"] += n
+            changed.unpersist()
+        if prune and seen_all is not None:
+            gone = self.files().join(seen_all.select("path"), "path", "left_anti").persist()
+            done["removed"] = gone.count()
+            if done["removed"]:
+                self.remove(gone)
+            gone.unpersist()
+        return done
+
+    def apply_changes(self, changes: DataFrame) -> None:
+        """Create, change and delete events (op, path): the last state on disk counts, deleted files are taken out."""
+        paths = changes.where("path IS NOT NULL").groupBy("path").agg(F.max(F.struct("seq", "op")).alias("x")).select("path", "x.op")
+        paths = paths.where(F.col("path").rlike(r"\.exs?$")).persist()
+        deleted = paths.where("op = 'delete'").select("path")
+        changed = _stat(paths.where("op <> 'delete'").select("path")).persist()
+        vanished = changed.where("mtime IS NULL").select("path")
+        there = changed.where("mtime IS NOT NULL")
+        self._take_in(there, read_texts(self.spark, there), True, deleted.union(vanished))
+        paths.unpersist()
+        changed.unpersist()
+
+
+def _stat(paths: DataFrame) -> DataFrame:
+    """path, mtime, size as they are now; NULL for what is not there."""
+    import os
+
+    import pandas as pd
+
+    def stat(batches):
+        for b in batches:
+            rows = []
+            for p in b["path"]:
+                try:
+                    s = os.stat(p)
+                    rows.append((p, s.st_mtime_ns, s.st_size))
+                except OSError:
+                    rows.append((p, None, None))
+            yield pd.DataFrame(rows, columns=["path", "mtime", "size"]).astype({"mtime": "Int64", "size": "Int64"})
+
+    return paths.mapInPandas(stat, "path string, mtime bigint, size bigint")

@@ -27,6 +27,8 @@ def compare(spark, name, query, sql, sf_dir, con) -> str:
     """'' if rows and columns agree, else what differs."""
     df = query(spark, sf_dir)
     ours = canon([tuple(r) for r in df.collect()], df.columns)
+    if not ours:
+        print(f"  {name} has no rows")
     if sql is None:
         return f"rows only: {len(ours)}"
     cur = con.execute(sql)
