@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from codequarry.lang.lexer import tokenize
 from codequarry.lang.parser import facts
+from codequarry.session import width
 
 _FACTS = (
     "fact string, module string, function string, arity int, kind string, line int, file_path string, "
@@ -75,9 +76,14 @@ def token_counts(sources: DataFrame) -> DataFrame:
 
 
 def latest_texts(sources: DataFrame) -> DataFrame:
-    """path, source_text as last read, NULL texts left out."""
+    """path, source_text as last read, NULL texts left out.
+
+    The texts are dealt to a fixed number of tasks: what follows is parsing, and adaptive execution would merge texts
+    by their bytes, not by the time that they take.
+    """
     return (
         sources.where("path IS NOT NULL AND source_text IS NOT NULL")
+        .repartition(width(sources.sparkSession), "path")
         .groupBy("path")
         .agg(F.max(F.struct("read_at", "source_text")).alias("s"))
         .select("path", F.col("s.source_text").alias("source_text"))
