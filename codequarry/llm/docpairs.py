@@ -13,9 +13,9 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from codequarry.lang.lexer import DEF_WORDS, MODULE_WORDS, Token, literal_text, tokenize
+from codequarry.sources.facts import latest_texts
 
 #: Kinds whose functions are paired.
 PAIRED_KINDS = ("def", "defp", "defmacro", "defguard", "defdelegate")
@@ -334,10 +334,4 @@ def documented_functions(sources: DataFrame, kinds: tuple[str, ...] = PAIRED_KIN
                         rows.append({"path": path, **p})
             yield pd.DataFrame(rows, columns=["path", "line", "kind", "module", "function", "arity", "params", "doc", "doc_origin", "code"])
 
-    latest = (
-        sources.where("path IS NOT NULL AND source_text IS NOT NULL")
-        .groupBy("path")
-        .agg(F.max(F.struct("read_at", "source_text")).alias("s"))
-        .select("path", F.col("s.source_text").alias("source_text"))
-    )
-    return latest.mapInPandas(extract, PAIR_SCHEMA)
+    return latest_texts(sources).mapInPandas(extract, PAIR_SCHEMA)
