@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from typing import NamedTuple
 
 from codequarry.functions.names import KEYWORDS
-from codequarry.lang.lexer import line_col_to_offset, line_starts, token_at
+from codequarry.lang.lexer import line_col_to_offset, token_at
 from codequarry.lang.parser import Tokens
 
 _OPENING, _CLOSING = frozenset(("(", "[", "{", "<<")), frozenset((")", "]", "}", ">>"))
@@ -26,18 +27,18 @@ class Expression(NamedTuple):
         return ".".join(x for x in (self.module, self.function) if x)
 
 
-def _is_word(t: Tokens, i: int) -> bool:
-    k = t.kind(i)
-    return k in _PART or (k.isidentifier() and k not in ("eol", "string", "heredoc", "sigil", "char", "number", "attr", "comment", "other", "key"))
+def _read(text: str | Tokens) -> Tokens:
+    """The tokens of a text; who asks about many places of one reads it once."""
+    return text if isinstance(text, Tokens) else Tokens(text)
 
 
-def expression_at(text: str, line: int, col: int, whole: bool = False) -> Expression:
+def expression_at(text: str | Tokens, line: int, col: int, whole: bool = False) -> Expression:
     """The expression at a 0-based line and column, outside of literals and comments.
 
     It ends with the segment that the cursor is on, unless the `whole` chain is asked for.
     """
-    t = Tokens(text)
-    starts = line_starts(text)
+    t = _read(text)
+    starts = t.starts
     at = line_col_to_offset(starts, line + 1, col)
     if at < 0:
         return Expression()
@@ -106,34 +107,23 @@ def after_pipe(line: str, start: int) -> bool:
     return line[:start].rstrip().endswith("|>")
 
 
-def alias_group_parent(text: str, line: int, col: int) -> str:
+def alias_group_parent(text: str | Tokens, line: int, col: int) -> str:
     """The parent `P` if the place is within the braces of `alias P.{...}`, else ''."""
-    t = Tokens(text)
-    at = line_col_to_offset(line_starts(text), line + 1, col)
-    for i, tok in enumerate(t.all):
-        if tok.kind != "alias" or tok.start > at:
-            continue
-        name, after = t.module_name(t.after_blank(i + 1))
-        if name and t.kind(after) == "." and t.kind(after + 1) == "{":
-            close = after + 2
-            while close < t.n and t.all[close].kind in ("module", ".", ",", "eol"):
-                close += 1
-            stop = t.all[close].start if close < t.n else len(text) + 1
-            if t.all[after + 1].end <= at <= stop:
-                return name
-    return ""
+    t = _read(text)
+    at = line_col_to_offset(t.starts, line + 1, col)
+    return next((name for name, first, last in t.alias_groups if first <= at <= last), "")
 
 
-def call_at(text: str, line: int, col: int) -> tuple[str, int]:
+def call_at(text: str | Tokens, line: int, col: int) -> tuple[str, int]:
     """The call around a place and which of its arguments the place is in, from 0; ('', 0) outside of calls.
 
     With parentheses or, within one line, without.
     """
-    t = Tokens(text)
-    at = line_col_to_offset(line_starts(text), line + 1, col)
+    t = _read(text)
+    at = line_col_to_offset(t.starts, line + 1, col)
     if at < 0:
         return "", 0
-    i = next((n for n, tok in enumerate(t.all) if tok.start >= at), t.n) - 1
+    i = bisect_left(t.all, at, key=lambda tok: tok.start) - 1
     if i >= 0 and t.all[i].kind in ("string", "heredoc", "sigil") and t.all[i].end > at:
         i -= 1
     depth = commas = 0

@@ -8,9 +8,10 @@ pass, which then sees every module mention, pipe and block on the way; only the
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from codequarry.functions.names import KEYWORDS
-from codequarry.lang.lexer import DEF_WORDS, MODULE_WORDS, Token, tokenize
+from codequarry.lang.lexer import DEF_WORDS, MODULE_WORDS, Token, line_starts, tokenize
 
 _NEVER_CALLS = frozenset(KEYWORDS)
 _OPENING, _CLOSING = frozenset(("(", "[", "{")), frozenset((")", "]", "}"))
@@ -77,6 +78,27 @@ class Tokens:
         self.all = tokenize(text) if tokens is None else tokens
         self.n = len(self.all)
 
+    @cached_property
+    def starts(self) -> list[int]:
+        """Offset of each line."""
+        return line_starts(self.text)
+
+    @cached_property
+    def alias_groups(self) -> list[tuple[str, int, int]]:
+        """Parent, first and last offset of the inside of each `alias Parent.{...}`."""
+        found = []
+        for i, tok in enumerate(self.all):
+            if tok.kind != "alias":
+                continue
+            name, after = self.module_name(self.after_blank(i + 1))
+            if name and self.kind(after) == "." and self.kind(after + 1) == "{":
+                close = after + 2
+                while close < self.n and self.all[close].kind in ("module", ".", ",", "eol"):
+                    close += 1
+                stop = self.all[close].start if close < self.n else len(self.text) + 1
+                found.append((name, self.all[after + 1].end, stop))
+        return found
+
     def word(self, i: int) -> str:
         t = self.all[i]
         return self.text[t.start : t.end]

@@ -22,6 +22,7 @@ from codequarry.operators.composite import lookup_rows
 from codequarry.operators.graph import follow_delegates
 from codequarry.operators.links import behaviours_for_file, function_module_in_file, implementations
 from codequarry.operators.lookup import callback_rows, delegates_to, function_rows, is_type, module_rows, references
+from codequarry.session import workspace
 from codequarry.sources import text_tables as X
 
 _AT = (
@@ -49,8 +50,9 @@ class Workspace:
         if self._chains is None:
             uses = X.uses(self.sources).select(F.col("file_path").alias("seed"), F.col("used").alias("module"), "ordinal", "options")
             edges = X.using_edges(self.sources)
-            self._seen = injection.visits(self.spark, edges, uses)
-            self._chains = injection.providers(edges, self._seen)
+            edges = stored(self.spark, edges)
+            self._seen = stored(self.spark, injection.visits(self.spark, edges, uses))
+            self._chains = stored(self.spark, injection.providers(edges, self._seen))
         return self._chains
 
     def seen(self) -> DataFrame:
@@ -79,13 +81,13 @@ def expressions(sources: DataFrame, places: DataFrame) -> DataFrame:
                     line, col = p["line"], p["col"]
                     if not 0 <= line < len(rows_of_text):
                         continue
-                    e = C.expression_at(text, line, col)
+                    e = C.expression_at(o.t, line, col)
                     own = o.module_at(line + 1)
                     aliases = o.alias_map(line + 1)
-                    group = C.alias_group_parent(text, line, col)
+                    group = C.alias_group_parent(o.t, line, col)
                     name = f"{group}.{e.module}" if group and e.module else e.module
                     full = resolve_alias(name, {} if group else aliases, own) if name else ""
-                    call, argument = C.call_at(text, line, col)
+                    call, argument = C.call_at(o.t, line, col)
                     cm, cf = C.module_and_function(call)
                     attribute = C.attribute_at(rows_of_text[line], col)
                     rows.append(
@@ -97,9 +99,16 @@ def expressions(sources: DataFrame, places: DataFrame) -> DataFrame:
     return texts.join(asked, "file_path").mapInPandas(resolve, _AT)
 
 
+def stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The rows from a table in the shared folder: what is read several times is worked out once."""
+    folder = workspace(spark, "places")
+    rows.write.parquet(folder)
+    return spark.read.schema(rows.schema).parquet(folder)
+
+
 def resolved(w: Workspace, places: DataFrame) -> DataFrame:
     """`expressions` with the module that bare functions and relative module names mean."""
-    at = expressions(w.sources, places)
+    at = stored(w.spark, expressions(w.sources, places))
     named = at.where("module <> ''")
     relative = resolve_nested(
         named.where("NOT aliased").select("enclosing", F.col("module").alias("name")), w.d
@@ -130,7 +139,7 @@ def _answers(rows: DataFrame) -> DataFrame:
 def definition(w: Workspace, places: DataFrame, follow: bool = True) -> DataFrame:
     """Where what stands at each place is defined: an attribute's value, a function (delegates followed; its module
     where it is not found), or a module. Types only where no function has the name."""
-    at = resolved(w, places).persist()
+    at = stored(w.spark, resolved(w, places))
     attributes = at.where("attribute_line > 0").withColumn("target_path", F.col("file_path")).withColumn("target_line", F.col("attribute_line"))
     rest = at.where("attribute_line = 0 AND module <> ''")
     hits = lookup_rows(w.d, rest.where("function <> ''").select("module", "function"), follow)
@@ -177,7 +186,7 @@ def declaration(w: Workspace, places: DataFrame) -> DataFrame:
 
 def implementation(w: Workspace, places: DataFrame) -> DataFrame:
     """Functions that implement the callback at each place; for a behaviour's name the modules that declare it."""
-    at = resolved(w, places).persist()
+    at = stored(w.spark, resolved(w, places))
     functions = implementations(w.d, w.r).select(
         F.col("behaviour").alias("module"), "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line")
     )
@@ -194,7 +203,7 @@ def implementation(w: Workspace, places: DataFrame) -> DataFrame:
 def references_at(w: Workspace, places: DataFrame, declarations: bool = False, stdlib_prefix: str = "") -> DataFrame:
     """References to what stands at each place: direct ones, those through modules that inject it, bare calls in its own
     file, and those through facades that delegate to it; each file and line once."""
-    at = resolved(w, places).where("module <> ''").select(*KEY, "module", "function").persist()
+    at = stored(w.spark, resolved(w, places).where("module <> ''").select(*KEY, "module", "function"))
     keys = at.select("module", "function").distinct()
     direct = references(w.r, keys).select("module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line"))
     named = keys.where("function <> ''")
@@ -236,7 +245,7 @@ def hover(w: Workspace, places: DataFrame) -> DataFrame:
 
 def signature_help(w: Workspace, places: DataFrame) -> DataFrame:
     """The signatures of the function called around each place, and which parameter the place is at."""
-    at = expressions(w.sources, places).where("callee_function <> ''")
+    at = stored(w.spark, expressions(w.sources, places).where("callee_function <> ''"))
     named = at.where("callee_module <> ''").select(*KEY, "argument", F.col("callee_module").alias("module"), F.col("callee_function").alias("function"))
     bare = at.where("callee_module = ''").select(*KEY, "argument", F.col("callee_function").alias("function"))
     asked = bare.select(F.col("file_path").alias("seed"), "function").distinct()
@@ -280,7 +289,7 @@ def completion(w: Workspace, places: DataFrame, limit: int = 100) -> DataFrame:
     else modules and aliases for upper case, and functions of the file, its imports and use chains for lower case."""
     from codequarry.operators.search import module_functions, top
 
-    typed = _prefixes(w.sources, places).persist()
+    typed = stored(w.spark, _prefixes(w.sources, places))
     functions = module_functions(w.d, True, 1_000_000).select("module", "function", "arity", "kind")
     dotted = typed.where("module <> ''")
     of_module = dotted.join(functions, "module").where(F.startswith("function", "prefix")).select(
@@ -328,7 +337,7 @@ def _prefixes(sources: DataFrame, places: DataFrame) -> DataFrame:
                     typed, dot, _ = C.completion_prefix(lines[p["line"]], p["col"])
                     head, _, last = (typed, "", "") if dot else typed.rpartition(".")
                     own = o.module_at(p["line"] + 1)
-                    group = C.alias_group_parent(text, p["line"], p["col"])
+                    group = C.alias_group_parent(o.t, p["line"], p["col"])
                     module = resolve_alias(head, o.alias_map(p["line"] + 1), own) if head else group
                     rows.append((path, p["line"], p["col"], module, last if head or not dot else ""))
             yield pd.DataFrame(rows, columns=[*KEY, "module", "prefix"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry import tables as T
 from codequarry.sources.facts import latest_texts, parse_facts, parsed_definitions, parsed_references, token_counts
+from codequarry.sources import text_tables as X
 from codequarry.sources.files import lines
 
 
@@ -51,7 +52,65 @@ def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined(T.refs(spark, sf_dir), lines(sources(spark, sf_dir)))
 
 
+def enclosing_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each referenced place the module whose block holds it, '' outside of all: right after a nested `end`, too."""
+    places = T.refs(spark, sf_dir).select("file_path", "line").distinct()
+    texts = sources(spark, sf_dir)
+    scopes = X.scopes(texts).select("file_path", "module", "first_line", "last_line")
+    inside = places.join(scopes, "file_path").where(F.col("line").between(F.col("first_line"), F.col("last_line")))
+    best = inside.groupBy("file_path", "line").agg(F.max_by("module", F.struct("first_line", -F.col("last_line"))).alias("module"))
+    known = places.join(texts.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    return known.join(best, ["file_path", "line"], "left_outer").select("file_path", "line", F.coalesce("module", F.lit("")).alias("module"))
+
+
+def workspace_of(spark: SparkSession, sf_dir: str):
+    from codequarry.operators.handlers import Workspace
+    from codequarry.plans.core_queries import facts
+
+    return Workspace(spark, *facts(spark, sf_dir), sources(spark, sf_dir))
+
+
+def call_places(spark: SparkSession, sf_dir: str, inside: bool = False) -> DataFrame:
+    """Where the functions of qualified calls stand, from 0: one place for each call reference whose line names it; with
+    `inside`, where their arguments start."""
+    calls = T.refs(spark, sf_dir).where("kind = 'call' AND function <> ''").select("file_path", "line", "function").distinct()
+    found = calls.join(lines(sources(spark, sf_dir)), ["file_path", "line"])
+    at = F.expr("instr(text, concat('.', function, '('))")
+    col = at + F.length("function") + 1 if inside else at
+    return found.where(at > 0).select("file_path", (F.col("line") - 1).alias("line"), col.cast("int").alias("col")).distinct()
+
+
+def _handler(name: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from codequarry.operators import handlers
+
+        return getattr(handlers, name)(workspace_of(spark, sf_dir), call_places(spark, sf_dir, name == "signature_help"))
+
+    return run
+
+
+def _texts(table):
+    return lambda spark, sf_dir: table(sources(spark, sf_dir))
+
+
 QUERIES = {
+    "text_scopes": lambda spark, sf_dir: X.scopes(sources(spark, sf_dir)).select("file_path", "module", "kind", "first_line"),
+    "text_aliases": lambda spark, sf_dir: X.aliases(sources(spark, sf_dir)).select("file_path", "short", "full", "line").distinct(),
+    "text_imports": lambda spark, sf_dir: X.imports(sources(spark, sf_dir)).select("file_path", "imported", "line").distinct(),
+    "text_uses": lambda spark, sf_dir: X.uses(sources(spark, sf_dir)).select("file_path", "used", "line").distinct(),
+    "text_functions": lambda spark, sf_dir: X.functions(sources(spark, sf_dir)).select("file_path", "module", "function", "kind", "line").distinct(),
+    "text_function_bodies": _texts(X.functions),
+    "text_docs": _texts(X.docs),
+    "text_symbols": _texts(X.symbols),
+    "text_folds": _texts(X.folds),
+    "text_bare_calls": _texts(X.bare_calls),
+    "text_buffer_functions": _texts(X.buffer_functions),
+    "text_impl_annotations": _texts(X.impl_annotations),
+    "text_using_edges": _texts(X.using_edges),
+    "enclosing_by_block": enclosing_by_block,
+    "definition_at": _handler("definition"),
+    "hover_at": _handler("hover"),
+    "signature_at": _handler("signature_help"),
     "parse_definitions": parse_definitions,
     "parse_references": parse_references,
     "parse_roundtrip": parse_roundtrip,
@@ -81,6 +140,14 @@ WHERE regexp_matches(ltrim(ls[line]), '^' || {_WORD} || '( |\()')""",
         "parse_refs_roundtrip": f"""{_TEXTS}
 SELECT DISTINCT {sql_module('module')} AS module, {sql_strip('function')} AS function, line, file_path, kind FROM refs JOIN L ON L.path = file_path
 WHERE kind IN ('call', 'alias', 'import', 'use', 'require', 'behaviour')""",
+        "text_aliases": f"""{_TEXTS} SELECT DISTINCT file_path, regexp_extract({sql_module('module')}, '[^.]*$') AS short, {sql_module('module')} AS full, line
+FROM refs JOIN L ON L.path = file_path WHERE kind = 'alias'""",
+        "text_imports": f"{_TEXTS} SELECT DISTINCT file_path, {sql_module('module')} AS imported, line FROM refs JOIN L ON L.path = file_path WHERE kind = 'import'",
+        "text_uses": f"{_TEXTS} SELECT DISTINCT file_path, {sql_module('module')} AS used, line FROM refs JOIN L ON L.path = file_path WHERE kind = 'use'",
+        # What a line-by-line reading finds outside of literals: the source tables quote such heads only within heredocs.
+        "text_scopes": rf"""{_TEXTS}, D AS (SELECT DISTINCT {_D} FROM definitions)
+SELECT DISTINCT file_path, module, kind, line AS first_line FROM D JOIN L ON L.path = file_path
+WHERE kind IN ('module', 'defprotocol', 'defimpl') AND regexp_matches(ltrim(ls[line]), '^' || {_WORD} || ' ')""",
         "line_counts": f"""{_TEXTS}, X AS (SELECT path AS file_path, unnest(ls) AS l FROM L)
 SELECT file_path, COUNT(*) AS n_lines, COUNT(*) FILTER (WHERE trim(l) = '') AS n_blank FROM X GROUP BY file_path""",
         "import_lines": f"""WITH S AS (SELECT path, arg_max(source_text, (read_at, source_text)) AS t FROM sources WHERE source_text IS NOT NULL GROUP BY path)
