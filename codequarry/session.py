@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
 _own_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -59,3 +62,23 @@ def workspace(spark: SparkSession, label: str) -> str:
 def width(spark: SparkSession) -> int:
     """Tasks of a wide stage: the session's number of shuffle partitions, which grows with the input."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once for an application: they need not have it installed, and workers find
+    it whatever folder the driver was started in."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="codequarry-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "codequarry_package.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for where, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(where, name)
+                    z.write(full, os.path.join("codequarry", os.path.relpath(full, root)))
+    spark.sparkContext.addPyFile(path)  # Spark serves it from the driver to every executor
+    _shipped.add(app)
