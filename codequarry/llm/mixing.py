@@ -209,16 +209,15 @@ def mix(
 def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
     """For each source of the target table the tokens in the mixture and the share reached, beside the target."""
     used = mixture.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.max("repeat").alias("last_repeat"))
-    total = used.agg(F.sum("n_tokens").alias("all_tokens"))
-    # Both sides have one row for each source.
+    # One row for each source: a single partition of them is as small as the target table.
+    used = used.withColumn("all_tokens", F.sum("n_tokens").over(Window.partitionBy(F.lit(0))))
     return (
         targets.withColumn("source", source_name(F.col("source")))
         .join(F.broadcast(used), "source", "left_outer")
-        .join(F.broadcast(total))
         .select(
             "source",
             "target_share",
-            (F.coalesce("n_tokens", F.lit(0)) / F.col("all_tokens")).alias("actual_share"),
+            F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
             F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
             F.coalesce(F.col("last_repeat") + 1, F.lit(0)).alias("n_repeats"),
             "max_repeats",

@@ -166,7 +166,7 @@ def normalized(w: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- sentences
 
 BEARS = 0.6  # a sentence bears a subject if one of its terms stands for it with this weight
-SHARE = 0.25  # of a document's sentences that bear a subject, the share from which it is about one
+SHARE = 0.17  # of a document's sentences that bear a subject, the share from which it is about one
 LEAST = 0.5  # and their least number, each counted by how likely it is no remark
 
 
@@ -321,21 +321,25 @@ def subject_areas(
         v = Sparse.of(codes)
         lang = part["lang"].to_numpy()[v.rows]
         known, mask = _label_mask(part, n_sub)
-        cols = np.zeros((len(v.rows), 7 + n_sub), np.float32)
+        cols = np.zeros((len(v.rows), 9 + n_sub), np.float32)
         cols[:, 0] = 1
+        cols[:, 7] = known[v.rows]
+        cols[:, 8] = (known & (mask.sum(1) == 0))[v.rows]
         for g in range(3):
             cols[:, 1 + g] = lang == g
             cols[:, 4 + g] = (lang == g) * v.values
-        cols[:, 7:] = mask[v.rows] * v.values[:, None]
+        cols[:, 9:] = mask[v.rows] * v.values[:, None]
         if len(v.rows):
             add_by_column(into, v.columns, cols)
 
-    first = _reduced(spark, table, 7 + n_sub, start)
+    first = _reduced(spark, table, 9 + n_sub, start)
     by_lang = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}  # one row for each of four codes
     n_docs = max(1, sum(by_lang.values()))
     frequency = first[:, 0]
     weight = np.where(frequency >= 3, np.log(n_docs / np.maximum(frequency, 1)) / 3, 0).clip(0).astype(np.float32)
-    seeds = first[:, 7:] * weight[:, None]
+    seeds = first[:, 9:] * weight[:, None]
+    # Words that people mostly found in texts of no subject: alone in a short text they would stand for whatever it is.
+    idle = (first[:, 7] >= 3) & (first[:, 8] >= 0.5 * first[:, 7])
     for k, (name, note) in enumerate(subjects):
         np.add.at(seeds[:, k], features(f"{name} {note or ''}")[0], 1.0)
     rng = np.random.default_rng(7)
@@ -381,7 +385,9 @@ def subject_areas(
     def smoothed(sums):
         total = sums[:, :n_sub].sum(0)
         prior = total / max(1e-9, total.sum())
-        return sharpened((sums[:, :n_sub] + 0.5 * prior) / (sums[:, n_sub:] + 0.5), frequency)
+        found = sharpened((sums[:, :n_sub] + 0.5 * prior) / (sums[:, n_sub:] + 0.5), frequency)
+        found[idle] = 0
+        return found
 
     stands = smoothed(_reduced(spark, table, n_sub + 1, stand))
     labelled = table.where("labels IS NOT NULL")
