@@ -202,8 +202,12 @@ def function_module_in_file(d: DataFrame, probes: DataFrame) -> DataFrame:
 
 def index_totals(d: DataFrame, r: DataFrame) -> DataFrame:
     """Numbers of files, definitions and references."""
-    one = d.agg(F.countDistinct("file_path").alias("n_files"), F.count("*").alias("n_definitions"))
-    return one.join(F.broadcast(r.agg(F.count("*").alias("n_references"))))
+    rows = d.select("file_path", F.lit(1).alias("d")).unionByName(r.select(F.lit(None).cast("string").alias("file_path"), F.lit(0).alias("d")))
+    return rows.agg(
+        F.countDistinct("file_path").alias("n_files"),
+        F.coalesce(F.sum("d"), F.lit(0)).alias("n_definitions"),
+        F.coalesce(F.sum(1 - F.col("d")), F.lit(0)).alias("n_references"),
+    )
 
 
 def sites_by_file(sites: DataFrame) -> DataFrame:

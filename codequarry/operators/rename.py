@@ -24,7 +24,7 @@ _EDIT_NAMES = [x.split()[0] for x in EDITS.split(", ")]
 
 
 def per_place(sources: DataFrame, places: DataFrame, rows_of, schema: str) -> DataFrame:
-    """file_path and what `rows_of(text, line, col)` gives for each place; a text is read once for all of its places."""
+    """file_path and what `rows_of(variables, line, col)` gives for each place; a text is read once for all of its places."""
     asked = places.where("line IS NOT NULL AND col IS NOT NULL").select(*KEY).distinct().groupBy("file_path")
     asked = asked.agg(F.collect_list(F.struct("line", "col")).alias("places"))
     names = ["file_path", "line", "col", *[c.split()[0] for c in schema.split(", ")]]
@@ -33,8 +33,9 @@ def per_place(sources: DataFrame, places: DataFrame, rows_of, schema: str) -> Da
         for b in batches:
             rows = []
             for path, text, found in zip(b["file_path"], b["source_text"], b["places"], strict=True):
+                v = Variables(text)
                 for p in found:
-                    rows += [(path, p["line"], p["col"], *r) for r in rows_of(text, p["line"], p["col"])]
+                    rows += [(path, p["line"], p["col"], *r) for r in rows_of(v, p["line"], p["col"])]
             yield pd.DataFrame(rows, columns=names)
 
     texts = sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text")
@@ -43,23 +44,22 @@ def per_place(sources: DataFrame, places: DataFrame, rows_of, schema: str) -> Da
 
 def variable_occurrences(sources: DataFrame, places: DataFrame) -> DataFrame:
     """file_path, line, col of each place with every occurrence (at_line, at_col, at_end, from 0) of its variable."""
-    return per_place(sources, places, lambda text, line, col: Variables(text).occurrences(line, col), "at_line int, at_col int, at_end int")
+    return per_place(sources, places, lambda v, line, col: v.occurrences(line, col), "at_line int, at_col int, at_end int")
 
 
 def variables_in_scope(sources: DataFrame, places: DataFrame) -> DataFrame:
-    return per_place(sources, places, lambda text, line, col: [(n,) for n in Variables(text).names_at(line, col)], "name string")
+    return per_place(sources, places, lambda v, line, col: [(n,) for n in v.names_at(line, col)], "name string")
 
 
 def highlights(w: Workspace, places: DataFrame) -> DataFrame:
     """What to highlight with each place: the occurrences of its variable, else equal tokens of the same text."""
 
-    def rows(text: str, line: int, col: int):
-        v = Variables(text)
+    def rows(v: Variables, line: int, col: int):
         found = v.occurrences(line, col)
         if not found:
             i = v._token(line, col)
             if i >= 0 and v.t.kind(i) in ("ident", "module"):
-                found = token_occurrences(text, v.t.word(i))
+                found = token_occurrences(v.text, v.t.word(i))
         return found
 
     return per_place(w.sources, places, rows, "at_line int, at_col int, at_end int")
@@ -72,7 +72,7 @@ def rename_variables(sources: DataFrame, renames: DataFrame) -> DataFrame:
     taken = per_place(
         sources,
         renames,
-        lambda text, line, col: [(n,) for n in {v.t.word(i) for v in [Variables(text)] for i, k in enumerate(v.t.all) if k.kind == "ident"} if Variables(text).name_exists(line, col, n)],
+        lambda v, line, col: [(n,) for n in {v.t.word(i) for i, k in enumerate(v.t.all) if k.kind == "ident"} if v.name_exists(line, col, n)],
         "new_name string",
     )
     allowed = renames.where(N.is_function_name(F.col("new_name"))).join(taken, [*KEY, "new_name"], "left_anti")
