@@ -35,7 +35,11 @@ def clean_path(path: Column) -> Column:
 
 
 def definitions(spark: SparkSession, sf_dir: str, *, current: bool = True) -> DataFrame:
-    """Cleaned definitions, one row for each def_id; with `current`, without removed rows."""
+    """Cleaned definitions, each delivered row once; with `current`, without removed rows.
+
+    Deliveries of one row are equal in all columns once these are clean, so a hash aggregation over all of them takes out
+    the copies; filters on any column reach the scan through it.
+    """
     d = read(spark, sf_dir, "definitions")
     if current:
         d = d.where(F.col("removed_at").isNull())
@@ -52,7 +56,7 @@ def definitions(spark: SparkSession, sf_dir: str, *, current: bool = True) -> Da
             strip(F.col("delegate_as")).alias("delegate_as"),
             F.coalesce("params", F.lit("")).alias("params"),
         )
-        .dropDuplicates(["def_id"])
+        .distinct()
     )
 
 
@@ -72,7 +76,7 @@ def stdlib(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned references, one row for each ref_id."""
+    """Cleaned references, each delivered row once."""
     return (
         read(spark, sf_dir, "refs")
         .select(
@@ -83,5 +87,5 @@ def refs(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce("file_path", F.lit("")).alias("file_path"),
             F.coalesce("kind", F.lit("")).alias("kind"),
         )
-        .dropDuplicates(["ref_id"])
+        .distinct()
     )
