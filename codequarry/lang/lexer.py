@@ -29,9 +29,8 @@ MODULE_WORDS = ("defmodule", "defprotocol", "defimpl")
 _CLOSING = {"(": ")", "[": "]", "{": "}", "<": ">"}
 
 _MAIN = re.compile(
-    r"""
-    (?P<space>[ \t\r\f\v﻿]+)
-  | (?P<eol>\n)
+    r"""[ \t\r\f\v﻿]*+(?:
+    (?P<eol>\n)
   | (?P<comment>\#[^\n]*)
   | (?P<heredoc>\"\"\"|''')
   | (?P<string>["'])
@@ -45,7 +44,7 @@ _MAIN = re.compile(
   | (?P<word>[^\W\d]\w*[?!]?)
   | (?P<op>\|>|\\\\|->|<-|=>|<<<|>>>|<<|>>|<>|\.\.\.|\.\.|===|!==|==|!=|=~|<=|>=|&&&|\|\|\||&&|\|\||\+\+|--|[-+*/<>=!&|^~%.,;()\[\]{}@:\\])
   | (?P<other>.)
-    """,
+    )""",
     re.VERBOSE | re.DOTALL,
 )
 # The fast way over a literal's inside: anything that cannot end it or nest in it.
@@ -128,7 +127,7 @@ def _heredoc(text: str, at: int, quote: str, raw: bool = False) -> int:
 
 
 def _sigil(text: str, m: re.Match) -> int:
-    head = m.group()
+    head = m["sigil"]
     raw = head[1].isupper()
     if head.endswith(('"""', "'''")):
         at = _heredoc(text, m.end(), head[-3:], raw)
@@ -149,27 +148,27 @@ def tokenize(text: str, comments: bool = False) -> list[Token]:
     name, operators and brackets as themselves, other. A word after a dot is never a keyword.
     """
     out: list[Token] = []
-    add, match = out.append, _MAIN.match
+    add, match, new = out.append, _MAIN.match, tuple.__new__
     at, line, n = 0, 1, len(text)
     after_dot = False
     while at < n:
         m = match(text, at)
-        kind, end = m.lastgroup, m.end()
-        if kind == "space":
-            at = end
-            continue
+        if m is None:  # nothing but blanks
+            break
+        kind = m.lastgroup
+        at, end = m.span(kind)
         if kind == "eol":
-            add(Token("eol", at, end, line))
+            add(new(Token, ("eol", at, end, line)))
             line += 1
             at = end
             continue
         if kind == "comment":
             if comments:
-                add(Token("comment", at, end, line))
+                add(new(Token, ("comment", at, end, line)))
             at = end
             continue
         if kind == "word":
-            word = m.group()
+            word = m[kind]
             if end < n and text[end] == ":" and text[end + 1 : end + 2] != ":" and not after_dot:
                 kind, end = "key", end + 1
             elif word == "__MODULE__" or word[0].isupper():
@@ -183,27 +182,27 @@ def tokenize(text: str, comments: bool = False) -> list[Token]:
                 if word[-1] in "?!" and text[end : end + 1] == "=" and text[end + 1 : end + 2] not in ("=", "~"):
                     end -= 1 if word[-1] == "!" else 0
                 kind = "ident"
-            add(Token(kind, at, end, line))
+            add(new(Token, (kind, at, end, line)))
         elif kind == "op":
-            kind = m.group()
-            add(Token(kind, at, end, line))
+            kind = m[kind]
+            add(new(Token, (kind, at, end, line)))
         else:
             if kind == "heredoc":
                 rest = text.find("\n", end)
                 opens = rest >= 0 and not text[end:rest].strip()
-                end = _heredoc(text, end, m.group()) if opens else _quoted(text, at + 1, m.group()[0])
+                end = _heredoc(text, end, m[kind]) if opens else _quoted(text, at + 1, m[kind][0])
                 kind = "heredoc" if opens else "string"
             elif kind == "string":
-                end = _quoted(text, end, m.group())
+                end = _quoted(text, end, m[kind])
                 if text[end : end + 1] == ":" and text[end + 1 : end + 2] != ":":
                     kind, end = "key", end + 1
             elif kind == "qatom":
-                kind, end = "atom", _quoted(text, end, m.group()[1])
+                kind, end = "atom", _quoted(text, end, m[kind][1])
             elif kind == "sigil":
                 end = _sigil(text, m)
             elif kind == "colons":
                 kind = "::"
-            add(Token(kind, at, end, line))
+            add(new(Token, (kind, at, end, line)))
             line += text.count("\n", at, end)
         after_dot = kind == "."
         at = end
