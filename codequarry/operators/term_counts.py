@@ -9,6 +9,7 @@ one less record where both sides of the boundary belong to the same record.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -101,9 +102,10 @@ def term_counts(pairs: DataFrame, partitions: int) -> DataFrame:
 def mark_terms(counts: DataFrame, totals: DataFrame, rare_below: int = 3, common_above: float = 0.2) -> DataFrame:
     """`counts` with `mark`: `rare` in fewer than `rare_below` records, `common` in more than the share
     `common_above` of the field's records (`totals`: field, all_records; one row for each field), else ''."""
+    share = Fraction(common_above).limit_denominator(1_000_000)  # compared in whole numbers, so that ties are exact
     return counts.join(F.broadcast(totals), "field").withColumn(
         "mark",
         F.when(F.col("n_records") < rare_below, "rare")
-        .when(F.col("n_records") > common_above * F.col("all_records"), "common")
+        .when(F.col("n_records") * share.denominator > F.col("all_records") * share.numerator, "common")
         .otherwise(""),
     )

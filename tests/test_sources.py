@@ -142,3 +142,16 @@ def test_project_roots(spark):
     assert found == {"/r/apps/x/lib": "/r", "/r/z": "/r", "/else": "/else"}
     found = {r.path: r.root for r in S.project_roots(paths, markers, ["mix.exs"]).collect()}
     assert found == {"/r/apps/x/lib": "/r/apps/x", "/r/z": "/r", "/else": "/else"}
+
+
+def test_library_root(tmp_path):
+    from codequarry.sources.library import library_root
+
+    install = tmp_path / "1.18"
+    put(str(install), "lib/elixir/lib/kernel.ex", "")
+    empty = str(tmp_path / "empty")
+    os.makedirs(os.path.join(empty, "lib"))
+    lib = str(install / "lib")
+    assert library_root(" /given ", "/env", [str(install)], lib) == "/given" and library_root("", "/env", [str(install)]) == "/env"
+    assert library_root("", "", ["", empty, lambda: str(install)], empty) == lib
+    assert library_root("", "", [lambda: ""], lib) == lib and library_root("", "", [], empty) == "" and library_root() == ""
