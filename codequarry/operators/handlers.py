@@ -287,10 +287,10 @@ def alias_suggestions(w: Workspace, places: DataFrame, limit: int = 5) -> DataFr
 def completion(w: Workspace, places: DataFrame, limit: int = 100) -> DataFrame:
     """label, kind and detail of what can be typed at each place: functions and segments of a module after a dot,
     else modules and aliases for upper case, and functions of the file, its imports and use chains for lower case."""
-    from codequarry.operators.search import module_functions, top
+    from codequarry.operators.search import first_functions, top
 
     typed = stored(w.spark, _prefixes(w.sources, places))
-    functions = module_functions(w.d, True, 1_000_000).select("module", "function", "arity", "kind")
+    functions = first_functions(w.d).select("module", "function", "arity", "kind")
     dotted = typed.where("module <> ''")
     of_module = dotted.join(functions, "module").where(F.startswith("function", "prefix")).select(
         *KEY, F.concat_ws("/", "function", "arity").alias("label"), "kind", F.col("module").alias("detail")

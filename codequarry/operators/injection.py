@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators.graph import reachable
 from codequarry.operators.lookup import callback_rows, function_rows
-from codequarry.operators.search import module_functions
+from codequarry.operators.search import first_functions
 from codequarry.session import workspace
 
 _VISITS = "seed string, module string, options map<string,string>, path array<int>"
@@ -118,7 +118,7 @@ def callbacks_in_chain(d: DataFrame, seen: DataFrame) -> DataFrame:
 def completions_from_using(d: DataFrame, offered: DataFrame) -> DataFrame:
     """seed, function, arity, provider: inline functions and the public functions of imports, once by name and arity."""
     inline = offered.where("origin = 'inline'").select("seed", "function", "arity", "provider", "path")
-    public = module_functions(d, True, 1_000_000).select(F.col("module").alias("provider"), F.col("function"), F.col("arity"))
+    public = first_functions(d).select(F.col("module").alias("provider"), F.col("function"), F.col("arity"))
     imported = offered.where("origin <> 'inline'").drop("function", "arity").join(public, "provider").select("seed", "function", "arity", "provider", "path")
     best = inline.unionByName(imported).groupBy("seed", "function", "arity").agg(F.min(F.struct("path", "provider")).alias("x"))
     return best.select("seed", "function", "arity", "x.provider")

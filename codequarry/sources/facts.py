@@ -76,15 +76,16 @@ def token_counts(sources: DataFrame) -> DataFrame:
 
 
 def latest_texts(sources: DataFrame) -> DataFrame:
-    """path, source_text as last read, NULL texts left out.
+    """path, source_text as last read, NULL texts left out; of equally late readings the greatest text.
 
-    The texts are dealt to a fixed number of tasks: what follows is parsing, and adaptive execution would merge texts
-    by their bytes, not by the time that they take.
+    Readings of one file are reduced before the shuffle, however many there are. Then the texts are dealt to a fixed
+    number of tasks: what follows is parsing, and adaptive execution would merge partitions by their bytes, not by the
+    time that they take.
     """
     return (
         sources.where("path IS NOT NULL AND source_text IS NOT NULL")
-        .repartition(width(sources.sparkSession), "path")
         .groupBy("path")
         .agg(F.max(F.struct("read_at", "source_text")).alias("s"))
         .select("path", F.col("s.source_text").alias("source_text"))
+        .repartition(width(sources.sparkSession), F.xxhash64("path"))
     )

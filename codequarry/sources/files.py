@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Iterator
 
@@ -92,6 +93,31 @@ def read_texts(spark: SparkSession, files: DataFrame) -> DataFrame:
     return files.select("path", "mtime", "size").repartition(int(n), "path").mapInPandas(read, f"{FILES}, source_text string")
 
 
+def fingerprints(files: DataFrame, chunk: int = 1 << 20) -> DataFrame:
+    """path, observed_at, present, size, checksum of `files` (path): a listing for incremental batches, as of now.
+
+    The checksum is that of the whole content, read in pieces. What cannot be read is not present.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path in b["path"]:
+                digest, size = hashlib.blake2b(digest_size=16), 0
+                try:
+                    with open(path, "rb") as f:
+                        while piece := f.read(chunk):
+                            digest.update(piece)
+                            size += len(piece)
+                    rows.append((path, True, size, digest.hexdigest()))
+                except OSError:
+                    rows.append((path, False, None, None))
+            yield pd.DataFrame(rows, columns=["path", "present", "size", "checksum"]).astype({"size": "Int64"})
+
+    found = files.select("path").mapInPandas(run, "path string, present boolean, size bigint, checksum string")
+    return found.withColumn("observed_at", F.current_timestamp().cast("timestamp_ntz"))
+
+
 def with_buffers(disk: DataFrame, buffers: DataFrame) -> DataFrame:
     """path, source_text: open buffers (path, source_text) win over the disk; of several of one path any one counts."""
     b = buffers.select("path", F.col("source_text").alias("_buffer"), F.lit(True).alias("_open")).dropDuplicates(["path"])

@@ -155,3 +155,21 @@ def test_library_root(tmp_path):
     assert library_root(" /given ", "/env", [str(install)], lib) == "/given" and library_root("", "/env", [str(install)]) == "/env"
     assert library_root("", "", ["", empty, lambda: str(install)], empty) == lib
     assert library_root("", "", [lambda: ""], lib) == lib and library_root("", "", [], empty) == "" and library_root() == ""
+
+
+def test_incremental_batches_over_a_tree(spark, project, tmp_path):
+    from codequarry.operators.incremental import IncrementalBatches
+
+    batches = IncrementalBatches(spark, f"file://{tmp_path}/batches")
+
+    def run(name):
+        listing = S.fingerprints(S.walk_files(spark, project))
+        return names(batches.run(name, listing, full=True))
+
+    assert run("1") == [".formatter.exs", "a.ex", "b.ex", "c.ex"]
+    os.utime(os.path.join(project, "lib/a.ex"), ns=(2**61, 2**61))  # touched, not changed
+    os.remove(os.path.join(project, "lib/b.ex"))
+    put(project, "lib/deep/c.ex", "defmodule C do\nend\n")
+    os.utime(os.path.join(project, "lib/deep/c.ex"), ns=(1, 1))  # changed, with an older time
+    assert run("2") == ["c.ex"]
+    assert {os.path.basename(r.path) for r in batches.manifest().where("NOT present").collect()} == {"b.ex"}
