@@ -53,6 +53,8 @@ class Variables:
                     stack.pop()
                 if stack:
                     self.match[stack.pop()] = i
+        self.opener = {close: open_ for open_, close in self.match.items()}
+        self._assigned: dict[tuple[int, str], list[int]] = {}
         self.root = Region("file", 0, self.t.n)
         self.root.inside = self._regions(0, self.t.n)
 
@@ -122,7 +124,7 @@ class Variables:
             first = a
             floor = arrows[n - 1] + 1 if n else lo
             while first > floor and not (self.t.kind(first - 1) == "eol" and self.t.kind(first - 2) not in (",", "when", "|", "=")):
-                back = next((o for o, c in self.match.items() if c == first - 1), None)
+                back = self.opener.get(first - 1)
                 first = back if back is not None and back >= floor else first - 1
             heads.append(first)
         for n, a in enumerate(arrows):
@@ -183,6 +185,9 @@ class Variables:
 
     def _assignments(self, r: Region, name: str) -> list[int]:
         """Places in a region itself where the name is on the left of `=`."""
+        known = self._assigned.get((id(r), name))
+        if known is not None:
+            return known
         found, i = [], r.lo
         inner = {j for s in r.inside for j in range(s.lo, s.hi)}
         while i < r.hi:
@@ -201,6 +206,7 @@ class Variables:
                         break
                     j += 1
             i += 1
+        self._assigned[id(r), name] = found
         return found
 
     def _around(self, i: int) -> list[Region]:
