@@ -13,6 +13,7 @@ from pyspark.sql import SparkSession
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_workspaces: dict[str, list[str]] = {}
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
@@ -55,8 +56,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def workspace(spark: SparkSession, label: str) -> str:
-    """A fresh sub-folder of the shared folder."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    """A fresh sub-folder of the shared folder. Results may read from it lazily; `clear_workspaces` takes all away."""
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _workspaces.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    return folder
+
+
+def clear_workspaces(spark: SparkSession) -> int:
+    """Delete what this application's operators left in the shared folder, once their results are written elsewhere."""
+    from codequarry import storage
+
+    folders = _workspaces.pop(spark.sparkContext.applicationId, [])
+    for folder in folders:
+        storage.delete(spark, folder)
+    return len(folders)
 
 
 def width(spark: SparkSession) -> int:

@@ -199,11 +199,12 @@ class Index:
         done = {"changed": 0, "removed": 0}
         if self._commits() and self.version() not in (0, INDEX_VERSION):
             self.clear()
-        seen_all = None
+        seen_all, walks = None, []
         for root, with_refs in ((stdlib_root, False), (project_root, True)):
             if not root:
                 continue
             seen = walk_files(self.spark, root).persist()
+            walks.append(seen)
             seen_all = seen if seen_all is None else seen_all.unionByName(seen)
             changed = changed_files(self.files(), seen).persist()
             n = changed.count()
@@ -217,6 +218,8 @@ class Index:
             if done["removed"]:
                 self.remove(gone)
             gone.unpersist()
+        for seen in walks:
+            seen.unpersist()
         return done
 
     def apply_changes(self, changes: DataFrame) -> None:

@@ -150,3 +150,13 @@ def test_name_functions(spark):
         N.dir_name(F.lit("x")).alias("f"), N.completion_label(F.lit("zzz")).alias("g"), N.is_source_file(F.lit("a.exs")).alias("h"),
     ).first()
     assert tuple(one) == ("lib/new_name.exs", "f(a, b, arg3)", "f()", "1,234,567", True, ".", "text", True)
+
+
+def test_workspaces_are_taken_away(spark):
+    from codequarry import storage
+    from codequarry.session import clear_workspaces, workspace
+
+    folder = workspace(spark, "here")
+    spark.range(3).write.parquet(folder)
+    assert storage.exists(spark, folder) and clear_workspaces(spark) >= 1
+    assert not storage.exists(spark, folder) and clear_workspaces(spark) == 0
