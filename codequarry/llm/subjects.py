@@ -30,8 +30,8 @@ from codequarry.session import width, workspace
 
 HASH_BITS = 17
 BACKGROUND = 6
-ROUNDS = 5
-INNER = 12
+ROUNDS = 3
+INNER = 5
 #: Labelled documents that at most take part in seeding, remark words and thresholds: the first by a hash of doc_id.
 MAX_LABELLED = 20_000
 BLOCK = 4096
@@ -296,7 +296,7 @@ def _block_sums(partials: DataFrame) -> DataFrame:
 
 
 def subject_areas(
-    spark: SparkSession, documents: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], rounds: int = ROUNDS
+    spark: SparkSession, documents: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], rounds: int = ROUNDS, inner: int = INNER
 ) -> DataFrame:
     """doc_id, subject, share: the subject areas of every document, by the method of this module.
 
@@ -363,7 +363,7 @@ def subject_areas(
 
         def update(into, part, codes, units, b_w=b_w):
             v = Sparse.of(codes, b_weight.value)
-            add_terms(v, fit_mixtures(v, b_w.value, allowed(part)), b_w.value, into)
+            add_terms(v, fit_mixtures(v, b_w.value, allowed(part), inner), b_w.value, into)
 
         sums = _reduced(spark, table, k_all, update)
         sums[:, :n_sub] += 2 * seeds
@@ -373,7 +373,7 @@ def subject_areas(
 
     # What each term stands for: the mean subject mixture of its documents.
     def stand(into, part, codes, units):
-        h = fit_mixtures(Sparse.of(codes, b_weight.value), b_w.value, allowed(part))[:, :n_sub]
+        h = fit_mixtures(Sparse.of(codes, b_weight.value), b_w.value, allowed(part), inner)[:, :n_sub]
         mass = h.sum(1)
         v = Sparse.of(codes)
         keep = mass[v.rows] > 0
