@@ -105,16 +105,11 @@ class Sparse:
     @classmethod
     def of(cls, codes: list[np.ndarray], term_weight: np.ndarray | None = None) -> Sparse:
         """Log-damped counts times the weight of the term; terms of weight 0 are left out."""
-        rows, columns, values = [], [], []
-        for i, c in enumerate(codes):
-            if len(c):
-                distinct, n = np.unique(c, return_counts=True)
-                rows.append(np.full(len(distinct), i, np.int32))
-                columns.append(distinct)
-                values.append(np.log1p(n))
-        if not rows:
+        docs = np.repeat(np.arange(len(codes), dtype=np.int64), [len(c) for c in codes])
+        if not len(docs):
             return cls(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), len(codes))
-        r, c, x = np.concatenate(rows), np.concatenate(columns), np.concatenate(values).astype(np.float32)
+        keys, n = np.unique((docs << HASH_BITS) | np.concatenate(codes), return_counts=True)
+        r, c, x = (keys >> HASH_BITS).astype(np.int32), (keys & (SIZE - 1)).astype(np.int32), np.log1p(n).astype(np.float32)
         if term_weight is not None:
             x = x * term_weight[c]
             keep = x > 0
@@ -185,16 +180,21 @@ def sentences(codes: np.ndarray, units: np.ndarray, stands: np.ndarray) -> tuple
     return np.maximum.reduceat(stands[codes], first, axis=0), first
 
 
-def subject_counts(codes: np.ndarray, units: np.ndarray, stands: np.ndarray, remark: np.ndarray) -> np.ndarray:
-    """Sentences by the subject they bear, each counted by how likely it is no remark."""
-    if not len(codes):
-        return np.zeros(stands.shape[1])
-    score, first = sentences(codes, units, stands)
+def subject_counts(codes: list[np.ndarray], units: list[np.ndarray], stands: np.ndarray, remark: np.ndarray) -> np.ndarray:
+    """For each document its sentences by the subject they bear, each counted by how likely it is no remark."""
+    n_docs, n_subjects = len(codes), stands.shape[1]
+    docs = np.repeat(np.arange(n_docs), [len(c) for c in codes])
+    if not len(docs):
+        return np.zeros((n_docs, n_subjects))
+    every = np.concatenate(codes)
+    # Sentences of all documents in one row of numbers: a sentence's number starts anew with each document.
+    score, first = sentences(every, docs * (1 << 32) + np.concatenate(units), stands)
     bears = score.max(1) >= BEARS
-    odds = remark[codes]
+    odds = remark[every]
     total, n = np.add.reduceat(odds, first), np.add.reduceat((odds != 0).astype(np.float32), first)
     likely = 1 / (1 + np.exp(np.clip(total / np.sqrt(np.maximum(n, 1)) - 1.5, -30, 30)))
-    return np.bincount(score.argmax(1)[bears], weights=likely[bears], minlength=stands.shape[1])
+    cell = docs[first] * n_subjects + score.argmax(1)
+    return np.bincount(cell[bears], weights=likely[bears], minlength=n_docs * n_subjects).reshape(n_docs, n_subjects)
 
 
 def remark_odds(counts: np.ndarray, stands: np.ndarray) -> np.ndarray:
@@ -414,7 +414,7 @@ def subject_areas(
 
         def refine(into, part, codes, units, b_stands=b_stands, b_remark=b_remark):
             known, mask = _label_mask(part, n_sub)
-            h = np.array([subject_counts(c, u, b_stands.value, b_remark.value) for c, u in zip(codes, units, strict=True)])
+            h = subject_counts(codes, units, b_stands.value, b_remark.value)
             told = known & (mask.sum(1) > 0)
             h[told] = mask[told]
             mass = h.sum(1)
@@ -428,11 +428,12 @@ def subject_areas(
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, codes, units in _slices(batches):
-            rows = []
-            for doc_id, c, u in zip(part["doc_id"], codes, units, strict=True):
-                n = subject_counts(c, u, b_stands.value, b_remark.value)
-                total = n.sum()
-                rows += [(doc_id, names[k], n[k] / total) for k in np.flatnonzero((n >= LEAST) & (n >= SHARE * total))]
-            yield pd.DataFrame(rows, columns=["doc_id", "subject", "share"])
+            n = subject_counts(codes, units, b_stands.value, b_remark.value)
+            total = n.sum(1, keepdims=True)
+            doc, subject = np.nonzero((n >= LEAST) & (n >= SHARE * total))
+            ids = part["doc_id"].to_numpy()
+            yield pd.DataFrame(
+                {"doc_id": ids[doc], "subject": [names[k] for k in subject], "share": n[doc, subject] / total[doc, 0]}
+            )
 
     return table.select("doc_id", "codes", "units").mapInPandas(answer, empty)
