@@ -62,33 +62,42 @@ class LexicalIndex:
 
 def fill(sizes: np.ndarray, items: list[np.ndarray], capacity: int) -> list[list[int]]:
     """Containers of item numbers; every item is in one. Sizes are from 1 to the capacity."""
-    order = np.lexsort((np.arange(len(sizes)), -sizes))
     index = LexicalIndex(items)
-    # Unused items in ascending size; a run of free places makes the search for a fit logarithmic on average.
-    unused = np.ones(len(sizes), bool)
+    # Items by size, so that those that fit are a run from the start; used ones are dropped once they are the half.
+    item = np.argsort(sizes, kind="stable")
+    size, unused, n_used = sizes[item], np.ones(len(sizes), bool), 0
+    top = len(item) - 1
     bins = []
-    for seed in order:
-        if not unused[seed]:
-            continue
-        unused[seed] = False
-        room, content = capacity - int(sizes[seed]), [int(seed)]
-        score = None
+
+    def take(at: int) -> int:
+        nonlocal n_used
+        unused[at] = False
+        n_used += 1
+        return int(item[at])
+
+    while True:
+        while top >= 0 and not unused[top]:
+            top -= 1
+        if top < 0:
+            return bins
+        room = capacity - int(size[top])
+        seed = take(top)
+        content, score = [seed], None
         while room > 0:
-            fits = np.flatnonzero(unused & (sizes <= room))
+            fits = np.flatnonzero(unused[: np.searchsorted(size, room, "right")])
             if not len(fits):
                 break
             if score is None:
-                score = index.scores(int(seed))
+                score = index.scores(seed)
             if room <= LAST_ROOM * capacity:
-                largest = fits[sizes[fits] == sizes[fits].max()]
-                pick = int(largest[score[largest].argmax()])
-            else:
-                pick = int(fits[score[fits].argmax()])
-            unused[pick] = False
-            content.append(pick)
-            room -= int(sizes[pick])
+                fits = fits[size[fits] == size[fits[-1]]]
+            at = int(fits[score[item[fits]].argmax()])
+            room -= int(size[at])
+            content.append(take(at))
         bins.append(content)
-    return bins
+        if 2 * n_used > len(item):
+            item, size = item[unused], size[unused]
+            unused, n_used, top = np.ones(len(item), bool), 0, len(item) - 1
 
 
 def pack_shard(shard: int, doc_ids: list[int], tokens: list[np.ndarray], containers: list[tuple[str, int]]) -> list[tuple]:
