@@ -7,8 +7,9 @@ background, and the seeds' counts stay in every update. Free background componen
 document's row of H, fitted to the final W, is its subject mixture.
 
 A remark in passing is told from the matter of a text by the words around it: sentences that bear a subject outside the
-labels of a labelled document, against those that bear a subject within, give the weight of every word (naive Bayes);
-in the final fit a sentence counts as much as it is likely to be no remark.
+labels of a labelled document, against those that bear a subject within, give the weight of every word (naive Bayes).
+In the final fits V holds the terms of sentences that bear a subject, each sentence as much as it is likely to be no
+remark; the anchored components are fitted again to these, without the background, which is no longer in V.
 
 V is never held in one place: documents are featurized once into a table in the shared folder; each update broadcasts W
 (its size is fixed: 2**HASH_BITS x components) and reduces partial sums of W in blocks.
@@ -16,6 +17,7 @@ V is never held in one place: documents are featurized once into a table in the
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -32,6 +34,7 @@ HASH_BITS = 17
 BACKGROUND = 6
 ROUNDS = 3
 INNER = 5
+SETTLED = 1e-3
 #: Labelled documents that at most take part in seeding, remark words and thresholds: the first by a hash of doc_id.
 MAX_LABELLED = 20_000
 BLOCK = 4096
@@ -117,8 +120,11 @@ class Sparse:
         return cls(r, c, x, len(codes))
 
 
-def fit_mixtures(v: Sparse, w: np.ndarray, allowed: np.ndarray | None = None, inner: int = INNER) -> np.ndarray:
-    """Rows of H for fixed W (terms x components, columns adding up to 1); zero for documents without terms."""
+def fit_mixtures(v: Sparse, w: np.ndarray, allowed: np.ndarray | None = None, inner: int | None = INNER) -> np.ndarray:
+    """Rows of H for fixed W (terms x components, columns adding up to 1); zero for documents without terms.
+
+    `inner` updates, or with None as many as it takes until one changes less than SETTLED of the whole.
+    """
     out = np.zeros((v.n_docs, w.shape[1]), np.float32)
     if not len(v.rows):
         return out
@@ -129,9 +135,11 @@ def fit_mixtures(v: Sparse, w: np.ndarray, allowed: np.ndarray | None = None, in
     h = np.ones((len(starts), w.shape[1]), np.float32)
     if allowed is not None:
         h *= allowed[present]
-    for _ in range(inner):
+    for _ in itertools.count() if inner is None else range(inner):
         ratio = v.values / np.maximum(np.einsum("ij,ij->i", h[group], wv), 1e-12)
-        h *= np.add.reduceat(wv * ratio[:, None], starts, axis=0)
+        last, h = h, h * np.add.reduceat(wv * ratio[:, None], starts, axis=0)
+        if inner is None and np.abs(h - last).sum() <= SETTLED * h.sum():
+            break
     out[present] = h
     return out
 
@@ -153,6 +161,15 @@ def add_by_column(into: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> No
     into[c[first]] += np.add.reduceat(rows[order], first, axis=0)
 
 
+def add_shares(v: Sparse, h: np.ndarray, into: np.ndarray) -> None:
+    """Add the documents' mixtures (rows of h, as shares) to their terms, and in the last column their number."""
+    mass = h.sum(1)
+    keep = mass[v.rows] > 0
+    if keep.any():
+        rows = v.rows[keep]
+        add_by_column(into, v.columns[keep], np.c_[h[rows] / mass[rows][:, None], np.ones(len(rows))].astype(np.float32))
+
+
 def normalized(w: np.ndarray) -> np.ndarray:
     w = w + 1e-4
     return (w / w.sum(0)).astype(np.float32)
@@ -180,21 +197,33 @@ def sentences(codes: np.ndarray, units: np.ndarray, stands: np.ndarray) -> tuple
     return np.maximum.reduceat(stands[codes], first, axis=0), first
 
 
-def subject_counts(codes: list[np.ndarray], units: list[np.ndarray], stands: np.ndarray, remark: np.ndarray) -> np.ndarray:
-    """For each document its sentences by the subject they bear, each counted by how likely it is no remark."""
-    n_docs, n_subjects = len(codes), stands.shape[1]
-    docs = np.repeat(np.arange(n_docs), [len(c) for c in codes])
+def weighted(codes: list[np.ndarray], units: list[np.ndarray], stands: np.ndarray, remark: np.ndarray) -> Sparse:
+    """Rows of V for the final fit: every sentence that bears a subject adds as much as it is likely to be no remark.
+
+    A sentence's amount is dealt to its terms by what they stand for, whatever the subject: one that bears two subjects
+    adds to the terms of both. Sentences that bear none add nothing, so a row adds up to its document's sentences of matter.
+    """
+    docs = np.repeat(np.arange(len(codes), dtype=np.int64), [len(c) for c in codes])
     if not len(docs):
-        return np.zeros((n_docs, n_subjects))
+        return Sparse.of(codes)
     every = np.concatenate(codes)
     # Sentences of all documents in one row of numbers: a sentence's number starts anew with each document.
     score, first = sentences(every, docs * (1 << 32) + np.concatenate(units), stands)
-    bears = score.max(1) >= BEARS
     odds = remark[every]
     total, n = np.add.reduceat(odds, first), np.add.reduceat((odds != 0).astype(np.float32), first)
-    likely = 1 / (1 + np.exp(np.clip(total / np.sqrt(np.maximum(n, 1)) - 1.5, -30, 30)))
-    cell = docs[first] * n_subjects + score.argmax(1)
-    return np.bincount(cell[bears], weights=likely[bears], minlength=n_docs * n_subjects).reshape(n_docs, n_subjects)
+    likely = (score.max(1) >= BEARS) / (1 + np.exp(np.clip(total / np.sqrt(np.maximum(n, 1)) - 1.5, -30, 30)))
+    part = stands.max(1)[every] ** 2
+    amount = likely / np.maximum(np.add.reduceat(part, first), 1e-9)
+    part = part * np.repeat(amount, np.diff(np.r_[first, len(every)]))
+    keys, at = np.unique((docs << HASH_BITS) | every, return_inverse=True)
+    x = np.bincount(at, weights=part).astype(np.float32)
+    keep = x > 0
+    return Sparse((keys[keep] >> HASH_BITS).astype(np.int32), (keys[keep] & (SIZE - 1)).astype(np.int32), x[keep], len(codes))
+
+
+def about(h: np.ndarray) -> np.ndarray:
+    """Which subjects a text is about, from its row of H."""
+    return (h >= LEAST) & (h >= SHARE * h.sum(1, keepdims=True))
 
 
 def remark_odds(counts: np.ndarray, stands: np.ndarray) -> np.ndarray:
@@ -373,14 +402,8 @@ def subject_areas(
 
     # What each term stands for: the mean subject mixture of its documents.
     def stand(into, part, codes, units):
-        h = fit_mixtures(Sparse.of(codes, b_weight.value), b_w.value, allowed(part), inner)[:, :n_sub]
-        mass = h.sum(1)
-        v = Sparse.of(codes)
-        keep = mass[v.rows] > 0
-        if keep.any():
-            rows = v.rows[keep]
-            share = h[rows] / mass[rows][:, None]
-            add_by_column(into, v.columns[keep], np.c_[share, np.ones(len(rows))].astype(np.float32))
+        h = fit_mixtures(Sparse.of(codes, b_weight.value), b_w.value, allowed(part), inner)
+        add_shares(Sparse.of(codes), h[:, :n_sub], into)
 
     def smoothed(sums):
         total = sums[:, :n_sub].sum(0)
@@ -412,25 +435,30 @@ def subject_areas(
         if again == 2:
             break
 
-        def refine(into, part, codes, units, b_stands=b_stands, b_remark=b_remark):
+        # The anchored rows of W are fitted again to what the sentences say, from what the terms stand for; what all
+        # texts share is no longer in these V, so they need no background. The same mixtures tell anew what terms stand for.
+        b_w = sc.broadcast(normalized(stands * frequency[:, None]))
+
+        def refine(into, part, codes, units, b_w=b_w, b_stands=b_stands, b_remark=b_remark):
             known, mask = _label_mask(part, n_sub)
-            h = subject_counts(codes, units, b_stands.value, b_remark.value)
+            v = weighted(codes, units, b_stands.value, b_remark.value)
+            h = fit_mixtures(v, b_w.value, allowed(part)[:, :n_sub], None)
+            add_terms(v, h, b_w.value, into[:, :n_sub])
             told = known & (mask.sum(1) > 0)
+            h[~about(h)] = 0
             h[told] = mask[told]
-            mass = h.sum(1)
-            v = Sparse.of(codes)
-            keep = mass[v.rows] > 0
-            if keep.any():
-                rows = v.rows[keep]
-                add_by_column(into, v.columns[keep], np.c_[h[rows] / mass[rows][:, None], np.ones(len(rows))].astype(np.float32))
+            add_shares(Sparse.of(codes), h, into[:, n_sub:])
 
-        stands = smoothed(_reduced(spark, table, n_sub + 1, refine))
+        sums = _reduced(spark, table, 2 * n_sub + 1, refine)
+        w = normalized(sums[:, :n_sub])
+        stands = smoothed(sums[:, n_sub:])
+    b_w = sc.broadcast(w)
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, codes, units in _slices(batches):
-            n = subject_counts(codes, units, b_stands.value, b_remark.value)
+            n = fit_mixtures(weighted(codes, units, b_stands.value, b_remark.value), b_w.value, inner=None)
             total = n.sum(1, keepdims=True)
-            doc, subject = np.nonzero((n >= LEAST) & (n >= SHARE * total))
+            doc, subject = np.nonzero(about(n))
             ids = part["doc_id"].to_numpy()
             yield pd.DataFrame(
                 {"doc_id": ids[doc], "subject": [names[k] for k in subject], "share": n[doc, subject] / total[doc, 0]}

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from codequarry.llm.subjects import SIZE, Sparse, add_terms, features, fit_mixtures, normalized, subject_areas
+from codequarry.llm.subjects import SIZE, Sparse, about, add_terms, features, fit_mixtures, normalized, subject_areas, weighted
 
 TOPICS = {
     "sea": "harbour anchor sailor mast tide vessel rudder compass voyage island lagoon reef".split(),
@@ -82,6 +82,17 @@ def test_held_out_accuracy(spark):
     assert precision > 0.9 and recall > 0.9, (precision, recall)
 
 
+def test_a_sentence_adds_to_every_subject_it_bears():
+    stands = np.zeros((SIZE, 3), np.float32)
+    for k, word in enumerate(("anchor", "tractor", "violin")):
+        stands[features(word)[0], k] = 0.9
+    texts = ["The anchor is next to the tractor.\nA tractor and an anchor.", "The violin.\nThe tractor stands.", "Nothing."]
+    codes, units = zip(*[features(x) for x in texts], strict=True)
+    v = weighted(list(codes), list(units), stands, np.zeros(SIZE, np.float32))
+    found = about(fit_mixtures(v, normalized(stands * 1000), inner=None))
+    assert found.tolist() == [[True, True, False], [False, True, True], [False, False, False]]
+
+
 def test_nothing(spark):
     documents = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([], "doc_id bigint, subject string")
