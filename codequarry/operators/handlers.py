@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from codequarry.lang import cursor as C
 from codequarry.lang.outline import Outline
 from codequarry.lang.parser import resolve_alias
+from codequarry.lang.variables import Variables
 from codequarry.operators import injection
 from codequarry.operators.asof import behaviour_implementors, enclosing_function, resolve_nested
 from codequarry.operators.composite import lookup_rows
@@ -27,7 +28,7 @@ from codequarry.sources import text_tables as X
 
 _AT = (
     "file_path string, line int, col int, written string, module string, function string, enclosing string, attribute_line int, "
-    "aliased boolean, callee_module string, callee_function string, argument int"
+    "variable_line int, aliased boolean, callee_module string, callee_function string, argument int"
 )
 _NAMES = [x.split()[0] for x in _AT.split(", ")]
 KEY = ["file_path", "line", "col"]
@@ -55,14 +56,19 @@ class Workspace:
             self._chains = stored(self.spark, injection.providers(edges, self._seen))
         return self._chains
 
+    def aliases(self) -> DataFrame:
+        """For each file the aliases that its use chains bring: file_path, injected (short, full)."""
+        injected = injection.injected_aliases(X.using_edges(self.sources), self.seen())
+        return injected.groupBy(F.col("seed").alias("file_path")).agg(F.collect_list(F.struct("short", "full")).alias("injected"))
+
     def seen(self) -> DataFrame:
         self.offered()
         return self._seen
 
 
-def expressions(sources: DataFrame, places: DataFrame) -> DataFrame:
-    """What stands at each place: module (aliases of the enclosing module resolved), function, the enclosing module, the
-    line of the attribute under the cursor (0: none), and the call around the place with its argument's number.
+def expressions(sources: DataFrame, places: DataFrame, injected: DataFrame | None = None) -> DataFrame:
+    """What stands at each place: module (aliases of the enclosing module resolved, then those of `Workspace.aliases`),
+    function, the enclosing module, the lines of the attribute and of the variable under the cursor (0: none), and the call around the place with its argument's number.
 
     All places of a file are answered with one reading of its text, which travels once: the places of a file come to
     it as one array.
@@ -70,12 +76,19 @@ def expressions(sources: DataFrame, places: DataFrame) -> DataFrame:
     asked = places.where("line IS NOT NULL AND col IS NOT NULL").select(*KEY).distinct().groupBy("file_path").agg(F.collect_list(F.struct("line", "col")).alias("places"))
     texts = sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text")
 
+    rows = texts.join(asked, "file_path")
+    if injected is None:
+        rows = rows.withColumn("injected", F.lit(None).cast("array<struct<short:string,full:string>>"))
+    else:
+        rows = rows.join(injected, "file_path", "left_outer")
+
     def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path, text, found in zip(b["file_path"], b["source_text"], b["places"], strict=True):
+            for path, text, found, brought in zip(b["file_path"], b["source_text"], b["places"], b["injected"], strict=True):
                 text = text.replace("\r\n", "\n")
-                o = Outline(text)
+                o, variables = Outline(text), None
+                lent = {} if brought is None else {x["short"]: x["full"] for x in brought}
                 rows_of_text = text.split("\n")
                 for p in found:
                     line, col = p["line"], p["col"]
@@ -83,20 +96,24 @@ def expressions(sources: DataFrame, places: DataFrame) -> DataFrame:
                         continue
                     e = C.expression_at(o.t, line, col)
                     own = o.module_at(line + 1)
-                    aliases = o.alias_map(line + 1)
+                    aliases = lent | o.alias_map(line + 1)
                     group = C.alias_group_parent(o.t, line, col)
                     name = f"{group}.{e.module}" if group and e.module else e.module
                     full = resolve_alias(name, {} if group else aliases, own) if name else ""
                     call, argument = C.call_at(o.t, line, col)
                     cm, cf = C.module_and_function(call)
                     attribute = C.attribute_at(rows_of_text[line], col)
+                    variable = 0
+                    if e.function and not e.module and not attribute:
+                        variables = variables or Variables(text)
+                        variable = min((x.line + 1 for x in variables.occurrences(line, col)), default=0)
                     rows.append(
-                        (path, line, col, e.module, full, e.function, own, o.attribute_line(attribute) if attribute else 0,
+                        (path, line, col, e.module, full, e.function, own, o.attribute_line(attribute) if attribute else 0, variable,
                          full != name, resolve_alias(cm, aliases, own) if cm else "", cf, argument)
                     )
             yield pd.DataFrame(rows, columns=_NAMES)
 
-    return texts.join(asked, "file_path").mapInPandas(resolve, _AT)
+    return rows.mapInPandas(resolve, _AT)
 
 
 def stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
@@ -108,7 +125,7 @@ def stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
 
 def resolved(w: Workspace, places: DataFrame) -> DataFrame:
     """`expressions` with the module that bare functions and relative module names mean."""
-    at = stored(w.spark, expressions(w.sources, places))
+    at = stored(w.spark, expressions(w.sources, places, w.aliases()))
     named = at.where("module <> ''")
     relative = resolve_nested(
         named.where("NOT aliased").select("enclosing", F.col("module").alias("name")), w.d
@@ -126,7 +143,12 @@ def resolved(w: Workspace, places: DataFrame) -> DataFrame:
     here = here.groupBy(F.col("file_path").alias("seed"), "function").agg(F.min("module").alias("module"))
     imports = X.imports(w.sources).select(F.col("file_path").alias("seed"), "imported", "ordinal")
     used = injection.lookup_through_use(w.d, w.offered(), asked)
-    meaning = injection.bare_function_module(w.d, asked, here, imports, used)
+    meaning = stored(w.spark, injection.bare_function_module(w.d, asked, here, imports, used))
+    # Last, the imports' own use chains: the name means the first import that brings it.
+    unmeant = asked.join(meaning, ["seed", "function"], "left_anti").join(imports, "seed").withColumnRenamed("imported", "module")
+    brought = use_chain_of(w, unmeant).select("module", "function")
+    last = unmeant.join(brought, ["module", "function"]).groupBy("seed", "function").agg(F.min(F.struct("ordinal", "module")).alias("x"))
+    meaning = meaning.unionByName(last.select("seed", "function", F.col("x.module").alias("module")))
     meaning = meaning.select(F.col("seed").alias("file_path"), "function", F.col("module").alias("_meant"))
     found = bare.join(meaning, ["file_path", "function"], "left_outer").withColumn("module", F.coalesce("_meant", F.lit(""))).select(*_NAMES)
     return full.unionByName(found).unionByName(at.where("module = '' AND function = ''"))
@@ -136,22 +158,55 @@ def _answers(rows: DataFrame) -> DataFrame:
     return rows.select(*KEY, "target_path", "target_line").where("target_line > 0").distinct()
 
 
-def definition(w: Workspace, places: DataFrame, follow: bool = True) -> DataFrame:
-    """Where what stands at each place is defined: an attribute's value, a function (delegates followed; its module
-    where it is not found), or a module. Types only where no function has the name."""
+def use_chain_of(w: Workspace, keys: DataFrame) -> DataFrame:
+    """module, function, provider, origin: what the use chain of the module's file brings under the function's name."""
+    home = module_rows(w.d).groupBy("module").agg(F.min(F.struct("line", "file_path")).alias("x")).select("module", F.col("x.file_path").alias("seed"))
+    asked = stored(w.spark, keys.select("module", "function").distinct().join(home, "module"))
+    found = injection.lookup_through_use(w.d, w.offered(), asked).join(asked, ["seed", "function"])
+    return stored(w.spark, found.select("module", "function", "provider", "origin"))
+
+
+def through_use_of(w: Workspace, keys: DataFrame, follow: bool = True) -> DataFrame:
+    """module, function, file_path, line: where functions come from that the use chain of the module's file brings."""
+    found = use_chain_of(w, keys)
+    imported = found.where("origin <> 'inline'")
+    rows = lookup_rows(w.d, imported.select(F.col("provider").alias("module"), "function"), follow, strict=True).withColumnRenamed("module", "provider")
+    inline = X.inline_functions(w.sources).withColumnRenamed("module", "provider")
+    columns = ["module", "function", "file_path", "line"]
+    hits = imported.join(rows, ["provider", "function"]).select(*columns)
+    return hits.unionByName(found.where("origin = 'inline'").join(inline, ["provider", "function"]).select(*columns)).distinct()
+
+
+def definition(w: Workspace, places: DataFrame, follow: bool = True, in_text: bool = True) -> DataFrame:
+    """Where what stands at each place is defined: an attribute's value, a variable, a function (delegates followed; then
+    through the use chain of its module; then its module), or a module. Types only where no function has the name. Without
+    `in_text` neither variables nor the use chains of called modules count."""
     at = stored(w.spark, resolved(w, places))
     attributes = at.where("attribute_line > 0").withColumn("target_path", F.col("file_path")).withColumn("target_line", F.col("attribute_line"))
-    rest = at.where("attribute_line = 0 AND module <> ''")
-    hits = lookup_rows(w.d, rest.where("function <> ''").select("module", "function"), follow)
+    rest = at.where("attribute_line = 0")
+    found = _answers(attributes)
+    if in_text:
+        found = found.unionByName(_answers(rest.withColumn("target_path", F.col("file_path")).withColumn("target_line", F.col("variable_line"))))
+        rest = rest.where("variable_line = 0")
+    asked = rest.where("function <> '' AND module <> ''")
+    hits = lookup_rows(w.d, asked, follow, strict=True)
+    if in_text:
+        hits = stored(w.spark, hits)
+        missed = asked.select("module", "function").distinct().join(hits, ["module", "function"], "left_anti")
+        hits = hits.unionByName(through_use_of(w, missed, follow))
     kinds = function_rows(w.d).select("file_path", "line", is_type(F.col("kind")).alias("t")).groupBy("file_path", "line").agg(F.min("t").alias("t"))
-    ranked = hits.join(kinds, ["file_path", "line"], "left_outer").withColumn("t", F.coalesce("t", F.lit(0)))
+    ranked = stored(w.spark, hits.join(kinds, ["file_path", "line"], "left_outer").withColumn("t", F.coalesce("t", F.lit(0))))
     best = ranked.groupBy("module", "function").agg(F.min("t").alias("_best"))
     chosen = ranked.join(best, ["module", "function"]).where(F.col("t") == F.col("_best"))
     chosen = chosen.select("module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line"))
+    # What a use chain writes into the text itself is no definition of the provider; only bare names mean it.
+    left = asked.join(best, ["module", "function"], "left_anti")
+    inline = X.inline_functions(w.sources).select("module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line"))
+    written = stored(w.spark, _answers(left.where("written = ''").join(inline, ["module", "function"])))
     modules = module_rows(w.d).select("module", F.col("file_path").alias("target_path"), F.col("line").alias("target_line"))
-    named = rest.where("function = ''").join(modules, "module")
-    found = _answers(attributes).unionByName(_answers(rest.where("function <> ''").join(chosen, ["module", "function"])))
-    return found.unionByName(_answers(named)).distinct()
+    named = rest.where("function = '' AND module <> ''").unionByName(left.join(written, KEY, "left_anti"))
+    found = found.unionByName(_answers(asked.join(chosen, ["module", "function"]))).unionByName(written)
+    return found.unionByName(_answers(named.join(modules, "module"))).distinct()
 
 
 def type_definition(w: Workspace, places: DataFrame) -> DataFrame:
@@ -231,7 +286,7 @@ def references_at(w: Workspace, places: DataFrame, declarations: bool = False, s
 
 def hover(w: Workspace, places: DataFrame) -> DataFrame:
     """file_path, line, col, signature, spec, doc of what stands at each place."""
-    targets = definition(w, places)
+    targets = definition(w, places, in_text=False)
     docs = X.docs(w.sources).select(F.col("file_path").alias("target_path"), F.col("line").alias("target_line"), "doc", "spec")
     heads = X.functions(w.sources).select(F.col("file_path").alias("target_path"), F.col("line").alias("target_line"), "function", "arity", "kind")
     scopes = X.scopes(w.sources).select(
@@ -245,7 +300,7 @@ def hover(w: Workspace, places: DataFrame) -> DataFrame:
 
 def signature_help(w: Workspace, places: DataFrame) -> DataFrame:
     """The signatures of the function called around each place, and which parameter the place is at."""
-    at = stored(w.spark, expressions(w.sources, places).where("callee_function <> ''"))
+    at = stored(w.spark, expressions(w.sources, places, w.aliases()).where("callee_function <> ''"))
     named = at.where("callee_module <> ''").select(*KEY, "argument", F.col("callee_module").alias("module"), F.col("callee_function").alias("function"))
     bare = at.where("callee_module = ''").select(*KEY, "argument", F.col("callee_function").alias("function"))
     asked = bare.select(F.col("file_path").alias("seed"), "function").distinct()

@@ -79,6 +79,15 @@ def using_edges(sources: DataFrame) -> DataFrame:
     )
 
 
+def inline_functions(sources: DataFrame) -> DataFrame:
+    """Functions that using each module writes into the text, with the lines that they are written on."""
+    return per_text(
+        sources,
+        lambda text: [(module, f[0], f[-1]) for module, body in using_bodies(text) for f in body.functions],
+        "module string, function string, line int",
+    )
+
+
 def functions(sources: DataFrame) -> DataFrame:
     """Functions with the lines of their bodies."""
     return per_text(

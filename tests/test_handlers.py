@@ -100,3 +100,22 @@ def test_places_that_are_nowhere(spark, world):
     p = spark.createDataFrame([("user.ex", 999, 0), ("nofile", 0, 0), ("user.ex", None, None), ("user.ex", 0, 999)], "file_path string, line int, col int")
     for handler in (H.definition, H.hover, H.signature_help, H.completion, H.references_at):
         handler(world, p).collect()
+
+
+CHAINS = {
+    "kit.ex": "defmodule Kit do\n  defmacro __using__(_) do\n    quote do\n      alias Deep.Thing\n      import Kit.Fns\n      def inline(x), do: x\n    end\n  end\nend\ndefmodule Kit.Fns do\n  def insert(x), do: x\nend\ndefmodule Deep.Thing do\n  def run(x), do: x\nend\n",
+    "factory.ex": "defmodule Factory do\n  use Kit\nend\n",
+    "client.ex": "defmodule Client do\n  import Factory\n  def go(arg) do\n    Factory.insert(1)\n    insert(2)\n    arg\n  end\nend\n",
+    "user.ex": "defmodule User do\n  use Kit\n  def go do\n    Thing.run(1)\n    inline(2)\n  end\nend\n",
+}
+
+
+def test_use_chains_and_variables(spark):
+    sources = spark.createDataFrame(list(CHAINS.items()), "path string, source_text string").persist()
+    parsed = parse_facts(sources).persist()
+    w = H.Workspace(spark, parsed_definitions(parsed).persist(), parsed_references(parsed).persist(), sources)
+    rows = [("client.ex", 3, 13), ("client.ex", 4, 5), ("client.ex", 5, 5), ("user.ex", 3, 11), ("user.ex", 4, 5)]
+    p = spark.createDataFrame(rows, "file_path string, line int, col int")
+    assert answers(H.definition(w, p), rows) == [{("kit.ex", 11)}, {("kit.ex", 11)}, {("client.ex", 3)}, {("kit.ex", 14)}, {("kit.ex", 6)}]
+    at = spark.createDataFrame([("user.ex", 3, 14)], "file_path string, line int, col int")
+    assert {(r.module, r.function) for r in H.signature_help(w, at).collect()} == {("Deep.Thing", "run")}
