@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,12 +86,12 @@ def use_edges(d: DataFrame, r: DataFrame) -> DataFrame:
     )
 
 
-def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_depth: int = 50) -> DataFrame:
+def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """seed, node, depth: every node from which a seed is reached, with the least number of edges.
 
     `edges`: module, used; `seeds`: seed. Breadth first: each round joins the frontier with the edges and takes
     out what is known. Rounds are written to the shared folder, which cuts the lineage and survives lost executors.
-    Cycles end by themselves; `max_depth` bounds the rounds.
+    Rounds go on until nothing is new; cycles end by themselves.
     """
     folder = workspace(spark, "reach")
     edges.select("module", "used").distinct().write.parquet(f"{folder}/edges")
@@ -97,7 +99,7 @@ def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_depth
     seeds.select("seed", F.col("seed").alias("node"), F.lit(0).alias("depth")).distinct().write.parquet(f"{folder}/level=0")
     schema = "seed string, node string, depth int"
     levels = [f"{folder}/level=0"]
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         frontier = spark.read.schema(schema).parquet(levels[-1])
         known = spark.read.schema(schema).parquet(*levels).select("seed", "node")
         found = (

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from codequarry.operators.graph import reachable
 from codequarry.operators import injection as I
 from codequarry.sources import text_tables as X
 from codequarry.sources.facts import parse_facts, parsed_definitions
@@ -82,3 +83,9 @@ def test_text_tables(world):
     assert X.buffer_functions(sources).where("function = 'elem'").collect()[0].params == "a,b"
     assert X.functions(sources).where("function = 'run'").collect()[0].last_line == 10
     assert X.docs(sources).count() == 0 and X.impl_annotations(sources).count() == 0
+
+
+def test_reachable_walks_until_nothing_is_new(spark):
+    edges = spark.createDataFrame([(f"M{i + 1}", f"M{i}") for i in range(55)], "module string, used string").coalesce(1)
+    found = reachable(spark, edges, spark.createDataFrame([("M0",)], "seed string").coalesce(1))
+    assert {(r.node, r.depth) for r in found.collect()} == {(f"M{i}", i) for i in range(56)}
