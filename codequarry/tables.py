@@ -21,17 +21,18 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 def strip(name: Column) -> Column:
     """White space at both ends removed, NULL being ''."""
-    return F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", "")
+    return F.btrim(F.coalesce(name, F.lit("")), F.lit(" \t\n\r\f\x0b"))
 
 
 def clean_module(name: Column) -> Column:
     """The one spelling of a module name: stripped, without a leading `Elixir.`."""
-    return F.regexp_replace(strip(name), r"^Elixir\.", "")
+    bare = strip(name)
+    return F.when(F.startswith(bare, F.lit("Elixir.")), F.substring(bare, 8, 2**31 - 1)).otherwise(bare)
 
 
 def clean_path(path: Column) -> Column:
     """A path without empty and `.` segments; NULL stays NULL."""
-    return F.array_join(F.filter(F.split(path, "/"), lambda s: ~s.isin("", ".")), "/")
+    return F.regexp_replace(F.regexp_replace(path, r"(^|/)(\.?/)+", "$1"), r"(^|/)\.?$", "")
 
 
 def definitions(spark: SparkSession, sf_dir: str, *, current: bool = True) -> DataFrame:
