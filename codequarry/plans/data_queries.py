@@ -34,13 +34,7 @@ def replay_runs(spark: SparkSession, sf_dir: str) -> IncrementalBatches:
         "loaded_at",
     )
     batches = IncrementalBatches(spark, workspace(spark, "runs"))
-    before = None
-    for run in runs:
-        delta = reports.where(F.col("loaded_at") <= F.lit(run.started_at).cast("timestamp_ntz"))
-        if before is not None:
-            delta = delta.where(F.col("loaded_at") > F.lit(before).cast("timestamp_ntz"))
-        batches.run(str(run.run_id), delta)
-        before = run.started_at
+    batches.catch_up([(str(r.run_id), r.started_at) for r in runs], reports.where("loaded_at IS NOT NULL"), "loaded_at")
     return batches
 
 
@@ -48,6 +42,23 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay_runs(spark, sf_dir).outputs().select(F.col("batch").cast("bigint").alias("run_id"), "path")
 
 
+def p1_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The readings of `sources` as a batch a month, told apart by size and checksum of the whole text: what each month
+    brought that was new or different."""
+    readings = T.read(spark, sf_dir, "sources").select(
+        T.clean_path(F.col("path")).alias("path"),
+        F.col("read_at").alias("observed_at"),
+        F.col("source_text").isNotNull().alias("present"),
+        F.octet_length("source_text").cast("bigint").alias("size"),
+        F.md5("source_text").alias("checksum"),
+    )
+    months = readings.where("observed_at IS NOT NULL").select(F.date_trunc("month", "observed_at").cast("timestamp_ntz").alias("m")).distinct()
+    ends = months.select("m", (F.add_months("m", 1).cast("timestamp_ntz") - F.expr("INTERVAL 1 MICROSECOND")).alias("until")).orderBy("m").collect()
+    batches = IncrementalBatches(spark, workspace(spark, "readings"))  # above: one row for each month
+    batches.catch_up([(f"{r.m:%Y-%m}", r.until) for r in ends], readings, "observed_at")
+    return batches.outputs().select("batch", "path", "size", "checksum")
+
+
 # ---------------------------------------------------------------- 2: references to nothing
 
 
@@ -198,6 +209,7 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_texts": p1_texts,
     "p2_found": p2_found,
     "p2_report": p2_report,
     "p4_found": p4_found,
@@ -260,6 +272,12 @@ s AS (SELECT o.n, o.run_id, {_PATH} AS path, arg_max(coalesce(f.mtime, -1), f.wa
     FROM o JOIN files f ON f.loaded_at <= o.started_at GROUP BY ALL)
 SELECT a.run_id, a.path FROM s a LEFT JOIN s b ON b.n = a.n - 1 AND b.path = a.path
 WHERE a.mtime <> -1 AND (b.path IS NULL OR b.mtime <> a.mtime)""",
+    # Of several readings of a month the latest counts, of equally late ones the greatest; unreadable files are not present.
+    "p1_texts": f"""
+WITH s AS (SELECT {_PATH} AS path, strftime(read_at, '%Y-%m') AS batch, max((read_at, source_text IS NOT NULL, strlen(source_text), md5(source_text))) AS x
+    FROM sources WHERE path IS NOT NULL AND read_at IS NOT NULL GROUP BY ALL),
+t AS (SELECT *, lag(x) OVER (PARTITION BY path ORDER BY batch) AS w FROM s)
+SELECT batch, path, x[3] AS size, x[4] AS checksum FROM t WHERE x[2] AND (w IS NULL OR NOT w[2] OR w[4] <> x[4])""",
     "p2_found": f"{_DANGLING} SELECT table_name, strftime(m, '%Y-%m') AS period_month, row_id FROM o",
     "p2_report": f"{_DANGLING} SELECT table_name, strftime(m, '%Y-%m') AS period_month, status, COUNT(*) AS n_rows FROM o GROUP BY ALL",
     "p4_found": f"{_TERMS} SELECT field_name, term, mark FROM m WHERE mark <> ''",

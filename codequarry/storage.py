@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -34,17 +37,28 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> bool:
-    """Write a file so that it is either there whole or not at all; False if it was there before."""
+    """Write a file so that it is there whole or not at all; False if it was there before, also if another writer was
+    faster. Each writer prepares a file of its own; giving it its name is one step of the file system, which fails if the
+    name is taken: a hard link on local disks (where renaming would replace), renaming elsewhere."""
     fs, target = _fs(spark, path)
     jvm = spark.sparkContext._jvm
-    aside = jvm.org.apache.hadoop.fs.Path(f"{target.getParent()}/_writing-{target.getName()}")
-    stream = fs.create(aside, True)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{target.getParent()}/_writing-{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
     stream.write(bytearray(text.encode()))
     stream.close()
-    if fs.exists(target):
+    if fs.getScheme() == "file":
+        try:
+            os.link(aside.toUri().getPath(), target.toUri().getPath())
+            done = True
+        except FileExistsError:
+            done = False
+        fs.delete(aside, False)
+        return done
+    try:
+        done = not fs.exists(target) and bool(fs.rename(aside, target))
+    finally:
         fs.delete(aside, False)
-        return False
-    return bool(fs.rename(aside, target))
+    return done
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codequarry import storage
 from codequarry.operators.dense_counts import dense_counts
@@ -72,6 +73,79 @@ class TestIncremental:
         assert paths(batches.run("1", rows, process)) == ["a"]
         assert len(done) == 1
 
+    @pytest.mark.parametrize("step", ["segment", "output", "fold", "history", "commit"])
+    def test_a_loss_at_any_step_neither_skips_nor_repeats(self, spark, tmp_path, monkeypatch, step):
+        """The run dies right after the step named; the next attempt gives what an undisturbed run gives."""
+        batches = IncrementalBatches(spark, f"file://{tmp_path}", compact_every=1)
+        batches.run("1", listing(spark, [("a", day(0), True, 1, "x"), ("b", day(0), True, 1, "x")]))
+        second = listing(spark, [("a", day(1), True, 1, "y"), ("c", day(1), True, 1, "x")])
+
+        def die(*_, **__):
+            raise OSError("executor lost")
+
+        writes, write_text = [], storage.write_text
+
+        def failing_text(spark, path, text):
+            if step in path or (step == "commit" and "/commits/" in path):
+                die()
+            return write_text(spark, path, text)
+
+        with monkeypatch.context() as m:
+            m.setattr(storage, "write_text", failing_text)
+            if step == "segment":
+                m.setattr(storage, "exists", die)  # asked right after the segment is written
+            if step == "fold":
+                m.setattr(IncrementalBatches, "_latest", lambda self, rows, f=IncrementalBatches._latest: die() if writes else f(self, rows))
+            process = lambda changed: (writes.append(1), changed)[1] if step != "output" else die()
+            with pytest.raises(OSError):
+                batches.run("2", second, process)
+        assert batches.committed() == ["1"]
+        assert paths(batches.run("2", second)) == ["a", "c"]
+        assert paths(batches.run("3", second)) == [] and batches.committed() == ["1", "2", "3"]
+        assert {r.path: r.checksum for r in batches.manifest().collect()} == {"a": "y", "b": "x", "c": "x"}
+
+    def test_of_two_writers_the_second_is_turned_away(self, spark, tmp_path):
+        one, two = (IncrementalBatches(spark, f"file://{tmp_path}") for _ in range(2))
+        rows = listing(spark, [("a", day(0), True, 1, "x")])
+
+        def interrupted(changed):
+            two.run("2", rows)  # commits in between
+            return changed
+
+        with pytest.raises(RuntimeError, match="another writer"):
+            one.run("1", rows, interrupted)
+        assert one.committed() == ["2"]
+        assert paths(one.run("1", rows)) == []
+
+    def test_catching_up_is_running_one_by_one(self, spark, tmp_path):
+        rng = random.Random(5)
+        rows = [
+            (rng.choice("abcdefghijkl"), day(rng.randrange(20)) if rng.random() < 0.95 else None, rng.random() < 0.8, rng.choice([1, 2, None]),
+             rng.choice(["x", "y"]), day(rng.randrange(22)) if rng.random() < 0.95 else None)
+            for _ in range(150)
+        ]
+        table = spark.createDataFrame(rows, "path string, observed_at timestamp, present boolean, size bigint, checksum string, arrived_at timestamp")
+        due = [(str(n), day(n)) for n in (3, 4, 9, 15, 18)]
+        one = IncrementalBatches(spark, f"file://{tmp_path}/one", compact_every=2)
+        before = None
+        for name, until in due:
+            here = table.where("arrived_at IS NULL") if before is None else table.limit(0)
+            later = table.where(F.col("arrived_at") <= F.lit(until))
+            one.run(name, here.union(later if before is None else later.where(F.col("arrived_at") > F.lit(before))))
+            before = until
+        many = IncrementalBatches(spark, f"file://{tmp_path}/many", compact_every=2)
+        many.catch_up(due[:2], table)
+        many.catch_up(due, table)
+        many.catch_up(due, table)
+        key = lambda b: sorted(tuple(map(str, r)) for r in b.outputs().collect())
+        assert key(many) == key(one) and len(key(one)) > 10
+        assert many.committed() == one.committed()
+        assert sorted(map(str, many.manifest().collect())) == sorted(map(str, one.manifest().collect()))
+
+    def test_identifiers_name_folders(self, batches, spark):
+        with pytest.raises(ValueError):
+            batches.run("../up", listing(spark, []))
+
     def test_full_listings_notice_what_is_gone(self, spark, batches):
         batches.run("1", listing(spark, [("a", day(0), True, 1, "x"), ("b", day(0), True, 1, "x")]), full=True)
         batches.run("2", listing(spark, [("a", day(1), True, 1, "x")]), full=True)
