@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from codequarry.operators.asof import enclosing_module
 from codequarry.operators.lookup import function_rows, is_type
-from codequarry.session import workspace
+from codequarry.session import workspace, written
 
 MAX_HOPS = 5
 
@@ -39,39 +39,43 @@ def delegate_hops(d: DataFrame) -> DataFrame:
 def follow_delegates(d: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """For each (module, function) that exists: where its definition is after following delegates, and in how many hops.
 
-    At most MAX_HOPS hops, so that cycles end; a target that is not there ends the walk before it. Only functions that
-    are delegates take part in the joins; all others answer for themselves.
+    At most MAX_HOPS hops, so that cycles end; a target that is not there ends the walk before it. Chains are walked over
+    the delegates alone, one table a hop, and only as long as any goes on; all other functions answer for themselves.
     """
-    hops = delegate_hops(d)
-    if keys is not None:
-        hops_of_keys = hops.join(keys.select("module", "function").distinct(), ["module", "function"], "left_semi")
-    else:
-        hops_of_keys = hops
-    known = hops.select(F.col("module").alias("next_module"), F.col("function").alias("next_function"))
-    edges = hops.where("all_delegate").select(
-        F.col("module").alias("_m"), F.col("function").alias("_f"), F.col("next_module").alias("_nm"), F.col("next_function").alias("_nf")
-    )
+    spark = d.sparkSession
+    folder = workspace(spark, "hops")
+    names = function_rows(d).where("function <> ''").select("module", "function").distinct()
     # An edge counts only if its target exists.
-    edges = edges.join(
-        known.select(F.col("next_module").alias("_nm"), F.col("next_function").alias("_nf")), ["_nm", "_nf"], "left_semi"
+    edges = delegate_hops(d).where("all_delegate").select("module", "function", "next_module", "next_function")
+    edges = edges.join(names.select(F.col("module").alias("next_module"), F.col("function").alias("next_function")), ["next_module", "next_function"], "left_semi")
+    schema = "module string, function string, target_module string, target_function string, n_hops int"
+    first = edges.select(
+        "module", "function", F.col("next_module").alias("target_module"), F.col("next_function").alias("target_function"), F.lit(1).alias("n_hops")
     )
-    at = hops_of_keys.where("all_delegate").select(
-        "module", "function", F.col("module").alias("target_module"), F.col("function").alias("target_function"), F.lit(0).alias("n_hops")
+    levels = [f"{folder}/1"]
+    n = written(first, levels[0])
+    step = spark.read.schema(schema).parquet(levels[0]).select(
+        F.col("module").alias("target_module"), F.col("function").alias("target_function"), F.col("target_module").alias("_m"), F.col("target_function").alias("_f")
     )
-    for _ in range(MAX_HOPS):
-        at = at.join(
-            edges, (F.col("target_module") == F.col("_m")) & (F.col("target_function") == F.col("_f")), "left_outer"
-        ).select(
-            "module",
-            "function",
-            F.coalesce("_nm", "target_module").alias("target_module"),
-            F.coalesce("_nf", "target_function").alias("target_function"),
-            (F.col("n_hops") + F.col("_nm").isNotNull().cast("int")).alias("n_hops"),
+    while n and len(levels) < MAX_HOPS:
+        at = spark.read.schema(schema).parquet(levels[-1])
+        moved = at.join(step, ["target_module", "target_function"]).select(
+            "module", "function", F.col("_m").alias("target_module"), F.col("_f").alias("target_function"), (F.col("n_hops") + 1).alias("n_hops")
         )
-    rest = hops_of_keys.where(~F.col("all_delegate")).select(
-        "module", "function", F.col("module").alias("target_module"), F.col("function").alias("target_function"), F.lit(0).alias("n_hops")
+        levels.append(f"{folder}/{len(levels) + 1}")
+        n = written(moved, levels[-1])
+    ends = spark.read.schema(schema).parquet(*levels).groupBy("module", "function").agg(
+        F.max(F.struct("n_hops", "target_module", "target_function")).alias("x")
+    )
+    if keys is not None:
+        names = names.join(keys.select("module", "function").distinct(), ["module", "function"], "left_semi")
+    return names.join(ends, ["module", "function"], "left_outer").select(
+        "module",
+        "function",
+        F.coalesce("x.target_module", "module").alias("target_module"),
+        F.coalesce("x.target_function", "function").alias("target_function"),
+        F.coalesce("x.n_hops", F.lit(0)).alias("n_hops"),
     )
-    return at.unionByName(rest)
 
 
 def use_edges(d: DataFrame, r: DataFrame) -> DataFrame:
@@ -110,8 +114,7 @@ def reachable(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFr
             .join(known, ["seed", "node"], "left_anti")
             .select("seed", "node", F.lit(depth).alias("depth"))
         )
-        found.write.parquet(f"{folder}/level={depth}")
-        if spark.read.schema(schema).parquet(f"{folder}/level={depth}").isEmpty():
+        if not written(found, f"{folder}/level={depth}"):
             break
         levels.append(f"{folder}/level={depth}")
     return spark.read.schema(schema).parquet(*levels)

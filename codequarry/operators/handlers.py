@@ -218,8 +218,9 @@ def type_definition(w: Workspace, places: DataFrame) -> DataFrame:
 
 
 def declaration(w: Workspace, places: DataFrame) -> DataFrame:
-    """The callback that the function around each place implements: of its own module, a behaviour of its file, a module
-    of its use chains, or, for one marked `@impl true`, any callback of its name and arity."""
+    """The callbacks that the function around each place implements: those of its own module and of the behaviours of its
+    file together; only if there are none those of the modules of its use chains, and at last, for one marked
+    `@impl true`, every callback of its name and arity (for `@impl Module` that module's)."""
     probes = places.select("file_path", (F.col("line") + 1).alias("line"), "col").distinct()
     inside = enclosing_function(probes, w.d).withColumn("line", F.col("line") - 1)
     inside = inside.withColumnsRenamed({"caller_function": "function", "caller_arity": "arity", "caller_module": "own"})
@@ -227,7 +228,7 @@ def declaration(w: Workspace, places: DataFrame) -> DataFrame:
         F.col("module").alias("behaviour"), "function", "arity", F.col("file_path").alias("target_path"), F.col("line").alias("target_line")
     )
     own = inside.withColumn("behaviour", F.col("own")).withColumn("p", F.lit(0))
-    declared = inside.join(behaviours_for_file(w.d, w.r), "file_path").withColumn("p", F.lit(1))
+    declared = inside.join(behaviours_for_file(w.d, w.r), "file_path").withColumn("p", F.lit(0))
     chain = w.seen().select(F.col("seed").alias("file_path"), F.col("module").alias("behaviour")).distinct()
     through = inside.join(chain, "file_path").withColumn("p", F.lit(2))
     found = own.unionByName(declared).unionByName(through).join(callbacks, ["behaviour", "function", "arity"])

@@ -8,22 +8,25 @@ have met first. Options of the consumer count for the first module only.
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry.operators.graph import reachable
 from codequarry.operators.lookup import callback_rows, function_rows
 from codequarry.operators.search import first_functions
-from codequarry.session import workspace
+from codequarry.session import workspace, written
 
 _VISITS = "seed string, module string, options map<string,string>, path array<int>"
 
 
-def visits(spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_depth: int = 20) -> DataFrame:
+def visits(spark: SparkSession, edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """seed, module, options, path: the modules whose `__using__` takes part, each with its least path.
 
     `seeds`: seed, module, ordinal, options; the uses of a text are seeds with one name and rising ordinals, walked
-    last to first. A module that a seed has reached on a lesser path is not entered again, so cycles end.
+    last to first. A module that a seed has reached on a lesser path is not entered again, so cycles end, and the walk
+    goes on until nothing is new, however long a chain is.
     """
     folder = workspace(spark, "visits")
     first = seeds.select("seed", "module", "options", F.array((-F.col("ordinal")).cast("int")).alias("path"))
@@ -34,7 +37,7 @@ def visits(spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_depth: i
     steps.write.parquet(f"{folder}/steps")
     steps = spark.read.parquet(f"{folder}/steps")
     levels = [f"{folder}/0"]
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1):
         frontier = spark.read.schema(_VISITS).parquet(levels[-1])
         chosen = F.when(F.col("_k") == "use", F.col("_t")).otherwise(F.coalesce(F.try_element_at("options", F.col("_opt")), F.col("_t")))
         priority = F.when(F.col("_k") == "use", F.array(F.lit(3), -F.col("_o"))).otherwise(F.array(F.lit(2), F.col("_o")))
@@ -47,8 +50,7 @@ def visits(spark: SparkSession, edges: DataFrame, seeds: DataFrame, max_depth: i
         )
         known = spark.read.schema(_VISITS).parquet(*levels).groupBy("seed", "module").agg(F.min("path").alias("_known"))
         new = found.join(known, ["seed", "module"], "left_outer").where(F.col("_known").isNull() | (F.col("path") < F.col("_known")))
-        new.select("seed", "module", F.create_map().cast("map<string,string>").alias("options"), "path").write.parquet(f"{folder}/{depth}")
-        if spark.read.schema(_VISITS).parquet(f"{folder}/{depth}").isEmpty():
+        if not written(new.select("seed", "module", F.create_map().cast("map<string,string>").alias("options"), "path"), f"{folder}/{depth}"):
             break
         levels.append(f"{folder}/{depth}")
     every = spark.read.schema(_VISITS).parquet(*levels)

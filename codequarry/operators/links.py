@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codequarry.operators.asof import asof_last, behaviour_implementors, enclosing_function, enclosing_module, function_anchors
+from codequarry.operators.asof import (
+    asof_last,
+    behaviour_implementors,
+    enclosing_function,
+    enclosing_module,
+    function_anchors,
+    next_function_line,
+)
 from codequarry.operators.lookup import callback_rows, delegates_to, function_rows, is_type, module_rows
 
 
@@ -76,18 +83,48 @@ def incoming_calls(d: DataFrame, r: DataFrame) -> DataFrame:
 def outgoing_calls(d: DataFrame, r: DataFrame, open_end: int = 500) -> DataFrame:
     """For each calling function the functions it calls, with the lines of the calls and the first definition.
 
-    A function ends where the next one starts, the last of a file after `open_end` lines. Lines are counted, with the
-    first and last of them, rather than collected, so that a callee with very many calls is no large row.
+    A function ends where the next one starts, however far that is; the last of a file ends after `open_end` lines. Lines
+    are counted here, with the first and last of them; `outgoing_call_sites` has a row for each.
     """
-    calls = r.where("kind = 'call' AND function <> ''").select("module", "function", "file_path", "line")
-    inside = enclosing_function(calls, d).where(F.col("line") < F.col("caller_line") + open_end)
-    edges = inside.groupBy("file_path", "caller_line", "caller_module", "caller_function", "module", "function").agg(
+    edges = _calls_inside(d, r, open_end).groupBy("file_path", "caller_line", "caller_module", "caller_function", "module", "function").agg(
         F.count("*").alias("n_calls"), F.min("line").alias("first_call"), F.max("line").alias("last_call")
     )
+    return edges.join(_first_definitions(d), ["module", "function"])
+
+
+def outgoing_call_sites(d: DataFrame, r: DataFrame, open_end: int = 500) -> DataFrame:
+    """The ranges of `outgoing_calls`: one row for each caller, callee and line of a call, callees without a definition
+    left out. Rows rather than an array, so that a callee with very many calls is no large row."""
+    sites = _calls_inside(d, r, open_end).distinct()
+    return sites.join(_first_definitions(d), ["module", "function"]).select(
+        "file_path", "caller_line", "caller_module", "caller_function", "module", "function", "line"
+    )
+
+
+def _calls_inside(d: DataFrame, r: DataFrame, open_end: int) -> DataFrame:
+    """Calls of named functions with the function whose lines they stand on."""
+    calls = r.where("kind = 'call' AND function <> ''").select("module", "function", "file_path", "line")
+    anchors = function_anchors(d).join(next_function_line(d), ["file_path", "line"])
+    anchors = anchors.select("file_path", "line", F.col("payload").withField("next_line", F.col("next_line")).alias("payload"))
+    return (
+        calls.join(asof_last(calls, anchors), ["file_path", "line"])
+        .where((F.col("payload.next_line") > 0) | (F.col("line") < F.col("payload.def_line") + open_end))
+        .select(
+            "file_path",
+            F.col("payload.def_line").alias("caller_line"),
+            F.col("payload.module").alias("caller_module"),
+            F.col("payload.function").alias("caller_function"),
+            "module",
+            "function",
+            "line",
+        )
+    )
+
+
+def _first_definitions(d: DataFrame) -> DataFrame:
     first = F.min(F.struct(is_type(F.col("kind")).alias("t"), "line", F.col("file_path").alias("f")))
     targets = function_rows(d).groupBy("module", "function").agg(first.alias("x"))
-    targets = targets.select("module", "function", F.col("x.f").alias("target_file"), F.col("x.line").alias("target_line"))
-    return edges.join(targets, ["module", "function"])
+    return targets.select("module", "function", F.col("x.f").alias("target_file"), F.col("x.line").alias("target_line"))
 
 
 def call_edges(d: DataFrame, r: DataFrame) -> DataFrame:
@@ -159,10 +196,18 @@ def rename_collisions(d: DataFrame, renames: DataFrame) -> DataFrame:
     )
 
 
-def import_lines(r: DataFrame, lines: DataFrame) -> DataFrame:
-    """Import references whose source line names a function in `only:` or `except:`. `lines`: file_path, line, text."""
-    rows = r.where("kind = 'import'").select("module", "file_path", "line").distinct()
-    return rows.join(lines, ["file_path", "line"]).select("module", "file_path", "line", "text")
+def import_lines(r: DataFrame, lines: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """Imports with the text of their line. `lines`: file_path, line, text.
+
+    With `keys` (module, function) only imports of these modules whose line names the function as a whole word, as in
+    `only:` and `except:`; the function is a further column then.
+    """
+    rows = r.where("kind = 'import'").select("module", "file_path", "line").distinct().join(lines, ["file_path", "line"])
+    if keys is None:
+        return rows.select("module", "file_path", "line", "text")
+    asked = keys.where("function <> ''").select("module", "function").distinct()
+    whole = F.concat(F.lit(r"(?<![\w?!])\Q"), F.col("function"), F.lit(r"\E(?![\w?!])"))
+    return rows.join(asked, "module").where(F.regexp_like("text", whole)).select("module", "function", "file_path", "line", "text")
 
 
 def dedup_locations(rows: DataFrame, keys: list[str], stdlib_prefix: str = "") -> DataFrame:

@@ -4,8 +4,9 @@ A point lookup is the same call with one key. All operators take definitions `d`
 (`codequarry.tables`), read no text and keep the bag semantics of the relations: what is stored twice comes out
 twice. A NULL in a key matches nothing. Empty inputs give empty results. Extra columns of `keys` are dropped.
 
-Order: answers are ordered by the columns each operator names; the order is applied globally, over ranges, so that no
-key's rows have to fit into one task.
+Order: answers are tables and have none. Where an operator names an order, that is the order of a point lookup, which
+the caller asks for with `orderBy` over the columns named; a global sort here would run the joins before it twice (to
+sample ranges) and be lost with the next shuffle.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def modules_in_file(d: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     rows = module_rows(d, impl=False)
     if keys is not None:
         rows = rows.join(keys.select("file_path").distinct(), "file_path", "left_semi")
-    return rows.select("file_path", "line", "module").orderBy("file_path", "line", "module")
+    return rows.select("file_path", "line", "module")
 
 
 def lookup_function(d: DataFrame, keys: DataFrame) -> DataFrame:
@@ -61,7 +62,6 @@ def lookup_function(d: DataFrame, keys: DataFrame) -> DataFrame:
         function_rows(d)
         .join(asked, ["module", "function"])
         .select("module", "function", is_type(F.col("kind")).alias("type_rank"), *LOCATION, "params")
-        .orderBy("module", "function", "type_rank", "line", "file_path", "arity")
     )
 
 
@@ -87,7 +87,6 @@ def callback_definitions(d: DataFrame, keys: DataFrame) -> DataFrame:
         callback_rows(d)
         .join(asked, ["module", "function"])
         .select("module", "function", "arity", "kind", "line", "file_path")
-        .orderBy("module", "function", "line")
     )
 
 
@@ -99,7 +98,6 @@ def callback_definitions_anywhere(d: DataFrame, keys: DataFrame) -> DataFrame:
         .join(asked, "function")
         .where((F.col("asked_arity") < 0) | (F.col("asked_arity") == F.col("arity")))
         .select("function", "asked_arity", "module", "arity", "kind", "line", "file_path")
-        .orderBy("function", "asked_arity", "module", "line")
     )
 
 
@@ -109,7 +107,6 @@ def references(r: DataFrame, keys: DataFrame) -> DataFrame:
     return (
         r.join(asked, ["module", "function"], "left_semi")
         .select("module", "function", "file_path", "line", "kind")
-        .orderBy("module", "function", "file_path", "line")
     )
 
 
@@ -141,15 +138,15 @@ def under_prefix(rows: DataFrame, prefixes: DataFrame, include_self: bool = True
 
 def submodules(d: DataFrame, prefixes: DataFrame) -> DataFrame:
     """Distinct modules below each prefix, of whatever kind, without the prefix itself."""
-    return under_prefix(d.where("function = ''").select("module"), prefixes, False).distinct().orderBy("prefix", "module")
+    return under_prefix(d.where("function = ''").select("module"), prefixes, False).distinct()
 
 
 def modules_by_prefix(d: DataFrame, prefixes: DataFrame) -> DataFrame:
-    return under_prefix(module_rows(d).select("module", "file_path", "line", "kind"), prefixes).orderBy("prefix", "module")
+    return under_prefix(module_rows(d).select("module", "file_path", "line", "kind"), prefixes)
 
 
 def references_by_prefix(r: DataFrame, prefixes: DataFrame) -> DataFrame:
-    return under_prefix(r.select("module", "function", "file_path", "line", "kind"), prefixes).orderBy("prefix", "file_path", "line")
+    return under_prefix(r.select("module", "function", "file_path", "line", "kind"), prefixes)
 
 
 def using_modules(d: DataFrame) -> DataFrame:
@@ -189,7 +186,7 @@ def delegates_to(d: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def file_paths(files: DataFrame) -> DataFrame:
-    return files.select("path").distinct().orderBy("path")
+    return files.select("path").distinct()
 
 
 def file_mtime(files: DataFrame, keys: DataFrame) -> DataFrame:

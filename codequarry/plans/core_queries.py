@@ -199,12 +199,15 @@ def _(d, r):
 
 @query(
     "search_modules_suffix",
-    """, M AS (SELECT DISTINCT module FROM MODS2), S AS (SELECT DISTINCT regexp_extract(module, '[^.]*$') AS segment FROM M),
-X AS (SELECT segment, module, row_number() OVER (PARTITION BY segment ORDER BY module) AS position FROM S JOIN M ON module = segment OR module ILIKE '%.' || segment)
+    """, M AS (SELECT DISTINCT module FROM MODS2),
+S AS (SELECT DISTINCT regexp_extract(module, e) AS segment FROM M, (VALUES ('[^.]+$'), ('[^.]+\\.[^.]+$'), ('[^.]+\\.[^.]+\\.[^.]+$')) AS v(e)),
+X AS (SELECT segment, module, row_number() OVER (PARTITION BY segment ORDER BY module) AS position FROM S JOIN M
+    ON segment <> '' AND (module = segment OR module ILIKE '%.' || segment))
 SELECT segment, module, CAST(position AS INT) AS position FROM X WHERE position <= 20""",
 )
 def _(d, r):
-    return search.search_modules_by_suffix(d, lookup.module_rows(d, False).select(N.last_segment(F.col("module")).alias("segment")))
+    ends = F.array(*[F.substring_index("module", ".", -n) for n in (1, 2, 3)])
+    return search.search_modules_by_suffix(d, lookup.module_rows(d, False).select(F.explode(ends).alias("segment")))
 
 
 @query(
@@ -393,21 +396,31 @@ def _(d, r):
     return links.incoming_calls(d, r)
 
 
-@query(
-    "outgoing_calls",
-    """, A AS (SELECT file_path, line, max((arity, module, function, kind)) AS a FROM D WHERE function <> '' GROUP BY file_path, line),
+# A function's lines go up to the line before the next function of its file, those of the last one for 500 lines.
+_INSIDE = """, A AS (SELECT file_path, line, max((arity, module, function, kind)) AS a, lead(line) OVER (PARTITION BY file_path ORDER BY line) AS next_line
+    FROM D WHERE function <> '' GROUP BY file_path, line),
 INN AS (SELECT c.*, A.a[2] AS caller_module, A.a[3] AS caller_function, A.line AS caller_line
     FROM (SELECT module, function, file_path, line FROM R WHERE kind = 'call' AND function <> '') c
-    ASOF JOIN A ON c.file_path = A.file_path AND c.line >= A.line),
-E AS (SELECT file_path, caller_line, caller_module, caller_function, module, function, COUNT(*) AS n_calls, min(line) AS first_call, max(line) AS last_call
-    FROM INN WHERE line < caller_line + 500 GROUP BY ALL),
-T AS (SELECT module, function, min((t, line, file_path)) AS x FROM FNS GROUP BY ALL)
+    JOIN A ON c.file_path = A.file_path AND c.line BETWEEN A.line AND coalesce(A.next_line - 1, A.line + 499)),
+T AS (SELECT module, function, min((t, line, file_path)) AS x FROM FNS GROUP BY ALL)"""
+
+
+@query(
+    "outgoing_calls",
+    _INSIDE
+    + """, E AS (SELECT file_path, caller_line, caller_module, caller_function, module, function, COUNT(*) AS n_calls, min(line) AS first_call, max(line) AS last_call
+    FROM INN GROUP BY ALL)
 SELECT E.*, x[3] AS target_file, x[2] AS target_line FROM E JOIN T USING (module, function)""",
 )
 def _(d, r):
     return links.outgoing_calls(d, r)
 
 
+@query("outgoing_call_sites", _INSIDE + " SELECT DISTINCT file_path, caller_line, caller_module, caller_function, module, function, line FROM INN JOIN T USING (module, function)")
+def _(d, r):
+    return links.outgoing_call_sites(d, r)
+
+
 @query("call_edges", _CALLERS + " SELECT caller_module, caller_function, module, function, COUNT(*) AS n_lines FROM INN GROUP BY ALL")
 def _(d, r):
     return links.call_edges(d, r)
@@ -547,30 +560,32 @@ SELECT seed, node, min(depth) AS depth FROM W GROUP BY seed, node"""
 # ---------------------------------------------------------------- change detection on the reported files
 
 
-def latest_reports(spark: SparkSession, sf_dir: str, until: str) -> DataFrame:
-    """The state of each path by the reports loaded until a moment."""
-    f = T.read(spark, sf_dir, "files").where(F.col("loaded_at") <= F.lit(until).cast("timestamp_ntz"))
+def latest_reports(spark: SparkSession, sf_dir: str, first_run: bool) -> DataFrame:
+    """The state of each path by all reports, or by those that the first effective run saw."""
+    f = T.read(spark, sf_dir, "files")
+    if first_run:
+        since = T.read(spark, sf_dir, "index_runs").where("status = 'ok'").agg(F.min("started_at")).first()[0]
+        f = f.where(F.col("loaded_at") <= F.lit(since).cast("timestamp_ntz"))
     state = F.max(F.struct("walked_at", "mtime")).alias("s")
     return f.groupBy(T.clean_path(F.col("path")).alias("path")).agg(state).select("path", F.col("s.mtime").alias("mtime"))
 
 
-_BEFORE, _NOW = "2024-06-30 00:00:00", "2024-12-31 00:00:00"
 _PATH_SQL = r"regexp_replace(regexp_replace(path, '(^|/)(\.?/)+', '\1', 'g'), '(^|/)\.?$', '')"
 _SNAPS = "WITH " + ", ".join(
-    f"{n} AS (SELECT {_PATH_SQL} AS path, nullif(arg_max(coalesce(mtime, -1), walked_at), -1) AS mtime FROM files WHERE loaded_at <= TIMESTAMP '{t}' GROUP BY 1)"
-    for n, t in (("a", _BEFORE), ("b", _NOW))
+    f"{n} AS (SELECT {_PATH_SQL} AS path, nullif(arg_max(coalesce(mtime, -1), walked_at), -1) AS mtime FROM files{t} GROUP BY 1)"
+    for n, t in (("a", " WHERE loaded_at <= (SELECT min(started_at) FROM index_runs WHERE status = 'ok')"), ("b", ""))
 )
 
 
 def _changed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from codequarry.sources.ingest import changed_files
 
-    return changed_files(latest_reports(spark, sf_dir, _BEFORE).where("mtime IS NOT NULL"), latest_reports(spark, sf_dir, _NOW).where("mtime IS NOT NULL"))
+    return changed_files(latest_reports(spark, sf_dir, True).where("mtime IS NOT NULL"), latest_reports(spark, sf_dir, False).where("mtime IS NOT NULL"))
 
 
 def _deleted_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = latest_reports(spark, sf_dir, _BEFORE).where("mtime IS NOT NULL")
-    return links.missing_paths(stored, latest_reports(spark, sf_dir, _NOW).where("mtime IS NOT NULL"))
+    stored = latest_reports(spark, sf_dir, True).where("mtime IS NOT NULL")
+    return links.missing_paths(stored, latest_reports(spark, sf_dir, False).where("mtime IS NOT NULL"))
 
 
 QUERIES |= {"changed_files": _changed_files, "deleted_files": _deleted_files}

@@ -9,7 +9,8 @@ import tempfile
 import uuid
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -62,6 +63,13 @@ def workspace(spark: SparkSession, label: str) -> str:
     return folder
 
 
+def written(rows: DataFrame, path: str) -> int:
+    """Write a table; how many rows it has, counted by the write itself."""
+    seen = Observation()
+    rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return int(seen.get["n"])
+
+
 def clear_workspaces(spark: SparkSession) -> int:
     """Delete what this application's operators left in the shared folder, once their results are written elsewhere."""
     from codequarry import storage
