@@ -9,7 +9,6 @@ from codequarry import tables as T
 from codequarry.operators.dense_counts import dense_counts
 from codequarry.operators.incremental import IncrementalBatches
 from codequarry.operators.orphans import ALWAYS_FROM, NEVER_ENDS, month_index, month_label, orphans
-from codequarry.operators.term_counts import mark_terms, term_counts
 from codequarry.session import width, workspace
 
 # ---------------------------------------------------------------- 1: new or changed records
@@ -116,51 +115,6 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dangling(spark, sf_dir).groupBy("table_name", "period_month", "status").agg(F.count("*").alias("n_rows"))
 
 
-# ---------------------------------------------------------------- 4: term frequencies
-
-
-def term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """field, term, n_rows, n_records, all_records, mark over the three fields."""
-    r = T.read(spark, sf_dir, "refs")
-    d = T.read(spark, sf_dir, "definitions")
-    pairs = (
-        r.select(
-            F.explode(
-                F.array(
-                    F.struct(F.lit("refs.module").alias("field"), T.clean_module(F.col("module")).alias("term")),
-                    F.struct(F.lit("refs.kind").alias("field"), F.col("kind").alias("term")),
-                )
-            ).alias("x"),
-            "file_path",
-            F.col("ref_id").alias("row"),
-        )
-        .select("x.field", "x.term", F.col("file_path").alias("record"), "row")
-        .unionByName(
-            d.select(
-                F.lit("definitions.kind").alias("field"),
-                F.col("kind").alias("term"),
-                F.col("file_path").alias("record"),
-                F.col("def_id").alias("row"),
-            )
-        )
-    )
-    files = r.select(F.lit("refs").alias("t"), "file_path").unionByName(d.select(F.lit("definitions").alias("t"), "file_path"))
-    totals = files.groupBy("t").agg(F.countDistinct(F.coalesce("file_path", F.lit(""))).alias("all_records"))
-    fields = spark.createDataFrame(
-        [("refs.module", "refs"), ("refs.kind", "refs"), ("definitions.kind", "definitions")], "field string, t string"
-    )
-    return mark_terms(term_counts(pairs, width(spark)), totals.join(fields, "t").select("field", "all_records"))
-
-
-def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_table(spark, sf_dir).where("mark <> ''").select(F.col("field").alias("field_name"), "term", "mark")
-
-
-def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every term with its number of rows and of files."""
-    return term_table(spark, sf_dir).select(F.col("field").alias("field_name"), "term", "n_rows", F.col("n_records").alias("n_files"), "mark")
-
-
 # ---------------------------------------------------------------- 5: per-key results under skew
 
 
@@ -212,8 +166,6 @@ QUERIES = {
     "p1_texts": p1_texts,
     "p2_found": p2_found,
     "p2_report": p2_report,
-    "p4_found": p4_found,
-    "p4_terms": p4_terms,
     "p5_found": p5_found,
     "p5_modules": p5_modules,
 }
@@ -250,15 +202,6 @@ o AS (SELECT t.*,
       AND p.since <= t.m AND (p.until IS NULL OR p.until > t.m)))
 """
 
-_TERMS = f"""
-WITH r AS (SELECT DISTINCT ref_id, {sql_module("module")} AS module, coalesce(kind, '') AS kind, coalesce(file_path, '') AS f FROM refs),
-d AS (SELECT DISTINCT def_id, coalesce(kind, '') AS kind, coalesce(file_path, '') AS f FROM definitions),
-c AS (SELECT 'refs.module' AS field_name, module AS term, COUNT(*) AS n_rows, COUNT(DISTINCT f) AS n_files, (SELECT COUNT(DISTINCT f) FROM r) AS n FROM r GROUP BY module
-    UNION ALL SELECT 'refs.kind', kind, COUNT(*), COUNT(DISTINCT f), (SELECT COUNT(DISTINCT f) FROM r) FROM r GROUP BY kind
-    UNION ALL SELECT 'definitions.kind', kind, COUNT(*), COUNT(DISTINCT f), (SELECT COUNT(DISTINCT f) FROM d) FROM d GROUP BY kind),
-m AS (SELECT field_name, term, n_rows, n_files, CASE WHEN n_files < 3 THEN 'rare' WHEN n_files > 0.2 * n THEN 'common' ELSE '' END AS mark FROM c)
-"""
-
 _MODULES = f"""
 WITH b AS (SELECT DISTINCT 'refs' AS table_name, ref_id AS id, {sql_module("module")} AS module, line, {sql_strip("function")} <> '' AS fn FROM refs
     UNION ALL SELECT DISTINCT 'definitions', def_id, {sql_module("module")}, line, {sql_strip("function")} <> '' FROM definitions)
@@ -280,8 +223,6 @@ t AS (SELECT *, lag(x) OVER (PARTITION BY path ORDER BY batch) AS w FROM s)
 SELECT batch, path, x[3] AS size, x[4] AS checksum FROM t WHERE x[2] AND (w IS NULL OR NOT w[2] OR w[4] <> x[4])""",
     "p2_found": f"{_DANGLING} SELECT table_name, strftime(m, '%Y-%m') AS period_month, row_id FROM o",
     "p2_report": f"{_DANGLING} SELECT table_name, strftime(m, '%Y-%m') AS period_month, status, COUNT(*) AS n_rows FROM o GROUP BY ALL",
-    "p4_found": f"{_TERMS} SELECT field_name, term, mark FROM m WHERE mark <> ''",
-    "p4_terms": f"{_TERMS} SELECT field_name, term, n_rows, n_files, mark FROM m",
     "p5_found": f"""{_MODULES}, c AS (SELECT table_name, module, COUNT(*) AS n FROM b GROUP BY ALL)
 SELECT table_name, module FROM c WHERE n * 50 >= (SELECT SUM(n) FROM c x WHERE x.table_name = c.table_name)""",
     "p5_modules": f"""{_MODULES} SELECT table_name, module, COUNT(*) AS n_rows, CAST(SUM(line) AS BIGINT) AS sum_lines,
