@@ -10,7 +10,9 @@ from codequarry.llm.docpairs import PAIRED_KINDS, documented_functions
 from codequarry.llm.mixing import mix, share_report
 from codequarry.llm.packing import fill_report, pack
 from codequarry.llm.subjects import subject_areas
-from codequarry.session import workspace
+from codequarry.llm.term_counts import mark_terms, term_counts, term_tuples
+from codequarry.plans.data_queries import sql_module
+from codequarry.session import width, workspace
 
 # ---------------------------------------------------------------- 3: functions with their documentation
 
@@ -37,6 +39,31 @@ def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("path", "line", "kind", "module", "function", "arity", "doc", "doc_origin", "code")
 
 
+# ---------------------------------------------------------------- 4: term frequencies
+
+
+def term_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """field, term, n_rows, n_records, all_records, mark over the three fields."""
+    r, d = T.read(spark, sf_dir, "refs"), T.read(spark, sf_dir, "definitions")
+    of_refs = {"refs.module": T.clean_module(F.col("module")), "refs.kind": F.col("kind")}
+    tuples = term_tuples(r, of_refs, "file_path", "ref_id").unionByName(term_tuples(d, {"definitions.kind": F.col("kind")}, "file_path", "def_id"))
+    files = r.select(F.lit("refs").alias("t"), "file_path").unionByName(d.select(F.lit("definitions").alias("t"), "file_path"))
+    totals = files.groupBy("t").agg(F.countDistinct(F.coalesce("file_path", F.lit(""))).alias("all_records"))
+    fields = spark.createDataFrame(
+        [("refs.module", "refs"), ("refs.kind", "refs"), ("definitions.kind", "definitions")], "field string, t string"
+    )
+    return mark_terms(term_counts(tuples, width(spark)), totals.join(fields, "t").select("field", "all_records"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return term_table(spark, sf_dir).where("mark <> ''").select(F.col("field").alias("field_name"), "term", "mark")
+
+
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every term with its number of rows and of files."""
+    return term_table(spark, sf_dir).select(F.col("field").alias("field_name"), "term", "n_rows", F.col("n_records").alias("n_files"), "mark")
+
+
 # ---------------------------------------------------------------- 6: containers
 
 
@@ -104,6 +131,8 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p4_found": p4_found,
+    "p4_terms": p4_terms,
     "p6_packing": p6_packing,
     "p6_fill": p6_fill,
     "p7_mixture": p7_mixture,
@@ -111,4 +140,19 @@ QUERIES = {
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
-SQL: dict[str, str] = {}
+
+# ---------------------------------------------------------------- SQL
+
+_TERMS = f"""
+WITH r AS (SELECT DISTINCT ref_id, {sql_module("module")} AS module, coalesce(kind, '') AS kind, coalesce(file_path, '') AS f FROM refs),
+d AS (SELECT DISTINCT def_id, coalesce(kind, '') AS kind, coalesce(file_path, '') AS f FROM definitions),
+c AS (SELECT 'refs.module' AS field_name, module AS term, COUNT(*) AS n_rows, COUNT(DISTINCT f) AS n_files, (SELECT COUNT(DISTINCT f) FROM r) AS n FROM r GROUP BY module
+    UNION ALL SELECT 'refs.kind', kind, COUNT(*), COUNT(DISTINCT f), (SELECT COUNT(DISTINCT f) FROM r) FROM r GROUP BY kind
+    UNION ALL SELECT 'definitions.kind', kind, COUNT(*), COUNT(DISTINCT f), (SELECT COUNT(DISTINCT f) FROM d) FROM d GROUP BY kind),
+m AS (SELECT field_name, term, n_rows, n_files, CASE WHEN n_files < 3 THEN 'rare' WHEN n_files > 0.2 * n THEN 'common' ELSE '' END AS mark FROM c)
+"""
+
+SQL: dict[str, str] = {
+    "p4_found": f"{_TERMS} SELECT field_name, term, mark FROM m WHERE mark <> ''",
+    "p4_terms": f"{_TERMS} SELECT field_name, term, n_rows, n_files, mark FROM m",
+}
