@@ -6,7 +6,9 @@ an orphan if no parent was valid at the end of its period: `deleted` if one was
 becomes valid afterwards, else `missing`.
 
 Skew: intervals are collapsed before the shuffle (a set of period pairs for each key, whatever the number of its
-rows), and a key with a large share of the references is split by adaptive skew handling on the reference side.
+rows), and a key with a large share of the references is split by adaptive skew handling on the reference side. That
+takes effect only if both sides of the join are sorted right after their shuffles: the intervals are therefore collapsed
+under a finer key than the join's, so that the join shuffles them (one row a key) once more.
 """
 
 from __future__ import annotations
@@ -27,8 +29,9 @@ def month_label(index: Column) -> Column:
 
 
 def validity(parents: DataFrame, keys: list[str]) -> DataFrame:
-    """The keys, each with the set of its [valid_from, valid_to) pairs."""
-    return parents.groupBy(*keys).agg(F.collect_set(F.struct("valid_from", "valid_to")).alias("valid"))
+    """The keys, each with the set of its [valid_from, valid_to) pairs (at most one pair for any two periods)."""
+    finer = F.xxhash64(*keys).alias("_finer")
+    return parents.groupBy(*keys, finer).agg(F.collect_set(F.struct("valid_from", "valid_to")).alias("valid")).drop("_finer")
 
 
 def orphans(references: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
