@@ -1,9 +1,11 @@
 """Per-key results where a few keys hold most rows.
 
-Rows are spread over equal splits by the hash of their identifier, whatever their key. Each split encodes its keys in
-a dictionary and adds its rows up in dense arrays with numpy's bincount. What travels on is one number for each
-split and key, hashed by key; the receiving task lays the arrays of its block of keys over each other and sums
-them. No task's work depends on how many rows a key has.
+Rows are first freed of repeated deliveries, by a hash aggregation that reduces copies before they travel and leaves the
+rows spread evenly over splits, whatever their key. Each split encodes its keys in a dictionary and adds its rows up in
+dense arrays with numpy's bincount. What travels on is one number for each split and key, hashed by key; the receiving
+task lays the arrays of its block of keys over each other and sums them. No task's work depends on how many rows a key
+has, and no dictionary outgrows its bound: a split gives away what it has and begins anew, a block does so with the keys
+that are complete, since its input is sorted by key.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Keys that a dictionary holds at most before its sums are given away.
+MAX_KEYS = 500_000
+
 
 class _Block:
     """A growing dictionary of keys with dense accumulators over its codes."""
@@ -59,12 +63,13 @@ class _Block:
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array(s[lo:hi]) for s in self.sums)], names)
 
 
-def dense_counts(rows: DataFrame, keys: list[str], row_id: str, sums: list[str], splits: int) -> DataFrame:
+def dense_counts(rows: DataFrame, keys: list[str], row_id: str, sums: list[str], splits: int, max_keys: int = MAX_KEYS) -> DataFrame:
     """The keys with n_rows and the sum of each column of `sums`.
 
-    Rows with equal keys and row_id count once (delivered twice). Nulls: a NULL key is read as '', a NULL
-    value as 0, rows with a NULL row_id count together once for each key. Extra columns are ignored; an empty
-    input gives an empty result. Sums are exact over 64-bit integers.
+    Rows with equal keys and row_id count once (delivered twice), with the least of each value. Nulls: a NULL key is read
+    as '', a NULL value as 0, rows with a NULL row_id count together once for each key. Extra columns are ignored; an empty
+    input gives an empty result. Sums are exact over 64-bit integers. `max_keys` bounds the memory of a task; it has no
+    influence on the result.
     """
     n_keys = len(keys)
     names = [*keys, "n_rows", *[f"sum_{s}" for s in sums]]
@@ -72,36 +77,30 @@ def dense_counts(rows: DataFrame, keys: list[str], row_id: str, sums: list[str],
 
     def split_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(1 + len(sums))
-        last = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            first = np.ones(b.num_rows, bool)
-            if b.num_rows > 1:
-                first[1:] = False
-                for i in range(n_keys + 1):
-                    c = b.column(i)
-                    first[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
-            here = tuple(b.column(i)[0].as_py() for i in range(n_keys + 1))
-            first[0] = here != last
-            last = tuple(b.column(i)[b.num_rows - 1].as_py() for i in range(n_keys + 1))
-            b = b.filter(pa.array(first))
-            block.add(
-                [b.column(i) for i in range(1, n_keys + 1)],
-                [None, *(b.column(i).to_numpy() for i in range(n_keys + 1, b.num_columns))],
-            )
+            block.add([b.column(i) for i in range(n_keys)], [None, *(b.column(i).to_numpy() for i in range(n_keys, b.num_columns))])
+            if len(block.code) >= max_keys:
+                yield from block.batches(names)
+                block = _Block(1 + len(sums))
         yield from block.batches(names)
 
     def block_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = _Block(1 + len(sums))
         for b in batches:
+            if not b.num_rows:
+                continue
+            if len(block.code) >= max_keys and tuple(b.column(i)[0].as_py() for i in range(n_keys)) not in block.code:
+                yield from block.batches(names)  # sorted by key: none of these comes again
+                block = _Block(1 + len(sums))
             block.add([b.column(i) for i in range(n_keys)], [b.column(i).to_numpy() for i in range(n_keys, b.num_columns)])
         yield from block.batches(names)
 
     prepared = rows.select(
-        F.coalesce(F.col(row_id).cast("bigint"), F.lit(-(2**63))).alias("_row"),
+        F.col(row_id).cast("bigint").alias("_row"),
         *[F.coalesce(F.col(k).cast("string"), F.lit("")).alias(k) for k in keys],
         *[F.coalesce(F.col(s).cast("bigint"), F.lit(0)).alias(s) for s in sums],
     )
-    partial = prepared.repartition(splits, "_row").sortWithinPartitions("_row", *keys).mapInArrow(split_counts, schema)
-    return partial.repartition(splits, *keys).mapInArrow(block_sums, schema)
+    once = prepared.groupBy("_row", *keys)
+    once = once.agg(*[F.min(s).alias(s) for s in sums]) if sums else once.agg(F.lit(0)).drop("0")
+    partial = once.select(*keys, *sums).mapInArrow(split_counts, schema)
+    return partial.repartition(splits, *keys).sortWithinPartitions(*keys).mapInArrow(block_sums, schema)

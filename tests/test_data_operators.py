@@ -186,12 +186,42 @@ class TestOrphans:
         assert [i for i, _ in self.run(spark, refs, parents)] == sorted(i for i, k, p in refs if (k, p) not in valid)
 
 
+class TestHotKeys:
+    def test_a_hot_reference_key_is_split(self, spark):
+        """With thresholds below the test's size, adaptive execution splits the partition of the key that holds most references."""
+        conf = {
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        }
+        old = {k: spark.conf.get(k, None) for k in conf}
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        try:
+            refs = spark.range(0, 60_000, 1, 6).select(
+                F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 500)).alias("k"),
+                (F.col("id") % 7).cast("int").alias("period"),
+                F.col("id"),
+            )
+            parents = spark.createDataFrame([("k1", 0, 5), ("k2", 3, 9)], "k string, valid_from int, valid_to int")
+            found = orphans(refs, parents, ["k"])
+            rows = found.collect()
+            assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+            assert sum(r.k == "hot" for r in rows) == 20_000 and len({r.id for r in rows}) == len(rows)
+        finally:
+            for k, v in old.items():
+                spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class TestDenseCounts:
     SCHEMA = "t string, k string, id bigint, v int, n_rows int"
 
-    def sums(self, spark, rows, splits=4):
+    def sums(self, spark, rows, splits=4, **more):
         df = spark.createDataFrame([(*r, 0) for r in rows], self.SCHEMA)
-        return {(r.t, r.k): (r.n_rows, r.sum_v) for r in dense_counts(df, ["t", "k"], "id", ["v"], splits).collect()}
+        found = dense_counts(df, ["t", "k"], "id", ["v"], splits, **more).collect()
+        assert len(found) == len({(r.t, r.k) for r in found})
+        return {(r.t, r.k): (r.n_rows, r.sum_v) for r in found}
 
     @pytest.mark.parametrize("splits", [1, 3, 8])
     def test_against_brute_force(self, spark, splits):
@@ -202,6 +232,14 @@ class TestDenseCounts:
             n, s = want.get((t, k), (0, 0))
             want[t, k] = (n + 1, s + v)
         assert self.sums(spark, rows + rows[::7], splits) == want
+        assert self.sums(spark, rows + rows[::7], splits, max_keys=50) == want
+
+    def test_without_sums_and_with_a_hot_row(self, spark):
+        df = spark.createDataFrame([("a", "b", 1, 5, 0)] * 500 + [("a", "b", 2, 7, 0)], self.SCHEMA)
+        assert [tuple(r) for r in dense_counts(df, ["t", "k"], "id", [], 3).collect()] == [("a", "b", 2)]
+
+    def test_rows_delivered_twice_with_other_values_count_with_the_least(self, spark):
+        assert self.sums(spark, [("a", "b", 1, 5), ("a", "b", 1, 3), ("a", "b", None, 9), ("a", "b", None, 8)]) == {("a", "b"): (2, 11)}
 
     def test_nulls_and_empty(self, spark):
         assert self.sums(spark, []) == {}
