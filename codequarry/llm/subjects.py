@@ -1,7 +1,8 @@
 """Subject areas of documents by anchored non-negative matrix factorization.
 
-The document-term matrix V (hashed words and word pairs) is factored as V ~ H W by alternating multiplicative updates
-under the Kullback-Leibler divergence. One component is anchored to each subject: its row of W is seeded with the words
+The document-term matrix V (words and word pairs) is factored as V ~ H W by alternating multiplicative updates under the
+Kullback-Leibler divergence, until a round adds less than TOLERANCE to the likelihood. Its columns are an exact dictionary
+of all terms that are not too rare, so its width follows the corpus. One component is anchored to each subject: its row of W is seeded with the words
 of people's labels and of the scope note, labelled documents may only use the components of their labels and the
 background, and the seeds' counts stay in every update. Free background components take up what all texts share. A
 document's row of H, fitted to the final W, is its subject mixture.
@@ -12,7 +13,9 @@ In the final fits V holds the terms of sentences that bear a subject, each sente
 remark; the anchored components are fitted again to these, without the background, which is no longer in V.
 
 V is never held in one place: documents are featurized once into a table in the shared folder; each update broadcasts W
-(its size is fixed: 2**HASH_BITS x components) and reduces partial sums of W in blocks.
+and reduces partial sums of W in blocks. The dictionary is bounded: a term stays if it occurs in at least LEAST_DOCUMENTS
+documents and in one of RAREST documents, so there are never more terms than RAREST times the distinct terms of an average
+document, whatever the number of documents.
 """
 
 from __future__ import annotations
@@ -30,9 +33,11 @@ from pyspark.sql import functions as F
 
 from codequarry.session import width, workspace
 
-HASH_BITS = 17
+#: A term has to occur in this many documents, and in one of so many.
+LEAST_DOCUMENTS, RAREST = 3, 100_000
 BACKGROUND = 6
-ROUNDS = 3
+#: Rounds of updates end when one adds less than this to the mean log-likelihood of a term, in nats.
+TOLERANCE = 0.003
 INNER = 5
 SETTLED = 1e-3
 #: Labelled documents that at most take part in seeding, remark words and thresholds: the first by a hash of doc_id.
@@ -67,14 +72,14 @@ _codes: dict[str, int] = {}
 def _code(term: str) -> int:
     known = _codes.get(term)
     if known is None:
-        known = zlib.crc32(term.encode()) & ((1 << HASH_BITS) - 1)
+        known = zlib.crc32(term.encode()) - (1 << 31)
         if len(_codes) < 400_000:
             _codes[term] = known
     return known
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the words and neighbouring word pairs of a text, and the number of the sentence each stands in."""
+    """32-bit codes of the words and neighbouring word pairs of a text, and the number of the sentence each stands in."""
     codes: list[int] = []
     units: list[int] = []
     for u, unit in enumerate(_UNIT.split(text or "")):
@@ -96,11 +101,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- the factorization, on one batch of documents
 
-SIZE = 1 << HASH_BITS
-
 
 class Sparse:
-    """Rows of V: for each entry its document, its term and its value; entries are sorted by document."""
+    """Rows of V: for each entry its document, the number of its term and its value; entries are sorted by document."""
 
     def __init__(self, rows: np.ndarray, columns: np.ndarray, values: np.ndarray, n_docs: int):
         self.rows, self.columns, self.values, self.n_docs = rows, columns, values, n_docs
@@ -111,8 +114,8 @@ class Sparse:
         docs = np.repeat(np.arange(len(codes), dtype=np.int64), [len(c) for c in codes])
         if not len(docs):
             return cls(np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.float32), len(codes))
-        keys, n = np.unique((docs << HASH_BITS) | np.concatenate(codes), return_counts=True)
-        r, c, x = (keys >> HASH_BITS).astype(np.int32), (keys & (SIZE - 1)).astype(np.int32), np.log1p(n).astype(np.float32)
+        keys, n = np.unique((docs << 32) | np.concatenate(codes), return_counts=True)
+        r, c, x = (keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), np.log1p(n).astype(np.float32)
         if term_weight is not None:
             x = x * term_weight[c]
             keep = x > 0
@@ -153,6 +156,14 @@ def add_terms(v: Sparse, h: np.ndarray, w: np.ndarray, into: np.ndarray) -> None
     add_by_column(into, v.columns, joint)
 
 
+def likelihood(v: Sparse, h: np.ndarray, w: np.ndarray) -> float:
+    """The log-likelihood of these documents' terms, each weighing its value."""
+    if not len(v.rows):
+        return 0.0
+    model = np.einsum("ij,ij->i", h[v.rows], w[v.columns]) / np.maximum(h.sum(1), 1e-12)[v.rows]
+    return float((v.values * np.log(np.maximum(model, 1e-12))).sum())
+
+
 def add_by_column(into: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> None:
     """into[columns] += rows, columns repeating."""
     order = np.argsort(columns, kind="stable")
@@ -178,8 +189,11 @@ def normalized(w: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- sentences
 
 BEARS = 0.6  # a sentence bears a subject if one of its terms stands for it with this weight
-SHARE = 0.17  # of a document's sentences that bear a subject, the share from which it is about one
-LEAST = 0.5  # and their least number, each counted by how likely it is no remark
+# A document is about a subject from this share of its row of H, and from this amount (a sentence that is no remark adds 1).
+# These hold while W is fitted; for the answer both are chosen anew, so that they agree best with the labelled documents.
+SHARE, LEAST = 0.17, 0.5
+#: So many labelled documents are needed for choosing.
+ENOUGH = 200
 
 
 def sharpened(t: np.ndarray, frequency: np.ndarray) -> np.ndarray:
@@ -215,15 +229,28 @@ def weighted(codes: list[np.ndarray], units: list[np.ndarray], stands: np.ndarra
     part = stands.max(1)[every] ** 2
     amount = likely / np.maximum(np.add.reduceat(part, first), 1e-9)
     part = part * np.repeat(amount, np.diff(np.r_[first, len(every)]))
-    keys, at = np.unique((docs << HASH_BITS) | every, return_inverse=True)
+    keys, at = np.unique((docs << 32) | every, return_inverse=True)
     x = np.bincount(at, weights=part).astype(np.float32)
     keep = x > 0
-    return Sparse((keys[keep] >> HASH_BITS).astype(np.int32), (keys[keep] & (SIZE - 1)).astype(np.int32), x[keep], len(codes))
+    return Sparse((keys[keep] >> 32).astype(np.int32), (keys[keep] & 0xFFFFFFFF).astype(np.int32), x[keep], len(codes))
 
 
-def about(h: np.ndarray) -> np.ndarray:
+def about(h: np.ndarray, share: float = SHARE, least: float = LEAST) -> np.ndarray:
     """Which subjects a text is about, from its row of H."""
-    return (h >= LEAST) & (h >= SHARE * h.sum(1, keepdims=True))
+    return (h >= least) & (h >= share * h.sum(1, keepdims=True))
+
+
+def thresholds(h: np.ndarray, mask: np.ndarray) -> tuple[float, float]:
+    """The share and amount with which the rows of H of labelled documents agree best with their labels (F1)."""
+    if len(h) < ENOUGH:
+        return SHARE, LEAST
+    best = (-1.0, SHARE, LEAST)
+    for share in np.arange(0.05, 0.41, 0.01):
+        for least in np.arange(0.1, 2.01, 0.1):
+            said = about(h, share, least)
+            both = (said & (mask > 0)).sum()
+            best = max(best, (2 * both / max(1, said.sum() + mask.sum()), float(share), float(least)))
+    return best[1:]
 
 
 def remark_odds(counts: np.ndarray, stands: np.ndarray) -> np.ndarray:
@@ -236,24 +263,26 @@ def remark_odds(counts: np.ndarray, stands: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- over all documents
 
-_FEATURES = "doc_id bigint, lang int, labels int, codes binary, units binary"
-#: Tasks that hold a partial sum of W at most; each sends SIZE x components numbers.
+_FEATURES = "doc_id bigint, lang int, labels array<int>, codes binary, units binary"
+#: Tasks that hold a partial sum of W at most, or as many as the cluster has cores; each sends W's size of numbers.
 MAX_PARTIALS = 2048
 _SLICE = 300_000  # codes worked on at a time
+_HELD = 2_000_000  # different terms that a task counts before it gives its counts away
 
 
-def featurize(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> DataFrame:
-    """doc_id, lang (0, 1, ... by its rank, -1 for others), labels (bits of the subjects, 0 for none at all, NULL for
-    unlabelled), and the codes and sentence numbers of all words."""
-    bit = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(1 << i))]) if subjects else None
+def featurize(documents: DataFrame, labels: DataFrame, subjects: list[str], languages: list[str]) -> DataFrame:
+    """doc_id, lang (its number in `languages`, -1 for others), labels (the numbers of the subjects, empty for none at all,
+    NULL for unlabelled), and the codes and sentence numbers of all words."""
+    number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
     known = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL")
-    bits = F.coalesce(F.try_element_at(bit, F.col("subject")), F.lit(0)) if subjects else F.lit(0)
-    by_doc = (
-        known.groupBy("doc_id").agg(F.bit_or(bits).alias("labels")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
-    )
-    # At most MAX_LABELLED rows of two numbers: a bounded side.
+    # Other names than those of subjects say "none": a set of them is empty. A set has at most one number a subject.
+    by_doc = known.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.try_element_at(number, F.col("subject")))).alias("labels"))
+    by_doc = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
+    # At most MAX_LABELLED rows of an identifier and a few numbers: a bounded side.
     rows = documents.where("doc_id IS NOT NULL").select("doc_id", "text", "lang").join(F.broadcast(by_doc), "doc_id", "left_outer")
-    lang = F.when(F.col("lang") == "en", 0).when(F.col("lang") == "de", 1).when(F.col("lang") == "es", 2).otherwise(-1)
+    lang = F.lit(-1)
+    for i, name in enumerate(languages):
+        lang = F.when(F.col("lang") == name, i).otherwise(lang)
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -266,6 +295,55 @@ def featurize(documents: DataFrame, labels: DataFrame, subjects: list[str]) -> D
     return rows.select("doc_id", lang.alias("lang"), "labels", "text").mapInPandas(extract, _FEATURES)
 
 
+def common_languages(documents: DataFrame) -> list[str]:
+    """The most frequent languages, one for each background component at most; `und` says that there is none."""
+    counts = documents.where("lang IS NOT NULL AND lang NOT IN ('und', '')").groupBy("lang").count()
+    return [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").limit(BACKGROUND).collect()]
+
+
+def dictionary(table: DataFrame, n_docs: int) -> np.ndarray:
+    """The codes of all terms that are not too rare, sorted."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, sums = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        for b in batches:
+            own = [np.unique(np.frombuffer(x, np.int32)) for x in b["codes"]]
+            merged, at = np.unique(np.concatenate([held, *own]), return_inverse=True)
+            more = np.bincount(at[len(held) :], minlength=len(merged))
+            more[at[: len(held)]] += sums
+            held, sums = merged, more
+            if len(held) > _HELD:
+                yield pd.DataFrame({"code": held, "n": sums})
+                held, sums = held[:0], sums[:0]
+        yield pd.DataFrame({"code": held, "n": sums})
+
+    least = max(LEAST_DOCUMENTS, -(-n_docs // RAREST))
+    counts = table.select("codes").mapInPandas(count, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    return np.sort(counts.where(F.col("n") >= least).select("code").toPandas()["code"].to_numpy(np.int32))
+
+
+def numbered(table: DataFrame, codes) -> DataFrame:
+    """`table` with the numbers of terms in the dictionary in place of their codes; other terms are left out."""
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = codes.value
+        for b in batches:
+            found = [_numbers(np.frombuffer(x, np.int32), known) for x in b["codes"]]
+            b["codes"] = [at[keep].astype(np.int32).tobytes() for at, keep in found]
+            b["units"] = [np.frombuffer(u, np.int32)[keep].tobytes() for u, (_, keep) in zip(b["units"], found, strict=True)]
+            yield b
+
+    return table.mapInPandas(encode, _FEATURES)
+
+
+def _numbers(codes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each code in the dictionary, and which of them are in it."""
+    if not len(known):
+        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
+    return at, known[at] == codes
+
+
 def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray], list[np.ndarray]]]:
     """Documents in slices of a bounded number of codes."""
     for b in batches:
@@ -282,34 +360,38 @@ def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, lis
 def _label_mask(part: pd.DataFrame, n_subjects: int) -> tuple[np.ndarray, np.ndarray]:
     """Which documents are labelled, and their labels as 0 and 1."""
     known = part["labels"].notna().to_numpy()
-    bits = part["labels"].fillna(0).astype(np.int64).to_numpy()
-    return known, (bits[:, None] >> np.arange(n_subjects)) & 1
+    mask = np.zeros((len(part), n_subjects), np.int64)
+    for i in np.flatnonzero(known):
+        mask[i, part["labels"].iloc[i]] = 1
+    return known, mask
 
 
-def _reduced(spark: SparkSession, table: DataFrame, n_columns: int, add) -> np.ndarray:
-    """The sum over all documents of what `add(into, part, codes, units)` puts into an array of SIZE x n_columns.
+def _reduced(table: DataFrame, size: int, n_columns: int, add) -> np.ndarray:
+    """The sum over all documents of what `add(into, part, codes, units)` puts into an array of size x n_columns.
 
     Every task sums into its own array; the arrays' blocks are summed by block number, and the sum, whose size
     does not depend on the number of documents, comes to the driver.
     """
+    n_blocks = -(-size // BLOCK)
+    sc = table.sparkSession.sparkContext
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        into = np.zeros((SIZE, n_columns), np.float64)
+        into = np.zeros((n_blocks * BLOCK, n_columns), np.float64)
         for part, codes, units in _slices(batches):
             add(into, part, codes, units)
-        blocks = into.reshape(SIZE // BLOCK, BLOCK, n_columns)
-        for k in range(0, len(blocks), 8):
-            used = [i for i in range(k, k + 8) if blocks[i].any()]
+        blocks = into.reshape(n_blocks, BLOCK, n_columns)
+        for k in range(0, n_blocks, 8):
+            used = [i for i in range(k, min(k + 8, n_blocks)) if blocks[i].any()]
             yield pd.DataFrame({"block": used, "data": [blocks[i].astype(np.float32).tobytes() for i in used]})
 
-    partials = table.coalesce(MAX_PARTIALS).mapInPandas(partial, "block int, data binary")
-    out = np.zeros((SIZE // BLOCK, BLOCK, n_columns))
-    for row in _block_sums(partials).collect():
+    partials = table.coalesce(max(MAX_PARTIALS, sc.defaultParallelism)).mapInPandas(partial, "block int, data binary")
+    out = np.zeros((n_blocks, BLOCK, n_columns))
+    for row in _block_sums(partials, n_blocks).collect():
         out[row.block] = np.frombuffer(row.data, np.float64).reshape(BLOCK, n_columns)
-    return out.reshape(SIZE, n_columns)
+    return out.reshape(n_blocks * BLOCK, n_columns)[:size]
 
 
-def _block_sums(partials: DataFrame) -> DataFrame:
+def _block_sums(partials: DataFrame, n_blocks: int) -> DataFrame:
     """The sum of the partial blocks of each block number, read as a stream."""
 
     def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -321,11 +403,11 @@ def _block_sums(partials: DataFrame) -> DataFrame:
         yield pd.DataFrame({"block": list(sums), "data": [x.tobytes() for x in sums.values()]})
 
     # One block number is at most one array of BLOCK x components; a task has only those it was dealt.
-    return partials.repartition(min(width(partials.sparkSession), SIZE // BLOCK), "block").mapInPandas(stream, "block int, data binary")
+    return partials.repartition(max(1, min(width(partials.sparkSession), n_blocks)), "block").mapInPandas(stream, "block int, data binary")
 
 
 def subject_areas(
-    spark: SparkSession, documents: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], rounds: int = ROUNDS, inner: int = INNER
+    spark: SparkSession, documents: DataFrame, labels: DataFrame, subjects: list[tuple[str, str]], tolerance: float = TOLERANCE, inner: int = INNER
 ) -> DataFrame:
     """doc_id, subject, share: the subject areas of every document, by the method of this module.
 
@@ -340,44 +422,49 @@ def subject_areas(
     empty = "doc_id bigint, subject string, share double"
     if not names:
         return spark.createDataFrame([], empty)
-    folder = workspace(spark, "subjects")
-    featurize(documents, labels, names).write.parquet(folder)
-    table = spark.read.schema(_FEATURES).parquet(folder)
-    sc = spark.sparkContext
+    sc, folder = spark.sparkContext, workspace(spark, "subjects")
+    languages = common_languages(documents)
+    featurize(documents, labels, names, languages).write.parquet(f"{folder}/codes")
+    table = spark.read.schema(_FEATURES).parquet(f"{folder}/codes")
+    by_lang = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}  # one row for each language seeded
+    n_docs = max(1, sum(by_lang.values()))
+    codes = dictionary(table, n_docs)
+    size, n_lang = max(1, len(codes)), max(1, len(languages))
+    numbered(table, sc.broadcast(codes)).write.parquet(f"{folder}/terms")
+    table = spark.read.schema(_FEATURES).parquet(f"{folder}/terms")
 
-    # One pass for everything the start needs: document frequency, frequency by language, masses by language, seeds.
+    # One pass for everything the start needs: document frequency, frequency and masses by language, seeds.
     def start(into, part, codes, units):
         v = Sparse.of(codes)
         lang = part["lang"].to_numpy()[v.rows]
         known, mask = _label_mask(part, n_sub)
-        cols = np.zeros((len(v.rows), 9 + n_sub), np.float32)
+        cols = np.zeros((len(v.rows), 3 + 2 * n_lang + n_sub), np.float32)
         cols[:, 0] = 1
-        cols[:, 7] = known[v.rows]
-        cols[:, 8] = (known & (mask.sum(1) == 0))[v.rows]
-        for g in range(3):
-            cols[:, 1 + g] = lang == g
-            cols[:, 4 + g] = (lang == g) * v.values
-        cols[:, 9:] = mask[v.rows] * v.values[:, None]
+        cols[:, 1] = known[v.rows]
+        cols[:, 2] = (known & (mask.sum(1) == 0))[v.rows]
+        for g in range(n_lang):
+            cols[:, 3 + g] = lang == g
+            cols[:, 3 + n_lang + g] = (lang == g) * v.values
+        cols[:, 3 + 2 * n_lang :] = mask[v.rows] * v.values[:, None]
         if len(v.rows):
             add_by_column(into, v.columns, cols)
 
-    first = _reduced(spark, table, 9 + n_sub, start)
-    by_lang = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}  # one row for each of four codes
-    n_docs = max(1, sum(by_lang.values()))
+    first = _reduced(table, size, 3 + 2 * n_lang + n_sub, start)
     frequency = first[:, 0]
-    weight = np.where(frequency >= 3, np.log(n_docs / np.maximum(frequency, 1)) / 3, 0).clip(0).astype(np.float32)
-    seeds = first[:, 9:] * weight[:, None]
+    weight = np.where(frequency > 0, np.log(n_docs / np.maximum(frequency, 1)) / 3, 0).clip(0).astype(np.float32)
+    seeds = first[:, 3 + 2 * n_lang :] * weight[:, None]
     # Words that people mostly found in texts of no subject: alone in a short text they would stand for whatever it is.
-    idle = (first[:, 7] >= 3) & (first[:, 8] >= 0.5 * first[:, 7])
+    idle = (first[:, 1] >= 3) & (first[:, 2] >= 0.5 * first[:, 1])
     for k, (name, note) in enumerate(subjects):
-        np.add.at(seeds[:, k], features(f"{name} {note or ''}")[0], 1.0)
+        at, known = _numbers(features(f"{name} {note or ''}")[0], codes)
+        np.add.at(seeds[:, k], at[known], 1.0)
     rng = np.random.default_rng(7)
-    w0 = np.zeros((SIZE, k_all))
+    w0 = np.zeros((size, k_all))
     w0[:, :n_sub] = seeds
     for b in range(BACKGROUND):
-        g = b % 3
-        usual = np.minimum(1, first[:, 1 + g] / max(1, by_lang.get(g, 0)))
-        w0[:, n_sub + b] = first[:, 4 + g] * weight * usual * rng.uniform(0.8, 1.2, SIZE) + 1e-5
+        g = b % n_lang
+        usual = np.minimum(1, first[:, 3 + g] / max(1, by_lang.get(g, 0)))
+        w0[:, n_sub + b] = first[:, 3 + n_lang + g] * weight * usual * rng.uniform(0.8, 1.2, size) + 1e-5
     w = normalized(w0)
     b_weight = sc.broadcast(weight)
 
@@ -387,17 +474,26 @@ def subject_areas(
         a[known, :n_sub] = mask[known]
         return a
 
-    for _ in range(rounds):
+    last = -np.inf
+    while True:
         b_w = sc.broadcast(w)
 
         def update(into, part, codes, units, b_w=b_w):
             v = Sparse.of(codes, b_weight.value)
-            add_terms(v, fit_mixtures(v, b_w.value, allowed(part), inner), b_w.value, into)
-
-        sums = _reduced(spark, table, k_all, update)
+            h = fit_mixtures(v, b_w.value, allowed(part), inner)
+            add_terms(v, h, b_w.value, into[:, :k_all])
+            into[0, k_all] += likelihood(v, h, b_w.value)
+            into[0, k_all + 1] += v.values.sum()
+
+        sums = _reduced(table, size, k_all + 2, update)
+        fit = sums[0, k_all] / max(1e-9, sums[0, k_all + 1])
+        sums = sums[:, :k_all]
         sums[:, :n_sub] += 2 * seeds
         w = normalized(sums)
         b_w.unpersist()
+        if fit - last < tolerance:
+            break
+        last = fit
     b_w = sc.broadcast(w)
 
     # What each term stands for: the mean subject mixture of its documents.
@@ -412,7 +508,7 @@ def subject_areas(
         found[idle] = 0
         return found
 
-    stands = smoothed(_reduced(spark, table, n_sub + 1, stand))
+    stands = smoothed(_reduced(table, size, n_sub + 1, stand))
     labelled = table.where("labels IS NOT NULL")
     for again in range(3):
         b_stands = sc.broadcast(stands)
@@ -430,7 +526,7 @@ def subject_areas(
                     words = np.unique(c[at[j] : ends[j]])
                     into[words[context[words]], 1 - mask[i, score[j].argmax()]] += 1
 
-        remark = remark_odds(_reduced(spark, labelled, 2, around), stands)
+        remark = remark_odds(_reduced(labelled, size, 2, around), stands)
         b_remark = sc.broadcast(remark)
         if again == 2:
             break
@@ -449,16 +545,29 @@ def subject_areas(
             h[told] = mask[told]
             add_shares(Sparse.of(codes), h, into[:, n_sub:])
 
-        sums = _reduced(spark, table, 2 * n_sub + 1, refine)
+        sums = _reduced(table, size, 2 * n_sub + 1, refine)
         w = normalized(sums[:, :n_sub])
         stands = smoothed(sums[:, n_sub:])
     b_w = sc.broadcast(w)
 
+    def mixtures(codes, units):
+        return fit_mixtures(weighted(codes, units, b_stands.value, b_remark.value), b_w.value, inner=None)
+
+    def rows_of_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, codes, units in _slices(batches):
+            _, mask = _label_mask(part, n_sub)
+            yield pd.DataFrame({"h": [x.tobytes() for x in mixtures(codes, units)], "mask": [x.tobytes() for x in mask]})
+
+    # At most MAX_LABELLED rows of as many numbers as there are subjects.
+    known = labelled.mapInPandas(rows_of_labelled, "h binary, mask binary").collect()
+    h_known = np.array([np.frombuffer(r.h, np.float32) for r in known]).reshape(-1, n_sub)
+    share_from, least = thresholds(h_known, np.array([np.frombuffer(r["mask"], np.int64) for r in known]).reshape(-1, n_sub))
+
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part, codes, units in _slices(batches):
-            n = fit_mixtures(weighted(codes, units, b_stands.value, b_remark.value), b_w.value, inner=None)
+            n = mixtures(codes, units)
             total = n.sum(1, keepdims=True)
-            doc, subject = np.nonzero(about(n))
+            doc, subject = np.nonzero(about(n, share_from, least))
             ids = part["doc_id"].to_numpy()
             yield pd.DataFrame(
                 {"doc_id": ids[doc], "subject": [names[k] for k in subject], "share": n[doc, subject] / total[doc, 0]}

@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from codequarry.llm.subjects import SIZE, Sparse, about, add_terms, features, fit_mixtures, normalized, subject_areas, weighted
+from codequarry.llm import subjects as S
+from codequarry.llm.subjects import Sparse, _numbers, about, add_terms, features, fit_mixtures, normalized, subject_areas, weighted
 
 TOPICS = {
     "sea": "harbour anchor sailor mast tide vessel rudder compass voyage island lagoon reef".split(),
@@ -46,7 +47,7 @@ def test_updates_never_lessen_the_fit():
     rng = np.random.default_rng(0)
     codes = [rng.integers(0, 200, 60).astype(np.int32) for _ in range(40)]
     v = Sparse.of(codes)
-    w = normalized(np.where(np.arange(SIZE)[:, None] < 200, rng.random((SIZE, 4)), 0))
+    w = normalized(np.where(np.arange(256)[:, None] < 200, rng.random((256, 4)), 0))
     last = -np.inf
     for _ in range(6):
         h = fit_mixtures(v, w, inner=30)
@@ -83,16 +84,53 @@ def test_held_out_accuracy(spark):
 
 
 def test_a_sentence_adds_to_every_subject_it_bears():
-    stands = np.zeros((SIZE, 3), np.float32)
-    for k, word in enumerate(("anchor", "tractor", "violin")):
-        stands[features(word)[0], k] = 0.9
     texts = ["The anchor is next to the tractor.\nA tractor and an anchor.", "The violin.\nThe tractor stands.", "Nothing."]
     codes, units = zip(*[features(x) for x in texts], strict=True)
-    v = weighted(list(codes), list(units), stands, np.zeros(SIZE, np.float32))
+    known = np.unique(np.concatenate(codes))  # the dictionary of these texts
+    codes = [_numbers(c, known)[0] for c in codes]
+    stands = np.zeros((256, 3), np.float32)
+    for k, word in enumerate(("anchor", "tractor", "violin")):
+        stands[_numbers(features(word)[0], known)[0], k] = 0.9
+    v = weighted(list(codes), list(units), stands, np.zeros(256, np.float32))
     found = about(fit_mixtures(v, normalized(stands * 1000), inner=None))
     assert found.tolist() == [[True, True, False], [False, True, True], [False, False, False]]
 
 
+def test_the_dictionary_counts_documents_and_grows_with_the_corpus(spark, monkeypatch):
+    monkeypatch.setattr(S, "_HELD", 40)  # counts are given away in between
+    rows = [(i, "common words here", [f"w{i % 7}"] * 3, "rare" if i < 2 else "") for i in range(60)]
+    texts = [(i, " ".join([a, *b, c])) for i, a, b, c in rows]
+    table = S.featurize(spark.createDataFrame([(i, t, "en") for i, t in texts], "doc_id bigint, text string, lang string"), spark.createDataFrame([], "doc_id bigint, subject string"), ["x"], ["en"])
+    want = {}
+    for _, t in texts:
+        for c in set(features(t)[0].tolist()):
+            want[c] = want.get(c, 0) + 1
+    assert S.dictionary(table, 60).tolist() == sorted(c for c, n in want.items() if n >= 3)
+    assert S.dictionary(table, 2_000_000).tolist() == sorted(c for c, n in want.items() if n >= 20)
+
+
+def test_many_subjects_and_other_languages(spark):
+    """More subjects than a number has bits, and a language that no rule names."""
+    words = [f"{a}{b}tor" for a in "bdfgklmn" for b in "aeiouyaeio"][:70]
+    subjects = [(f"s{i}", f"matter of {w}") for i, w in enumerate(words)]
+    docs = [(i, f"le {words[i % 70]} est grand.\nun {words[i % 70]} est la.", "fr") for i in range(700)]
+    labels = [(i, f"s{i % 70}") for i in range(0, 350)]
+    found = subject_areas(spark, spark.createDataFrame(docs, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, subject string"), subjects)
+    got = {r.doc_id: r.subject for r in found.collect()}
+    distinct = [i for i in range(350, 700) if words.count(words[i % 70]) == 1]
+    assert sum(got.get(i) == f"s{i % 70}" for i in distinct) > 0.9 * len(distinct)
+
+
+def test_thresholds_follow_the_labels():
+    rng = np.random.default_rng(1)
+    mask = np.zeros((400, 3), np.int64)
+    mask[np.arange(400), rng.integers(0, 3, 400)] = 1
+    h = (mask * 6 + (1 - mask) * rng.uniform(0.6, 1.6, mask.shape)).astype(np.float32)  # remarks of up to a fifth
+    share, least = S.thresholds(h, mask)
+    assert (S.about(h, share, least) == (mask > 0)).mean() > 0.99
+    assert S.thresholds(h[:10], mask[:10]) == (S.SHARE, S.LEAST)
+
+
 def test_nothing(spark):
     documents = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     labels = spark.createDataFrame([], "doc_id bigint, subject string")
