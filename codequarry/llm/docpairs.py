@@ -205,9 +205,14 @@ def _body_end(tokens: list[Token], i: int) -> int:
             continue
         elif k == "eol" and brackets <= 0:
             before = tokens[i - 1].kind if i > start else ""
-            after = next((t.kind for t in tokens[i + 1 : i + 40] if t.kind != "eol"), "")
+            j = i + 1
+            while j < n and tokens[j].kind == "eol":
+                j += 1
+            after = tokens[j].kind if j < n else ""
             if before not in (",", "|>", "=", "<>", "->", "when", "key", "\\\\", "||", "&&") and after not in ("|>", "do", "<>", "when"):
                 return i
+            i = j
+            continue
         elif k in DEF_WORDS or k in MODULE_WORDS:
             return i
         i += 1
