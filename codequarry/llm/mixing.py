@@ -1,9 +1,10 @@
 """Mixing sources to target weights.
 
 Each source's tokens are packed into blocks of one length. Every output shard draws how many of its slots each source
-gets from a multinomial distribution, conditioned so that all shards together keep the target shares; the slots of a source, counted through all shards, run through pseudorandom
-permutations of its blocks, one for each repetition, and are joined with the blocks by index. The mixture is as long as
-the scarcest source allows within its repeats.
+gets from a multinomial distribution, conditioned so that every stretch of shards keeps the target shares (in slots; a
+source's last blocks may be short, so its share of tokens is near, not equal); the slots of a source, counted through all
+shards, run through pseudorandom permutations of its blocks, one for each repetition, and are joined with the blocks by
+index. The mixture is as long as the scarcest source allows within its repeats.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ BLOCK_TOKENS = 1024
 #: Tokens of one stretch of a source that is packed in one go; its last block may be short.
 CHUNK_TOKENS = 4_000_000
 SHARD_SLOTS = 256
+#: Slots over which the shares are kept exactly; within such a stretch the shards' counts are drawn.
+STRETCH_SLOTS = 1 << 20
 SEED = 20240101
 _PIECES = "array<struct<doc_id: bigint, token_start: bigint, n_tokens: bigint>>"
 _BLOCKS = f"source string, chunk bigint, local bigint, n_tokens bigint, pieces {_PIECES}"
@@ -80,9 +83,13 @@ def blocks_of(spark: SparkSession, documents: DataFrame, sources: list[str], blo
     folder = workspace(spark, "blocks")
     cut_blocks.write.parquet(folder)
     blocks = spark.read.schema(_BLOCKS).parquet(folder)
-    counts = blocks.groupBy("source", "chunk").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("source", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    counts = blocks.groupBy("source", "chunk").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("chunk") / 1000))
+    # Blocks before a chunk: those of earlier groups of chunks, then those of earlier chunks of its group.
+    earlier = Window.partitionBy("source").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy("source", "group").agg(F.sum("n").alias("n")).select("source", "group", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    before = Window.partitionBy("source", "group").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    within = counts.select("source", "group", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("more"))
+    offsets = within.join(groups, ["source", "group"]).select("source", "chunk", (F.col("start") + F.col("more")).alias("offset"))
     return blocks.join(offsets, ["source", "chunk"]).select("source", (F.col("offset") + F.col("local")).alias("index"), "n_tokens", "pieces")
 
 
@@ -121,21 +128,23 @@ def quotas(shares: np.ndarray, most: np.ndarray) -> np.ndarray:
 def shard_counts(shard: int, totals: np.ndarray, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """How many slots of a shard each source gets, and how many it had in all shards before.
 
-    The counts of the shards are a multinomial draw under the condition that they add up to `totals`: the range of all
-    shards is halved again and again, and the sources' slots are split between the halves hypergeometrically, with a
-    generator seeded by the range. Every shard repeats only the splits on its own way down.
+    The shards form stretches of about STRETCH_SLOTS slots. A stretch has of every source what lies between its ends on the
+    way from 0 to `totals`, in whole slots. The counts of its shards are a multinomial draw under the condition that they
+    add up to that: the range of its shards is halved again and again, and the sources' slots are split between the halves
+    hypergeometrically, with a generator seeded by the range. Every shard repeats only the splits on its own way down.
     """
-    lo, hi = 0, -(-int(totals.sum()) // shard_slots)
-    here, before = totals.astype(np.int64), np.zeros(len(totals), np.int64)
+    n_shards = -(-int(totals.sum()) // shard_slots)
+    stretch = max(1, STRETCH_SLOTS // shard_slots)
+    lo = shard // stretch * stretch
+    hi = min(lo + stretch, n_shards)
+    until = lambda at: np.array([int(t) * at // n_shards for t in totals], np.int64)
+    before = until(lo)
+    here = until(hi) - before
+    size = max(shard_slots, -(-int(here.sum()) // (hi - lo)))  # whole slots: a stretch may have a few more than its shards' slots
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        n = min((mid - lo) * shard_slots, int(here.sum()))
-        if here.sum() < 10**9:
-            left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(here, n, method="marginals")
-        else:  # beyond the generator's range the draw's relative spread is below one in thirty thousand: split evenly
-            exact = here * (n / here.sum())
-            left = np.floor(exact).astype(np.int64)
-            left[np.argsort(left - exact, kind="stable")[: n - int(left.sum())]] += 1
+        n = min((mid - lo) * size, int(here.sum()))
+        left = np.random.default_rng([seed, lo, hi]).multivariate_hypergeometric(here, n, method="marginals")
         if shard < mid:
             here, hi = left, mid
         else:
@@ -143,6 +152,17 @@ def shard_counts(shard: int, totals: np.ndarray, shard_slots: int, seed: int) ->
     return here, before
 
 
+def wanted_sources(targets: list[tuple[str, float, int]]) -> dict[str, list]:
+    """Share and greatest number of repeats of each source that can take part."""
+    wanted: dict[str, list] = {}
+    for source, share, repeats in targets:
+        if source is not None and share and share > 0 and repeats and repeats > 0:
+            entry = wanted.setdefault(source.strip().lower(), [0.0, 0])
+            entry[0] += share
+            entry[1] = max(entry[1], int(repeats))
+    return wanted
+
+
 def mix(
     spark: SparkSession,
     documents: DataFrame,
@@ -152,6 +172,7 @@ def mix(
     shard_slots: int = SHARD_SLOTS,
     vocabulary: str = VOCABULARY,
     seed: int = SEED,
+    blocks: DataFrame | None = None,
 ) -> DataFrame:
     """shard, slot, source, repeat, index, n_tokens, pieces: one mixture of the sources of `targets`.
 
@@ -159,15 +180,12 @@ def mix(
     share or repeats of 0 or NULL get nothing, and the others' shares are scaled up to 1. No block is used more often
     than its source's repeats allow. `pieces` are the stretches of documents that a block is made of. Nulls: documents
     without doc_id or source are left out, NULL and empty texts have no tokens. Repeated rows count as often as they are
-    there. Extra columns are ignored; without usable documents the result is empty.
+    there. Extra columns are ignored; without usable documents the result is empty. Who needs the blocks of `blocks_of` too
+    makes them first and passes them as `blocks`.
     """
-    wanted: dict[str, list] = {}
-    for source, share, repeats in targets:
-        if source is not None and share and share > 0 and repeats and repeats > 0:
-            entry = wanted.setdefault(source.strip().lower(), [0.0, 0])
-            entry[0] += share
-            entry[1] = max(entry[1], int(repeats))
-    blocks = blocks_of(spark, documents, list(wanted), block_tokens, chunk_tokens, vocabulary)
+    wanted = wanted_sources(targets)
+    if blocks is None:
+        blocks = blocks_of(spark, documents, list(wanted), block_tokens, chunk_tokens, vocabulary)
     n_blocks = {r["source"]: r["count"] for r in blocks.groupBy("source").count().collect()}  # one row for each source
     names = sorted(s for s in wanted if n_blocks.get(s))
     shares = np.array([wanted[s][0] for s in names])
@@ -202,24 +220,33 @@ def mix(
 
     placed = slots.mapInPandas(place, "shard bigint, source string, g bigint, repeat bigint, index bigint")
     in_shard = Window.partitionBy("shard").orderBy(F.xxhash64("source", "g"), "source", "g")
-    numbered = placed.withColumn("slot", F.row_number().over(in_shard) - 1)  # a shard has at most shard_slots rows
+    numbered = placed.withColumn("slot", F.row_number().over(in_shard) - 1)  # a shard has about shard_slots rows
     return numbered.join(blocks, ["source", "index"]).select("shard", "slot", "source", "repeat", "index", "n_tokens", "pieces")
 
 
-def share_report(mixture: DataFrame, targets: DataFrame) -> DataFrame:
-    """For each source of the target table the tokens in the mixture and the share reached, beside the target."""
-    used = mixture.groupBy("source").agg(F.sum("n_tokens").alias("n_tokens"), F.max("repeat").alias("last_repeat"))
+def share_report(mixture: DataFrame, targets: DataFrame, blocks: DataFrame | None = None) -> DataFrame:
+    """For each source of the target table the tokens in the mixture and the share reached, beside the target.
+
+    With `blocks` (of `blocks_of`) also how many tokens the source has, and how many of them the mixture leaves unused.
+    """
+    used = mixture.groupBy("source").agg(
+        F.sum("n_tokens").alias("n_tokens"), F.max("repeat").alias("last_repeat"), F.sum(F.when(F.col("repeat") == 0, F.col("n_tokens"))).alias("once")
+    )
     # One row for each source: a single partition of them is as small as the target table.
     used = used.withColumn("all_tokens", F.sum("n_tokens").over(Window.partitionBy(F.lit(0))))
-    return (
-        targets.withColumn("source", source_name(F.col("source")))
-        .join(F.broadcast(used), "source", "left_outer")
-        .select(
-            "source",
-            "target_share",
-            F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
-            F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
-            F.coalesce(F.col("last_repeat") + 1, F.lit(0)).alias("n_repeats"),
-            "max_repeats",
-        )
+    rows = targets.withColumn("source", source_name(F.col("source"))).join(F.broadcast(used), "source", "left_outer")
+    more = []
+    if blocks is not None:
+        rows = rows.join(F.broadcast(blocks.groupBy("source").agg(F.sum("n_tokens").alias("available"))), "source", "left_outer")
+        available = F.coalesce("available", F.lit(0))
+        # The first repetition has every block at most once, later ones only blocks that it had before.
+        more = [available.alias("n_available"), (available - F.coalesce("once", F.lit(0))).alias("n_unused")]
+    return rows.select(
+        "source",
+        "target_share",
+        F.coalesce(F.col("n_tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"),
+        F.coalesce("n_tokens", F.lit(0)).alias("n_tokens"),
+        F.coalesce(F.col("last_repeat") + 1, F.lit(0)).alias("n_repeats"),
+        "max_repeats",
+        *more,
     )

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codequarry import tables as T
 from codequarry.llm.docpairs import PAIRED_KINDS, documented_functions
-from codequarry.llm.mixing import mix, share_report
+from codequarry.llm.mixing import BLOCK_TOKENS, CHUNK_TOKENS, blocks_of, mix, share_report, source_name, wanted_sources
 from codequarry.llm.packing import fill_report, pack
 from codequarry.llm.subjects import subject_areas
 from codequarry.llm.term_counts import mark_terms, term_counts, term_tuples
+from codequarry.llm.tokens import VOCABULARY
 from codequarry.plans.data_queries import sql_module
 from codequarry.session import width, workspace
 
@@ -18,17 +19,25 @@ from codequarry.session import width, workspace
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs of the functions that `definitions` lists, by file, name and line."""
+    """Pairs of the functions that `definitions` lists, by file, name, parameters and line.
+
+    A function with defaults is listed once for each arity, with its first parameters; a NULL list agrees with any."""
     listed = (
         T.read(spark, sf_dir, "definitions")
         .where("function <> ''")
         .select(
-            T.clean_path(F.col("file_path")).alias("path"), T.strip(F.col("function")).alias("function"), "line"
+            T.clean_path(F.col("file_path")).alias("path"),
+            T.strip(F.col("function")).alias("function"),
+            "line",
+            F.col("params").alias("listed"),
         )
         .distinct()
     )
     sources = T.read(spark, sf_dir, "sources").withColumn("path", T.clean_path(F.col("path")))
-    return documented_functions(sources, PAIRED_KINDS).join(listed, ["path", "function", "line"], "left_semi")
+    found = documented_functions(sources, PAIRED_KINDS)
+    first = F.startswith(F.concat(F.array_join(found["params"], ","), F.lit(",")), F.concat(listed["listed"], F.lit(",")))
+    same = [found[c] == listed[c] for c in ("path", "function", "line")]
+    return found.join(listed, [*same, listed["listed"].isNull() | (listed["listed"] == "") | first], "left_semi")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,23 +90,94 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(packed(spark, sf_dir), T.read(spark, sf_dir, "containers"))
 
 
+def p6_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the packing, for each capacity: every document is in it, no container is over its capacity, the parts
+    of a document are its tokens from the first to the last without gap, overlap or repetition, only documents larger than
+    the container are split, and 95 % of the room is filled, not counting one container a shard."""
+    folder = workspace(spark, "packing")
+    packed(spark, sf_dir).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    containers = T.read(spark, sf_dir, "containers").select("container", "capacity_tokens")
+    bins = rows.groupBy("container", "bin").agg(F.sum("n_tokens").alias("used")).join(F.broadcast(containers), "container")
+    shards = bins.groupBy("container").agg(
+        F.count_if(F.col("used") > F.col("capacity_tokens")).alias("overfull"),
+        (F.sum("used") >= 0.95 * (F.count("*") - F.countDistinct(F.substring_index("bin", "-", 1))) * F.max("capacity_tokens")).alias("well_filled"),
+    )
+    docs = rows.groupBy("container", "doc_id").agg(
+        F.count("*").alias("parts"), F.countDistinct("part").alias("own"), F.max("part").alias("last"), F.min("token_start").alias("first"),
+        F.max(F.col("token_start") + F.col("n_tokens")).alias("end"), F.sum("n_tokens").alias("n"),
+    ).join(F.broadcast(containers), "container")
+    whole = (F.col("first") == 0) & (F.col("end") == F.col("n")) & (F.col("own") == F.col("parts")) & (F.col("last") == F.col("parts") - 1)
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") / F.col("capacity_tokens")))
+    by_doc = docs.groupBy("container").agg(
+        F.count("*").alias("n_documents"), F.count_if(~whole).alias("torn"), F.count_if(F.col("parts") != least).alias("split_without_need"),
+        F.count_if(F.col("n") > 0).alias("with_tokens"),
+    )
+    return containers.join(F.broadcast(shards), "container").join(F.broadcast(by_doc), "container").drop("capacity_tokens")
+
+
 # ---------------------------------------------------------------- 7: mixture
 
 
-def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+def mixture(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The mixture, and the blocks that it is drawn from."""
     targets = [(r.source, r.target_share, r.max_repeats) for r in T.read(spark, sf_dir, "source_targets").orderBy("source").collect()]
-    return mix(spark, T.read(spark, sf_dir, "documents"), targets)
+    documents = T.read(spark, sf_dir, "documents")
+    blocks = blocks_of(spark, documents, list(wanted_sources(targets)), BLOCK_TOKENS, CHUNK_TOKENS, VOCABULARY)
+    return mix(spark, documents, targets, blocks=blocks), blocks
 
 
 def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixture(spark, sf_dir)
+    return mixture(spark, sf_dir)[0]
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shares that the mixture reaches, beside their targets."""
+    """The shares that the mixture reaches, beside their targets, and what it leaves unused of each source."""
     folder = workspace(spark, "mixture")
-    mixture(spark, sf_dir).drop("pieces").write.parquet(folder)
-    return share_report(spark.read.parquet(folder), T.read(spark, sf_dir, "source_targets"))
+    mixed, blocks = mixture(spark, sf_dir)
+    mixed.drop("pieces").write.parquet(folder)
+    return share_report(spark.read.parquet(folder), T.read(spark, sf_dir, "source_targets"), blocks)
+
+
+def p7_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mixture, for each source of the targets: no block used twice in one repetition or more often
+    than allowed, no piece outside its document or overlapping another of its repetition, and the share of tokens within two
+    points of the target (and, since shares come in whole slots, one slot a source), where the targets of sources without
+    documents are dealt to the others."""
+    folder = workspace(spark, "mixture")
+    mixed, blocks = mixture(spark, sf_dir)
+    mixed.write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    targets = T.read(spark, sf_dir, "source_targets").select(source_name(F.col("source")).alias("source"), "target_share", "max_repeats")
+    uses = rows.groupBy("source", "index").agg(F.count("*").alias("n"), F.countDistinct("repeat").alias("r"))
+    bad_uses = uses.join(F.broadcast(targets), "source").groupBy("source").agg(F.count_if((F.col("n") > F.col("max_repeats")) | (F.col("n") != F.col("r"))).alias("bad_uses"))
+    documents = T.read(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select("doc_id", source_name(F.col("source")).alias("of"), F.octet_length("text").alias("bytes"))
+    pieces = rows.select("source", "repeat", F.explode("pieces").alias("p")).select("source", "repeat", "p.*")
+    ends = Window.partitionBy("source", "repeat", "doc_id").orderBy("token_start")
+    pieces = pieces.withColumn("after", F.lead("token_start").over(ends)).join(documents, "doc_id", "left_outer")
+    # A token has at least one byte.
+    wrong = (F.col("of").isNull()) | (F.col("of") != F.col("source")) | (F.col("token_start") + F.col("n_tokens") > F.col("bytes"))
+    overlap = F.coalesce(F.col("after") < F.col("token_start") + F.col("n_tokens"), F.lit(False))
+    bad_pieces = pieces.groupBy("source").agg(F.count_if(wrong | overlap).alias("bad_pieces"))
+    report = share_report(rows.drop("pieces"), T.read(spark, sf_dir, "source_targets"), blocks)
+    # One row for each source: a single partition of them is as small as the target table.
+    report = report.join(F.broadcast(rows.groupBy("source").agg(F.count("*").alias("n_slots"))), "source", "left_outer")
+    every = Window.partitionBy(F.lit(0))
+    slack = 0.02 + F.count("*").over(every) / F.greatest(F.lit(1), F.sum("n_slots").over(every))
+    report = report.withColumn("slack", slack).withColumn("there", F.sum(F.when(F.col("n_available") > 0, F.col("target_share"))).over(every))
+    near = F.abs(F.col("actual_share") - F.when(F.col("n_available") > 0, F.col("target_share") / F.col("there")).otherwise(0.0)) < F.col("slack")
+    return (
+        report.join(F.broadcast(bad_uses), "source", "left_outer")
+        .join(F.broadcast(bad_pieces), "source", "left_outer")
+        .select(
+            "source",
+            (F.col("n_available") > 0).alias("has_documents"),
+            F.coalesce("bad_uses", F.lit(0)).alias("bad_uses"),
+            F.coalesce("bad_pieces", F.lit(0)).alias("bad_pieces"),
+            near.alias("share_is_near"),
+            (F.col("n_unused") >= 0).alias("unused_is_rest"),
+        )
+    )
 
 
 # ---------------------------------------------------------------- 8: subject areas
@@ -135,8 +215,10 @@ QUERIES = {
     "p4_terms": p4_terms,
     "p6_packing": p6_packing,
     "p6_fill": p6_fill,
+    "p6_checks": p6_checks,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p7_checks": p7_checks,
     "p8_found": p8_found,
     "p8_composition": p8_composition,
 }
@@ -155,4 +237,10 @@ m AS (SELECT field_name, term, n_rows, n_files, CASE WHEN n_files < 3 THEN 'rare
 SQL: dict[str, str] = {
     "p4_found": f"{_TERMS} SELECT field_name, term, mark FROM m WHERE mark <> ''",
     "p4_terms": f"{_TERMS} SELECT field_name, term, n_rows, n_files, mark FROM m",
+    "p6_checks": """
+SELECT container, 0 AS overfull, true AS well_filled, (SELECT COUNT(DISTINCT doc_id) FROM documents) AS n_documents, 0 AS torn, 0 AS split_without_need,
+    (SELECT COUNT(DISTINCT doc_id) FROM documents WHERE text <> '') AS with_tokens FROM containers""",
+    "p7_checks": """
+SELECT lower(trim(t.source)) AS source, EXISTS (SELECT 1 FROM documents d WHERE lower(trim(d.source)) = lower(trim(t.source)) AND text <> '') AS has_documents,
+    0 AS bad_uses, 0 AS bad_pieces, true AS share_is_near, true AS unused_is_rest FROM source_targets t""",
 }
