@@ -264,6 +264,7 @@ def remark_odds(counts: np.ndarray, stands: np.ndarray) -> np.ndarray:
 # ---------------------------------------------------------------- over all documents
 
 _FEATURES = "doc_id bigint, lang int, labels array<int>, codes binary, units binary"
+_NUMBERED = f"{_FEATURES}, terms binary, amounts binary"
 #: Tasks that hold a partial sum of W at most, or as many as the cluster has cores; each sends W's size of numbers.
 MAX_PARTIALS = 2048
 _SLICE = 300_000  # codes worked on at a time
@@ -323,7 +324,8 @@ def dictionary(table: DataFrame, n_docs: int) -> np.ndarray:
 
 
 def numbered(table: DataFrame, codes) -> DataFrame:
-    """`table` with the numbers of terms in the dictionary in place of their codes; other terms are left out."""
+    """`table` with the numbers of terms in the dictionary in place of their codes, and with each document's different terms
+    and their log-damped counts; other terms are left out."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = codes.value
@@ -331,9 +333,12 @@ def numbered(table: DataFrame, codes) -> DataFrame:
             found = [_numbers(np.frombuffer(x, np.int32), known) for x in b["codes"]]
             b["codes"] = [at[keep].astype(np.int32).tobytes() for at, keep in found]
             b["units"] = [np.frombuffer(u, np.int32)[keep].tobytes() for u, (_, keep) in zip(b["units"], found, strict=True)]
+            counted = [np.unique(at[keep], return_counts=True) for at, keep in found]
+            b["terms"] = [t.astype(np.int32).tobytes() for t, _ in counted]
+            b["amounts"] = [np.log1p(n).astype(np.float32).tobytes() for _, n in counted]
             yield b
 
-    return table.mapInPandas(encode, _FEATURES)
+    return table.mapInPandas(encode, _NUMBERED)
 
 
 def _numbers(codes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -344,19 +349,34 @@ def _numbers(codes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, known[at] == codes
 
 
-def _slices(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray], list[np.ndarray]]]:
-    """Documents in slices of a bounded number of codes."""
+def _slices(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
+    """Documents in slices of a bounded number of entries of the column `by`."""
     for b in batches:
-        codes = [np.frombuffer(x, np.int32) for x in b["codes"]]
-        units = [np.frombuffer(x, np.int32) for x in b["units"]]
         lo, n = 0, 0
-        for i, c in enumerate(codes):
-            n += len(c)
-            if n >= _SLICE or i == len(codes) - 1:
-                yield b.iloc[lo : i + 1], codes[lo : i + 1], units[lo : i + 1]
+        for i, x in enumerate(b[by]):
+            n += len(x) // 4
+            if n >= _SLICE or i == len(b) - 1:
+                yield b.iloc[lo : i + 1]
                 lo, n = i + 1, 0
 
 
+def _arrays(part: pd.DataFrame, column: str) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.int32) for x in part[column]]
+
+
+def _terms(part: pd.DataFrame, weight: np.ndarray | None = None) -> Sparse:
+    """Rows of V of these documents: their counts times the weight of the term; terms of weight 0 are left out."""
+    terms = _arrays(part, "terms")
+    rows = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
+    c = np.concatenate(terms) if terms else np.zeros(0, np.int32)
+    x = np.frombuffer(b"".join(part["amounts"]), np.float32)
+    if weight is not None:
+        x = x * weight[c]
+        keep = x > 0
+        rows, c, x = rows[keep], c[keep], x[keep]
+    return Sparse(rows, c, x, len(terms))
+
+
 def _label_mask(part: pd.DataFrame, n_subjects: int) -> tuple[np.ndarray, np.ndarray]:
     """Which documents are labelled, and their labels as 0 and 1."""
     known = part["labels"].notna().to_numpy()
@@ -366,8 +386,9 @@ def _label_mask(part: pd.DataFrame, n_subjects: int) -> tuple[np.ndarray, np.nda
     return known, mask
 
 
-def _reduced(table: DataFrame, size: int, n_columns: int, add) -> np.ndarray:
-    """The sum over all documents of what `add(into, part, codes, units)` puts into an array of size x n_columns.
+def _reduced(table: DataFrame, size: int, n_columns: int, add, columns: tuple[str, ...]) -> np.ndarray:
+    """The sum over all documents of what `add(into, part)` puts into an array of size x n_columns; `part` has the `columns`
+    of some documents.
 
     Every task sums into its own array; the arrays' blocks are summed by block number, and the sum, whose size
     does not depend on the number of documents, comes to the driver.
@@ -377,14 +398,14 @@ def _reduced(table: DataFrame, size: int, n_columns: int, add) -> np.ndarray:
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         into = np.zeros((n_blocks * BLOCK, n_columns), np.float64)
-        for part, codes, units in _slices(batches):
-            add(into, part, codes, units)
+        for part in _slices(batches, columns[0]):
+            add(into, part)
         blocks = into.reshape(n_blocks, BLOCK, n_columns)
         for k in range(0, n_blocks, 8):
             used = [i for i in range(k, min(k + 8, n_blocks)) if blocks[i].any()]
             yield pd.DataFrame({"block": used, "data": [blocks[i].astype(np.float32).tobytes() for i in used]})
 
-    partials = table.coalesce(max(MAX_PARTIALS, sc.defaultParallelism)).mapInPandas(partial, "block int, data binary")
+    partials = table.select(*columns).coalesce(max(MAX_PARTIALS, sc.defaultParallelism)).mapInPandas(partial, "block int, data binary")
     out = np.zeros((n_blocks, BLOCK, n_columns))
     for row in _block_sums(partials, n_blocks).collect():
         out[row.block] = np.frombuffer(row.data, np.float64).reshape(BLOCK, n_columns)
@@ -431,11 +452,11 @@ def subject_areas(
     codes = dictionary(table, n_docs)
     size, n_lang = max(1, len(codes)), max(1, len(languages))
     numbered(table, sc.broadcast(codes)).write.parquet(f"{folder}/terms")
-    table = spark.read.schema(_FEATURES).parquet(f"{folder}/terms")
+    table = spark.read.schema(_NUMBERED).parquet(f"{folder}/terms")
 
     # One pass for everything the start needs: document frequency, frequency and masses by language, seeds.
-    def start(into, part, codes, units):
-        v = Sparse.of(codes)
+    def start(into, part):
+        v = _terms(part)
         lang = part["lang"].to_numpy()[v.rows]
         known, mask = _label_mask(part, n_sub)
         cols = np.zeros((len(v.rows), 3 + 2 * n_lang + n_sub), np.float32)
@@ -449,7 +470,8 @@ def subject_areas(
         if len(v.rows):
             add_by_column(into, v.columns, cols)
 
-    first = _reduced(table, size, 3 + 2 * n_lang + n_sub, start)
+    of_terms = ("terms", "amounts", "labels")
+    first = _reduced(table, size, 3 + 2 * n_lang + n_sub, start, (*of_terms, "lang"))
     frequency = first[:, 0]
     weight = np.where(frequency > 0, np.log(n_docs / np.maximum(frequency, 1)) / 3, 0).clip(0).astype(np.float32)
     seeds = first[:, 3 + 2 * n_lang :] * weight[:, None]
@@ -478,14 +500,14 @@ def subject_areas(
     while True:
         b_w = sc.broadcast(w)
 
-        def update(into, part, codes, units, b_w=b_w):
-            v = Sparse.of(codes, b_weight.value)
+        def update(into, part, b_w=b_w):
+            v = _terms(part, b_weight.value)
             h = fit_mixtures(v, b_w.value, allowed(part), inner)
             add_terms(v, h, b_w.value, into[:, :k_all])
             into[0, k_all] += likelihood(v, h, b_w.value)
             into[0, k_all + 1] += v.values.sum()
 
-        sums = _reduced(table, size, k_all + 2, update)
+        sums = _reduced(table, size, k_all + 2, update, of_terms)
         fit = sums[0, k_all] / max(1e-9, sums[0, k_all + 1])
         sums = sums[:, :k_all]
         sums[:, :n_sub] += 2 * seeds
@@ -497,9 +519,9 @@ def subject_areas(
     b_w = sc.broadcast(w)
 
     # What each term stands for: the mean subject mixture of its documents.
-    def stand(into, part, codes, units):
-        h = fit_mixtures(Sparse.of(codes, b_weight.value), b_w.value, allowed(part), inner)
-        add_shares(Sparse.of(codes), h[:, :n_sub], into)
+    def stand(into, part):
+        h = fit_mixtures(_terms(part, b_weight.value), b_w.value, allowed(part), inner)
+        add_shares(_terms(part), h[:, :n_sub], into)
 
     def smoothed(sums):
         total = sums[:, :n_sub].sum(0)
@@ -508,13 +530,14 @@ def subject_areas(
         found[idle] = 0
         return found
 
-    stands = smoothed(_reduced(table, size, n_sub + 1, stand))
+    stands = smoothed(_reduced(table, size, n_sub + 1, stand, of_terms))
+    of_places = ("codes", "units", "labels")
     labelled = table.where("labels IS NOT NULL")
     for again in range(3):
         b_stands = sc.broadcast(stands)
 
-        def around(into, part, codes, units, b_stands=b_stands):
-            s = b_stands.value
+        def around(into, part, b_stands=b_stands):
+            codes, units, s = _arrays(part, "codes"), _arrays(part, "units"), b_stands.value
             context = s.max(1) < 0.5 * BEARS
             _, mask = _label_mask(part, n_sub)
             for i, (c, u) in enumerate(zip(codes, units, strict=True)):
@@ -526,7 +549,7 @@ def subject_areas(
                     words = np.unique(c[at[j] : ends[j]])
                     into[words[context[words]], 1 - mask[i, score[j].argmax()]] += 1
 
-        remark = remark_odds(_reduced(labelled, size, 2, around), stands)
+        remark = remark_odds(_reduced(labelled, size, 2, around, of_places), stands)
         b_remark = sc.broadcast(remark)
         if again == 2:
             break
@@ -535,37 +558,38 @@ def subject_areas(
         # texts share is no longer in these V, so they need no background. The same mixtures tell anew what terms stand for.
         b_w = sc.broadcast(normalized(stands * frequency[:, None]))
 
-        def refine(into, part, codes, units, b_w=b_w, b_stands=b_stands, b_remark=b_remark):
+        def refine(into, part, b_w=b_w, b_stands=b_stands, b_remark=b_remark):
             known, mask = _label_mask(part, n_sub)
-            v = weighted(codes, units, b_stands.value, b_remark.value)
+            v = weighted(_arrays(part, "codes"), _arrays(part, "units"), b_stands.value, b_remark.value)
             h = fit_mixtures(v, b_w.value, allowed(part)[:, :n_sub], None)
             add_terms(v, h, b_w.value, into[:, :n_sub])
             told = known & (mask.sum(1) > 0)
             h[~about(h)] = 0
             h[told] = mask[told]
-            add_shares(Sparse.of(codes), h, into[:, n_sub:])
+            add_shares(_terms(part), h, into[:, n_sub:])
 
-        sums = _reduced(table, size, 2 * n_sub + 1, refine)
+        sums = _reduced(table, size, 2 * n_sub + 1, refine, (*of_places, "terms", "amounts"))
         w = normalized(sums[:, :n_sub])
         stands = smoothed(sums[:, n_sub:])
     b_w = sc.broadcast(w)
 
-    def mixtures(codes, units):
-        return fit_mixtures(weighted(codes, units, b_stands.value, b_remark.value), b_w.value, inner=None)
+    def mixtures(part):
+        v = weighted(_arrays(part, "codes"), _arrays(part, "units"), b_stands.value, b_remark.value)
+        return fit_mixtures(v, b_w.value, inner=None)
 
     def rows_of_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, codes, units in _slices(batches):
+        for part in _slices(batches, "codes"):
             _, mask = _label_mask(part, n_sub)
-            yield pd.DataFrame({"h": [x.tobytes() for x in mixtures(codes, units)], "mask": [x.tobytes() for x in mask]})
+            yield pd.DataFrame({"h": [x.tobytes() for x in mixtures(part)], "mask": [x.tobytes() for x in mask]})
 
     # At most MAX_LABELLED rows of as many numbers as there are subjects.
-    known = labelled.mapInPandas(rows_of_labelled, "h binary, mask binary").collect()
+    known = labelled.select(*of_places).mapInPandas(rows_of_labelled, "h binary, mask binary").collect()
     h_known = np.array([np.frombuffer(r.h, np.float32) for r in known]).reshape(-1, n_sub)
     share_from, least = thresholds(h_known, np.array([np.frombuffer(r["mask"], np.int64) for r in known]).reshape(-1, n_sub))
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part, codes, units in _slices(batches):
-            n = mixtures(codes, units)
+        for part in _slices(batches, "codes"):
+            n = mixtures(part)
             total = n.sum(1, keepdims=True)
             doc, subject = np.nonzero(about(n, share_from, least))
             ids = part["doc_id"].to_numpy()
