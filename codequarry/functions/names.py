@@ -98,3 +98,21 @@ def thousands(n: Column) -> Column:
 def location(path: Column, line: Column) -> Column:
     """`path:line`, as the command line prints it."""
     return F.concat(path, F.lit(":"), line.cast("string"))
+
+
+def completion_data(path: Column, line: Column) -> Column:
+    """The payload with which a completion item can be asked about again: where its definition is."""
+    return F.to_json(F.struct(path.alias("filePath"), line.alias("line")))
+
+
+def normal_path(path: Column) -> Column:
+    """A path without empty, `.` and `..` segments; a leading slash stays."""
+    kept = F.aggregate(
+        F.split(path, "/"),
+        F.array().cast("array<string>"),
+        lambda acc, x: F.when(x.isin("", "."), acc)
+        .when((x == "..") & (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1) != ".."), F.slice(acc, 1, F.size(acc) - 1))
+        .when((x == "..") & F.startswith(path, F.lit("/")), acc)
+        .otherwise(F.array_append(acc, x)),
+    )
+    return F.concat(F.when(F.startswith(path, F.lit("/")), "/").otherwise(""), F.array_join(kept, "/"))

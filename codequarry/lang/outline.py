@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from functools import cached_property
 
+from codequarry.functions.names import KEYWORDS
 from codequarry.lang.lexer import DEF_WORDS, MODULE_WORDS, literal_text
 from codequarry.lang.parser import Tokens, named, resolve_alias, resolve_self
 
+# Attributes that start a statement of their own.
+_DECLARING = frozenset("type typep opaque callback macrocallback".split())
 _OPENING, _CLOSING = frozenset(("(", "[", "{", "<<")), frozenset((")", "]", "}", ">>"))
 # Attributes that the language gives a meaning of its own.
 RESERVED_ATTRIBUTES = frozenset(
@@ -53,6 +58,16 @@ class Function:
     scope: int
 
 
+@dataclass
+class Block:
+    """A macro called at the start of a line with a block, such as `test "..." do`."""
+
+    macro: str
+    label: str
+    line: int
+    last_line: int
+
+
 @dataclass
 class Outline:
     """One pass over a text. Scopes are modules; -1 is the file itself."""
@@ -64,12 +79,14 @@ class Outline:
     uses: list[Use] = field(default_factory=list)
     functions: list[Function] = field(default_factory=list)
     attributes: list[tuple[str, int, int]] = field(default_factory=list)  # name, line, token index
+    blocks: list[Block] = field(default_factory=list)
 
     def __post_init__(self):
         self.text = self.text.replace("\r\n", "\n").lstrip("﻿")
         self.t = t = Tokens(self.text)
         stack: list[tuple[int, int]] = []  # scope, depth of its block
-        opened: list[tuple[int, Function | None]] = []  # depth and function of each open block
+        opened: list[tuple[int, Function | Block | None]] = []  # depth and owner of each open block
+        macro_do: dict[int, Block] = {}  # macro blocks by the token that opens them
         depth, i = 0, 0
         awaiting: Function | None = None
         last = t.all[-1].line if t.n else 1
@@ -117,9 +134,18 @@ class Outline:
                 self.attributes.append((t.word(i)[1:], t.line(i), i))
             elif k in ("do", "fn"):
                 depth += 1
-                opened.append((depth, awaiting if k == "do" else None))
+                opened.append((depth, (macro_do.pop(i, None) or awaiting) if k == "do" else None))
                 if k == "do":
                     awaiting = None
+            elif k == "ident" and here >= 0 and not macro_do and t.kind(i - 1) in ("", "eol") and t.word(i) not in KEYWORDS:
+                do = self._next_do[i]
+                if t.kind(do) == "do":
+                    name = t.word(i)
+                    written = self.text[t.all[i].end : t.all[do].start].strip()
+                    if len(written) >= 2 and written[0] == written[-1] == '"':
+                        written = written[1:-1]
+                    macro_do[do] = Block(name, f"{name} {written}" if written else name, t.line(i), last)
+                    self.blocks.append(macro_do[do])
             elif k == "end" and depth:
                 if stack and stack[-1][1] == depth:
                     self.scopes[stack.pop()[0]].last_line = t.line(i)
@@ -130,6 +156,17 @@ class Outline:
                 depth -= 1
             i += 1
 
+    @cached_property
+    def _next_do(self) -> list[int]:
+        """For each token the next one that opens a block or starts or ends a statement."""
+        t, found, at = self.t, [0] * self.t.n, self.t.n
+        for i in range(t.n - 1, -1, -1):
+            found[i] = at
+            k = t.all[i].kind
+            if k in ("do", "end") or k in DEF_WORDS or k in MODULE_WORDS or (k == "attr" and t.word(i)[1:] in _DECLARING):
+                at = i
+        return found
+
     def _bind(self, scope: int, short: str, full: str, line: int) -> None:
         whole = resolve_self(full, self.scopes[scope].name if scope >= 0 else "")
         if whole:
@@ -212,43 +249,50 @@ class Outline:
                 return line
         return 0
 
-    def bare_call_lines(self, name: str) -> list[int]:
-        """Lines that call `name` without a module: before a parenthesis, or after a pipe."""
-        t, found = self.t, set()
+    def bare_calls(self) -> dict[str, list[int]]:
+        """For each name that is called without a module the lines that do so: before a parenthesis, or after a pipe."""
+        t, found = self.t, {}
+        before = ""  # kind of the last token that is no line end
         for i, tok in enumerate(t.all):
-            if tok.kind != "ident" or t.word(i) != name:
-                continue
-            before = i - 1
-            while before >= 0 and t.all[before].kind == "eol":
-                before -= 1
-            b = t.kind(before) if before >= 0 else ""
-            if b == "." or b in DEF_WORDS or (b == "attr" and t.word(before) in ("@spec", "@callback", "@macrocallback")):
-                continue
-            if (t.kind(i + 1) == "(" and t.all[i + 1].start == tok.end) or b == "|>":
-                found.add(tok.line)
-        return sorted(found)
+            if tok.kind == "ident" and before != "." and before not in DEF_WORDS and not (before == "attr" and t.word(last) in ("@spec", "@callback", "@macrocallback")):
+                if before == "|>" or (t.kind(i + 1) == "(" and t.all[i + 1].start == tok.end):
+                    found.setdefault(t.word(i), set()).add(tok.line)
+            if tok.kind != "eol":
+                before, last = tok.kind, i
+        return {name: sorted(lines) for name, lines in found.items()}
+
+    def bare_call_lines(self, name: str) -> list[int]:
+        """Lines that call `name` without a module."""
+        return self.bare_calls().get(name, [])
 
     # -------------------------------------------------------- documentation
 
+    def docs_above(self, lines: list[int]) -> dict[int, tuple[str, str]]:
+        """Documentation and spec of what is defined on each line: from the attributes above it, back to the statement
+        before. Lines, attributes and statements are gone through once, in order."""
+        t, found = self.t, {}
+        ends = sorted([(f.line, f.last_line) for f in self.functions] + [(x.first_line, x.first_line) for x in self.scopes])
+        at = [x[1] for x in self.attributes]
+        limit = n = 0
+        for line in sorted(set(lines)):
+            while n < len(ends) and ends[n][0] < line:
+                limit, n = max(limit, ends[n][1]), n + 1
+            doc = spec = ""
+            for name, _, i in self.attributes[bisect_right(at, limit) : bisect_left(at, line)]:
+                if name == "doc":
+                    doc = self._literal(i + 1)
+                elif name == "spec":
+                    end, depth = i, 0
+                    while end + 1 < t.n and not (t.all[end + 1].kind == "eol" and depth <= 0 and t.kind(end) not in ("|", "::", ",")):
+                        end += 1
+                        depth += (t.all[end].kind in _OPENING) - (t.all[end].kind in _CLOSING)
+                    spec = self.text[t.all[i].start : t.all[end].end]
+            found[line] = (doc, spec)
+        return found
+
     def doc_above(self, line: int) -> tuple[str, str]:
-        """Documentation and spec of what is defined on a line: from the attributes above it, back to the statement
-        before."""
-        t, doc, spec = self.t, "", ""
-        before = [x for x in self.attributes if x[1] < line]
-        limit = max([f.last_line for f in self.functions if f.line < line] + [s.first_line for s in self.scopes if s.first_line < line] + [0])
-        for name, at, i in before:
-            if at <= limit:
-                continue
-            if name == "doc":
-                doc = self._literal(i + 1)
-            elif name == "spec":
-                end = i
-                depth = 0
-                while end + 1 < t.n and not (t.all[end + 1].kind == "eol" and depth <= 0 and t.kind(end) not in ("|", "::", ",")):
-                    end += 1
-                    depth += (t.all[end].kind in _OPENING) - (t.all[end].kind in _CLOSING)
-                spec = self.text[t.all[i].start : t.all[end].end]
-        return doc, spec
+        """Documentation and spec of what is defined on a line."""
+        return self.docs_above([line])[line]
 
     def _literal(self, i: int) -> str:
         parts = []
@@ -259,12 +303,17 @@ class Outline:
             i = self.t.after_blank(i + 2)
         return "".join(parts)
 
-    def moduledoc(self, module: str) -> str:
-        scope = next((n for n, s in enumerate(self.scopes) if s.name == module), -1)
+    @cached_property
+    def moduledocs(self) -> dict[int, str]:
+        """The documentation of each module (by its number) that has some; -1 for one outside of modules."""
+        found: dict[int, str] = {}
         for name, line, i in self.attributes:
-            if name == "moduledoc" and self.scope_at(line) == scope:
-                return self._literal(i + 1)
-        return ""
+            if name == "moduledoc":
+                found.setdefault(self.scope_at(line), self._literal(i + 1))
+        return found
+
+    def moduledoc(self, module: str) -> str:
+        return self.moduledocs.get(next((n for n, s in enumerate(self.scopes) if s.name == module), -1), "")
 
     def impl_above(self, line: int) -> str:
         """What the `@impl` above a head says (`true` or a module), '' without one; only the nearest line that is not
@@ -279,9 +328,10 @@ class Outline:
     # -------------------------------------------------------- outline and folds
 
     def symbols(self) -> list[tuple[int, int, str, str, int, int]]:
-        """index, parent, kind, label, first and last line of modules, functions, types and callbacks."""
+        """index, parent, kind, label, first and last line of modules, functions, types, callbacks and macro blocks."""
         rows: list[tuple[str, str, int, int]] = [(s.kind, s.name, s.first_line, s.last_line) for s in self.scopes]
         rows += [(f.kind, f"{f.name}/{len(f.params)}", f.line, f.last_line) for f in self.functions]
+        rows += [(b.macro, b.label, b.line, b.last_line) for b in self.blocks]
         for name, line, i in self.attributes:
             j = self.t.after_blank(i + 1)
             if name in ("type", "opaque", "typep", "callback", "macrocallback") and self.t.kind(j) == "ident":

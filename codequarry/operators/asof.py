@@ -49,6 +49,20 @@ def enclosing_module(probes: DataFrame, d: DataFrame) -> DataFrame:
     )
 
 
+def enclosing_block(probes: DataFrame, scopes: DataFrame) -> DataFrame:
+    """file_path, line of each distinct probe with the module whose block holds it, '' outside of all: right after a nested
+    module's `end` it is the outer one again. `scopes`: file_path, module, first_line, last_line, depth, parent.
+
+    A block changes what encloses a line where it starts and after it ends, so this is an as-of join over these places; of
+    several on one line a start counts before an end, the innermost start and the outermost end.
+    """
+    starts = scopes.select("file_path", F.col("first_line").alias("line"), F.struct(F.lit(1).alias("p"), "depth", F.col("module").alias("m")).alias("payload"))
+    ends = scopes.select("file_path", (F.col("last_line") + 1).alias("line"), F.struct(F.lit(0).alias("p"), (-F.col("depth")).alias("depth"), F.col("parent").alias("m")).alias("payload"))
+    found = asof_last(probes, starts.unionByName(ends))
+    asked = probes.where("file_path IS NOT NULL AND line IS NOT NULL").select("file_path", "line").distinct()
+    return asked.join(found, ["file_path", "line"], "left_outer").select("file_path", "line", F.coalesce("payload.m", F.lit("")).alias("module"))
+
+
 def function_anchors(d: DataFrame) -> DataFrame:
     """All rows with a function name (types, callbacks and structs too); of those on one line the highest arity."""
     return d.where("function <> ''").select(

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codequarry.functions.edits import hover_text, signature_line
+from codequarry.functions.names import call_text, completion_data, normal_path
 from codequarry.lang import cursor as C
 from codequarry.lang.outline import Outline
 from codequarry.lang.parser import resolve_alias
@@ -28,7 +30,7 @@ from codequarry.sources import text_tables as X
 
 _AT = (
     "file_path string, line int, col int, written string, module string, function string, enclosing string, attribute_line int, "
-    "variable_line int, aliased boolean, callee_module string, callee_function string, argument int"
+    "variable_line int, aliased boolean, own_alias boolean, callee_module string, callee_function string, argument int"
 )
 _NAMES = [x.split()[0] for x in _AT.split(", ")]
 KEY = ["file_path", "line", "col"]
@@ -36,29 +38,39 @@ KEY = ["file_path", "line", "col"]
 
 @dataclass
 class Workspace:
-    """The tables that handlers read: definitions, references and texts (path, source_text)."""
+    """The tables that handlers read: definitions, references and texts (path, source_text).
+
+    `edges`: what using each module brings, where an index keeps it (`Index.edges`, worked out anew for changed files only);
+    otherwise it is read from the texts.
+    """
 
     spark: SparkSession
     d: DataFrame
     r: DataFrame
     sources: DataFrame
+    edges: DataFrame | None = None
 
     def __post_init__(self):
         self._chains: DataFrame | None = None
 
+    def using_edges(self) -> DataFrame:
+        """Rows of `text_tables.using_edges`, worked out once."""
+        if self.edges is None:
+            self.edges = stored(self.spark, X.using_edges(self.sources))
+        return self.edges
+
     def offered(self) -> DataFrame:
         """What use chains offer each file (seed is the path); walked once."""
         if self._chains is None:
             uses = X.uses(self.sources).select(F.col("file_path").alias("seed"), F.col("used").alias("module"), "ordinal", "options")
-            edges = X.using_edges(self.sources)
-            edges = stored(self.spark, edges)
+            edges = self.using_edges()
             self._seen = stored(self.spark, injection.visits(self.spark, edges, uses))
             self._chains = stored(self.spark, injection.providers(edges, self._seen))
         return self._chains
 
     def aliases(self) -> DataFrame:
         """For each file the aliases that its use chains bring: file_path, injected (short, full)."""
-        injected = injection.injected_aliases(X.using_edges(self.sources), self.seen())
+        injected = injection.injected_aliases(self.using_edges(), self.seen())
         return injected.groupBy(F.col("seed").alias("file_path")).agg(F.collect_list(F.struct("short", "full")).alias("injected"))
 
     def seen(self) -> DataFrame:
@@ -73,7 +85,7 @@ def expressions(sources: DataFrame, places: DataFrame, injected: DataFrame | Non
     All places of a file are answered with one reading of its text, which travels once: the places of a file come to
     it as one array.
     """
-    asked = places.where("line IS NOT NULL AND col IS NOT NULL").select(*KEY).distinct().groupBy("file_path").agg(F.collect_list(F.struct("line", "col")).alias("places"))
+    asked = places_by_file(places)
     texts = sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text")
 
     rows = texts.join(asked, "file_path")
@@ -96,7 +108,8 @@ def expressions(sources: DataFrame, places: DataFrame, injected: DataFrame | Non
                         continue
                     e = C.expression_at(o.t, line, col)
                     own = o.module_at(line + 1)
-                    aliases = lent | o.alias_map(line + 1)
+                    own_aliases = o.alias_map(line + 1)
+                    aliases = lent | own_aliases
                     group = C.alias_group_parent(o.t, line, col)
                     name = f"{group}.{e.module}" if group and e.module else e.module
                     full = resolve_alias(name, {} if group else aliases, own) if name else ""
@@ -109,13 +122,20 @@ def expressions(sources: DataFrame, places: DataFrame, injected: DataFrame | Non
                         variable = min((x.line + 1 for x in variables.occurrences(line, col)), default=0)
                     rows.append(
                         (path, line, col, e.module, full, e.function, own, o.attribute_line(attribute) if attribute else 0, variable,
-                         full != name, resolve_alias(cm, aliases, own) if cm else "", cf, argument)
+                         full != name, name in own_aliases, resolve_alias(cm, aliases, own) if cm else "", cf, argument)
                     )
             yield pd.DataFrame(rows, columns=_NAMES)
 
     return rows.mapInPandas(resolve, _AT)
 
 
+def places_by_file(places: DataFrame) -> DataFrame:
+    """file_path, places: the distinct places of each file. A text has no more of them than characters (places beyond its
+    ends have no answer), so the array is bounded by the text that it is joined with, however often a place is asked for."""
+    asked = places.where("line >= 0 AND col >= 0").select(*KEY).distinct()
+    return asked.groupBy("file_path").agg(F.collect_list(F.struct("line", "col")).alias("places"))
+
+
 def stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The rows from a table in the shared folder: what is read several times is worked out once."""
     folder = workspace(spark, "places")
@@ -257,13 +277,23 @@ def implementation(w: Workspace, places: DataFrame) -> DataFrame:
 
 
 def references_at(w: Workspace, places: DataFrame, declarations: bool = False, stdlib_prefix: str = "") -> DataFrame:
-    """References to what stands at each place: direct ones, those through modules that inject it, bare calls in its own
-    file, and those through facades that delegate to it; each file and line once."""
-    at = stored(w.spark, resolved(w, places).where("module <> ''").select(*KEY, "module", "function"))
+    """References to what stands at each place: for a variable its occurrences; else direct ones, those through modules that
+    inject it, bare calls in its own file, and those through facades that delegate to it; for `__using__` the places that
+    use its module. Each file and line once."""
+    from codequarry.operators.rename import variable_occurrences
+
+    every_place = stored(w.spark, resolved(w, places).select(*KEY, "module", "function", "variable_line"))
+    variables = variable_occurrences(w.sources, every_place.where("variable_line > 0"))
+    variables = variables.select(*KEY, F.col("file_path").alias("target_path"), (F.col("at_line") + 1).alias("target_line"))
+    of_names = every_place.where("variable_line = 0 AND module <> ''")
+    using = of_names.where("function = '__using__'").join(
+        w.r.where("kind = 'use'").select("module", F.col("file_path").alias("target_path"), F.col("line").alias("target_line")), "module"
+    )
+    at = of_names.where("function <> '__using__'").select(*KEY, "module", "function")
     keys = at.select("module", "function").distinct()
     direct = references(w.r, keys).select("module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line"))
     named = keys.where("function <> ''")
-    injectors = injection.injecting_modules(w.spark, X.using_edges(w.sources), named.select(F.col("module").alias("seed")))
+    injectors = injection.injecting_modules(w.spark, w.using_edges(), named.select(F.col("module").alias("seed")))
     asked = named.join(injectors.select(F.col("seed").alias("module"), F.col("node").alias("_i")), "module")
     through = w.r.withColumnRenamed("module", "_i").join(asked, ["_i", "function"]).select(
         "module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line")
@@ -282,7 +312,8 @@ def references_at(w: Workspace, places: DataFrame, declarations: bool = False, s
         every = every.unionByName(own.select(*every.columns))
     if stdlib_prefix:
         every = every.where(~F.startswith(F.col("target_path"), F.lit(stdlib_prefix)))
-    return _answers(at.join(every.distinct(), ["module", "function"]))
+    found = _answers(at.join(every.distinct(), ["module", "function"]))
+    return found.unionByName(_answers(variables)).unionByName(_answers(using)).distinct()
 
 
 def hover(w: Workspace, places: DataFrame) -> DataFrame:
@@ -341,64 +372,111 @@ def alias_suggestions(w: Workspace, places: DataFrame, limit: int = 5) -> DataFr
 
 
 def completion(w: Workspace, places: DataFrame, limit: int = 100) -> DataFrame:
-    """label, kind and detail of what can be typed at each place: functions and segments of a module after a dot,
-    else modules and aliases for upper case, and functions of the file, its imports and use chains for lower case."""
-    from codequarry.operators.search import first_functions, top
+    """What can be typed at each place: functions and segments of a module after a dot, else modules and aliases for upper
+    case, and functions of the file, its imports and use chains for lower case.
+
+    label, kind, detail; `insert_text` is the call with its parameters, after a pipe without the first one; `data` says
+    where the definition is (NULL where that is not known), for `completion_resolve`.
+    """
+    from codequarry.operators.search import first_functions, starting_with, top
 
-    typed = stored(w.spark, _prefixes(w.sources, places))
-    functions = first_functions(w.d).select("module", "function", "arity", "kind")
+    typed = stored(w.spark, _prefixes(w.sources, places, w.aliases()))
+    functions = first_functions(w.d).select("module", "function", "arity", "kind", "params", F.col("file_path").alias("_at"), F.col("line").alias("_on"))
+    callable_ = [F.concat_ws("/", "function", "arity").alias("label"), "kind", "function", "arity", "params", "_at", "_on"]
+    named = [F.lit("module").alias("kind"), *[F.lit(None).cast(t).alias(c) for c, t in (("function", "string"), ("arity", "int"), ("params", "string"), ("_at", "string"), ("_on", "int"))]]
     dotted = typed.where("module <> ''")
-    of_module = dotted.join(functions, "module").where(F.startswith("function", "prefix")).select(
-        *KEY, F.concat_ws("/", "function", "arity").alias("label"), "kind", F.col("module").alias("detail")
-    )
-    names = module_rows(w.d, False).select(F.col("module").alias("_full")).distinct()
-    parents = names.withColumn("module", F.regexp_replace("_full", r"\.?[^.]+$", "")).withColumn("segment", F.substring_index("_full", ".", -1))
+    of_module = dotted.join(functions, "module").where(F.startswith("function", "prefix")).select(*KEY, *callable_, F.col("module").alias("detail"))
+    names = module_rows(w.d, False).select("module").distinct()
+    parents = names.select(F.col("module").alias("_full"), F.regexp_replace("module", r"\.?[^.]+$", "").alias("module"), F.substring_index("module", ".", -1).alias("segment"))
     segments = dotted.join(parents, "module").where(F.startswith(F.lower("segment"), F.lower("prefix"))).select(
-        *KEY, F.col("segment").alias("label"), F.lit("module").alias("kind"), F.col("_full").alias("detail")
+        *KEY, F.col("segment").alias("label"), *named, F.col("_full").alias("detail")
+    )
+    upper = typed.where("module = '' AND prefix RLIKE '^[A-Z]'")
+    modules = upper.join(starting_with(names, upper).withColumnRenamed("module", "_full"), "prefix").select(
+        *KEY, F.col("_full").alias("label"), *named, F.col("_full").alias("detail")
+    )
+    # Short names that the text has for modules, its own ones and those that use chains bring.
+    short = upper.select(*KEY, "prefix", F.explode("aliases").alias("a")).where(F.startswith(F.lower("a.short"), F.lower("prefix"))).select(
+        *KEY, F.col("a.short").alias("label"), *named, F.col("a.full").alias("detail")
     )
-    upper = typed.where("module = '' AND prefix RLIKE '^[A-Z]'").withColumn("_head", F.lower(F.substring("prefix", 1, 1)))
-    modules = upper.join(names.withColumn("_head", F.lower(F.substring("_full", 1, 1))), "_head").where(
-        F.startswith(F.lower("_full"), F.lower("prefix"))
-    ).select(*KEY, F.col("_full").alias("label"), F.lit("module").alias("kind"), F.col("_full").alias("detail"))
     lower = typed.where("module = '' AND prefix RLIKE '^[a-z_]'")
-    own = X.buffer_functions(w.sources).select("file_path", "function", "arity", "kind", F.lit("").alias("detail"))
-    used = injection.completions_from_using(w.d, w.offered()).select(
-        F.col("seed").alias("file_path"), "function", "arity", F.lit("def").alias("kind"), F.col("provider").alias("detail")
+    own = X.buffer_functions(w.sources).select("file_path", "function", "arity", "kind", "params", F.col("file_path").alias("_at"), F.col("line").alias("_on"), F.lit("").alias("detail"))
+    brought = injection.completions_from_using(w.d, w.offered()).select(F.col("seed").alias("file_path"), "function", "arity", F.col("provider").alias("module"))
+    used = brought.join(functions, ["module", "function", "arity"], "left_outer").select(
+        "file_path", "function", "arity", F.coalesce("kind", F.lit("def")).alias("kind"), F.coalesce("params", F.lit("")).alias("params"), "_at", "_on", F.col("module").alias("detail")
     )
     imported = X.imports(w.sources).select("file_path", F.col("imported").alias("module")).distinct().join(functions, "module").select(
-        "file_path", "function", "arity", "kind", F.col("module").alias("detail")
+        "file_path", "function", "arity", "kind", "params", "_at", "_on", F.col("module").alias("detail")
     )
-    bare = lower.join(own.unionByName(used).unionByName(imported), "file_path").where(F.startswith("function", "prefix")).select(
-        *KEY, F.concat_ws("/", "function", "arity").alias("label"), "kind", "detail"
+    bare = lower.join(own.unionByName(used).unionByName(imported), "file_path").where(F.startswith("function", "prefix")).select(*KEY, *callable_, "detail")
+    every = of_module.unionByName(segments).unionByName(modules).unionByName(short).unionByName(bare)
+    row = F.struct("kind", "detail", "function", "arity", "params", "_at", "_on")
+    best = top(every.groupBy(*KEY, "label").agg(F.min(row).alias("x")), KEY, ["label"], limit)
+    f, p, a = F.col("x.function"), F.coalesce("x.params", F.lit("")), F.col("x.arity")
+    text = F.when(f.isNull(), F.col("label")).when(F.col("piped"), call_text(f, p, a, True)).otherwise(call_text(f, p, a))
+    return best.join(typed.select(*KEY, "piped"), KEY).select(
+        *KEY, "label", "x.kind", "x.detail", text.alias("insert_text"), F.when(F.col("x._at").isNotNull(), completion_data(F.col("x._at"), F.col("x._on"))).alias("data"), "position"
     )
-    every = of_module.unionByName(segments).unionByName(modules).unionByName(bare)
-    once = every.groupBy(*KEY, "label").agg(F.min(F.struct("kind", "detail")).alias("x")).select(*KEY, "label", "x.kind", "x.detail")
-    return top(once, KEY, ["label"], limit)
 
 
-def _prefixes(sources: DataFrame, places: DataFrame) -> DataFrame:
-    """file_path, line, col, module (before the last dot, aliases resolved), prefix."""
-    asked = places.where("line IS NOT NULL AND col IS NOT NULL").select(*KEY).distinct().groupBy("file_path").agg(F.collect_list(F.struct("line", "col")).alias("places"))
+def completion_resolve(w: Workspace, items: DataFrame, roots: list[str]) -> DataFrame:
+    """data, documentation: what a hover would show of the definition that each item (data) names. Items whose file lies
+    under none of the `roots`, or that name no line of a text, are left out; '' stands for a root of all relative paths."""
+    at = F.from_json("data", "filePath string, line int")
+    named = items.where("data IS NOT NULL").select("data", at.alias("x")).distinct().select("data", normal_path(F.col("x.filePath")).alias("file_path"), "x.line")
+    under = F.lit(False)
+    for root in roots:
+        under = under | F.startswith(F.col("file_path"), F.lit(f"{root.rstrip('/')}/" if root else ""))
+    named = named.where(under & (F.col("line") >= 1))
+    # The lines asked for are at most as many as the text has.
+    asked = named.groupBy("file_path").agg(F.collect_set("line").alias("lines"))
+    texts = w.sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text").join(asked, "file_path")
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text, asked_lines in zip(b["file_path"], b["source_text"], b["lines"], strict=True):
+                o = Outline(text)
+                heads = o.text.split("\n")
+                for line, (doc, spec) in o.docs_above([int(x) for x in asked_lines]).items():
+                    if shown := hover_text(signature_line(heads, line), spec, doc):
+                        rows.append((path, line, shown))
+            yield pd.DataFrame(rows, columns=["file_path", "line", "documentation"])
+
+    shown = texts.mapInPandas(describe, "file_path string, line int, documentation string")
+    return named.join(shown, ["file_path", "line"]).select("data", "documentation")
+
+
+def _prefixes(sources: DataFrame, places: DataFrame, injected: DataFrame) -> DataFrame:
+    """file_path, line, col, module (before the last dot, aliases resolved), prefix, whether it comes after a pipe, and the
+    aliases that the place sees (short, full), its own ones before injected ones."""
     texts = sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text")
+    rows = texts.join(places_by_file(places), "file_path").join(injected, "file_path", "left_outer")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path, text, found in zip(b["file_path"], b["source_text"], b["places"], strict=True):
+            for path, text, found, brought in zip(b["file_path"], b["source_text"], b["places"], b["injected"], strict=True):
                 text = text.replace("\r\n", "\n")
                 o, lines = Outline(text), text.split("\n")
+                lent = {} if brought is None else {x["short"]: x["full"] for x in brought}
                 for p in found:
                     if not 0 <= p["line"] < len(lines):
                         continue
-                    typed, dot, _ = C.completion_prefix(lines[p["line"]], p["col"])
+                    typed, dot, start = C.completion_prefix(lines[p["line"]], p["col"])
                     head, _, last = (typed, "", "") if dot else typed.rpartition(".")
                     own = o.module_at(p["line"] + 1)
                     group = C.alias_group_parent(o.t, p["line"], p["col"])
-                    module = resolve_alias(head, o.alias_map(p["line"] + 1), own) if head else group
-                    rows.append((path, p["line"], p["col"], module, last if head or not dot else ""))
-            yield pd.DataFrame(rows, columns=[*KEY, "module", "prefix"])
+                    aliases = lent | o.alias_map(p["line"] + 1)
+                    module = resolve_alias(head, aliases, own) if head else group
+                    rows.append(
+                        (path, p["line"], p["col"], module, last if head or not dot else "", C.after_pipe(lines[p["line"]], start),
+                         [{"short": k, "full": v} for k, v in aliases.items()])
+                    )
+            yield pd.DataFrame(rows, columns=[*KEY, "module", "prefix", "piped", "aliases"])
 
-    return texts.join(asked, "file_path").mapInPandas(run, "file_path string, line int, col int, module string, prefix string")
+    schema = "file_path string, line int, col int, module string, prefix string, piped boolean, aliases array<struct<short:string,full:string>>"
+    return rows.mapInPandas(run, schema)
 
 
 def delegates_resolved(w: Workspace, places: DataFrame) -> DataFrame:

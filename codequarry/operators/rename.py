@@ -13,7 +13,7 @@ from codequarry.functions.edits import delegate_span, replace_at, with_delegate_
 from codequarry.lang.cursor import function_token_columns, token_columns
 from codequarry.lang.variables import Variables, token_occurrences
 from codequarry.operators import injection
-from codequarry.operators.handlers import KEY, Workspace, resolved
+from codequarry.operators.handlers import KEY, Workspace, places_by_file, resolved, stored
 from codequarry.operators.links import rename_collisions, rename_map, rename_sites
 from codequarry.operators.lookup import delegates_to, function_rows, module_rows
 from codequarry.sources import text_tables as X
@@ -25,8 +25,7 @@ _EDIT_NAMES = [x.split()[0] for x in EDITS.split(", ")]
 
 def per_place(sources: DataFrame, places: DataFrame, rows_of, schema: str) -> DataFrame:
     """file_path and what `rows_of(variables, line, col)` gives for each place; a text is read once for all of its places."""
-    asked = places.where("line IS NOT NULL AND col IS NOT NULL").select(*KEY).distinct().groupBy("file_path")
-    asked = asked.agg(F.collect_list(F.struct("line", "col")).alias("places"))
+    asked = places_by_file(places)
     names = ["file_path", "line", "col", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -109,7 +108,7 @@ def rename_functions(w: Workspace, renames: DataFrame) -> DataFrame:
     token = [F.col("function").alias("token"), F.col("new_name").alias("new_text")]
     defined = function_rows(w.d).join(asked, ["module", "function"])
     called = w.r.where("kind NOT IN ('alias', 'use')").join(asked, ["module", "function"])
-    injectors = injection.injecting_modules(w.spark, X.using_edges(w.sources), asked.select(F.col("module").alias("seed")))
+    injectors = injection.injecting_modules(w.spark, w.using_edges(), asked.select(F.col("module").alias("seed")))
     through = asked.join(injectors.select(F.col("seed").alias("module"), F.col("node").alias("_i")), "module").select("_i", "function", "new_name")
     injected = w.r.withColumnRenamed("module", "_i").join(through, ["_i", "function"])
     homes = defined.select("file_path", "function", "new_name").distinct()
@@ -189,16 +188,57 @@ def file_moves(w: Workspace, renames: DataFrame) -> DataFrame:
 
 
 def prepare_rename(w: Workspace, places: DataFrame, foreign: str = r"(^|/)(deps|stdlib)/") -> DataFrame:
-    """file_path, line, col, target (variable, function or module), name of what can be renamed at each place; what is
-    only defined in files that match `foreign` cannot."""
+    """file_path, line, col, target, name of what can be renamed at each place: a variable, an alias (a short name of the
+    file's own that `as:` gave), a function or a module; what is only defined in files that match `foreign` cannot."""
     variables = variable_occurrences(w.sources, places).select(*KEY).distinct().withColumn("target", F.lit("variable")).withColumn("name", F.lit(""))
-    at = resolved(w, places).where("module <> ''").join(variables.select(*KEY), KEY, "left_anti")
+    at = stored(w.spark, resolved(w, places).where("module <> ''").join(variables.select(*KEY), KEY, "left_anti"))
+    short = (F.col("function") == "") & F.col("own_alias") & (F.substring_index("module", ".", -1) != F.col("written"))
+    aliases = at.where(short).select(*KEY, F.lit("alias").alias("target"), F.col("written").alias("name"))
+    at = at.where(~short)
     own = w.d.where(~F.col("file_path").rlike(foreign))
     functions = function_rows(own).select("module", "function").distinct()
     modules = module_rows(own).select("module").distinct()
     f = at.where("function <> ''").join(functions, ["module", "function"], "left_semi").select(*KEY, F.lit("function").alias("target"), F.concat_ws(".", "module", "function").alias("name"))
     m = at.where("function = ''").join(modules, "module", "left_semi").select(*KEY, F.lit("module").alias("target"), F.col("module").alias("name"))
-    return variables.unionByName(f).unionByName(m)
+    return variables.unionByName(aliases).unionByName(f).unionByName(m)
+
+
+def rename_aliases(sources: DataFrame, renames: DataFrame) -> DataFrame:
+    """Edits that give the short name `name` of a file (file_path, name, new_name) its new one, wherever it stands in it as
+    the first segment of a module's name; strings and comments are passed over."""
+    asked = renames.where(N.is_module_name(F.col("new_name")) & ~F.contains("new_name", F.lit("."))).select("file_path", "name", "new_name").distinct()
+    # Short names of one file are at most as many as its text has words.
+    per_file = asked.groupBy("file_path").agg(F.collect_list(F.struct("name", "new_name")).alias("names"))
+    texts = sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text")
+
+    def edit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text, names in zip(b["file_path"], b["source_text"], b["names"], strict=True):
+                text = text.replace("\r\n", "\n")
+                lines = text.split("\n")
+                for x in names:
+                    for line, col, end in token_occurrences(text, x["name"]):
+                        before = lines[line][:col]
+                        if not before.endswith("."):
+                            rows.append((path, line + 1, len(before.encode()), len(lines[line][col:end].encode()), x["new_name"]))
+            yield pd.DataFrame(rows, columns=_EDIT_NAMES)
+
+    return texts.join(per_file, "file_path").mapInPandas(edit, EDITS)
+
+
+def rename(w: Workspace, requests: DataFrame, foreign: str = r"(^|/)(deps|stdlib)/") -> DataFrame:
+    """Edits for each request (file_path, line, col, new_name), whatever stands at its place; none where it cannot be renamed
+    or the new name is not valid for it."""
+    asked = stored(w.spark, requests.select(*KEY, "new_name").distinct())
+    found = stored(w.spark, prepare_rename(w, asked, foreign).join(asked, KEY))
+    variables = rename_variables(w.sources, found.where("target = 'variable'").select(*KEY, "new_name"))
+    aliases = rename_aliases(w.sources, found.where("target = 'alias'").select("file_path", "name", "new_name"))
+    functions = found.where("target = 'function'").select(
+        F.expr("substring(name, 1, length(name) - length(substring_index(name, '.', -1)) - 1)").alias("module"), F.substring_index("name", ".", -1).alias("function"), "new_name"
+    )
+    modules = found.where("target = 'module'").select(F.col("name").alias("old_prefix"), F.col("new_name").alias("new_prefix"))
+    return variables.unionByName(aliases).unionByName(rename_functions(w, functions)).unionByName(rename_modules(w, modules)).distinct()
 
 
 def apply_edits(sources: DataFrame, edits: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codequarry import tables as T
+from codequarry.operators.asof import enclosing_block
 from codequarry.sources.facts import latest_texts, parse_facts, parsed_definitions, parsed_references, token_counts
 from codequarry.sources import text_tables as X
 from codequarry.sources.files import lines
@@ -54,13 +55,9 @@ def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enclosing_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each referenced place the module whose block holds it, '' outside of all: right after a nested `end`, too."""
-    places = T.refs(spark, sf_dir).select("file_path", "line").distinct()
-    texts = sources(spark, sf_dir)
-    scopes = X.scopes(texts).select("file_path", "module", "first_line", "last_line")
-    inside = places.join(scopes, "file_path").where(F.col("line").between(F.col("first_line"), F.col("last_line")))
-    best = inside.groupBy("file_path", "line").agg(F.max_by("module", F.struct("first_line", -F.col("last_line"))).alias("module"))
-    known = places.join(texts.select(F.col("path").alias("file_path")), "file_path", "left_semi")
-    return known.join(best, ["file_path", "line"], "left_outer").select("file_path", "line", F.coalesce("module", F.lit("")).alias("module"))
+    readable = T.read(spark, sf_dir, "sources").where("path IS NOT NULL AND source_text IS NOT NULL").select(F.col("path").alias("file_path"))
+    places = T.refs(spark, sf_dir).select("file_path", "line").join(readable, "file_path", "left_semi")
+    return enclosing_block(places, X.scopes(sources(spark, sf_dir)))
 
 
 def workspace_of(spark: SparkSession, sf_dir: str):

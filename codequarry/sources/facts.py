@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codequarry.lang.lexer import tokenize
 from codequarry.lang.parser import facts
-from codequarry.session import width
+from codequarry.lang.using import using_bodies
 
 _FACTS = (
     "fact string, module string, function string, arity int, kind string, line int, file_path string, "
@@ -19,8 +19,11 @@ _FACTS = (
 _NAMES = [x.split()[0] for x in _FACTS.split(", ")]
 
 
-def parse_facts(sources: DataFrame) -> DataFrame:
-    """Facts of `sources` (path, source_text): definitions and references, told apart by `fact`. NULL texts: none."""
+def parse_facts(sources: DataFrame, edges: bool = False) -> DataFrame:
+    """Facts of `sources` (path, source_text): definitions and references, told apart by `fact`. NULL texts: none.
+
+    With `edges` also what using modules brings (rows of `text_tables.using_edges`), read by `parsed_edges`.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -29,6 +32,9 @@ def parse_facts(sources: DataFrame) -> DataFrame:
                 ds, rs = facts(text)
                 rows += [("definition", d.module, d.function, d.arity, d.kind, d.line, path, d.delegate_to, d.delegate_as, d.params) for d in ds]
                 rows += [("reference", r.module, r.function, None, r.kind, r.line, path, None, None, None) for r in rs]
+                if edges and "using" in text:
+                    for module, body in using_bodies(text):
+                        rows += [("edge", module, f, a, kind, n, path, target, option, None) for kind, n, target, f, a, option in body.edges()]
             yield pd.DataFrame(rows, columns=_NAMES).astype({"arity": "Int32", "line": "Int32"})
 
     return sources.where("source_text IS NOT NULL").select("path", "source_text").mapInPandas(parse, _FACTS)
@@ -42,6 +48,12 @@ def parsed_references(parsed: DataFrame) -> DataFrame:
     return parsed.where("fact = 'reference'").select("module", "function", "line", "file_path", "kind")
 
 
+def parsed_edges(parsed: DataFrame) -> DataFrame:
+    return parsed.where("fact = 'edge'").select(
+        "module", "kind", F.col("line").alias("ordinal"), F.col("delegate_to").alias("target"), "function", "arity", F.col("delegate_as").alias("option"), "file_path"
+    )
+
+
 def tokens(sources: DataFrame) -> DataFrame:
     """path, ordinal, kind, text, start, end, line of every token; offsets are characters."""
 
@@ -78,14 +90,12 @@ def token_counts(sources: DataFrame) -> DataFrame:
 def latest_texts(sources: DataFrame) -> DataFrame:
     """path, source_text as last read, NULL texts left out; of equally late readings the greatest text.
 
-    Readings of one file are reduced before the shuffle, however many there are. Then the texts are dealt to a fixed
-    number of tasks: what follows is parsing, and adaptive execution would merge partitions by their bytes, not by the
-    time that they take.
+    Readings of one file are reduced before the shuffle, however many there are, and the tasks that receive a file's texts
+    are those that parse them: texts travel once.
     """
     return (
         sources.where("path IS NOT NULL AND source_text IS NOT NULL")
         .groupBy("path")
         .agg(F.max(F.struct("read_at", "source_text")).alias("s"))
         .select("path", F.col("s.source_text").alias("source_text"))
-        .repartition(width(sources.sparkSession), F.xxhash64("path"))
     )

@@ -119,8 +119,14 @@ def fingerprints(files: DataFrame, chunk: int = 1 << 20) -> DataFrame:
 
 
 def with_buffers(disk: DataFrame, buffers: DataFrame) -> DataFrame:
-    """path, source_text: open buffers (path, source_text) win over the disk; of several of one path any one counts."""
-    b = buffers.select("path", F.col("source_text").alias("_buffer"), F.lit(True).alias("_open")).dropDuplicates(["path"])
+    """path, source_text: open buffers (path, source_text) win over the disk.
+
+    Of several of one path the last change counts, by `seq` where buffers have it (equal ones: the greatest text); a change
+    with a NULL text closes the buffer, and the disk counts again. Without `seq` the greatest text counts.
+    """
+    order = F.col("seq") if "seq" in buffers.columns else F.lit(0)
+    b = buffers.groupBy("path").agg(F.max(F.struct(order.alias("n"), F.col("source_text").alias("t"))).alias("x"))
+    b = b.where("x.t IS NOT NULL").select("path", F.col("x.t").alias("_buffer"), F.lit(True).alias("_open"))
     return disk.select("path", "source_text").join(b, "path", "full_outer").select(
         "path", F.when(F.col("_open"), F.col("_buffer")).otherwise(F.col("source_text")).alias("source_text")
     )

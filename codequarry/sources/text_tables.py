@@ -32,8 +32,8 @@ def scopes(sources: DataFrame) -> DataFrame:
     """Modules with the lines of their blocks: where a line belongs after a nested module's `end`."""
     return per_text(
         sources,
-        lambda text: [(s.name, s.kind, s.first_line, s.last_line, _depth(o, s)) for o in [Outline(text)] for s in o.scopes],
-        "module string, kind string, first_line int, last_line int, depth int",
+        lambda text: [(s.name, s.kind, s.first_line, s.last_line, _depth(o, s), _named(o, s.parent)) for o in [Outline(text)] for s in o.scopes],
+        "module string, kind string, first_line int, last_line int, depth int, parent string",
     )
 
 
@@ -70,11 +70,16 @@ def uses(sources: DataFrame) -> DataFrame:
     )
 
 
+def _bodies(text: str):
+    """What using the modules of a text brings; few texts say so, and only these are lexed."""
+    return using_bodies(text) if "using" in text else []
+
+
 def using_edges(sources: DataFrame) -> DataFrame:
     """What using each module brings: kind (inline, import, use, option_import, option_use, alias), in order."""
     return per_text(
         sources,
-        lambda text: [(module, *e) for module, body in using_bodies(text) for e in body.edges()],
+        lambda text: [(module, *e) for module, body in _bodies(text) for e in body.edges()],
         "module string, kind string, ordinal int, target string, function string, arity int, option string",
     )
 
@@ -83,7 +88,7 @@ def inline_functions(sources: DataFrame) -> DataFrame:
     """Functions that using each module writes into the text, with the lines that they are written on."""
     return per_text(
         sources,
-        lambda text: [(module, f[0], f[-1]) for module, body in using_bodies(text) for f in body.functions],
+        lambda text: [(module, f[0], f[-1]) for module, body in _bodies(text) for f in body.functions],
         "module string, function string, line int",
     )
 
@@ -106,11 +111,13 @@ def docs(sources: DataFrame) -> DataFrame:
 
     def rows(text: str):
         o = Outline(text)
-        for s in o.scopes:
-            if doc := o.moduledoc(s.name):
+        first: dict[str, int] = {}
+        for n, s in enumerate(o.scopes):
+            if doc := o.moduledocs.get(first.setdefault(s.name, n), ""):
                 yield s.name, "", 0, s.first_line, doc, ""
+        above = o.docs_above([f.line for f in o.functions])
         for f in o.functions:
-            doc, spec = o.doc_above(f.line)
+            doc, spec = above[f.line]
             if doc or spec:
                 yield f.module, f.name, len(f.params), f.line, doc, spec
 
@@ -131,11 +138,7 @@ def bare_calls(sources: DataFrame) -> DataFrame:
     """Lines with calls of each name without a module, for all names that a file calls so."""
 
     def rows(text: str):
-        o = Outline(text)
-        names = {o.t.word(i) for i, tok in enumerate(o.t.all) if tok.kind == "ident" and (o.t.kind(i + 1) == "(" or o.t.kind(i - 1) in ("|>", "eol"))}
-        for name in sorted(names):
-            for line in o.bare_call_lines(name):
-                yield name, line
+        return [(name, line) for name, lines in sorted(Outline(text).bare_calls().items()) for line in lines]
 
     return per_text(sources, rows, "function string, line int")
 

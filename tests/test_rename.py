@@ -97,5 +97,12 @@ def test_delegate_statements():
 
 
 def test_hover_text():
-    assert E.hover_text("def a/1", "  @spec a(x)\n    :: y", " Doc. ") == "```elixir\ndef a/1\n@spec a(x)\n  :: y\n```\n\n---\n\nDoc."
+    assert E.hover_text("def a/1", "  @spec a(x)\n    :: y", " Doc. ") == "```elixir\ndef a/1\n@spec a(x)\n  :: y\n```\n\nDoc."
     assert E.hover_text("", "", "") == ""
+
+
+def test_quoted_text_and_signatures():
+    assert [E.quoted_text(x) for x in ('"a \\" b" c', '"open', "none", '""')] == ['a \\" b', "", "", ""]
+    lines = ["  def a(x),", "def b(y) do", "   ", "def c, do: 1"]
+    assert [E.signature_line(lines, n) for n in range(6)] == ["", "def a(x)", "def b(y)", "", "def c, do: 1", ""]
+    assert E.dedent("    a\n\n      b\n") == "a\n\n  b"
