@@ -87,7 +87,7 @@ class Outline:
         stack: list[tuple[int, int]] = []  # scope, depth of its block
         opened: list[tuple[int, Function | Block | None]] = []  # depth and owner of each open block
         macro_do: dict[int, Block] = {}  # macro blocks by the token that opens them
-        depth, i = 0, 0
+        depth, i, head_end = 0, 0, 0
         awaiting: Function | None = None
         last = t.all[-1].line if t.n else 1
         while i < t.n:
@@ -127,7 +127,7 @@ class Outline:
             elif k in DEF_WORDS:
                 j = t.after_blank(i + 1)
                 if t.kind(j) == "ident":
-                    params, defaults, _ = t.params(t.after_blank(j + 1))
+                    params, defaults, head_end = t.params(t.after_blank(j + 1))
                     awaiting = Function(self.scopes[here].name if here >= 0 else "", t.word(j), k, t.line(i), t.line(i), params, defaults, here)
                     self.functions.append(awaiting)
             elif k == "attr":
@@ -137,7 +137,7 @@ class Outline:
                 opened.append((depth, (macro_do.pop(i, None) or awaiting) if k == "do" else None))
                 if k == "do":
                     awaiting = None
-            elif k == "ident" and here >= 0 and not macro_do and t.kind(i - 1) in ("", "eol") and t.word(i) not in KEYWORDS:
+            elif k == "ident" and i >= head_end and here >= 0 and not macro_do and t.kind(i - 1) in ("", "eol") and t.word(i) not in KEYWORDS:
                 do = self._next_do[i]
                 if t.kind(do) == "do":
                     name = t.word(i)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codequarry import tables as T
 from codequarry.operators.asof import enclosing_block
+from codequarry.plans import text_sql
 from codequarry.sources.facts import latest_texts, parse_facts, parsed_definitions, parsed_references, token_counts
 from codequarry.sources import text_tables as X
 from codequarry.sources.files import lines
@@ -21,7 +22,8 @@ def parse_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parse_references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parsed_references(parse_facts(sources(spark, sf_dir)))
+    """References that the texts hold, each once."""
+    return parsed_references(parse_facts(sources(spark, sf_dir))).distinct()
 
 
 _DEF_KEY = ["module", "function", "arity", "kind", "line", "file_path"]
@@ -77,6 +79,32 @@ def call_places(spark: SparkSession, sf_dir: str, inside: bool = False) -> DataF
     return found.where(at > 0).select("file_path", (F.col("line") - 1).alias("line"), col.cast("int").alias("col")).distinct()
 
 
+def module_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last characters of the module names of aliases, imports and uses that are written out on their lines."""
+    named = T.refs(spark, sf_dir).where("kind IN ('alias', 'import', 'use')").select("file_path", "line", "module", "kind").distinct()
+    found = named.join(lines(sources(spark, sf_dir)), ["file_path", "line"])
+    whole = F.concat(F.lit(r"^\s*"), "kind", F.lit(r"\s+\Q"), "module", F.lit(r"\E(?:$|[^\w.])"))
+    col = F.expr("instr(text, module) + length(module) - 2")
+    return found.where(F.regexp_like("text", whole)).select("file_path", (F.col("line") - 1).alias("line"), col.cast("int").alias("col")).distinct()
+
+
+def definition_at_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from codequarry.operators.handlers import definition
+
+    return definition(workspace_of(spark, sf_dir), module_places(spark, sf_dir))
+
+
+def variable_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For the argument of every qualified call that has just a name for one, all places of that variable."""
+    from codequarry.operators.rename import variable_occurrences
+
+    texts = sources(spark, sf_dir)
+    rows = lines(texts).where(F.col("text").rlike(r"^\s+(v\d+ = )?[A-Z][\w.]*\.[a-z_]\w*[?!]?\([a-z_]\w*\)$"))
+    name = F.regexp_extract("text", r"\(([a-z_]\w*)\)$", 1)
+    places = rows.select("file_path", (F.col("line") - 1).alias("line"), (F.length("text") - F.length(name) - 1).alias("col"))
+    return variable_occurrences(texts, places)
+
+
 def _handler(name: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from codequarry.operators import handlers
@@ -108,6 +136,8 @@ QUERIES = {
     "definition_at": _handler("definition"),
     "hover_at": _handler("hover"),
     "signature_at": _handler("signature_help"),
+    "definition_at_modules": definition_at_modules,
+    "variable_places": variable_places,
     "parse_definitions": parse_definitions,
     "parse_references": parse_references,
     "parse_roundtrip": parse_roundtrip,
@@ -153,4 +183,4 @@ FROM refs JOIN S ON path = file_path WHERE kind = 'import' AND line <= len(strin
     }
 
 
-SQL = _sql()
+SQL = _sql() | text_sql.SQL
