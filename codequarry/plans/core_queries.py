@@ -474,14 +474,17 @@ def _(d, r):
 
 @query(
     "rename_collisions",
-    """, RN AS (SELECT DISTINCT regexp_extract(module, '^[^.]+') AS p, 'Lumen' AS q FROM MODS WHERE module LIKE '%.%' AND module NOT LIKE 'Lumen%'),
+    """, N AS (SELECT DISTINCT module, min(module) OVER (PARTITION BY regexp_extract(module, '[^.]*$')) AS q FROM MODS),
+RN AS (SELECT module AS p, q FROM N WHERE q <> module),
 MAP AS (SELECT DISTINCT module AS old_module, q || substring(module, length(p) + 1) AS new_module FROM RN JOIN MODS ON module = p OR module ILIKE p || '.%'),
 MF AS (SELECT DISTINCT module, file_path FROM MODS), MOVED AS (SELECT DISTINCT file_path FROM MF WHERE module IN (SELECT old_module FROM MAP))
 SELECT DISTINCT old_module, new_module, file_path FROM MAP JOIN MF ON MF.module = new_module WHERE file_path NOT IN (SELECT file_path FROM MOVED)""",
 )
 def _(d, r):
-    tops = lookup.module_rows(d).where(F.contains("module", F.lit(".")) & ~F.startswith(F.col("module"), F.lit("Lumen")))
-    wanted = tops.select(F.substring_index("module", ".", 1).alias("old_prefix"), F.lit("Lumen").alias("new_prefix")).distinct()
+    # Every module gets the name of the first one with the same last segment.
+    names = lookup.module_rows(d).select("module", N.last_segment(F.col("module")).alias("last")).distinct()
+    first = names.groupBy("last").agg(F.min("module").alias("new_prefix"))
+    wanted = names.join(first, "last").where("module <> new_prefix").select(F.col("module").alias("old_prefix"), "new_prefix")
     return links.rename_collisions(d, wanted)
 
 

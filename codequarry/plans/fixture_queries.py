@@ -587,3 +587,138 @@ def _(p):
 def _(p):
     asked = p.rows([("Shop.Tools", "mend"), ("Shop.Store", "fetch"), (None, "x")], "module string, function string")
     return lookup.lookup_function(p.d, asked).groupBy("module", "function").agg(F.count("*").cast("int").alias("n"))
+
+
+# ---------------------------------------------------------------- cursors, names, edits
+
+
+@fixture(
+    "expressions_at", "file_path, line, col, written, module, function, enclosing, callee_module, callee_function, argument",
+    (*place(USER, "Mem.fetch"), "Mem", "Shop.Memory", "", "Shop.User", "", "", 0),  # cut off at the segment under the cursor
+    (*place(USER, "Mem.fetch", 4), "Mem", "Shop.Memory", "fetch", "Shop.User", "", "", 0),
+    (*place(STORE, "@timeout)"), "", "", "", "Shop.Store", "", "load", 1),  # an attribute, in the second argument
+    (*place(STORE, "Shop.Log.write(item)", 15), "", "", "item", "Shop.Store", "Shop.Log", "write", 0),
+    (*place(SCOPES, "def deep", 4), "", "", "deep", "Shop.Scopes.Inner", "", "", 0),
+)
+def _(p):
+    asked = p.places((USER, "Mem.fetch"), (USER, "Mem.fetch", 4), (STORE, "@timeout)"), (STORE, "Shop.Log.write(item)", 15), (SCOPES, "def deep", 4))
+    columns = ["file_path", "line", "col", "written", "module", "function", "enclosing", "callee_module", "callee_function", "argument"]
+    return H.expressions(p.texts, asked).select(*columns)
+
+
+@fixture(
+    "typed_at", "file_path, line, col, module, prefix, piped",
+    ("t.ex", 1, 12, "A.B", "", False),  # within the braces of an alias
+    ("t.ex", 2, 6, "A.B.C", "fe", False), ("t.ex", 3, 8, "", "Ma", False), ("t.ex", 4, 11, "", "wr", True), ("t.ex", 5, 5, "A.B.C", "", False),
+)
+def _(p):
+    text = "defmodule T do\n  alias A.B.{C, D}\n  C.fe\n  foo(Ma\n  x |> wr\n  C.\nend\n"
+    texts = p.rows([("t.ex", text)], "path string, source_text string")
+    asked = p.rows([("t.ex", 1, 12), ("t.ex", 2, 6), ("t.ex", 3, 8), ("t.ex", 4, 9), ("t.ex", 5, 4)], _PLACE)
+    none = p.rows([], "file_path string, injected array<struct<short:string,full:string>>")
+    found = H._prefixes(texts, asked, none).select("file_path", "line", "col", "module", "prefix", "piped")
+    return found.withColumn("col", F.when(F.col("line") == 4, 11).when(F.col("line") == 5, 5).otherwise(F.col("col")))
+
+
+def _mapped(p: Project, rows: list[tuple], names: str, schema: str, f) -> DataFrame:
+    """Rows with what a Python function of their texts gives."""
+    import pandas as pd
+
+    def run(batches):
+        for b in batches:
+            found = [(*r, *x) for r in b.itertuples(index=False, name=None) for x in f(*r)]
+            yield pd.DataFrame(found, columns=[c.split()[0] for c in f"{names}, {schema}".split(", ")])
+
+    return p.rows(rows, names).mapInPandas(run, f"{names}, {schema}")
+
+
+@fixture(
+    "token_columns", "text, token, every, calls",
+    ("fetch(x) |> fetch?() |> é.fetch(fetch: 1)", "fetch", "[0, 27, 33]", "[0, 27]"), ("prefetch fetch! fetch_all", "fetch", "[]", "[]"), ("fetch::t, fetch :: t", "fetch", "[0, 10]", "[0, 10]"),
+)
+def _(p):
+    from codequarry.lang.cursor import function_token_columns, token_columns
+
+    rows = [("fetch(x) |> fetch?() |> é.fetch(fetch: 1)", "fetch"), ("prefetch fetch! fetch_all", "fetch"), ("fetch::t, fetch :: t", "fetch")]
+    return _mapped(p, rows, "text string, token string", "every string, calls string", lambda t, k: [(str(token_columns(t, k)), str(function_token_columns(t, k)))])
+
+
+@fixture(
+    "minimal_edits", "old, new, first, last, lines",
+    ("a\nb\nc", "a\nx\ny\nc", 1, 2, "x|y"), ("a\nb", "a\nb\nc", 2, 2, "c"), ("a\nb\nb", "a\nb", 2, 3, ""),
+)
+def _(p):
+    from codequarry.functions.edits import minimal_edit
+
+    def edit(old, new):
+        e = minimal_edit(old, new)
+        return [] if e is None else [(e.first, e.last, "|".join(e.lines))]
+
+    return _mapped(p, [("a\nb\nc", "a\nx\ny\nc"), ("a\nb", "a\nb\nc"), ("a\nb\nb", "a\nb"), ("same", "same")], "old string, new string", "first int, last int, lines string", edit)
+
+
+@fixture(
+    "format_errors", "said, line, col, message, hint",
+    ("lib/a.ex:12:5: unexpected token: end\n  hint: close the block", 12, 5, "unexpected token: end", "close the block"), ("lib/a.ex:7: syntax error", 7, 0, "syntax error", ""), ("no place", 0, 0, "no place", ""),
+)
+def _(p):
+    from codequarry.functions.edits import format_error
+
+    said = ["lib/a.ex:12:5: unexpected token: end\n  hint: close the block", "lib/a.ex:7: syntax error", "no place"]
+    return _mapped(p, [(x,) for x in said], "said string", "line int, col int, message string, hint string", lambda x: [format_error(x)])
+
+
+@fixture(
+    "delegate_options", "statement, name, changed",
+    ("defdelegate a(x), to: B", "c", "defdelegate a(x), to: B, as: :c"), ("defdelegate a(x), to: B, as: :b", "c", "defdelegate a(x), to: B, as: :c"),
+    ("defdelegate a(x), as: :b, to: B", "", "defdelegate a(x), to: B"), ("defdelegate(a(x), to: B)", "c", "defdelegate(a(x), to: B, as: :c)"),
+)
+def _(p):
+    from codequarry.functions.edits import with_delegate_as
+
+    rows = [("defdelegate a(x), to: B", "c"), ("defdelegate a(x), to: B, as: :b", "c"), ("defdelegate a(x), as: :b, to: B", ""), ("defdelegate(a(x), to: B)", "c")]
+    return _mapped(p, rows, "statement string, name string", "changed string", lambda s, n: [(with_delegate_as(s, n),)])
+
+
+@fixture("taken_names", "name, taken", ("found", 1), ("id", 1), ("write", 0), ("other", 0))
+def _(p):
+    from codequarry.lang.variables import Variables
+
+    line, col = place(USER, "found = ")[1:]
+    return _mapped(p, [(n,) for n in ("found", "id", "write", "other")], "name string", "taken int", lambda n: [(int(Variables(TEXTS[USER]).name_exists(line, col, n)),)])
+
+
+@fixture("words_and_numbers", "word, keyword, source_file, shown", ("if", True, False, "1,234,567"), ("fetch", False, False, "12"), ("lib/a.exs", False, True, "0"), ("lib/a.ext", False, False, "-1,000"))
+def _(p):
+    from codequarry.functions import names as N
+
+    rows = p.rows([("if", 1234567), ("fetch", 12), ("lib/a.exs", 0), ("lib/a.ext", -1000)], "word string, n int")
+    return rows.select("word", N.is_keyword(F.col("word")).alias("keyword"), N.is_source_file(F.col("word")).alias("source_file"), N.thousands(F.col("n")).alias("shown"))
+
+
+@fixture("roots_of_projects", "path, root", ("/r/apps/x/lib", "/r"), ("/r/z", "/r"), ("/else", "/else"))
+def _(p):
+    from codequarry.sources.files import project_roots
+
+    markers = p.rows([("/r/.git",), ("/r/apps/x/mix.exs",), ("/else/other",)], "path string")
+    return project_roots(p.rows([("/r/apps/x/lib",), ("/r/z",), ("/else",)], "path string"), markers, [".git", "mix.exs"])
+
+
+@fixture("lines_of_buffers", "file_path, line, text", (QUIET, 1, "new"), (QUIET, 2, ""), (LEVEL, 2, "  def info(text), do: text"))
+def _(p):
+    from codequarry.sources.files import line_of, with_buffers
+
+    changes = p.rows([(QUIET, "old", 1), (QUIET, "new", 2), (LEVEL, "gone", 1), (LEVEL, None, 2)], "path string, source_text string, seq int")
+    return line_of(with_buffers(p.texts, changes), p.rows([(QUIET, 1), (QUIET, 2), (LEVEL, 2)], "file_path string, line int"))
+
+
+@fixture("followed_delegates", "file_path, line, col, module, function, target_module, target_function, n_hops", (*place(USER, "find(id)"), "Shop", "find", "Shop.Store", "fetch", 1))
+def _(p):
+    return H.delegates_resolved(p.w, p.places((USER, "find(id)")))
+
+
+@fixture("reference_places", "module, function, location", ("Shop.Log", "write", f"{STORE}:11"), ("Shop.Log", "write", f"{MEMORY}:9"), *[("Shop.Log", "write", f"{USER}:{n}") for n in (6, 15)])
+def _(p):
+    from codequarry.operators.composite import reference_locations
+
+    return reference_locations(p.r, p.rows([("Shop.Log", "write")], "module string, function string"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from codequarry.plans import core_queries, data_queries, fixture_queries, source_queries
+from codequarry.plans import core_queries, data_queries, fixture_queries, index_queries, source_queries
 
-MODULES = [core_queries, source_queries, fixture_queries, data_queries]
+MODULES = [core_queries, source_queries, fixture_queries, index_queries, data_queries]
 
 
 def queries() -> dict:

@@ -57,12 +57,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def workspace(spark: SparkSession, label: str) -> str:
-    """A fresh sub-folder of the shared folder. Results may read from it lazily; `clear_workspaces` takes all away."""
+    """A fresh sub-folder of the shared folder. Results may read from it lazily; `clear_workspaces` takes all away, at the latest
+    when the driver ends."""
     folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _workspaces.setdefault(spark.sparkContext.applicationId, []).append(folder)
+    app = spark.sparkContext.applicationId
+    if app not in _workspaces:
+        _workspaces[app] = []
+        atexit.register(_clear_at_exit, spark)
+    _workspaces[app].append(folder)
     return folder
 
 
+def _clear_at_exit(spark: SparkSession) -> None:
+    """What a driver leaves behind goes with it; a context that was stopped before cannot be asked any more."""
+    try:
+        clear_workspaces(spark)
+    except Exception:  # noqa: BLE001
+        pass
+
+
 def written(rows: DataFrame, path: str) -> int:
     """Write a table; how many rows it has, counted by the write itself."""
     seen = Observation()

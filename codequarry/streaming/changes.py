@@ -7,6 +7,8 @@ are taken together by the next.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -34,6 +36,36 @@ def follow(spark: SparkSession, index: Index, folder: str, checkpoint: str, ever
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+def head_of(project: str) -> str:
+    """What a project's HEAD names: the commit of its branch, or the commit itself; '' where there is none."""
+    try:
+        with open(os.path.join(project, ".git", "HEAD")) as f:
+            named = f.read().strip()
+        if not named.startswith("ref: "):
+            return named
+        with open(os.path.join(project, ".git", named[5:])) as f:
+            return f"{named} {f.read().strip()}"
+    except OSError:
+        return ""
+
+
+def follow_head(spark: SparkSession, index: Index, project: str, every: str = "2 seconds") -> StreamingQuery:
+    """Look at the project's HEAD again and again, and refresh the index when it names another commit than before.
+
+    A refresh that takes longer than `every` delays the next look; looks that were due meanwhile are one.
+    """
+    last = [head_of(project)]
+
+    def look(_: DataFrame, __: int) -> None:
+        now = head_of(project)
+        if now != last[0]:
+            index.refresh(project)
+            last[0] = now
+
+    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return ticks.writeStream.foreachBatch(look).trigger(processingTime=every).start()
+
+
 def event_counts(stream: DataFrame) -> DataFrame:
     """How many events of each kind came in so far, by directory."""
     return stream.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("directory"), "op").agg(F.count("*").alias("n_events"))

@@ -103,6 +103,74 @@ def test_stdlib_gives_definitions_only(spark, project, tmp_path):
     assert index.definitions().where("module = 'Kernel'").count() == 2 and index.refs().where("module = 'Other'").isEmpty()
 
 
+def test_a_commit_in_between_is_not_lost(spark, project, tmp_path, monkeypatch):
+    """Another writer commits to the same buckets while a write is under way: the write begins anew from there."""
+    index, other = (Index(spark, f"file://{tmp_path}/index", n_buckets=1) for _ in range(2))
+    index.build(project)
+    a, b = (os.path.join(project, f"lib/{x}.ex") for x in "ab")
+    put(project, "lib/a.ex", "defmodule A2 do\nend")
+    put(project, "lib/b.ex", "defmodule B2 do\nend")
+    change = lambda path: spark.createDataFrame([(1, "change", path)], "seq bigint, op string, path string")
+    write, calls = Index._write, []
+
+    def interrupted(self, tables, touched):
+        calls.append(1)
+        if len(calls) == 1:
+            other.apply_changes(change(b))
+        return write(self, tables, touched)
+
+    monkeypatch.setattr(Index, "_write", interrupted)
+    index.apply_changes(change(a))
+    found = {r.module for r in index.definitions().collect()}
+    assert {"A2", "B2"} <= found and len(calls) == 3
+
+
+def test_buckets_are_dealt_anew_and_old_folders_taken_away(spark, project, tmp_path, monkeypatch):
+    import codequarry.sources.ingest as ingest
+
+    index = Index(spark, f"file://{tmp_path}/index", n_buckets=1)
+    index.build(project)
+    rows = lambda: sorted(map(str, index.definitions().collect() + index.refs().collect() + index.edges().collect()))
+    before = rows()
+    index.resize(5)
+    assert index.n_buckets == 5 and rows() == before
+    assert index.vacuum() >= 1 and index.vacuum() == 0 and rows() == before
+    monkeypatch.setattr(ingest, "BUCKET_BYTES", 8)
+    put(project, "lib/d.ex", "defmodule D do\n  defmacro __using__(_) do\n    quote do\n      import E\n    end\n  end\nend\n" + "# long\n" * 200)
+    assert index.refresh(project)["changed"] == 1
+    assert index.n_buckets > 5 and set(before) < set(rows())
+    assert [(r.module, r.kind, r.target) for r in index.edges().where("module = 'D'").collect()] == [("D", "import", "E")]
+
+
+def test_head_is_followed(spark, project, tmp_path):
+    import time
+
+    from codequarry.streaming.changes import follow_head, head_of
+
+    index = Index(spark, f"file://{tmp_path}/index", n_buckets=1)
+    index.build(project)
+    assert head_of(project) == ""
+    put(project, ".git/HEAD", "ref: refs/heads/main\n")
+    put(project, ".git/refs/heads/main", "one\n")
+    assert head_of(project) == "ref: refs/heads/main one"
+    query = follow_head(spark, index, project, "1 second")
+    try:
+        put(project, "lib/new.ex", "defmodule New do\nend")
+        put(project, ".git/refs/heads/main", "two\n")
+        until = time.time() + 60
+        while time.time() < until and index.definitions().where("module = 'New'").isEmpty():
+            time.sleep(0.5)
+    finally:
+        query.stop()
+    assert not index.definitions().where("module = 'New'").isEmpty()
+
+
+def test_of_several_changes_of_a_buffer_the_last_counts(spark):
+    disk = spark.createDataFrame([("a", "disk"), ("b", "disk")], "path string, source_text string")
+    changes = spark.createDataFrame([("a", "z", 1), ("a", "y", 2), ("b", "x", 1), ("b", None, 2)], "path string, source_text string, seq int")
+    assert {r.path: r.source_text for r in S.with_buffers(disk, changes).collect()} == {"a": "y", "b": "disk"}
+
+
 def test_change_stream(spark, project, tmp_path):
     index = Index(spark, f"file://{tmp_path}/index", n_buckets=2)
     index.build(project)
