@@ -42,22 +42,32 @@ def is_type(kind: Column) -> Column:
     return F.when(kind.isin(*T.TYPE_KINDS), 1).otherwise(0)
 
 
+def distinct_keys(rows: DataFrame, *columns: Column | str) -> DataFrame:
+    """The distinct keys of `rows`, grouped more finely than a join on them.
+
+    Adaptive execution splits a key that holds a large part of the other side only if both sides of the join are sorted
+    right after their shuffles; keys that were made distinct by themselves would be aggregated in between.
+    """
+    keys = rows.select(*columns)
+    return keys.groupBy(*keys.columns, F.xxhash64(*keys.columns).alias("_finer")).agg(F.lit(1).alias("_one")).select(*keys.columns)
+
+
 def lookup_module(d: DataFrame, keys: DataFrame) -> DataFrame:
     """Where each module of `keys` (module) is defined."""
-    return module_rows(d).join(keys.select("module").distinct(), "module").select("module", *LOCATION)
+    return module_rows(d).join(distinct_keys(keys, "module"), "module").select("module", *LOCATION)
 
 
 def modules_in_file(d: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """Modules and protocols of each file (all files without `keys`), by line."""
     rows = module_rows(d, impl=False)
     if keys is not None:
-        rows = rows.join(keys.select("file_path").distinct(), "file_path", "left_semi")
+        rows = rows.join(distinct_keys(keys, "file_path"), "file_path", "left_semi")
     return rows.select("file_path", "line", "module")
 
 
 def lookup_function(d: DataFrame, keys: DataFrame) -> DataFrame:
     """Definitions of each (module, function): functions before types, then by line."""
-    asked = keys.select("module", "function").distinct()
+    asked = distinct_keys(keys, "module", "function")
     return (
         function_rows(d)
         .join(asked, ["module", "function"])
@@ -70,8 +80,8 @@ def functions_in_modules(d: DataFrame, scopes: DataFrame, names: DataFrame) -> D
 
     `scopes`: scope, module (several modules for each scope); `names`: scope, function, arity.
     """
-    offered = function_rows(d).join(scopes.select("scope", "module").distinct(), "module")
-    asked = names.select("scope", "function", F.col("arity").alias("asked_arity")).distinct()
+    offered = function_rows(d).join(distinct_keys(scopes, "scope", "module"), "module")
+    asked = distinct_keys(names, "scope", "function", F.col("arity").alias("asked_arity"))
     return (
         offered.join(asked, ["scope", "function"])
         .where((F.col("asked_arity") < 0) | (F.col("asked_arity") == F.col("arity")))
@@ -82,7 +92,7 @@ def functions_in_modules(d: DataFrame, scopes: DataFrame, names: DataFrame) -> D
 
 def callback_definitions(d: DataFrame, keys: DataFrame) -> DataFrame:
     """Callbacks of each (module, function), by line."""
-    asked = keys.select("module", "function").distinct()
+    asked = distinct_keys(keys, "module", "function")
     return (
         callback_rows(d)
         .join(asked, ["module", "function"])
@@ -92,7 +102,7 @@ def callback_definitions(d: DataFrame, keys: DataFrame) -> DataFrame:
 
 def callback_definitions_anywhere(d: DataFrame, keys: DataFrame) -> DataFrame:
     """Callbacks of any module for each (function, arity); a negative arity asks for all."""
-    asked = keys.select("function", F.col("arity").alias("asked_arity")).distinct()
+    asked = distinct_keys(keys, "function", F.col("arity").alias("asked_arity"))
     return (
         callback_rows(d)
         .join(asked, "function")
@@ -103,7 +113,7 @@ def callback_definitions_anywhere(d: DataFrame, keys: DataFrame) -> DataFrame:
 
 def references(r: DataFrame, keys: DataFrame) -> DataFrame:
     """References to each (module, function), with '' for those to the module as such; duplicates stay."""
-    asked = keys.select("module", "function").distinct()
+    asked = distinct_keys(keys, "module", "function")
     return (
         r.join(asked, ["module", "function"], "left_semi")
         .select("module", "function", "file_path", "line", "kind")
@@ -182,7 +192,7 @@ def delegates_to(d: DataFrame, keys: DataFrame) -> DataFrame:
         "file_path",
         "line",
     )
-    return rows.join(keys.select("module", "function").distinct(), ["module", "function"], "left_semi")
+    return rows.join(distinct_keys(keys, "module", "function"), ["module", "function"], "left_semi")
 
 
 def file_paths(files: DataFrame) -> DataFrame:
@@ -190,4 +200,4 @@ def file_paths(files: DataFrame) -> DataFrame:
 
 
 def file_mtime(files: DataFrame, keys: DataFrame) -> DataFrame:
-    return files.join(keys.select("path").distinct(), "path", "left_semi").select("path", "mtime")
+    return files.join(distinct_keys(keys, "path"), "path", "left_semi").select("path", "mtime")

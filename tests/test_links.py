@@ -160,3 +160,29 @@ def test_workspaces_are_taken_away(spark):
     spark.range(3).write.parquet(folder)
     assert storage.exists(spark, folder) and clear_workspaces(spark) >= 1
     assert not storage.exists(spark, folder) and clear_workspaces(spark) == 0
+
+
+def test_a_hot_key_of_a_lookup_can_be_split(spark):
+    """The function that holds a third of all references: its partition is split although the keys were made distinct."""
+    from codequarry.operators.lookup import references
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.2",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    old = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        hot = F.when(F.col("id") % 3 == 0, "Hot").otherwise(F.concat(F.lit("M"), F.col("id") % 400))
+        r = spark.range(0, 60_000, 1, 6).select(hot.alias("module"), F.lit("f").alias("function"), F.concat(F.lit("p"), F.col("id")).alias("file_path"), F.col("id").cast("int").alias("line"), F.lit("call").alias("kind"))
+        found = references(r, r)
+        assert len(found.collect()) == 60_000
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
