@@ -37,7 +37,7 @@ from codequarry.session import width, workspace
 LEAST_DOCUMENTS, RAREST = 3, 100_000
 BACKGROUND = 6
 #: Rounds of updates end when one adds less than this to the mean log-likelihood of a term, in nats.
-TOLERANCE = 0.003
+TOLERANCE = 0.005
 INNER = 5
 SETTLED = 1e-3
 #: Labelled documents that at most take part in seeding, remark words and thresholds: the first by a hash of doc_id.
