@@ -321,13 +321,13 @@ def pairs(text: str) -> Iterator[dict]:
     yield from found.values()
 
 
-def documented_functions(sources: DataFrame, kinds: tuple[str, ...] = PAIRED_KINDS) -> DataFrame:
+def documented_functions(sources: DataFrame, kinds: tuple[str, ...] = PAIRED_KINDS, trivial: bool = False) -> DataFrame:
     """Code–description pairs of `sources` (path, source_text, read_at): columns of PAIR_SCHEMA.
 
     A file read more than once counts as last read; of equally late readings the greatest text counts. Nulls: a
     NULL path or text is left out. Functions without documentation, or whose documentation is blank, a placeholder,
-    a repetition of their name, or (comments) a marker, a directive or disabled code are left out. Empty texts
-    give nothing; long ones are read whole; extra columns are ignored.
+    a repetition of their name, or (comments) a marker, a directive or disabled code are left out; with `trivial` every
+    documentation is kept, whatever it says. Empty texts give nothing; long ones are read whole; extra columns are ignored.
     """
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -335,7 +335,9 @@ def documented_functions(sources: DataFrame, kinds: tuple[str, ...] = PAIRED_KIN
             rows = []
             for path, text in zip(batch["path"], batch["source_text"], strict=True):
                 for p in pairs(text):
-                    if p["kind"] in kinds and p["doc"] and informative(p["doc"], p["function"], p["params"], p["doc_origin"] == "comment"):
+                    if p["kind"] not in kinds or p["doc"] is None:
+                        continue
+                    if trivial or informative(p["doc"], p["function"], p["params"], p["doc_origin"] == "comment"):
                         rows.append({"path": path, **p})
             yield pd.DataFrame(rows, columns=["path", "line", "kind", "module", "function", "arity", "params", "doc", "doc_origin", "code"])
 

@@ -13,12 +13,13 @@ from codequarry.llm.subjects import subject_areas
 from codequarry.llm.term_counts import mark_terms, term_counts, term_tuples
 from codequarry.llm.tokens import VOCABULARY
 from codequarry.plans.data_queries import sql_module
+from codequarry.plans.text_sql import DEFINED, DOCS
 from codequarry.session import width, workspace
 
 # ---------------------------------------------------------------- 3: functions with their documentation
 
 
-def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs(spark: SparkSession, sf_dir: str, trivial: bool = False) -> DataFrame:
     """Pairs of the functions that `definitions` lists, by file, name, parameters and line.
 
     A function with defaults is listed once for each arity, with its first parameters; a NULL list agrees with any."""
@@ -31,10 +32,9 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
             "line",
             F.col("params").alias("listed"),
         )
-        .distinct()
     )
     sources = T.read(spark, sf_dir, "sources").withColumn("path", T.clean_path(F.col("path")))
-    found = documented_functions(sources, PAIRED_KINDS)
+    found = documented_functions(sources, PAIRED_KINDS, trivial)
     first = F.startswith(F.concat(F.array_join(found["params"], ","), F.lit(",")), F.concat(listed["listed"], F.lit(",")))
     same = [found[c] == listed[c] for c in ("path", "function", "line")]
     return found.join(listed, [*same, listed["listed"].isNull() | (listed["listed"] == "") | first], "left_semi")
@@ -44,6 +44,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("path", "line").distinct()
 
 
+def p3_documented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every listed function with the documentation that is attached to it, trivial or not."""
+    return pairs(spark, sf_dir, trivial=True).select("path", "line", "kind", "module", "function", "arity", "doc", "doc_origin")
+
+
 def p3_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs(spark, sf_dir).select("path", "line", "kind", "module", "function", "arity", "doc", "doc_origin", "code")
 
@@ -211,6 +216,7 @@ def p8_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p3_found": p3_found,
     "p3_pairs": p3_pairs,
+    "p3_documented": p3_documented,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
     "p6_packing": p6_packing,
@@ -234,7 +240,31 @@ c AS (SELECT 'refs.module' AS field_name, module AS term, COUNT(*) AS n_rows, CO
 m AS (SELECT field_name, term, n_rows, n_files, CASE WHEN n_files < 3 THEN 'rare' WHEN n_files > 0.2 * n THEN 'common' ELSE '' END AS mark FROM c)
 """
 
+# The last `@doc` with a text or `false` before any clause of a function; without one the comment lines right above its first
+# clause, or above the attributes that stand right above it.
+_DOCUMENTED = DEFINED + DOCS + r""",
+RESET AS (SELECT file_path, last_line AS n FROM FN UNION ALL SELECT file_path, line FROM MD UNION ALL SELECT file_path, last_line FROM MD
+    UNION ALL SELECT path, n FROM LN WHERE regexp_matches(code, '^\s*@(macro)?callback')),
+SAID AS (SELECT path, n, CASE WHEN quote_of > 0 THEN value END AS doc FROM VD WHERE a = 'doc' AND (quote_of > 0 OR regexp_matches(t, '@doc\(? *(false|nil)'))),
+-- Attributes from their first to their last line, and runs of them without a gap.
+SPAN AS (SELECT path, n, greatest(n, coalesce((SELECT l.last FROM LITERALS l WHERE l.path = LN.path AND l.first = LN.n), 0), coalesce((SELECT b.last FROM BRACKETS b WHERE b.path = LN.path AND b.first = LN.n), 0),
+    n + CASE WHEN code LIKE '%<>' THEN 1 + CAST(EXISTS (SELECT 1 FROM LN x WHERE x.path = LN.path AND x.n = LN.n + 1 AND x.code LIKE '%<>') AS INT) ELSE 0 END) AS last FROM LN WHERE regexp_matches(code, '^\s*@[a-z_]+')),
+ISLE AS (SELECT path, min(n) AS first, max(last) AS last FROM (SELECT *, sum(new) OVER (PARTITION BY path ORDER BY n) AS g FROM
+    (SELECT *, CAST(n IS DISTINCT FROM lag(last) OVER (PARTITION BY path ORDER BY n) + 1 AS INT) AS new FROM SPAN)) GROUP BY path, g),
+REMARK AS (SELECT path, min(n) AS first, max(n) AS last, string_agg(trim(ltrim(ltrim(t), '#')), chr(10) ORDER BY n) AS doc FROM
+    (SELECT path, n, t, n - row_number() OVER (PARTITION BY path ORDER BY n) AS g FROM LN WHERE q % 2 = 0 AND starts_with(ltrim(t), '#')) GROUP BY path, g),
+CLAUSE AS (SELECT FN.*, (SELECT arg_max((doc IS NULL, doc), s.n) FROM SAID s WHERE s.path = FN.file_path AND s.n < FN.line
+        AND s.n > coalesce((SELECT max(r.n) FROM RESET r WHERE r.file_path = FN.file_path AND r.n < FN.line), 0)) AS said,
+    coalesce((SELECT i.first FROM ISLE i WHERE i.path = FN.file_path AND i.last = FN.line - 1), line) AS above FROM FN),
+WHOLE AS (SELECT file_path AS path, min(line) AS line, arg_min(kind, line) AS kind, module, function, arity, arg_max(said, line) FILTER (WHERE said IS NOT NULL) AS said, arg_min(above, line) AS above
+    FROM CLAUSE GROUP BY file_path, module, function, arity)
+"""
+
 SQL: dict[str, str] = {
+    "p3_documented": _DOCUMENTED
+    + """SELECT w.path, w.line, kind, module, function, arity, CASE WHEN said IS NULL THEN r.doc ELSE said[2] END AS doc, CASE WHEN said IS NULL THEN 'comment' ELSE 'attribute' END AS doc_origin
+FROM WHOLE w LEFT JOIN REMARK r ON r.path = w.path AND r.last = w.above - 1
+WHERE kind IN ('def', 'defp', 'defmacro', 'defguard', 'defdelegate') AND CASE WHEN said IS NULL THEN r.doc ELSE said[2] END IS NOT NULL""",
     "p4_found": f"{_TERMS} SELECT field_name, term, mark FROM m WHERE mark <> ''",
     "p4_terms": f"{_TERMS} SELECT field_name, term, n_rows, n_files, mark FROM m",
     "p6_checks": """
