@@ -211,6 +211,20 @@ class Outline:
         n = self.scope_at(line)
         return self.scopes[n].name if n >= 0 else ""
 
+    @property
+    def first_module(self) -> str:
+        """The name in the first `defmodule`, as written; '' without one."""
+        return next((s.name for s in self.scopes if s.kind == "module"), "")
+
+    def module_on_line(self, line: int) -> str:
+        """The module whose `defmodule` stands on a line, '' if none does."""
+        return next((s.name for s in self.scopes if s.kind == "module" and s.first_line == line), "")
+
+    def resolved_self(self, name: str, line: int = 0) -> str:
+        """A name with `__MODULE__` replaced by the module around the line, or without one by the first of the text."""
+        own = (self.module_at(line) if line else "") or self.first_module
+        return resolve_self(name, own) or name
+
     def alias_map(self, line: int | None = None) -> dict[str, str]:
         """Short to full names; with a line only those of the module that the line is in, later ones winning."""
         scope = None if line is None else self.scope_at(line)

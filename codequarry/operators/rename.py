@@ -187,15 +187,18 @@ def file_moves(w: Workspace, renames: DataFrame) -> DataFrame:
     )
 
 
-def prepare_rename(w: Workspace, places: DataFrame, foreign: str = r"(^|/)(deps|stdlib)/") -> DataFrame:
+def prepare_rename(w: Workspace, places: DataFrame, foreign: str = r"(^|/)(deps|stdlib)/", foreign_files: DataFrame | None = None) -> DataFrame:
     """file_path, line, col, target, name of what can be renamed at each place: a variable, an alias (a short name of the
-    file's own that `as:` gave), a function or a module; what is only defined in files that match `foreign` cannot."""
+    file's own that `as:` gave), a function or a module; what is only defined in files that match `foreign`, or that are among
+    `foreign_files` (path, as of `sources.files.dependency_files`), cannot."""
     variables = variable_occurrences(w.sources, places).select(*KEY).distinct().withColumn("target", F.lit("variable")).withColumn("name", F.lit(""))
     at = stored(w.spark, resolved(w, places).where("module <> ''").join(variables.select(*KEY), KEY, "left_anti"))
     short = (F.col("function") == "") & F.col("own_alias") & (F.substring_index("module", ".", -1) != F.col("written"))
     aliases = at.where(short).select(*KEY, F.lit("alias").alias("target"), F.col("written").alias("name"))
     at = at.where(~short)
     own = w.d.where(~F.col("file_path").rlike(foreign))
+    if foreign_files is not None:
+        own = own.join(foreign_files.select(F.col("path").alias("file_path")), "file_path", "left_anti")
     functions = function_rows(own).select("module", "function").distinct()
     modules = module_rows(own).select("module").distinct()
     f = at.where("function <> ''").join(functions, ["module", "function"], "left_semi").select(*KEY, F.lit("function").alias("target"), F.concat_ws(".", "module", "function").alias("name"))

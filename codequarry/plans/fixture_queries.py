@@ -722,3 +722,29 @@ def _(p):
     from codequarry.operators.composite import reference_locations
 
     return reference_locations(p.r, p.rows([("Shop.Log", "write")], "module string, function string"))
+
+
+@fixture("dependency_files", "path", ("a/deps/x/lib/x.ex",), ("a/apps/b/deps/y.ex",))
+def _(p):
+    from codequarry.sources.files import dependency_files
+
+    paths = [("a/deps/x/lib/x.ex",), ("a/lib/deps/z.ex",), ("a/apps/b/deps/y.ex",), ("c/deps/w.ex",), ("top.ex",)]
+    return dependency_files(p.rows(paths, "path string"), p.rows([("a/mix.exs",), ("a/apps/b/mix.exs",), ("a/deps/x/mix.exs",), ("c/other",)], "path string"))
+
+
+@fixture("nearest_roots", "path, root", ("a/deps/x/lib/x.ex", "a/deps/x"), ("a/lib/z.ex", "a"), ("c/w.ex", ""))
+def _(p):
+    from codequarry.sources.files import nearest_roots
+
+    return nearest_roots(p.rows([("a/deps/x/lib/x.ex",), ("a/lib/z.ex",), ("c/w.ex",)], "path string"), p.rows([("a/mix.exs",), ("a/deps/x/mix.exs",)], "path string"))
+
+
+@fixture("modules_on_lines", "file_path, line, module, own", (SCOPES, 1, "Shop.Scopes", "Shop.Scopes.X"), (SCOPES, 2, "Shop.Scopes.Inner", "Shop.Scopes.Inner.X"), (SCOPES, 5, "", "Shop.Scopes.X"), (SCOPES, 99, "", "Shop.Scopes.X"))
+def _(p):
+    from codequarry.lang.outline import Outline
+
+    def rows(path, line):
+        o = Outline(TEXTS[path])
+        return [(o.module_on_line(line), o.resolved_self("__MODULE__.X", line))]
+
+    return _mapped(p, [(SCOPES, n) for n in (1, 2, 5, 99)], "file_path string, line int", "module string, own string", rows)

@@ -148,6 +148,26 @@ def line_of(sources: DataFrame, keys: DataFrame) -> DataFrame:
     ).drop("_lines")
 
 
+def _ancestors(paths: DataFrame) -> DataFrame:
+    """path, root: each distinct path with every directory above it; as many rows as a path has segments."""
+    parts = F.split("path", "/")
+    above = F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")))
+    return paths.select("path").distinct().select("path", F.explode(above).alias("root"))
+
+
+def nearest_roots(paths: DataFrame, markers: DataFrame, name: str = "mix.exs") -> DataFrame:
+    """path, root: for each path the nearest directory above it that holds a marker of this name, '' without one."""
+    where = markers.where(F.substring_index("path", "/", -1) == name).select(F.regexp_replace("path", "/?[^/]*$", "").alias("root")).distinct()
+    best = _ancestors(paths).join(where, "root").groupBy("path").agg(F.max_by("root", F.length("root")).alias("root"))
+    return paths.select("path").distinct().join(best, "path", "left_outer").select("path", F.coalesce("root", F.lit("")).alias("root"))
+
+
+def dependency_files(paths: DataFrame, markers: DataFrame) -> DataFrame:
+    """Those paths that lie under the `deps` folder of a directory above them that holds a `mix.exs`."""
+    where = markers.where(F.substring_index("path", "/", -1) == "mix.exs").select(F.regexp_replace("path", "/?[^/]*$", "").alias("root")).distinct()
+    return _ancestors(paths).join(where, "root").where(F.startswith("path", F.concat("root", F.lit("/deps/")))).select("path").distinct()
+
+
 def project_roots(paths: DataFrame, markers: DataFrame, names: list[str]) -> DataFrame:
     """path, root: for each path the nearest directory with the first of the marker `names` that any of its
     ancestors has; without one the path itself. `markers` has the path of every marker file or directory."""
