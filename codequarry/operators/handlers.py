@@ -52,17 +52,25 @@ class Workspace:
 
     def __post_init__(self):
         self._chains: DataFrame | None = None
+        self._outlines: DataFrame | None = None
+
+    @property
+    def texts(self) -> DataFrame:
+        """What all text tables read: the outlines of the texts, each read once."""
+        if self._outlines is None:
+            self._outlines = stored(self.spark, X.outlines(self.sources))
+        return self._outlines
 
     def using_edges(self) -> DataFrame:
         """Rows of `text_tables.using_edges`, worked out once."""
         if self.edges is None:
-            self.edges = stored(self.spark, X.using_edges(self.sources))
+            self.edges = stored(self.spark, X.using_edges(self.texts))
         return self.edges
 
     def offered(self) -> DataFrame:
         """What use chains offer each file (seed is the path); walked once."""
         if self._chains is None:
-            uses = X.uses(self.sources).select(F.col("file_path").alias("seed"), F.col("used").alias("module"), "ordinal", "options")
+            uses = X.uses(self.texts).select(F.col("file_path").alias("seed"), F.col("used").alias("module"), "ordinal", "options")
             edges = self.using_edges()
             self._seen = stored(self.spark, injection.visits(self.spark, edges, uses))
             self._chains = stored(self.spark, injection.providers(edges, self._seen))
@@ -161,7 +169,7 @@ def resolved(w: Workspace, places: DataFrame) -> DataFrame:
     asked = bare.select(F.col("file_path").alias("seed"), "function").distinct()
     here = function_module_in_file(w.d, bare.select("file_path", F.col("_probe").alias("line"), "function"))
     here = here.groupBy(F.col("file_path").alias("seed"), "function").agg(F.min("module").alias("module"))
-    imports = X.imports(w.sources).select(F.col("file_path").alias("seed"), "imported", "ordinal")
+    imports = X.imports(w.texts).select(F.col("file_path").alias("seed"), "imported", "ordinal")
     used = injection.lookup_through_use(w.d, w.offered(), asked)
     meaning = stored(w.spark, injection.bare_function_module(w.d, asked, here, imports, used))
     # Last, the imports' own use chains: the name means the first import that brings it.
@@ -191,7 +199,7 @@ def through_use_of(w: Workspace, keys: DataFrame, follow: bool = True) -> DataFr
     found = use_chain_of(w, keys)
     imported = found.where("origin <> 'inline'")
     rows = lookup_rows(w.d, imported.select(F.col("provider").alias("module"), "function"), follow, strict=True).withColumnRenamed("module", "provider")
-    inline = X.inline_functions(w.sources).withColumnRenamed("module", "provider")
+    inline = X.inline_functions(w.texts).withColumnRenamed("module", "provider")
     columns = ["module", "function", "file_path", "line"]
     hits = imported.join(rows, ["provider", "function"]).select(*columns)
     return hits.unionByName(found.where("origin = 'inline'").join(inline, ["provider", "function"]).select(*columns)).distinct()
@@ -221,7 +229,7 @@ def definition(w: Workspace, places: DataFrame, follow: bool = True, in_text: bo
     chosen = chosen.select("module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line"))
     # What a use chain writes into the text itself is no definition of the provider; only bare names mean it.
     left = asked.join(best, ["module", "function"], "left_anti")
-    inline = X.inline_functions(w.sources).select("module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line"))
+    inline = X.inline_functions(w.texts).select("module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line"))
     written = stored(w.spark, _answers(left.where("written = ''").join(inline, ["module", "function"])))
     modules = module_rows(w.d).select("module", F.col("file_path").alias("target_path"), F.col("line").alias("target_line"))
     named = rest.where("function = '' AND module <> ''").unionByName(left.join(written, KEY, "left_anti"))
@@ -252,7 +260,7 @@ def declaration(w: Workspace, places: DataFrame) -> DataFrame:
     chain = w.seen().select(F.col("seed").alias("file_path"), F.col("module").alias("behaviour")).distinct()
     through = inside.join(chain, "file_path").withColumn("p", F.lit(2))
     found = own.unionByName(declared).unionByName(through).join(callbacks, ["behaviour", "function", "arity"])
-    marked = X.impl_annotations(w.sources).select("file_path", F.col("line").alias("caller_line"), "impl")
+    marked = X.impl_annotations(w.texts).select("file_path", F.col("line").alias("caller_line"), "impl")
     anywhere = inside.join(marked, ["file_path", "caller_line"]).join(callbacks, ["function", "arity"])
     anywhere = anywhere.where("impl = 'true' OR impl = behaviour").withColumn("p", F.lit(3))
     every = found.select(*KEY, "p", "target_path", "target_line").unionByName(anywhere.select(*KEY, "p", "target_path", "target_line"))
@@ -303,7 +311,7 @@ def references_at(w: Workspace, places: DataFrame, declarations: bool = False, s
         "module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line")
     )
     homes = function_rows(w.d).select("module", "function", "file_path").distinct().join(named, ["module", "function"])
-    bare = X.bare_calls(w.sources).join(homes, ["file_path", "function"]).select(
+    bare = X.bare_calls(w.texts).join(homes, ["file_path", "function"]).select(
         "module", "function", F.col("file_path").alias("target_path"), F.col("line").alias("target_line")
     )
     every = direct.unionByName(through).unionByName(delegated).unionByName(bare)
@@ -319,9 +327,9 @@ def references_at(w: Workspace, places: DataFrame, declarations: bool = False, s
 def hover(w: Workspace, places: DataFrame) -> DataFrame:
     """file_path, line, col, signature, spec, doc of what stands at each place."""
     targets = definition(w, places, in_text=False)
-    docs = X.docs(w.sources).select(F.col("file_path").alias("target_path"), F.col("line").alias("target_line"), "doc", "spec")
-    heads = X.functions(w.sources).select(F.col("file_path").alias("target_path"), F.col("line").alias("target_line"), "function", "arity", "kind")
-    scopes = X.scopes(w.sources).select(
+    docs = X.docs(w.texts).select(F.col("file_path").alias("target_path"), F.col("line").alias("target_line"), "doc", "spec")
+    heads = X.functions(w.texts).select(F.col("file_path").alias("target_path"), F.col("line").alias("target_line"), "function", "arity", "kind")
+    scopes = X.scopes(w.texts).select(
         F.col("file_path").alias("target_path"), F.col("first_line").alias("target_line"), F.col("module").alias("function"), F.lit(-1).alias("arity"), "kind"
     )
     rows = targets.join(heads.unionByName(scopes), ["target_path", "target_line"]).join(docs, ["target_path", "target_line"], "left_outer")
@@ -338,7 +346,7 @@ def signature_help(w: Workspace, places: DataFrame) -> DataFrame:
     asked = bare.select(F.col("file_path").alias("seed"), "function").distinct()
     probes = bare.select("file_path", (F.col("line") + 1).alias("line"), "function")
     here = function_module_in_file(w.d, probes).groupBy(F.col("file_path").alias("seed"), "function").agg(F.min("module").alias("module"))
-    imports = X.imports(w.sources).select(F.col("file_path").alias("seed"), "imported", "ordinal")
+    imports = X.imports(w.texts).select(F.col("file_path").alias("seed"), "imported", "ordinal")
     meaning = injection.bare_function_module(w.d, asked, here, imports, injection.lookup_through_use(w.d, w.offered(), asked))
     meant = bare.join(meaning.withColumnRenamed("seed", "file_path"), ["file_path", "function"]).select(*KEY, "argument", "module", "function")
     signatures = function_rows(w.d).select("module", "function", "arity", "params").distinct()
@@ -400,12 +408,12 @@ def completion(w: Workspace, places: DataFrame, limit: int = 100) -> DataFrame:
         *KEY, F.col("a.short").alias("label"), *named, F.col("a.full").alias("detail")
     )
     lower = typed.where("module = '' AND prefix RLIKE '^[a-z_]'")
-    own = X.buffer_functions(w.sources).select("file_path", "function", "arity", "kind", "params", F.col("file_path").alias("_at"), F.col("line").alias("_on"), F.lit("").alias("detail"))
+    own = X.buffer_functions(w.texts).select("file_path", "function", "arity", "kind", "params", F.col("file_path").alias("_at"), F.col("line").alias("_on"), F.lit("").alias("detail"))
     brought = injection.completions_from_using(w.d, w.offered()).select(F.col("seed").alias("file_path"), "function", "arity", F.col("provider").alias("module"))
     used = brought.join(functions, ["module", "function", "arity"], "left_outer").select(
         "file_path", "function", "arity", F.coalesce("kind", F.lit("def")).alias("kind"), F.coalesce("params", F.lit("")).alias("params"), "_at", "_on", F.col("module").alias("detail")
     )
-    imported = X.imports(w.sources).select("file_path", F.col("imported").alias("module")).distinct().join(functions, "module").select(
+    imported = X.imports(w.texts).select("file_path", F.col("imported").alias("module")).distinct().join(functions, "module").select(
         "file_path", "function", "arity", "kind", "params", "_at", "_on", F.col("module").alias("detail")
     )
     bare = lower.join(own.unionByName(used).unionByName(imported), "file_path").where(F.startswith("function", "prefix")).select(*KEY, *callable_, "detail")

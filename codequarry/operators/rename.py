@@ -112,7 +112,7 @@ def rename_functions(w: Workspace, renames: DataFrame) -> DataFrame:
     through = asked.join(injectors.select(F.col("seed").alias("module"), F.col("node").alias("_i")), "module").select("_i", "function", "new_name")
     injected = w.r.withColumnRenamed("module", "_i").join(through, ["_i", "function"])
     homes = defined.select("file_path", "function", "new_name").distinct()
-    bare = X.bare_calls(w.sources).join(homes, ["file_path", "function"])
+    bare = X.bare_calls(w.texts).join(homes, ["file_path", "function"])
     named = r"^\s*@(?:spec|callback|macrocallback)\s+([a-z_]\w*[?!]?)"
     specs = lines(w.sources).withColumn("function", F.regexp_extract("text", named, 1)).where("function <> ''").join(homes, ["file_path", "function"])
     sites = None

@@ -1,4 +1,9 @@
-"""Tables of what source texts say about themselves: one pass over each text, no shuffle."""
+"""Tables of what source texts say about themselves.
+
+Each table can be had from texts (path, source_text): one pass over each text, no shuffle. Where several are asked for,
+`outlines` reads every text once and keeps all of them, a row for each file; stored, a table is then a scan of its own
+column, since the others are not read. An array in such a row is no longer than its text.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from codequarry.lang.outline import Outline
 from codequarry.lang.using import using_bodies
@@ -24,17 +30,11 @@ def per_text(sources: DataFrame, rows_of: Callable[[str], Iterable[tuple]], sche
     return sources.where("source_text IS NOT NULL").select("path", "source_text").mapInPandas(run, whole)
 
 
-def _named(o: Outline, scope: int) -> str:
-    return o.scopes[scope].name if scope >= 0 else ""
+# ---------------------------------------------------------------- rows of one text
 
 
-def scopes(sources: DataFrame) -> DataFrame:
-    """Modules with the lines of their blocks: where a line belongs after a nested module's `end`."""
-    return per_text(
-        sources,
-        lambda text: [(s.name, s.kind, s.first_line, s.last_line, _depth(o, s), _named(o, s.parent)) for o in [Outline(text)] for s in o.scopes],
-        "module string, kind string, first_line int, last_line int, depth int, parent string",
-    )
+def _named(o: Outline, scope: int) -> str:
+    return o.scopes[scope].name if scope >= 0 else ""
 
 
 def _depth(o: Outline, s) -> int:
@@ -44,113 +44,159 @@ def _depth(o: Outline, s) -> int:
     return n
 
 
-def aliases(sources: DataFrame) -> DataFrame:
-    return per_text(
-        sources,
-        lambda text: [(_named(o, a.scope), a.short, a.full, a.line) for o in [Outline(text)] for a in o.aliases],
-        "module string, short string, full string, line int",
-    )
+def _bodies(o: Outline):
+    """What using the modules of a text brings; few texts say so, and only these are read for it."""
+    return using_bodies(o.text) if "using" in o.text else []
 
 
-def imports(sources: DataFrame) -> DataFrame:
-    """Imports as written, in order."""
-    return per_text(
-        sources,
-        lambda text: [(_named(o, s), m, line, n) for o in [Outline(text)] for n, (m, line, s) in enumerate(o.imports)],
+def _docs(o: Outline):
+    first: dict[str, int] = {}
+    for n, s in enumerate(o.scopes):
+        if doc := o.moduledocs.get(first.setdefault(s.name, n), ""):
+            yield s.name, "", 0, s.first_line, doc, ""
+    above = o.docs_above([f.line for f in o.functions])
+    for f in o.functions:
+        doc, spec = above[f.line]
+        if doc or spec:
+            yield f.module, f.name, len(f.params), f.line, doc, spec
+
+
+def _impls(o: Outline):
+    for f in o.functions:
+        if value := o.impl_above(f.line):
+            yield f.module, f.name, len(f.params), f.line, value
+
+
+#: Each table: the rows of an outline, and their columns after file_path.
+TABLES: dict[str, tuple[Callable[[Outline], Iterable[tuple]], str]] = {
+    "scopes": (
+        lambda o: [(s.name, s.kind, s.first_line, s.last_line, _depth(o, s), _named(o, s.parent)) for s in o.scopes],
+        "module string, kind string, first_line int, last_line int, depth int, parent string",
+    ),
+    "aliases": (lambda o: [(_named(o, a.scope), a.short, a.full, a.line) for a in o.aliases], "module string, short string, full string, line int"),
+    "imports": (
+        lambda o: [(_named(o, s), m, line, n) for n, (m, line, s) in enumerate(o.imports)],
         "module string, imported string, line int, ordinal int",
-    )
+    ),
+    "uses": (
+        lambda o: [(_named(o, u.scope), u.module, u.options, u.line, n) for n, u in enumerate(o.resolved_uses())],
+        "module string, used string, options map<string,string>, line int, ordinal int",
+    ),
+    "using_edges": (
+        lambda o: [(module, *e) for module, body in _bodies(o) for e in body.edges()],
+        "module string, kind string, ordinal int, target string, function string, arity int, option string",
+    ),
+    "inline_functions": (
+        lambda o: [(module, f[0], f[-1]) for module, body in _bodies(o) for f in body.functions],
+        "module string, function string, line int",
+    ),
+    "functions": (
+        lambda o: [(f.module, f.name, len(f.params), f.kind, f.line, f.last_line) for f in o.functions],
+        "module string, function string, arity int, kind string, line int, last_line int",
+    ),
+    "buffer_functions": (lambda o: o.buffer_functions(), "function string, arity int, kind string, params string, line int"),
+    "docs": (_docs, "module string, function string, arity int, line int, doc string, spec string"),
+    "impl_annotations": (_impls, "module string, function string, arity int, line int, impl string"),
+    "bare_calls": (
+        lambda o: [(name, line) for name, lines in sorted(o.bare_calls().items()) for line in lines],
+        "function string, line int",
+    ),
+    "symbols": (lambda o: o.symbols(), "index int, parent int, kind string, label string, first_line int, last_line int"),
+    "folds": (lambda o: o.folds(), "first_line int, last_line int, kind string"),
+}
+#: What answers for places read; outlines of whole files (symbols, folds) are asked for by themselves.
+FOR_PLACES = ("scopes", "aliases", "imports", "uses", "using_edges", "inline_functions", "functions", "buffer_functions", "docs", "impl_annotations", "bare_calls")
+
+
+def _columns(schema: str) -> list[tuple[str, str]]:
+    # A map's comma is followed by no blank.
+    return [tuple(c.split(" ", 1)) for c in schema.split(", ")]
+
+
+def outlines(sources: DataFrame, tables: tuple[str, ...] = FOR_PLACES) -> DataFrame:
+    """path and, for each of `tables`, the array of its rows in that text: every text is read once. NULL texts: none."""
+    kinds = {t: ", ".join(f"{c}:{k}" for c, k in _columns(TABLES[t][1])) for t in tables}
+    schema = ", ".join(["path string", *[f"{t} array<struct<{k}>>" for t, k in kinds.items()]])
+    fields = {t: [c for c, _ in _columns(TABLES[t][1])] for t in tables}
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["source_text"], strict=True):
+                o = Outline(text)
+                rows.append((path, *[[dict(zip(fields[t], r, strict=True)) for r in TABLES[t][0](o)] for t in tables]))
+            yield pd.DataFrame(rows, columns=["path", *tables])
 
-def uses(sources: DataFrame) -> DataFrame:
-    """Uses resolved through aliases, in order, with those options whose values are modules."""
-    return per_text(
-        sources,
-        lambda text: [(_named(o, u.scope), u.module, u.options, u.line, n) for o in [Outline(text)] for n, u in enumerate(o.resolved_uses())],
-        "module string, used string, options map<string:string>, line int, ordinal int".replace("<string:string>", "<string,string>"),
-    )
+    return sources.where("source_text IS NOT NULL").select("path", "source_text").mapInPandas(run, schema)
 
 
-def _bodies(text: str):
-    """What using the modules of a text brings; few texts say so, and only these are lexed."""
-    return using_bodies(text) if "using" in text else []
+def table(name: str, texts: DataFrame) -> DataFrame:
+    """A table, of texts or of their `outlines`."""
+    rows_of, schema = TABLES[name]
+    if name in texts.columns:
+        return texts.select(F.col("path").alias("file_path"), F.explode(name).alias("_x")).select("file_path", "_x.*")
+    return per_text(texts, lambda text: rows_of(Outline(text)), schema)
 
 
-def using_edges(sources: DataFrame) -> DataFrame:
-    """What using each module brings: kind (inline, import, use, option_import, option_use, alias), in order."""
-    return per_text(
-        sources,
-        lambda text: [(module, *e) for module, body in _bodies(text) for e in body.edges()],
-        "module string, kind string, ordinal int, target string, function string, arity int, option string",
-    )
+# ---------------------------------------------------------------- the tables
 
 
-def inline_functions(sources: DataFrame) -> DataFrame:
-    """Functions that using each module writes into the text, with the lines that they are written on."""
-    return per_text(
-        sources,
-        lambda text: [(module, f[0], f[-1]) for module, body in _bodies(text) for f in body.functions],
-        "module string, function string, line int",
-    )
+def scopes(texts: DataFrame) -> DataFrame:
+    """Modules with the lines of their blocks: where a line belongs after a nested module's `end`."""
+    return table("scopes", texts)
 
 
-def functions(sources: DataFrame) -> DataFrame:
-    """Functions with the lines of their bodies."""
-    return per_text(
-        sources,
-        lambda text: [(f.module, f.name, len(f.params), f.kind, f.line, f.last_line) for f in Outline(text).functions],
-        "module string, function string, arity int, kind string, line int, last_line int",
-    )
+def aliases(texts: DataFrame) -> DataFrame:
+    return table("aliases", texts)
 
 
-def buffer_functions(sources: DataFrame) -> DataFrame:
-    return per_text(sources, lambda text: Outline(text).buffer_functions(), "function string, arity int, kind string, params string, line int")
+def imports(texts: DataFrame) -> DataFrame:
+    """Imports as written, in order."""
+    return table("imports", texts)
 
 
-def docs(sources: DataFrame) -> DataFrame:
-    """Documentation and spec of each function that has either, and of modules (with an empty function)."""
+def uses(texts: DataFrame) -> DataFrame:
+    """Uses resolved through aliases, in order, with those options whose values are modules."""
+    return table("uses", texts)
+
 
-    def rows(text: str):
-        o = Outline(text)
-        first: dict[str, int] = {}
-        for n, s in enumerate(o.scopes):
-            if doc := o.moduledocs.get(first.setdefault(s.name, n), ""):
-                yield s.name, "", 0, s.first_line, doc, ""
-        above = o.docs_above([f.line for f in o.functions])
-        for f in o.functions:
-            doc, spec = above[f.line]
-            if doc or spec:
-                yield f.module, f.name, len(f.params), f.line, doc, spec
+def using_edges(texts: DataFrame) -> DataFrame:
+    """What using each module brings: kind (inline, import, use, option_import, option_use, alias), in order."""
+    return table("using_edges", texts)
 
-    return per_text(sources, rows, "module string, function string, arity int, line int, doc string, spec string")
 
+def inline_functions(texts: DataFrame) -> DataFrame:
+    """Functions that using each module writes into the text, with the lines that they are written on."""
+    return table("inline_functions", texts)
 
-def impl_annotations(sources: DataFrame) -> DataFrame:
-    def rows(text: str):
-        o = Outline(text)
-        for f in o.functions:
-            if value := o.impl_above(f.line):
-                yield f.module, f.name, len(f.params), f.line, value
 
-    return per_text(sources, rows, "module string, function string, arity int, line int, impl string")
+def functions(texts: DataFrame) -> DataFrame:
+    """Functions with the lines of their bodies."""
+    return table("functions", texts)
 
 
-def bare_calls(sources: DataFrame) -> DataFrame:
-    """Lines with calls of each name without a module, for all names that a file calls so."""
+def buffer_functions(texts: DataFrame) -> DataFrame:
+    return table("buffer_functions", texts)
+
 
-    def rows(text: str):
-        return [(name, line) for name, lines in sorted(Outline(text).bare_calls().items()) for line in lines]
+def docs(texts: DataFrame) -> DataFrame:
+    """Documentation and spec of each function that has either, and of modules (with an empty function)."""
+    return table("docs", texts)
+
+
+def impl_annotations(texts: DataFrame) -> DataFrame:
+    return table("impl_annotations", texts)
 
-    return per_text(sources, rows, "function string, line int")
+
+def bare_calls(texts: DataFrame) -> DataFrame:
+    """Lines with calls of each name without a module, for all names that a file calls so."""
+    return table("bare_calls", texts)
 
 
-def symbols(sources: DataFrame) -> DataFrame:
+def symbols(texts: DataFrame) -> DataFrame:
     """Outline rows with the index of their parent, -1 at the top."""
-    return per_text(
-        sources,
-        lambda text: Outline(text).symbols(),
-        "index int, parent int, kind string, label string, first_line int, last_line int",
-    )
+    return table("symbols", texts)
 
 
-def folds(sources: DataFrame) -> DataFrame:
-    return per_text(sources, lambda text: Outline(text).folds(), "first_line int, last_line int, kind string")
+def folds(texts: DataFrame) -> DataFrame:
+    return table("folds", texts)

@@ -131,3 +131,18 @@ def test_calls(text, want):
 def test_token_columns():
     assert C.token_columns("run(run_x, run!, run)", "run") == [0, 17] and C.token_columns("é run", "run") == [3]
     assert C.function_token_columns("run: run, run :: x, run::y", "run") == [5, 10, 20] and C.token_columns("x", "") == []
+
+
+def test_outlines_hold_every_table(spark):
+    """Tables taken from stored rows of files are those taken from the texts."""
+    from codequarry.plans.fixture_queries import TEXTS
+    from codequarry.sources import text_tables as X
+
+    texts = spark.createDataFrame([*sorted(TEXTS.items()), ("none.ex", None), ("empty.ex", "")], "path string, source_text string")
+    rows = X.outlines(texts, tuple(X.TABLES)).persist()
+    assert rows.count() == len(TEXTS) + 1
+    key = lambda df: sorted(map(str, df.collect()))
+    for name in X.TABLES:
+        assert key(X.table(name, rows)) == key(X.table(name, texts)), name
+        assert X.table(name, rows).columns == X.table(name, texts).columns
+    rows.unpersist()
