@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from codequarry.lang.lexer import tokenize
 from codequarry.lang.parser import facts
 from codequarry.lang.using import using_bodies
+from codequarry.session import width, workspace, written
 
 _FACTS = (
     "fact string, module string, function string, arity int, kind string, line int, file_path string, "
@@ -87,15 +88,31 @@ def token_counts(sources: DataFrame) -> DataFrame:
     return sources.where("source_text IS NOT NULL").select("path", "source_text").mapInPandas(count, "path string, kind string, n bigint")
 
 
+#: Paths that were read more than once: up to so many of them (about 10 MB) are sent to every task.
+MANY_AGAIN = 100_000
+
+
 def latest_texts(sources: DataFrame) -> DataFrame:
     """path, source_text as last read, NULL texts left out; of equally late readings the greatest text.
 
-    Readings of one file are reduced before the shuffle, however many there are, and the tasks that receive a file's texts
-    are those that parse them: texts travel once.
+    Paths are counted first, without their texts. Texts of paths that were read once are not compared with others; only
+    readings of the rest are reduced by path, before they travel. Where few paths were read again these are broadcast, so
+    that texts travel once: to the tasks that parse them, of which there is a fixed number, since adaptive execution would
+    merge partitions by their bytes, not by the time that parsing takes.
     """
-    return (
-        sources.where("path IS NOT NULL AND source_text IS NOT NULL")
+    spark = sources.sparkSession
+    folder = workspace(spark, "again")
+    again = sources.where("path IS NOT NULL").groupBy("path").agg(F.count("*").alias("n")).where("n > 1").select("path")
+    few = written(again, folder) <= MANY_AGAIN
+    again = spark.read.schema("path string").parquet(folder)
+    asked = F.broadcast(again) if few else again
+    readable = sources.where("path IS NOT NULL AND source_text IS NOT NULL")
+    once = readable.select("path", "source_text").join(asked, "path", "left_anti")
+    last = (
+        readable.select("path", "source_text", "read_at")
+        .join(asked, "path", "left_semi")
         .groupBy("path")
         .agg(F.max(F.struct("read_at", "source_text")).alias("s"))
         .select("path", F.col("s.source_text").alias("source_text"))
     )
+    return once.unionByName(last).repartition(width(spark), F.xxhash64("path"))
