@@ -126,24 +126,15 @@ def call_at(text: str | Tokens, line: int, col: int) -> tuple[str, int]:
     i = bisect_left(t.all, at, key=lambda tok: tok.start) - 1
     if i >= 0 and t.all[i].kind in ("string", "heredoc", "sigil") and t.all[i].end > at:
         i -= 1
-    depth = commas = 0
-    n = i
+    openers, counts = t.nesting
+    n, inside = (openers[i], i) if i >= 0 else (-1, -1)
     while n >= 0:
         k = t.all[n].kind
-        if k in _CLOSING or k == "end":
-            depth += 1
-        elif k in _OPENING or k in ("do", "fn"):
-            if depth == 0:
-                if k == "(" and n and t.kind(n - 1) == "ident" and t.all[n - 1].end == t.all[n].start:
-                    return _callee(t, n - 1), commas
-                if k in ("do", "fn"):
-                    break
-                commas = 0
-            else:
-                depth -= 1
-        elif k == "," and depth == 0:
-            commas += 1
-        n -= 1
+        if k == "(" and n and t.kind(n - 1) == "ident" and t.all[n - 1].end == t.all[n].start:
+            return _callee(t, n - 1), counts[inside]
+        if k in ("do", "fn"):
+            break
+        n, inside = (openers[n - 1], n - 1) if n else (-1, -1)
     # Without parentheses: the first identifier of the line's statement, if arguments follow it.
     n, depth, commas = i, 0, 0
     while n >= 0 and not (t.all[n].kind == "eol" and depth == 0):

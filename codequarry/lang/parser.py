@@ -15,6 +15,7 @@ from codequarry.lang.lexer import DEF_WORDS, MODULE_WORDS, Token, line_starts, t
 
 _NEVER_CALLS = frozenset(KEYWORDS)
 _OPENING, _CLOSING = frozenset(("(", "[", "{")), frozenset((")", "]", "}"))
+_NESTS, _UNNESTS = frozenset(("(", "[", "{", "<<", "do", "fn")), frozenset((")", "]", "}", ">>", "end"))
 _STATEMENTS = frozenset((*DEF_WORDS, *MODULE_WORDS, "end"))
 _DELEGATE_ENDS = _STATEMENTS | {"alias", "import"}
 _TYPE_ATTRS = {"@type": "type", "@opaque": "opaque", "@callback": "callback", "@macrocallback": "macrocallback"}
@@ -99,6 +100,27 @@ class Tokens:
                 found.append((name, self.all[after + 1].end, stop))
         return found
 
+    @cached_property
+    def nesting(self) -> tuple[list[int], list[int]]:
+        """After each token: the innermost bracket or block that is open (its index, -1 for none), and how many commas came
+        within it by itself."""
+        openers, counts = [], []
+        stack, commas = [-1], [0]
+        for i, t in enumerate(self.all):
+            k = t.kind
+            if k in _NESTS:
+                stack.append(i)
+                commas.append(0)
+            elif k in _UNNESTS:
+                if len(stack) > 1:
+                    stack.pop()
+                    commas.pop()
+            elif k == ",":
+                commas[-1] += 1
+            openers.append(stack[-1])
+            counts.append(commas[-1])
+        return openers, counts
+
     def word(self, i: int) -> str:
         t = self.all[i]
         return self.text[t.start : t.end]

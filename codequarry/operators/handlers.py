@@ -25,7 +25,7 @@ from codequarry.operators.composite import lookup_rows
 from codequarry.operators.graph import follow_delegates
 from codequarry.operators.links import behaviours_for_file, function_module_in_file, implementations
 from codequarry.operators.lookup import callback_rows, delegates_to, function_rows, is_type, module_rows, references
-from codequarry.session import workspace
+from codequarry.session import width, workspace
 from codequarry.sources import text_tables as X
 
 _AT = (
@@ -93,10 +93,7 @@ def expressions(sources: DataFrame, places: DataFrame, injected: DataFrame | Non
     All places of a file are answered with one reading of its text, which travels once: the places of a file come to
     it as one array.
     """
-    asked = places_by_file(places)
-    texts = sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text")
-
-    rows = texts.join(asked, "file_path")
+    rows = texts_with_places(sources, places)
     if injected is None:
         rows = rows.withColumn("injected", F.lit(None).cast("array<struct<short:string,full:string>>"))
     else:
@@ -108,6 +105,7 @@ def expressions(sources: DataFrame, places: DataFrame, injected: DataFrame | Non
             for path, text, found, brought in zip(b["file_path"], b["source_text"], b["places"], b["injected"], strict=True):
                 text = text.replace("\r\n", "\n")
                 o, variables = Outline(text), None
+                aliases_of: dict[int, dict[str, str]] = {}
                 lent = {} if brought is None else {x["short"]: x["full"] for x in brought}
                 rows_of_text = text.split("\n")
                 for p in found:
@@ -116,8 +114,11 @@ def expressions(sources: DataFrame, places: DataFrame, injected: DataFrame | Non
                         continue
                     e = C.expression_at(o.t, line, col)
                     own = o.module_at(line + 1)
-                    own_aliases = o.alias_map(line + 1)
-                    aliases = lent | own_aliases
+                    scope = o.scope_at(line + 1)
+                    if scope not in aliases_of:
+                        aliases_of[scope] = o.alias_map(line + 1)
+                    own_aliases = aliases_of[scope]
+                    aliases = lent | own_aliases if lent else own_aliases
                     group = C.alias_group_parent(o.t, line, col)
                     name = f"{group}.{e.module}" if group and e.module else e.module
                     full = resolve_alias(name, {} if group else aliases, own) if name else ""
@@ -144,6 +145,13 @@ def places_by_file(places: DataFrame) -> DataFrame:
     return asked.groupBy("file_path").agg(F.collect_list(F.struct("line", "col")).alias("places"))
 
 
+def texts_with_places(sources: DataFrame, places: DataFrame) -> DataFrame:
+    """file_path, source_text, places. Texts travel once, and to a fixed number of tasks: what follows takes time by place."""
+    n = width(sources.sparkSession)
+    texts = sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text").repartition(n, "file_path")
+    return texts.join(places_by_file(places).repartition(n, "file_path"), "file_path")
+
+
 def stored(spark: SparkSession, rows: DataFrame) -> DataFrame:
     """The rows from a table in the shared folder: what is read several times is worked out once."""
     folder = workspace(spark, "places")
@@ -458,8 +466,7 @@ def completion_resolve(w: Workspace, items: DataFrame, roots: list[str]) -> Data
 def _prefixes(sources: DataFrame, places: DataFrame, injected: DataFrame) -> DataFrame:
     """file_path, line, col, module (before the last dot, aliases resolved), prefix, whether it comes after a pipe, and the
     aliases that the place sees (short, full), its own ones before injected ones."""
-    texts = sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text")
-    rows = texts.join(places_by_file(places), "file_path").join(injected, "file_path", "left_outer")
+    rows = texts_with_places(sources, places).join(injected, "file_path", "left_outer")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

@@ -13,7 +13,7 @@ from codequarry.functions.edits import delegate_span, replace_at, with_delegate_
 from codequarry.lang.cursor import function_token_columns, token_columns
 from codequarry.lang.variables import Variables, token_occurrences
 from codequarry.operators import injection
-from codequarry.operators.handlers import KEY, Workspace, places_by_file, resolved, stored
+from codequarry.operators.handlers import KEY, Workspace, resolved, stored, texts_with_places
 from codequarry.operators.links import rename_collisions, rename_map, rename_sites
 from codequarry.operators.lookup import delegates_to, function_rows, module_rows
 from codequarry.sources import text_tables as X
@@ -25,7 +25,6 @@ _EDIT_NAMES = [x.split()[0] for x in EDITS.split(", ")]
 
 def per_place(sources: DataFrame, places: DataFrame, rows_of, schema: str) -> DataFrame:
     """file_path and what `rows_of(variables, line, col)` gives for each place; a text is read once for all of its places."""
-    asked = places_by_file(places)
     names = ["file_path", "line", "col", *[c.split()[0] for c in schema.split(", ")]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -37,8 +36,7 @@ def per_place(sources: DataFrame, places: DataFrame, rows_of, schema: str) -> Da
                     rows += [(path, p["line"], p["col"], *r) for r in rows_of(v, p["line"], p["col"])]
             yield pd.DataFrame(rows, columns=names)
 
-    texts = sources.where("source_text IS NOT NULL").select(F.col("path").alias("file_path"), "source_text")
-    return texts.join(asked, "file_path").mapInPandas(run, f"file_path string, line int, col int, {schema}")
+    return texts_with_places(sources, places).mapInPandas(run, f"file_path string, line int, col int, {schema}")
 
 
 def variable_occurrences(sources: DataFrame, places: DataFrame) -> DataFrame:
