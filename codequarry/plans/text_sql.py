@@ -141,6 +141,11 @@ Y AS (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY first_line, l
 SELECT a.file_path, CAST(a.index AS INT) AS index, CAST(coalesce(arg_max(b.index, (b.first_line, b.index)), -1) AS INT) AS parent, a.kind, a.label, a.first_line, CAST(a.last_line AS INT) AS last_line
 FROM Y a LEFT JOIN Y b ON b.file_path = a.file_path AND b.index < a.index AND b.last_line > b.first_line AND b.last_line >= a.first_line GROUP BY ALL""",
     "text_docs": DEFINED + DOCS + "SELECT * FROM OD",
+    # Modules that are imported or used within the lines of a `__using__`.
+    "text_using_edges": DEFINED
+    + r"""SELECT file_path, module, w AS kind, CAST(row_number() OVER (PARTITION BY file_path, module, w ORDER BY n) - 1 AS INT) AS ordinal, target, '' AS function, -1 AS arity, '' AS option
+FROM (SELECT FN.file_path, FN.module, n, regexp_extract(code, '^\s*(import|use)\s+[A-Z]', 1) AS w, regexp_extract(code, '^\s*(?:import|use)\s+([A-Z][\w.]*)', 1) AS target
+    FROM FN JOIN LN ON path = file_path AND n BETWEEN line AND last_line WHERE function = '__using__') WHERE w <> ''""",
     # What stands above a head: its nearest line that is not blank, at most three lines up.
     "text_impl_annotations": DEFINED
     + r"""SELECT file_path, module, function, arity, line, x AS impl FROM (SELECT FN.*, (SELECT arg_max(regexp_extract(t, '^\s*@impl\s+([\w.]+)', 1), n) FROM LN

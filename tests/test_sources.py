@@ -165,6 +165,23 @@ def test_head_is_followed(spark, project, tmp_path):
     assert not index.definitions().where("module = 'New'").isEmpty()
 
 
+@pytest.mark.parametrize("many", [0, 100_000])
+def test_the_last_reading_of_a_text_counts(spark, monkeypatch, many):
+    """Whether the paths read again are broadcast or not."""
+    import datetime as dt
+
+    import codequarry.sources.facts as facts
+
+    monkeypatch.setattr(facts, "MANY_AGAIN", many)
+    day = lambda n: dt.datetime(2024, 1, n)
+    rows = [("a", "once", day(1)), ("b", "old", day(1)), ("b", "new", day(3)), ("b", None, day(4)), ("c", "x", day(2)), ("c", "y", day(2)),
+            ("d", None, day(1)), (None, "lost", day(1)), ("e", "", None), ("f", "first", None), ("f", "then", day(1)), ("g", "same", day(1)), ("g", "same", day(1))]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "path string, source_text string, read_at timestamp, n int")
+    found = facts.latest_texts(table)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "once"), ("b", "new"), ("c", "y"), ("e", ""), ("f", "then"), ("g", "same")]
+    assert facts.latest_texts(table.limit(0)).count() == 0
+
+
 def test_of_several_changes_of_a_buffer_the_last_counts(spark):
     disk = spark.createDataFrame([("a", "disk"), ("b", "disk")], "path string, source_text string")
     changes = spark.createDataFrame([("a", "z", 1), ("a", "y", 2), ("b", "x", 1), ("b", None, 2)], "path string, source_text string, seq int")
