@@ -98,6 +98,13 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """`rows` in at least as many partitions as there are cores, for what takes long by row: a small input that lies in fewer
+    files is dealt out, a large one stays where its files are read."""
+    sc = rows.sparkSession.sparkContext
+    return rows.repartition(width(rows.sparkSession)) if rows.rdd.getNumPartitions() < sc.defaultParallelism else rows
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once for an application: they need not have it installed, and workers find
     it whatever folder the driver was started in."""
