@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codequarry.session import width, workspace
+from codequarry.session import spread, width, workspace
 
 #: A term has to occur in this many documents, and in one of so many.
 LEAST_DOCUMENTS, RAREST = 3, 100_000
@@ -280,7 +280,7 @@ def featurize(documents: DataFrame, labels: DataFrame, subjects: list[str], lang
     by_doc = known.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.try_element_at(number, F.col("subject")))).alias("labels"))
     by_doc = by_doc.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_LABELLED)
     # At most MAX_LABELLED rows of an identifier and a few numbers: a bounded side.
-    rows = documents.where("doc_id IS NOT NULL").select("doc_id", "text", "lang").join(F.broadcast(by_doc), "doc_id", "left_outer")
+    rows = spread(documents.where("doc_id IS NOT NULL").select("doc_id", "text", "lang")).join(F.broadcast(by_doc), "doc_id", "left_outer")
     lang = F.lit(-1)
     for i, name in enumerate(languages):
         lang = F.when(F.col("lang") == name, i).otherwise(lang)

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codequarry.session import spread
+
 #: Where the ranks of the byte-level BPE vocabulary lie on every machine; a parameter of all that count tokens.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that splits text before this vocabulary's merges.
@@ -35,7 +37,7 @@ def ids(text: str | None, vocabulary: str = VOCABULARY) -> np.ndarray:
 
 def with_tokens(documents: DataFrame, keep: list[str], vocabulary: str = VOCABULARY, tokens: bool = True) -> DataFrame:
     """The columns `keep` of `documents` with n_tokens and, if asked for, the ids of `text` as 16-bit numbers."""
-    rows = documents.select(*keep, F.col("text").alias("_text"))
+    rows = spread(documents.select(*keep, F.col("text").alias("_text")))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
