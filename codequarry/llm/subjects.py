@@ -12,22 +12,26 @@ labels of a labelled document, against those that bear a subject within, give th
 In the final fits V holds the terms of sentences that bear a subject, each sentence as much as it is likely to be no
 remark; the anchored components are fitted again to these, without the background, which is no longer in V.
 
-V is never held in one place: documents are featurized once into a table in the shared folder; each update broadcasts W
-and reduces partial sums of W in blocks. The dictionary is bounded: a term stays if it occurs in at least LEAST_DOCUMENTS
+V is never held in one place: texts are read twice, for the dictionary and for a table of numbers in the shared folder,
+which has a row for each slice of some thousand documents; each update broadcasts W and reduces partial sums of W in blocks. The dictionary is bounded: a term stays if it occurs in at least LEAST_DOCUMENTS
 documents and in one of RAREST documents, so there are never more terms than RAREST times the distinct terms of an average
 document, whatever the number of documents.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,59 +48,107 @@ SETTLED = 1e-3
 MAX_LABELLED = 20_000
 BLOCK = 4096
 
-_UNIT = re.compile(r"\n+|(?<=[.!?])\s+")
 _WORD = re.compile(r"[^\W\d_]+")
+# Texts are cut at bytes: `.` stands for all marks that end a sentence before a blank, `-` for what is neither that nor a
+# letter. Bytes beyond ASCII stay, to be looked at once for every different token.
+_SIMPLE = bytes(ord(" ") if x in b"\t\x0b\x0c\r\x1c\x1d\x1e\x1f " else ord(".") if x in b".!?" else x if x in b"\n\x02" or x > 127 or chr(x).isalpha() else ord("-") for x in range(256))
+_APART = bytes(ord(" ") if x in b".-" else x for x in range(256))
+_WIDE_BLANK = re.compile(rb"([.!?])(?:\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80)")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])")
 _FOLD = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "Ä": "Ae", "Ö": "Oe", "Ü": "Ue"})
-_seen: dict[str, str] = {}
 
 
 def _plain(word: str) -> str:
     """Lower case, without accents and without the `s` of a plural."""
-    known = _seen.get(word)
-    if known is None:
-        low = word.lower()
-        if not low.isascii():
-            low = unicodedata.normalize("NFKD", low.translate(_FOLD)).encode("ascii", "ignore").decode()
-        if len(low) > 3 and low.endswith("s") and not low.endswith("ss"):
-            low = low[:-1]
-        known = low
-        if len(_seen) < 200_000:
-            _seen[word] = known
-    return known
-
-
-_codes: dict[str, int] = {}
-
-
-def _code(term: str) -> int:
-    known = _codes.get(term)
-    if known is None:
-        known = zlib.crc32(term.encode()) - (1 << 31)
-        if len(_codes) < 400_000:
-            _codes[term] = known
-    return known
+    low = word.lower()
+    if not low.isascii():
+        low = unicodedata.normalize("NFKD", low.translate(_FOLD)).encode("ascii", "ignore").decode()
+    if len(low) > 3 and low.endswith("s") and not low.endswith("ss"):
+        low = low[:-1]
+    return low
+
+
+class _Tokens(dict):
+    """Numbers of the tokens met so far; 0 ends a sentence, 1 a text. A token has the words from `first[i]` to `first[i + 1]`."""
+
+    def __init__(self):
+        self.first = array("q", [0, 0, 0])
+        self.words: list[bytes] = []
+        # Checksums of the word and of the word with a space behind it.
+        self.codes, self.spaced = array("I"), array("I")
+
+    def __missing__(self, token: bytes) -> int:
+        if token in (b"\x01", b"\x02"):
+            self[token] = token[0] - 1
+            return token[0] - 1
+        for found in _WORD.findall(token.decode("utf-8", "surrogatepass")):
+            for part in [found] if found.islower() or len(found) < 3 else _CAMEL.split(found):
+                word = _plain(part).encode()
+                if len(word) >= 2:
+                    self.words.append(word)
+                    self.codes.append(zlib.crc32(word))
+                    self.spaced.append(zlib.crc32(word + b" "))
+        self.first.append(len(self.words))
+        self[token] = known = len(self.first) - 2
+        return known
+
+
+_tokens = _Tokens()
+_KEPT_TOKENS = 200_000
+_SHIFTED = 32  # bytes of a second word for which tables are kept
+
+
+@functools.cache
+def _shifts() -> np.ndarray:
+    """What the checksum of some bytes becomes by n further bytes of zero, by n and by each byte of the checksum: checksums
+    are linear, so that of two strings in a row is the shifted first one XOR the second one."""
+    nothing = [zlib.crc32(bytes(n)) for n in range(_SHIFTED)]
+    return np.array([[[zlib.crc32(bytes(n), v << (8 * b)) ^ nothing[n] for v in range(256)] for b in range(4)] for n in range(_SHIFTED)], np.uint32)
+
+
+def featurized(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit codes of the words and neighbouring word pairs of texts, the number of the sentence each stands in, which goes
+    on from text to text, and the number of codes of each text."""
+    global _tokens
+    if len(_tokens) > _KEPT_TOKENS:
+        _tokens = _Tokens()
+    every = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
+    joined = b"\x02".join([*every, b""])
+    if joined.count(b"\x02") > len(every):
+        joined = b"\x02".join([*(x.replace(b"\x02", b"-") for x in every), b""])
+    if not joined.isascii():
+        joined = _WIDE_BLANK.sub(rb"\1 ", joined)
+    joined = joined.translate(_SIMPLE).replace(b"\n", b". ").replace(b". ", b" \x01 ").replace(b"\x02", b" \x02 ").translate(_APART)
+    at = np.fromiter(map(_tokens.__getitem__, joined.split()), np.int64)
+    first = np.array(_tokens.first)
+    n_words = (first[1:] - first[:-1])[at]
+    token = np.repeat(np.arange(len(at)), n_words)
+    word = np.arange(len(token)) + np.repeat(first[at] - (np.cumsum(n_words) - n_words), n_words)
+    unit = np.cumsum(at <= 1).astype(np.int32)[token]
+    pair = np.flatnonzero(unit[1:] == unit[:-1]) + 1
+    plain = np.array(_tokens.codes, np.uint32)[word]
+    before, behind = np.array(_tokens.spaced, np.uint32)[word[pair - 1]], word[pair]
+    n = np.array([len(w) for w in _tokens.words], np.int64)[behind]
+    table, short = _shifts().ravel(), np.minimum(n, _SHIFTED - 1) << 10
+    both = plain[pair]
+    for b in range(4):
+        both = both ^ table[short + (b << 8) + ((before >> np.uint32(8 * b)) & np.uint32(255))]
+    for i in np.flatnonzero(n >= _SHIFTED):
+        both[i] = zlib.crc32(_tokens.words[behind[i]], int(before[i]))
+    # A pair follows its second word.
+    n_codes = np.ones(len(word), np.int64)
+    n_codes[pair] = 2
+    ends = np.cumsum(n_codes)
+    codes = np.empty(len(word) + len(pair), np.uint32)
+    codes[ends - n_codes] = plain
+    codes[ends[pair] - 1] = both
+    by_text = np.bincount((np.cumsum(at == 1))[token], weights=n_codes, minlength=len(texts))[: len(texts)].astype(np.int64)
+    return (codes ^ np.uint32(1 << 31)).view(np.int32), np.repeat(unit, n_codes), by_text
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """32-bit codes of the words and neighbouring word pairs of a text, and the number of the sentence each stands in."""
-    codes: list[int] = []
-    units: list[int] = []
-    for u, unit in enumerate(_UNIT.split(text or "")):
-        before = ""
-        for found in _WORD.findall(unit):
-            parts = [found] if found.islower() or len(found) < 3 else _CAMEL.split(found)
-            for part in parts:
-                word = _plain(part)
-                if len(word) < 2:
-                    continue
-                codes.append(_code(word))
-                if before:
-                    codes.append(_code(f"{before} {word}"))
-                    units.append(u)
-                units.append(u)
-                before = word
-    return np.array(codes, np.int32), np.array(units, np.int32)
+    return featurized([text])[:2]
 
 
 # ---------------------------------------------------------------- the factorization, on one batch of documents
@@ -123,53 +175,117 @@ class Sparse:
         return cls(r, c, x, len(codes))
 
 
-def fit_mixtures(v: Sparse, w: np.ndarray, allowed: np.ndarray | None = None, inner: int | None = INNER) -> np.ndarray:
+def _ordered(keys: np.ndarray, most: int) -> np.ndarray:
+    """np.argsort(keys, kind="stable") for numbers from 0 to `most`; plain sorting is faster, so places travel with the keys."""
+    bits = len(keys).bit_length()
+    if most.bit_length() + bits > 62:
+        return np.argsort(keys, kind="stable")
+    return np.sort((keys.astype(np.int64) << bits) | np.arange(len(keys))) & ((1 << bits) - 1)
+
+
+#: Entries of V that are worked on together, as many as their rows of W stay in a core's cache.
+_TOGETHER = 8000
+
+
+def _of_like_length(lengths: np.ndarray) -> Iterator[np.ndarray]:
+    """Documents with entries in groups of about the same length."""
+    docs = _ordered(lengths, int(lengths.max(initial=0)))[np.count_nonzero(lengths == 0) :]
+    lo = 0
+    while lo < len(docs):
+        # The longest counts for all; lengths ascend.
+        n = lengths[docs[lo : lo + _TOGETHER]]
+        hi = lo + max(1, int(np.searchsorted(n * np.arange(1, len(n) + 1), _TOGETHER, "right")))
+        hi = min(hi, lo + max(1, int(np.searchsorted(n, n[0] + max(4, n[0] // 4), "right"))))
+        yield docs[lo:hi]
+        lo = hi
+
+
+def fit_mixtures(
+    v: Sparse, w: np.ndarray, allowed: np.ndarray | None = None, inner: int | None = INNER, model: np.ndarray | None = None
+) -> np.ndarray:
     """Rows of H for fixed W (terms x components, columns adding up to 1); zero for documents without terms.
 
-    `inner` updates, or with None as many as it takes until one changes less than SETTLED of the whole.
+    `inner` updates, or with None as many as it takes until one changes less than SETTLED of the whole. `model` gets the
+    values of H W for the entries of V.
     """
     out = np.zeros((v.n_docs, w.shape[1]), np.float32)
-    if not len(v.rows):
-        return out
-    starts = np.flatnonzero(np.r_[True, v.rows[1:] != v.rows[:-1]])
-    present = v.rows[starts]
-    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(v.rows)]))
-    wv = w[v.columns]
-    h = np.ones((len(starts), w.shape[1]), np.float32)
-    if allowed is not None:
-        h *= allowed[present]
-    for _ in itertools.count() if inner is None else range(inner):
-        ratio = v.values / np.maximum(np.einsum("ij,ij->i", h[group], wv), 1e-12)
-        last, h = h, h * np.add.reduceat(wv * ratio[:, None], starts, axis=0)
-        if inner is None and np.abs(h - last).sum() <= SETTLED * h.sum():
+    lengths = np.bincount(v.rows, minlength=v.n_docs)
+    starts = np.cumsum(lengths) - lengths
+    groups = []
+
+    def load(docs):
+        # Documents are filled up with entries of value 0, which add nothing.
+        n = lengths[docs]
+        within = np.arange(n.max())
+        there = within < n[:, None]
+        at = np.minimum(starts[docs][:, None] + within, len(v.rows) - 1)
+        h = np.ones((len(docs), w.shape[1]), np.float32) if allowed is None else allowed[docs].astype(np.float32)
+        return docs, at, there, v.values[at] * there, np.take(w, v.columns[at], axis=0), h
+
+    def step(x, wv, h):
+        said = np.matmul(wv, h[:, :, None])[:, :, 0]
+        np.maximum(said, 1e-12, out=said)
+        np.divide(x, said, out=said)
+        return h * np.matmul(said[:, None, :], wv)[:, 0]
+
+    def keep(docs, at, there, wv, h):
+        out[docs] = h
+        if model is not None:
+            model[at[there]] = np.matmul(wv, h[:, :, None])[:, :, 0][there]
+
+    for docs in _of_like_length(lengths):
+        docs, at, there, x, wv, h = load(docs)
+        if inner is None:
+            groups.append([docs, at, there, x, wv, h])
+            continue
+        for _ in range(inner):
+            h = step(x, wv, h)
+        keep(docs, at, there, wv, h)
+    while groups:
+        moved = whole = 0.0
+        for g in groups:
+            last, g[5] = g[5], step(g[3], g[4], g[5])
+            moved += float(np.abs(g[5] - last).sum())
+            whole += float(g[5].sum())
+        if moved <= SETTLED * whole:
+            for docs, at, there, _, wv, h in groups:
+                keep(docs, at, there, wv, h)
             break
-    out[present] = h
     return out
 
 
-def add_terms(v: Sparse, h: np.ndarray, w: np.ndarray, into: np.ndarray) -> None:
-    """Add the numerator of the update of W for these documents."""
+def add_terms(v: Sparse, h: np.ndarray, w: np.ndarray, into: np.ndarray, model: np.ndarray | None = None) -> None:
+    """Add the numerator of the update of W for these documents; `model` has the values of H W, if they are known."""
     if not len(v.rows):
         return
-    joint = h[v.rows] * w[v.columns]
-    joint *= (v.values / np.maximum(joint.sum(1), 1e-12))[:, None]
-    add_by_column(into, v.columns, joint)
+    if model is None:
+        model = np.einsum("ij,ij->i", h[v.rows], w[v.columns])
+    columns, sums = by_column(v, h, v.values / np.maximum(model, 1e-12))
+    into[columns] += sums * w[columns]
 
 
-def likelihood(v: Sparse, h: np.ndarray, w: np.ndarray) -> float:
-    """The log-likelihood of these documents' terms, each weighing its value."""
+def likelihood(v: Sparse, h: np.ndarray, model: np.ndarray) -> float:
+    """The log-likelihood of these documents' terms, each weighing its value, from the values of H W."""
     if not len(v.rows):
         return 0.0
-    model = np.einsum("ij,ij->i", h[v.rows], w[v.columns]) / np.maximum(h.sum(1), 1e-12)[v.rows]
-    return float((v.values * np.log(np.maximum(model, 1e-12))).sum())
-
-
-def add_by_column(into: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> None:
-    """into[columns] += rows, columns repeating."""
-    order = np.argsort(columns, kind="stable")
-    c = columns[order]
-    first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-    into[c[first]] += np.add.reduceat(rows[order], first, axis=0)
+    model = model / np.maximum(h.sum(1), 1e-12)[v.rows]
+    return float((v.values * np.log(np.maximum(model, 1e-12))).sum(dtype=np.float64))
+
+
+def by_column(v: Sparse, of_docs: np.ndarray, factor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The different columns of V's entries, and for each the sum of its documents' rows, times the entries' factors."""
+    order = _ordered(v.columns, int(v.columns.max(initial=0)))
+    c, rows = v.columns[order], v.rows[order]
+    x = np.ones(len(rows), np.float32) if factor is None else factor[order]
+    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+    lengths = np.diff(np.r_[starts, len(c)])
+    out = np.empty((len(starts), of_docs.shape[1]), np.float32)
+    for group in _of_like_length(lengths):
+        n = lengths[group]
+        within = np.arange(n[-1])
+        at = np.minimum(starts[group][:, None] + within, len(rows) - 1)
+        out[group] = np.matmul((x[at] * (within < n[:, None]))[:, None, :], np.take(of_docs, rows[at], axis=0))[:, 0]
+    return c[starts], out
 
 
 def add_shares(v: Sparse, h: np.ndarray, into: np.ndarray) -> None:
@@ -177,8 +293,9 @@ def add_shares(v: Sparse, h: np.ndarray, into: np.ndarray) -> None:
     mass = h.sum(1)
     keep = mass[v.rows] > 0
     if keep.any():
-        rows = v.rows[keep]
-        add_by_column(into, v.columns[keep], np.c_[h[rows] / mass[rows][:, None], np.ones(len(rows))].astype(np.float32))
+        shares = np.c_[h / np.maximum(mass, 1e-30)[:, None], np.ones(len(h))].astype(np.float32)
+        columns, sums = by_column(Sparse(v.rows[keep], v.columns[keep], v.values[keep], v.n_docs), shares)
+        into[columns] += sums
 
 
 def normalized(w: np.ndarray) -> np.ndarray:
@@ -205,12 +322,6 @@ def sharpened(t: np.ndarray, frequency: np.ndarray) -> np.ndarray:
     return x.astype(np.float32)
 
 
-def sentences(codes: np.ndarray, units: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each sentence the greatest weight of its terms by subject, and where it starts."""
-    first = np.flatnonzero(np.r_[True, units[1:] != units[:-1]])
-    return np.maximum.reduceat(stands[codes], first, axis=0), first
-
-
 def weighted(codes: list[np.ndarray], units: list[np.ndarray], stands: np.ndarray, remark: np.ndarray) -> Sparse:
     """Rows of V for the final fit: every sentence that bears a subject adds as much as it is likely to be no remark.
 
@@ -222,17 +333,29 @@ def weighted(codes: list[np.ndarray], units: list[np.ndarray], stands: np.ndarra
         return Sparse.of(codes)
     every = np.concatenate(codes)
     # Sentences of all documents in one row of numbers: a sentence's number starts anew with each document.
-    score, first = sentences(every, docs * (1 << 32) + np.concatenate(units), stands)
-    odds = remark[every]
+    unit = docs * (1 << 32) + np.concatenate(units)
+    first = np.flatnonzero(np.r_[True, unit[1:] != unit[:-1]])
+    keys, at = np.unique((docs << 32) | every, return_inverse=True)
+    v = Sparse((keys >> 32).astype(np.int32), (keys & 0xFFFFFFFF).astype(np.int32), np.zeros(len(keys), np.float32), len(codes))
+    return of_matter(v, at, first, stands.max(1), remark)
+
+
+def of_matter(v: Sparse, at: np.ndarray, first: np.ndarray, top: np.ndarray, remark: np.ndarray) -> Sparse:
+    """`weighted` for documents whose words are the entries `at` of V, in sentences that start at `first`; `top` is the
+    greatest weight with which a term stands for a subject."""
+    if not len(at):
+        return Sparse(v.rows[:0], v.columns[:0], v.values[:0], v.n_docs)
+    greatest, of_remark = top[v.columns], remark[v.columns]
+    bears = np.maximum.reduceat(greatest[at], first) >= BEARS
+    odds = of_remark[at]
     total, n = np.add.reduceat(odds, first), np.add.reduceat((odds != 0).astype(np.float32), first)
-    likely = (score.max(1) >= BEARS) / (1 + np.exp(np.clip(total / np.sqrt(np.maximum(n, 1)) - 1.5, -30, 30)))
-    part = stands.max(1)[every] ** 2
+    likely = bears / (1 + np.exp(np.clip(total / np.sqrt(np.maximum(n, 1)) - 1.5, -30, 30)))
+    part = (greatest**2)[at]
     amount = likely / np.maximum(np.add.reduceat(part, first), 1e-9)
-    part = part * np.repeat(amount, np.diff(np.r_[first, len(every)]))
-    keys, at = np.unique((docs << 32) | every, return_inverse=True)
-    x = np.bincount(at, weights=part).astype(np.float32)
+    part = part * np.repeat(amount, np.diff(np.r_[first, len(at)]))
+    x = np.bincount(at, weights=part, minlength=len(v.rows)).astype(np.float32)
     keep = x > 0
-    return Sparse((keys[keep] >> 32).astype(np.int32), (keys[keep] & 0xFFFFFFFF).astype(np.int32), x[keep], len(codes))
+    return Sparse(v.rows[keep], v.columns[keep], x[keep], v.n_docs)
 
 
 def about(h: np.ndarray, share: float = SHARE, least: float = LEAST) -> np.ndarray:
@@ -263,17 +386,18 @@ def remark_odds(counts: np.ndarray, stands: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- over all documents
 
-_FEATURES = "doc_id bigint, lang int, labels array<int>, codes binary, units binary"
-_NUMBERED = f"{_FEATURES}, terms binary, amounts binary"
-#: Tasks that hold a partial sum of W at most, or as many as the cluster has cores; each sends W's size of numbers.
-MAX_PARTIALS = 2048
-_SLICE = 300_000  # codes worked on at a time
+_PARTS = ("docs", "langs", "named", "lengths", "terms", "counts", "words", "sentences", "at")
+_SLICES = f"known boolean, kinds string, {', '.join(f'{x} binary' for x in _PARTS)}"
+#: Tasks that hold a partial sum of W, for each core, and at most (or as many as the cluster has cores); each sends W's size
+#: of numbers.
+WAVES, MAX_PARTIALS = 4, 2048
+_SLICE = 400_000  # codes worked on at a time
 _HELD = 2_000_000  # different terms that a task counts before it gives its counts away
 
 
 def featurize(documents: DataFrame, labels: DataFrame, subjects: list[str], languages: list[str]) -> DataFrame:
     """doc_id, lang (its number in `languages`, -1 for others), labels (the numbers of the subjects, empty for none at all,
-    NULL for unlabelled), and the codes and sentence numbers of all words."""
+    NULL for unlabelled), and the text, of which each pass works out the codes: they are longer than the text."""
     number = F.create_map(*[x for i, s in enumerate(subjects) for x in (F.lit(s), F.lit(i))])
     known = labels.where("doc_id IS NOT NULL AND subject IS NOT NULL")
     # Other names than those of subjects say "none": a set of them is empty. A set has at most one number a subject.
@@ -284,16 +408,7 @@ def featurize(documents: DataFrame, labels: DataFrame, subjects: list[str], lang
     lang = F.lit(-1)
     for i, name in enumerate(languages):
         lang = F.when(F.col("lang") == name, i).otherwise(lang)
-
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [features(t) for t in b["text"]]
-            b = b.drop(columns="text")
-            b["codes"] = [c.tobytes() for c, _ in found]
-            b["units"] = [u.tobytes() for _, u in found]
-            yield b
-
-    return rows.select("doc_id", lang.alias("lang"), "labels", "text").mapInPandas(extract, _FEATURES)
+    return rows.select("doc_id", lang.alias("lang"), "labels", "text")
 
 
 def common_languages(documents: DataFrame) -> list[str]:
@@ -302,110 +417,219 @@ def common_languages(documents: DataFrame) -> list[str]:
     return [r["lang"] for r in counts.orderBy(F.desc("count"), "lang").limit(BACKGROUND).collect()]
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of texts in pieces of a bounded number of bytes, or single texts."""
+    ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 8 * _SLICE, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _differ(keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys begin anew."""
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+
+
 def dictionary(table: DataFrame, n_docs: int) -> np.ndarray:
     """The codes of all terms that are not too rare, sorted."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, sums = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for b in batches:
-            own = [np.unique(np.frombuffer(x, np.int32)) for x in b["codes"]]
-            merged, at = np.unique(np.concatenate([held, *own]), return_inverse=True)
-            more = np.bincount(at[len(held) :], minlength=len(merged))
-            more[at[: len(held)]] += sums
-            held, sums = merged, more
-            if len(held) > _HELD:
-                yield pd.DataFrame({"code": held, "n": sums})
-                held, sums = held[:0], sums[:0]
-        yield pd.DataFrame({"code": held, "n": sums})
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A code and its count are one number, the code above.
+        held: list[np.ndarray] = []
+        n_held = 0
+
+        def summed() -> np.ndarray:
+            both = np.sort(np.concatenate([*held, np.zeros(0, np.int64)]))
+            first = _differ(both >> 31)
+            sums = np.add.reduceat(both & 0x7FFFFFFF, first) if len(first) else first
+            return (both[first] & ~0x7FFFFFFF) | np.minimum(sums, 0x7FFFFFFF)
+
+        def given(sums: np.ndarray) -> pa.RecordBatch:
+            return pa.record_batch({"code": pa.array((sums >> 31).astype(np.int32)), "n": pa.array(sums & 0x7FFFFFFF)})
+
+        for batch in batches:
+            for part in _pieces(batch):
+                codes, _, lengths = featurized(part.column("text").to_pylist())
+                docs = np.repeat(np.arange(len(lengths)), lengths)
+                keys = np.sort((docs << 32) | codes.view(np.uint32))
+                once = np.sort(keys[_differ(keys)].astype(np.uint32).view(np.int32))
+                first = _differ(once)
+                held.append((once[first].astype(np.int64) << 31) | np.diff(np.r_[first, len(once)]))
+                n_held += len(first)
+                if n_held > _HELD:
+                    held = [summed()]
+                    n_held = len(held[0])
+                    if 2 * n_held > _HELD:
+                        yield given(held.pop())
+                        n_held = 0
+        yield given(summed())
 
     least = max(LEAST_DOCUMENTS, -(-n_docs // RAREST))
-    counts = table.select("codes").mapInPandas(count, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = table.select("text").mapInArrow(count, "code int, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     return np.sort(counts.where(F.col("n") >= least).select("code").toPandas()["code"].to_numpy(np.int32))
 
 
-def numbered(table: DataFrame, codes) -> DataFrame:
-    """`table` with the numbers of terms in the dictionary in place of their codes, and with each document's different terms
-    and their log-damped counts; other terms are left out."""
+class _Dictionary:
+    """Finds codes in the sorted `known`: codes are checksums, so their first bits tell about where."""
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = codes.value
-        for b in batches:
-            found = [_numbers(np.frombuffer(x, np.int32), known) for x in b["codes"]]
-            b["codes"] = [at[keep].astype(np.int32).tobytes() for at, keep in found]
-            b["units"] = [np.frombuffer(u, np.int32)[keep].tobytes() for u, (_, keep) in zip(b["units"], found, strict=True)]
-            counted = [np.unique(at[keep], return_counts=True) for at, keep in found]
-            b["terms"] = [t.astype(np.int32).tobytes() for t, _ in counted]
-            b["amounts"] = [np.log1p(n).astype(np.float32).tobytes() for _, n in counted]
-            yield b
+    def __init__(self, known: np.ndarray):
+        self.known = np.r_[known.astype(np.int64), np.int64(1) << 40]
+        self.drop = 32 - min(24, (4 * len(known) + 1).bit_length())
+        self.begin = np.searchsorted(known, (np.arange(1 << (32 - self.drop)) << self.drop) - (1 << 31)).astype(np.int32)
 
-    return table.mapInPandas(encode, _NUMBERED)
+    def places(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each code in the dictionary, and which of them are in it."""
+        codes = codes.astype(np.int64)
+        at = self.begin[(codes + (1 << 31)) >> self.drop]
+        found = self.known[at]
+        behind = np.flatnonzero(found < codes)
+        while len(behind):
+            at[behind] += 1
+            found[behind] = self.known[at[behind]]
+            behind = behind[found[behind] < codes[behind]]
+        return at, found == codes
 
 
 def _numbers(codes: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of each code in the dictionary, and which of them are in it."""
-    if not len(known):
-        return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
-    at = np.minimum(np.searchsorted(known, codes), len(known) - 1)
-    return at, known[at] == codes
-
-
-def _slices(batches: Iterator[pd.DataFrame], by: str) -> Iterator[pd.DataFrame]:
-    """Documents in slices of a bounded number of entries of the column `by`."""
+    return _Dictionary(known).places(codes)
+
+
+def numbered(table: DataFrame, codes, n_subjects: int) -> DataFrame:
+    """Slices of `table`, of labelled documents or of others, with the numbers of terms in the dictionary; other terms are left
+    out. A slice has each document's different terms with their counts, and for each of its words, sentence by sentence, which
+    of them it is. Numbers are kept as short as those of the slice allow: `kinds` names their types."""
+
+    def packed(known: bool, **parts: np.ndarray) -> pa.RecordBatch:
+        short = {x: a if x == "docs" else a.astype(np.min_scalar_type(int(a.max(initial=0)))) for x, a in parts.items()}
+        row = {"known": pa.array([known]), "kinds": pa.array(["".join(short[x].dtype.char for x in _PARTS)])}
+        return pa.record_batch(row | {x: pa.array([short[x].tobytes()], pa.binary()) for x in _PARTS})
+
+    def slices(part: pa.RecordBatch, known: bool, find: _Dictionary) -> Iterator[pa.RecordBatch]:
+        every, units, lengths = featurized(part.column("text").to_pylist())
+        ids = part.column("doc_id").to_numpy()
+        langs = part.column("lang").to_numpy() + 1
+        marks = np.zeros((len(ids), n_subjects), np.uint8)
+        for i, own in enumerate(part.column("labels").to_pylist() if known else []):
+            marks[i, own] = 1
+        at, there = find.places(every)
+        ends = np.cumsum(lengths)
+        most_codes = -(-len(every) // max(1, -(-len(every) // _SLICE)))  # slices of about the same size
+        lo = 0
+        while lo < len(ids):
+            from_code = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, from_code + most_codes, "right")))
+            own = slice(from_code, ends[hi - 1])
+            kept = there[own]
+            number, unit = at[own][kept].astype(np.int64), units[own][kept]
+            doc = np.repeat(np.arange(hi - lo), lengths[lo:hi])[kept]
+            most = len(find.known)
+            keys = doc * most + number
+            order = _ordered(keys, (hi - lo) * most)
+            keys = keys[order]
+            first = _differ(keys)
+            n_terms = np.bincount(keys[first] // most, minlength=hi - lo)
+            # A word's term, counted from its document's first.
+            place = np.empty(len(order), np.int64)
+            place[order] = np.repeat(np.arange(len(first)), np.diff(np.r_[first, len(keys)]))
+            place -= (np.cumsum(n_terms) - n_terms)[doc]
+            sentence = _differ(unit)
+            yield packed(
+                known, docs=ids[lo:hi], langs=langs[lo:hi], named=marks[lo:hi] if known else marks[:0], lengths=n_terms, terms=keys[first] % most,
+                counts=np.diff(np.r_[first, len(keys)]), words=np.bincount(doc, minlength=hi - lo), sentences=np.diff(np.r_[sentence, len(unit)]), at=place,
+            )
+            lo = hi
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find = _Dictionary(codes.value)
+        for batch in batches:
+            for part in _pieces(batch):
+                known = part.column("labels").is_valid()
+                for of_known in (False, True):
+                    if len(own := part.filter(known if of_known else pa.compute.invert(known))):
+                        yield from slices(own, of_known, find)
+
+    return table.mapInArrow(encode, _SLICES)
+
+
+class Slice:
+    """Documents of a slice; its parts are unpacked when they are asked for."""
+
+    def __init__(self, row: dict, n_subjects: int):
+        self.row, self.n_subjects = row, n_subjects
+        self.known = bool(row["known"])
+
+    def part(self, name: str) -> np.ndarray:
+        return np.frombuffer(self.row[name], np.dtype(self.row["kinds"][_PARTS.index(name)]))
+
+    @functools.cached_property
+    def rows(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n_docs, dtype=np.int32), self.lengths)
+
+    @functools.cached_property
+    def lengths(self) -> np.ndarray:
+        return self.part("lengths").astype(np.int64)
+
+    @property
+    def n_docs(self) -> int:
+        return len(self.lengths)
+
+    @functools.cached_property
+    def mask(self) -> np.ndarray:
+        """The labels of the documents as 0 and 1."""
+        return self.part("named").reshape(-1, self.n_subjects).astype(np.int64) if self.known else np.zeros((self.n_docs, self.n_subjects), np.int64)
+
+    def allowed(self, n_background: int) -> np.ndarray | None:
+        """The components that the documents may use; None: all."""
+        return np.c_[self.mask, np.ones((self.n_docs, n_background))].astype(np.float32) if self.known else None
+
+    def terms(self, weight: np.ndarray | None = None) -> Sparse:
+        """Rows of V of these documents: their log-damped counts times the weight of the term; terms of weight 0 are left out."""
+        c, n = self.part("terms").astype(np.int32), self.part("counts")
+        x = np.log1p(np.arange(int(n.max(initial=0)) + 1)).astype(np.float32)[n] if n.itemsize < 4 else np.log1p(n).astype(np.float32)
+        rows = self.rows
+        if weight is not None:
+            x = x * weight[c]
+            if not x.all():
+                keep = x > 0
+                rows, c, x = rows[keep], c[keep], x[keep]
+        return Sparse(rows, c, x, self.n_docs)
+
+    def places(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each word the entry of V that it is, and where its sentences start."""
+        starts = np.cumsum(self.lengths) - self.lengths
+        n = self.part("sentences").astype(np.int64)
+        return self.part("at") + np.repeat(starts, self.part("words")), np.cumsum(n) - n
+
+
+def slices_of(batches: Iterator[pa.RecordBatch], n_subjects: int) -> Iterator[Slice]:
     for b in batches:
-        lo, n = 0, 0
-        for i, x in enumerate(b[by]):
-            n += len(x) // 4
-            if n >= _SLICE or i == len(b) - 1:
-                yield b.iloc[lo : i + 1]
-                lo, n = i + 1, 0
-
-
-def _arrays(part: pd.DataFrame, column: str) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.int32) for x in part[column]]
-
-
-def _terms(part: pd.DataFrame, weight: np.ndarray | None = None) -> Sparse:
-    """Rows of V of these documents: their counts times the weight of the term; terms of weight 0 are left out."""
-    terms = _arrays(part, "terms")
-    rows = np.repeat(np.arange(len(terms), dtype=np.int32), [len(t) for t in terms])
-    c = np.concatenate(terms) if terms else np.zeros(0, np.int32)
-    x = np.frombuffer(b"".join(part["amounts"]), np.float32)
-    if weight is not None:
-        x = x * weight[c]
-        keep = x > 0
-        rows, c, x = rows[keep], c[keep], x[keep]
-    return Sparse(rows, c, x, len(terms))
+        columns = {x: b.column(x) for x in b.schema.names}
+        for i in range(b.num_rows):
+            yield Slice({x: c[i].as_buffer() if x in _PARTS else c[i].as_py() for x, c in columns.items()}, n_subjects)
 
 
-def _label_mask(part: pd.DataFrame, n_subjects: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which documents are labelled, and their labels as 0 and 1."""
-    known = part["labels"].notna().to_numpy()
-    mask = np.zeros((len(part), n_subjects), np.int64)
-    for i in np.flatnonzero(known):
-        mask[i, part["labels"].iloc[i]] = 1
-    return known, mask
-
-
-def _reduced(table: DataFrame, size: int, n_columns: int, add, columns: tuple[str, ...]) -> np.ndarray:
-    """The sum over all documents of what `add(into, part)` puts into an array of size x n_columns; `part` has the `columns`
-    of some documents.
+def _reduced(table: DataFrame, size: int, n_columns: int, n_subjects: int, add, parts: tuple[str, ...]) -> np.ndarray:
+    """The sum over all documents of what `add(into, slice)` puts into an array of size x n_columns; the slices have the `parts`.
 
     Every task sums into its own array; the arrays' blocks are summed by block number, and the sum, whose size
     does not depend on the number of documents, comes to the driver.
     """
     n_blocks = -(-size // BLOCK)
-    sc = table.sparkSession.sparkContext
+    cores = table.sparkSession.sparkContext.defaultParallelism
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         into = np.zeros((n_blocks * BLOCK, n_columns), np.float64)
-        for part in _slices(batches, columns[0]):
+        for part in slices_of(batches, n_subjects):
             add(into, part)
         blocks = into.reshape(n_blocks, BLOCK, n_columns)
-        for k in range(0, n_blocks, 8):
-            used = [i for i in range(k, min(k + 8, n_blocks)) if blocks[i].any()]
-            yield pd.DataFrame({"block": used, "data": [blocks[i].astype(np.float32).tobytes() for i in used]})
+        for k in range(n_blocks):
+            if blocks[k].any():
+                yield pa.record_batch({"block": pa.array([k], pa.int32()), "data": pa.array([blocks[k].astype(np.float32).tobytes()], pa.binary())})
 
-    partials = table.select(*columns).coalesce(max(MAX_PARTIALS, sc.defaultParallelism)).mapInPandas(partial, "block int, data binary")
+    partials = table.select("known", "kinds", *parts).coalesce(max(min(MAX_PARTIALS, WAVES * cores), cores)).mapInArrow(partial, "block int, data binary")
     out = np.zeros((n_blocks, BLOCK, n_columns))
     for row in _block_sums(partials, n_blocks).collect():
         out[row.block] = np.frombuffer(row.data, np.float64).reshape(BLOCK, n_columns)
@@ -445,33 +669,30 @@ def subject_areas(
         return spark.createDataFrame([], empty)
     sc, folder = spark.sparkContext, workspace(spark, "subjects")
     languages = common_languages(documents)
-    featurize(documents, labels, names, languages).write.parquet(f"{folder}/codes")
-    table = spark.read.schema(_FEATURES).parquet(f"{folder}/codes")
-    by_lang = {r["lang"]: r["count"] for r in table.groupBy("lang").count().collect()}  # one row for each language seeded
+    texts = featurize(documents, labels, names, languages)
+    by_lang = {r["lang"]: r["count"] for r in texts.groupBy("lang").count().collect()}  # one row for each language seeded
     n_docs = max(1, sum(by_lang.values()))
-    codes = dictionary(table, n_docs)
+    codes = dictionary(texts, n_docs)
     size, n_lang = max(1, len(codes)), max(1, len(languages))
-    numbered(table, sc.broadcast(codes)).write.parquet(f"{folder}/terms")
-    table = spark.read.schema(_NUMBERED).parquet(f"{folder}/terms")
+    # Labelled documents lie apart, so that passes over them read no others. Blocks of rows are kept small: a row is large.
+    writer = numbered(texts, sc.broadcast(codes), n_sub).write.partitionBy("known").option("compression", "zstd")
+    writer.option("parquet.block.size", 32 << 20).option("parquet.page.size.row.check.min", 4).parquet(f"{folder}/terms")
+    table = spark.read.schema(_SLICES).parquet(f"{folder}/terms")
 
     # One pass for everything the start needs: document frequency, frequency and masses by language, seeds.
     def start(into, part):
-        v = _terms(part)
-        lang = part["lang"].to_numpy()[v.rows]
-        known, mask = _label_mask(part, n_sub)
-        cols = np.zeros((len(v.rows), 3 + 2 * n_lang + n_sub), np.float32)
-        cols[:, 0] = 1
-        cols[:, 1] = known[v.rows]
-        cols[:, 2] = (known & (mask.sum(1) == 0))[v.rows]
-        for g in range(n_lang):
-            cols[:, 3 + g] = lang == g
-            cols[:, 3 + n_lang + g] = (lang == g) * v.values
-        cols[:, 3 + 2 * n_lang :] = mask[v.rows] * v.values[:, None]
-        if len(v.rows):
-            add_by_column(into, v.columns, cols)
-
-    of_terms = ("terms", "amounts", "labels")
-    first = _reduced(table, size, 3 + 2 * n_lang + n_sub, start, (*of_terms, "lang"))
+        v, lang = part.terms(), part.part("langs").astype(np.int64) - 1
+        if not len(v.rows):
+            return
+        of_docs = np.c_[np.ones(len(lang)), np.full(len(lang), part.known), part.known & (part.mask.sum(1) == 0), lang[:, None] == np.arange(n_lang)]
+        columns, sums = by_column(v, of_docs.astype(np.float32))
+        into[columns, : 3 + n_lang] += sums
+        by_value = np.c_[lang[:, None] == np.arange(n_lang), part.mask if part.known else part.mask[:, :0]].astype(np.float32)
+        columns, sums = by_column(v, by_value, v.values)
+        into[columns, 3 + n_lang : 3 + n_lang + by_value.shape[1]] += sums
+
+    of_terms = ("named", "lengths", "terms", "counts")
+    first = _reduced(table, size, 3 + 2 * n_lang + n_sub, n_sub, start, (*of_terms, "langs"))
     frequency = first[:, 0]
     weight = np.where(frequency > 0, np.log(n_docs / np.maximum(frequency, 1)) / 3, 0).clip(0).astype(np.float32)
     seeds = first[:, 3 + 2 * n_lang :] * weight[:, None]
@@ -490,24 +711,19 @@ def subject_areas(
     w = normalized(w0)
     b_weight = sc.broadcast(weight)
 
-    def allowed(part):
-        known, mask = _label_mask(part, n_sub)
-        a = np.ones((len(part), k_all), np.float32)
-        a[known, :n_sub] = mask[known]
-        return a
-
     last = -np.inf
     while True:
         b_w = sc.broadcast(w)
 
         def update(into, part, b_w=b_w):
-            v = _terms(part, b_weight.value)
-            h = fit_mixtures(v, b_w.value, allowed(part), inner)
-            add_terms(v, h, b_w.value, into[:, :k_all])
-            into[0, k_all] += likelihood(v, h, b_w.value)
-            into[0, k_all + 1] += v.values.sum()
-
-        sums = _reduced(table, size, k_all + 2, update, of_terms)
+            v = part.terms(b_weight.value)
+            model = np.empty(len(v.rows), np.float32)
+            h = fit_mixtures(v, b_w.value, part.allowed(BACKGROUND), inner, model)
+            add_terms(v, h, b_w.value, into[:, :k_all], model)
+            into[0, k_all] += likelihood(v, h, model)
+            into[0, k_all + 1] += v.values.sum(dtype=np.float64)
+
+        sums = _reduced(table, size, k_all + 2, n_sub, update, of_terms)
         fit = sums[0, k_all] / max(1e-9, sums[0, k_all + 1])
         sums = sums[:, :k_all]
         sums[:, :n_sub] += 2 * seeds
@@ -520,8 +736,8 @@ def subject_areas(
 
     # What each term stands for: the mean subject mixture of its documents.
     def stand(into, part):
-        h = fit_mixtures(_terms(part, b_weight.value), b_w.value, allowed(part), inner)
-        add_shares(_terms(part), h[:, :n_sub], into)
+        h = fit_mixtures(part.terms(b_weight.value), b_w.value, part.allowed(BACKGROUND), inner)
+        add_shares(part.terms(), h[:, :n_sub], into)
 
     def smoothed(sums):
         total = sums[:, :n_sub].sum(0)
@@ -530,26 +746,26 @@ def subject_areas(
         found[idle] = 0
         return found
 
-    stands = smoothed(_reduced(table, size, n_sub + 1, stand, of_terms))
-    of_places = ("codes", "units", "labels")
-    labelled = table.where("labels IS NOT NULL")
+    stands = smoothed(_reduced(table, size, n_sub + 1, n_sub, stand, of_terms))
+    of_places = (*of_terms, "words", "sentences", "at")
+    labelled = table.where("known")
     for again in range(3):
-        b_stands = sc.broadcast(stands)
+        b_stands, b_top = sc.broadcast(stands), sc.broadcast(stands.max(1))
 
         def around(into, part, b_stands=b_stands):
-            codes, units, s = _arrays(part, "codes"), _arrays(part, "units"), b_stands.value
-            context = s.max(1) < 0.5 * BEARS
-            _, mask = _label_mask(part, n_sub)
-            for i, (c, u) in enumerate(zip(codes, units, strict=True)):
-                if not len(c):
-                    continue
-                score, at = sentences(c, u, s)
-                ends = np.r_[at[1:], len(c)]
-                for j in np.flatnonzero(score.max(1) >= BEARS):
-                    words = np.unique(c[at[j] : ends[j]])
-                    into[words[context[words]], 1 - mask[i, score[j].argmax()]] += 1
-
-        remark = remark_odds(_reduced(labelled, size, 2, around, of_places), stands)
+            s, (at, first) = b_stands.value, part.places()
+            if not len(at):
+                return
+            v = part.terms()
+            context, mask = s.max(1) < 0.5 * BEARS, part.mask
+            ends = np.r_[first[1:], len(at)]
+            for j in np.flatnonzero(np.maximum.reduceat(s.max(1)[v.columns][at], first) >= BEARS):
+                own = at[first[j] : ends[j]]
+                words = np.unique(v.columns[own])
+                subject = s[v.columns[own]].max(0).argmax()
+                into[words[context[words]], 1 - mask[v.rows[own[0]], subject]] += 1
+
+        remark = remark_odds(_reduced(labelled, size, 2, n_sub, around, of_places), stands)
         b_remark = sc.broadcast(remark)
         if again == 2:
             break
@@ -558,43 +774,41 @@ def subject_areas(
         # texts share is no longer in these V, so they need no background. The same mixtures tell anew what terms stand for.
         b_w = sc.broadcast(normalized(stands * frequency[:, None]))
 
-        def refine(into, part, b_w=b_w, b_stands=b_stands, b_remark=b_remark):
-            known, mask = _label_mask(part, n_sub)
-            v = weighted(_arrays(part, "codes"), _arrays(part, "units"), b_stands.value, b_remark.value)
-            h = fit_mixtures(v, b_w.value, allowed(part)[:, :n_sub], None)
-            add_terms(v, h, b_w.value, into[:, :n_sub])
-            told = known & (mask.sum(1) > 0)
+        def refine(into, part, b_w=b_w, b_top=b_top, b_remark=b_remark):
+            every = part.terms()
+            v = of_matter(every, *part.places(), b_top.value, b_remark.value)
+            model = np.empty(len(v.rows), np.float32)
+            h = fit_mixtures(v, b_w.value, part.allowed(0), None, model)
+            add_terms(v, h, b_w.value, into[:, :n_sub], model)
+            told = part.known & (part.mask.sum(1) > 0)
             h[~about(h)] = 0
-            h[told] = mask[told]
-            add_shares(_terms(part), h, into[:, n_sub:])
+            h[told] = part.mask[told]
+            add_shares(every, h, into[:, n_sub:])
 
-        sums = _reduced(table, size, 2 * n_sub + 1, refine, (*of_places, "terms", "amounts"))
+        sums = _reduced(table, size, 2 * n_sub + 1, n_sub, refine, of_places)
         w = normalized(sums[:, :n_sub])
         stands = smoothed(sums[:, n_sub:])
     b_w = sc.broadcast(w)
 
     def mixtures(part):
-        v = weighted(_arrays(part, "codes"), _arrays(part, "units"), b_stands.value, b_remark.value)
-        return fit_mixtures(v, b_w.value, inner=None)
+        return fit_mixtures(of_matter(part.terms(), *part.places(), b_top.value, b_remark.value), b_w.value, inner=None)
 
-    def rows_of_labelled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _slices(batches, "codes"):
-            _, mask = _label_mask(part, n_sub)
-            yield pd.DataFrame({"h": [x.tobytes() for x in mixtures(part)], "mask": [x.tobytes() for x in mask]})
+    def rows_of_labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices_of(batches, n_sub):
+            h, mask = mixtures(part), part.mask
+            yield pa.record_batch({"h": pa.array([x.tobytes() for x in h], pa.binary()), "mask": pa.array([x.tobytes() for x in mask], pa.binary())})
 
     # At most MAX_LABELLED rows of as many numbers as there are subjects.
-    known = labelled.select(*of_places).mapInPandas(rows_of_labelled, "h binary, mask binary").collect()
+    known = labelled.select("known", "kinds", *of_places).mapInArrow(rows_of_labelled, "h binary, mask binary").collect()
     h_known = np.array([np.frombuffer(r.h, np.float32) for r in known]).reshape(-1, n_sub)
     share_from, least = thresholds(h_known, np.array([np.frombuffer(r["mask"], np.int64) for r in known]).reshape(-1, n_sub))
 
-    def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in _slices(batches, "codes"):
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices_of(batches, n_sub):
             n = mixtures(part)
-            total = n.sum(1, keepdims=True)
+            total = n.sum(1)
             doc, subject = np.nonzero(about(n, share_from, least))
-            ids = part["doc_id"].to_numpy()
-            yield pd.DataFrame(
-                {"doc_id": ids[doc], "subject": [names[k] for k in subject], "share": n[doc, subject] / total[doc, 0]}
-            )
+            found = {"doc_id": pa.array(part.part("docs")[doc], pa.int64()), "subject": pa.array([names[k] for k in subject], pa.string())}
+            yield pa.record_batch(found | {"share": pa.array((n[doc, subject] / total[doc]).astype(np.float64))})
 
-    return table.select("doc_id", "codes", "units").mapInPandas(answer, empty)
+    return table.select("known", "kinds", "docs", *of_places).mapInArrow(answer, empty)

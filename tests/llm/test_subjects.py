@@ -1,4 +1,7 @@
 import random
+import re
+import time
+import zlib
 
 import numpy as np
 
@@ -136,3 +139,116 @@ def test_nothing(spark):
     labels = spark.createDataFrame([], "doc_id bigint, subject string")
     assert subject_areas(spark, documents, labels, [("sea", None)]).count() == 0
     assert subject_areas(spark, documents, labels, []).count() == 0
+
+
+ODD = [
+    "", None, "a b. c", "x²y ½ Ⅷ ⅓abc", "Prüfungsnoten BarLine bar_line HTTPServer", "foo.\r\nbar?!  baz \n\n qux.", "It is\x1cso.\x1cok\x01then. \x02 on.\x02no",
+    "w" * 50 + " " + " ".join(c * n for c, n in zip("qzyx", (31, 32, 33, 300), strict=True)), "Straße ŉ ŀx ﬁn. αβγ дом", "end.\u00a0next\u2003same.\u3000last!\u0085done “quoted”…no",
+]
+
+
+def by_hand(text):
+    """Codes and sentences of a text, one word after the other."""
+    out = []
+    for u, unit in enumerate(re.split(r"\n+|(?<=[.!?])\s+", text or "")):
+        before = ""
+        for found in re.findall(r"[^\W\d_]+", unit):
+            for word in map(S._plain, [found] if found.islower() or len(found) < 3 else S._CAMEL.split(found)):
+                if len(word) < 2:
+                    continue
+                out.append((zlib.crc32(word.encode()) - (1 << 31), u))
+                if before:
+                    out.append((zlib.crc32(f"{before} {word}".encode()) - (1 << 31), u))
+                before = word
+    return out
+
+
+def test_texts_are_cut_together_as_one_by_one():
+    codes, units, lengths = S.featurized([*ODD, *ODD[::-1]])
+    want = [by_hand(x) for x in [*ODD, *ODD[::-1]]]
+    assert lengths.tolist() == [len(x) for x in want]
+    assert codes.tolist() == [c for x in want for c, _ in x]
+    ends = [(i, u) for i, x in enumerate(want) for _, u in x]
+    assert (np.diff(units) != 0).tolist() == [a != b for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def test_updates_take_a_fraction_of_the_time_of_rows_for_every_entry():
+    """Updates of H and W as they are written down, with a row for every entry of V: the same numbers, in a longer time."""
+    rng = np.random.default_rng(3)
+    v = Sparse.of([rng.integers(0, 20_000, n).astype(np.int32) for n in rng.integers(0, 220, 1500)])
+    w, allowed = normalized(rng.random((20_000, 18))), (rng.random((1500, 18)) < 0.8).astype(np.float32)
+
+    def plain():
+        starts = np.flatnonzero(np.r_[True, v.rows[1:] != v.rows[:-1]])
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(v.rows)]))
+        h, wv = allowed[v.rows[starts]], w[v.columns]
+        for _ in range(5):
+            h = h * np.add.reduceat(wv * (v.values / np.maximum(np.einsum("ij,ij->i", h[group], wv), 1e-12))[:, None], starts, axis=0)
+        joint = h[group] * wv
+        model = joint.sum(1)
+        into = np.zeros(w.shape)
+        joint *= (v.values / np.maximum(model, 1e-12))[:, None]
+        order = np.argsort(v.columns, kind="stable")
+        c = v.columns[order]
+        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+        into[c[first]] += np.add.reduceat(joint[order], first, axis=0)
+        return h, into, model
+
+    def ours():
+        model, into = np.empty(len(v.rows), np.float32), np.zeros(w.shape)
+        h = fit_mixtures(v, w, allowed, 5, model)
+        add_terms(v, h, w, into, model)
+        return h, into, model
+
+    def least(f):
+        took = []
+        for _ in range(4):
+            began = time.process_time()
+            found = f()
+            took.append(time.process_time() - began)
+        return found, min(took)
+
+    (h, into, model), slow = least(plain)
+    (own_h, own_into, own_model), fast = least(ours)
+    assert np.allclose(own_h[np.unique(v.rows)], h, rtol=1e-3, atol=1e-4) and np.allclose(own_into, into, rtol=1e-3, atol=1e-4) and np.allclose(own_model, model, rtol=1e-3)
+    assert fast < 0.6 * slow, (fast, slow)
+
+
+def test_slices_hold_all_words_and_labels(spark):
+    long = " ".join(f"{a}{b}{c}{d}" for a in "bdfgk" for b in "aeiou" for c in "lmnprt" for d in "aeiou")  # more than 256 terms
+    texts = [*ODD, long, *["plain words here. plain words there"] * 300, "plain " * 70_000]
+    documents = spark.createDataFrame([(i, t, "en" if i % 3 else None) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, s) for i in range(0, len(texts), 7) for s in (["x", "z"] if i % 2 else ["none"])], "doc_id bigint, subject string")
+    table = S.featurize(documents, labels, ["x", "y", "z"], ["en"])
+    codes = np.unique(np.array([c for t in texts[::2] for c, _ in by_hand(t)], np.int32))
+    rows = S.numbered(table, spark.sparkContext.broadcast(codes), 3).toArrow()
+    seen = set()
+    for part in S.slices_of(rows.to_batches(), 3):
+        v, (at, first) = part.terms(), part.places()
+        lang, ends, lo = part.part("langs").astype(int) - 1, set(first.tolist()), 0
+        for i, (doc, n) in enumerate(zip(part.part("docs").tolist(), part.part("words").tolist(), strict=True)):
+            want = [(c, u) for c, u in by_hand(texts[doc]) if c in codes]
+            own = at[lo : lo + n]
+            assert codes[v.columns[own]].tolist() == [c for c, _ in want] and (v.rows[own] == i).all()
+            assert [lo + j in ends for j in range(n)] == [j == 0 or want[j][1] != want[j - 1][1] for j in range(n)]
+            terms, counts = np.unique([c for c, _ in want], return_counts=True)
+            assert codes[v.columns[v.rows == i]].tolist() == terms.tolist() and np.allclose(v.values[v.rows == i], np.log1p(counts))
+            assert lang[i] == (0 if doc % 3 else -1) and part.known == (doc % 7 == 0)
+            assert part.mask[i].tolist() == ([1, 0, 1] if doc % 14 == 7 else [0, 0, 0])
+            seen.add(doc)
+            lo += n
+    assert seen == set(range(len(texts)))
+
+
+def test_partial_sums_follow_the_cores_not_the_table(spark, monkeypatch):
+    """A table in many parts is summed by a few tasks a core, each of which sends one array of the size of W."""
+    documents = spark.createDataFrame([(i, "common words here", "en") for i in range(400)], "doc_id bigint, text string, lang string").repartition(60)
+    table = S.featurize(documents, spark.createDataFrame([], "doc_id bigint, subject string"), ["x"], ["en"])
+    codes = S.dictionary(table, 400)
+    numbered = S.numbered(table, spark.sparkContext.broadcast(codes), 1)
+    tasks = []
+    kept = S._block_sums
+    monkeypatch.setattr(S, "_block_sums", lambda partials, n: (tasks.append(partials.rdd.getNumPartitions()), kept(partials, n))[1])
+    found = S._reduced(numbered, len(codes), 1, 1, lambda into, part: np.add.at(into[:, 0], part.terms().columns, 1), ("named", "lengths", "terms", "counts"))
+    assert found[:, 0].tolist() == [400] * len(codes)
+    assert tasks == [S.WAVES * spark.sparkContext.defaultParallelism]
