@@ -119,3 +119,18 @@ def test_use_chains_and_variables(spark):
     assert answers(H.definition(w, p), rows) == [{("kit.ex", 11)}, {("kit.ex", 11)}, {("client.ex", 3)}, {("kit.ex", 14)}, {("kit.ex", 6)}]
     at = spark.createDataFrame([("user.ex", 3, 14)], "file_path string, line int, col int")
     assert {(r.module, r.function) for r in H.signature_help(w, at).collect()} == {("Deep.Thing", "run")}
+
+
+def test_answers_of_repeated_definitions_are_not_shuffled(spark):
+    # Places times definitions of one name: as many answers as the product, which are distinct without being compared.
+    sources = spark.createDataFrame(
+        [("user.ex", "defmodule User do\n  def go do\n" + "    Hot.run(1)\n" * 40 + "  end\nend\n")], "path string, source_text string"
+    )
+    hot = [("Hot", "run", 1, "def", n, f"hot{n % 5}.ex", "", "", "x") for n in range(1, 31)] + [("Hot", "", 0, "module", 1, f"hot{n}.ex", "", "", "") for n in range(5)]
+    d = spark.createDataFrame(hot, "module string, function string, arity int, kind string, line int, file_path string, delegate_to string, delegate_as string, params string")
+    w = H.Workspace(spark, d, parsed_references(parse_facts(sources)), sources)
+    p = spark.createDataFrame([("user.ex", n, 8) for n in range(2, 42)] + [("user.ex", 2, 5)], "file_path string, line int, col int")
+    found = H.definition(w, p)
+    rows = found.collect()
+    assert len(rows) == len(set(rows)) == 40 * 30 + 5
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # nothing is done to the joins' rows

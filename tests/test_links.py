@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from codequarry.functions import names as N
 from codequarry.operators import asof, graph, links, lookup, search
+from codequarry.operators.lookup import all_pairs
 
 D = "module string, function string, arity int, kind string, line int, file_path string, delegate_to string, delegate_as string, params string, seed string, payload string"
 R = "module string, function string, line int, file_path string, kind string, payload string"
@@ -186,3 +187,13 @@ def test_a_hot_key_of_a_lookup_can_be_split(spark):
     finally:
         for k, v in old.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_all_pairs_is_the_join_and_deals_a_hot_key(spark):
+    left = spark.createDataFrame([("hot", n) for n in range(200)] + [("a", 1), ("none", 1), (None, 1)], "k string, x int")
+    right = spark.createDataFrame([("hot", n) for n in range(300)] + [("a", 1), ("a", 2), ("other", 1), (None, 1)], "k string, y int")
+    found = all_pairs(left, right, ["k"], cell=20)
+    rows = [tuple(r) for r in found.collect()]
+    assert sorted(rows) == sorted(tuple(r) for r in left.join(right, "k").select("k", "x", "y").collect())
+    dealt = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(dealt) > 1 and max(r["count"] for r in dealt) < 0.6 * len(rows)
