@@ -346,16 +346,25 @@ def references_at(w: Workspace, places: DataFrame, declarations: bool = False, s
 
 def hover(w: Workspace, places: DataFrame) -> DataFrame:
     """file_path, line, col, signature, spec, doc of what stands at each place."""
-    targets = definition(w, places, in_text=False)
+    found, joins = _defined(w, places, follow=True, in_text=False)
     docs = X.docs(w.texts).select(F.col("file_path").alias("target_path"), F.col("line").alias("target_line"), "doc", "spec")
     heads = X.functions(w.texts).select(F.col("file_path").alias("target_path"), F.col("line").alias("target_line"), "function", "arity", "kind")
     scopes = X.scopes(w.texts).select(
         F.col("file_path").alias("target_path"), F.col("first_line").alias("target_line"), F.col("module").alias("function"), F.lit(-1).alias("arity"), "kind"
     )
-    rows = targets.join(heads.unionByName(scopes), ["target_path", "target_line"]).join(docs, ["target_path", "target_line"], "left_outer")
     label = F.concat_ws(" ", "kind", F.when(F.col("arity") < 0, F.col("function")).otherwise(F.concat_ws("/", "function", "arity")))
-    row = F.struct((F.coalesce("doc", F.lit("")) == "").alias("bare"), "target_path", "target_line", label.alias("signature"), F.coalesce("spec", F.lit("")).alias("spec"), F.coalesce("doc", F.lit("")).alias("doc"))
-    return rows.groupBy(*KEY).agg(F.min(row).alias("x")).select(*KEY, "x.signature", "x.spec", "x.doc")
+    signatures = heads.unionByName(scopes).select("target_path", "target_line", label.alias("signature"))
+    row = F.struct((F.coalesce("doc", F.lit("")) == "").alias("bare"), "target_path", "target_line", "signature", F.coalesce("spec", F.lit("")).alias("spec"), F.coalesce("doc", F.lit("")).alias("doc"))
+
+    def said(targets: DataFrame, by: list[str]) -> DataFrame:
+        rows = targets.join(signatures, ["target_path", "target_line"]).join(docs, ["target_path", "target_line"], "left_outer")
+        return rows.groupBy(*by).agg(F.min(row).alias("x")).select(*by, "x.signature", "x.spec", "x.doc")
+
+    # Each name's definitions are looked through once, not once for each place that it stands at.
+    answers = said(found, KEY)
+    for asked, targets, on in joins:
+        answers = answers.unionByName(asked.join(said(targets, on), on).select(*KEY, "signature", "spec", "doc"))
+    return answers
 
 
 def signature_help(w: Workspace, places: DataFrame) -> DataFrame:

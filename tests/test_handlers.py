@@ -134,3 +134,16 @@ def test_answers_of_repeated_definitions_are_not_shuffled(spark):
     rows = found.collect()
     assert len(rows) == len(set(rows)) == 40 * 30 + 5
     assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # nothing is done to the joins' rows
+
+
+def test_hover_looks_through_the_definitions_of_a_name_once(spark):
+    calls = "defmodule User do\n  def go do\n" + "    Hot.run(1)\n" * 40 + "  end\nend\n"
+    hot = [(f"hot{n}.ex", f"defmodule Hot do\n  def run(x), do: x\n  @doc \"Runs {n}.\"\n  def run(x, y), do: x\nend\n") for n in range(9)]
+    sources = spark.createDataFrame([("user.ex", calls), *hot], "path string, source_text string")
+    parsed = parse_facts(sources).persist()
+    w = H.Workspace(spark, parsed_definitions(parsed), parsed_references(parsed), sources)
+    p = spark.createDataFrame([("user.ex", n, 8) for n in range(2, 42)] + [("user.ex", 2, 5)], "file_path string, line int, col int")
+    found = H.hover(w, p)
+    rows = {tuple(r) for r in found.collect()}
+    assert rows == {("user.ex", n, 8, "def run/2", "", "Runs 0.") for n in range(2, 42)} | {("user.ex", 2, 5, "module Hot", "", "")}
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Union"  # places meet one answer, after it was chosen
