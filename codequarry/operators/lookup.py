@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codequarry import tables as T
-from codequarry.session import width
+from codequarry.session import width, workspace
 
 LOCATION = ("file_path", "line", "kind", "arity", "delegate_to", "delegate_as")
 
@@ -102,13 +102,31 @@ def functions_in_modules(d: DataFrame, scopes: DataFrame, names: DataFrame) -> D
 
     `scopes`: scope, module (several modules for each scope); `names`: scope, function, arity.
     """
-    offered = function_rows(d).join(distinct_keys(scopes, "scope", "module"), "module")
-    asked = distinct_keys(names, "scope", "function", F.col("arity").alias("asked_arity"))
+    spark, folder = d.sparkSession, workspace(d.sparkSession, "offered")
+
+    def kept(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{name}")
+
+    functions = kept(function_rows(d).select("module", "function", "arity", "kind", "line", "file_path").distinct(), "functions")
+    defined = functions.select("module", "function").distinct()
+    arities = F.sort_array(F.collect_set("arity")).alias("_arities")
+    asked = kept(names.groupBy("scope", "function").agg(F.max(F.col("arity") < 0).alias("_any"), arities), "asked")
+    # A scope's modules meet its names, or the names of each module, whichever are fewer; definitions, which may be many
+    # for one name, only meet the names that were found.
+    pairs = scopes.select("scope", "module").distinct()
+    sized = pairs.join(asked.groupBy("scope").agg(F.count("*").alias("_asked")), "scope").join(
+        defined.groupBy("module").agg(F.count("*").alias("_defined")), "module"
+    )
+    fewer = F.col("_asked") <= F.col("_defined")
+    sized = kept(sized, "sized")
+    by_scope = sized.where(fewer).select("scope", "module").join(asked, "scope").join(defined, ["module", "function"], "left_semi")
+    by_module = sized.where(~fewer).select("scope", "module").join(defined, "module").join(asked, ["scope", "function"])
+    found = kept(by_scope.unionByName(by_module), "found")
     return (
-        offered.join(asked, ["scope", "function"])
-        .where((F.col("asked_arity") < 0) | (F.col("asked_arity") == F.col("arity")))
+        all_pairs(found, functions, ["module", "function"])
+        .where(F.col("_any") | F.array_contains("_arities", F.col("arity")))
         .select("scope", "module", "function", "arity", "kind", "line", "file_path")
-        .distinct()
     )
 
 

@@ -197,3 +197,18 @@ def test_all_pairs_is_the_join_and_deals_a_hot_key(spark):
     assert sorted(rows) == sorted(tuple(r) for r in left.join(right, "k").select("k", "x", "y").collect())
     dealt = found.groupBy(F.spark_partition_id()).count().collect()
     assert len(dealt) > 1 and max(r["count"] for r in dealt) < 0.6 * len(rows)
+
+
+def test_functions_in_modules_shuffles_no_product(spark):
+    # One module that defines a name many times and is imported by many: as many answers as the product.
+    d = defs(spark, *[("Hot", "run", n % 2, "def", n, f"h{n}.ex") for n in range(30)], *[("Hot", f"f{n}", 1, "def", n, "h.ex") for n in range(9)], ("Cold", "run", 1, "def", 1, "c.ex"))
+    scopes = spark.createDataFrame([(f"s{n}", "Hot") for n in range(20)] + [("s0", "Cold"), ("s0", "None")], "scope string, module string")
+    names = spark.createDataFrame(
+        [(f"s{n}", "run", -1) for n in range(19)] + [("s0", "run", 1)] + [("s19", f"f{n}", 1) for n in range(12)] + [("s19", "run", a) for a in (0, 7)],
+        "scope string, function string, arity int",
+    )
+    found = lookup.functions_in_modules(d, scopes, names)
+    got = rows(found, "scope", "module", "function", "arity", "kind", "line", "file_path")
+    want = [(f"s{n}", "Hot", "run", k % 2, "def", k, f"h{k}.ex") for n in range(20) for k in range(30) if n < 19 or k % 2 == 0]
+    assert got == sorted(want + [("s0", "Cold", "run", 1, "def", 1, "c.ex")] + [("s19", "Hot", f"f{n}", 1, "def", n, "h.ex") for n in range(9)])
+    assert found._jdf.queryExecution().optimizedPlan().nodeName() == "Project"  # nothing compares the join's rows
